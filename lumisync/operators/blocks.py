@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 ROWS_PER_BLOCK = 8192
 
 
@@ -41,6 +43,7 @@ def block_reduce(
         columns = [F.col(c).alias(c) for c in side.columns]
         return side.select(*columns, group.alias(own), copies.alias(other))
 
+    ship_package(left.sparkSession)
     a = grouped(left, "bi", n_left, "bj", n_right).groupBy("bi", "bj")
     b = grouped(right, "bj", n_right, "bi", n_left).groupBy("bi", "bj")
     return a.cogroup(b).applyInArrow(reduce, schema)

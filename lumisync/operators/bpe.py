@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import BOS, EOS, normalize_text, pretokenize
+from ..session import map_arrow
 
 END_OF_WORD = "</w>"
 MAX_MERGES = 48_894  # fixed value: merge lines used, after one header line
@@ -114,7 +115,7 @@ def _per_word(docs: DataFrame, text_col: str, out_col: str, spark_type: T.DataTy
                 known.clear()
 
     tokens = pretokenize(normalize_text(F.col(text_col)))
-    return docs.withColumn("__tokens", tokens).mapInArrow(run, schema)
+    return map_arrow(docs.withColumn("__tokens", tokens), run, schema)
 
 
 def _split_batch(tokens: pa.ListArray, split: Callable[[str], list], known: dict[str, list],

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.vectors import checked_vector
 from ..schemas import VECTOR
+from ..session import map_arrow
 from .encoders import ColumnEncoder, Encoder
 
 _INPUT = "__encoder_input"
@@ -40,7 +41,7 @@ def embed(
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, vector_col, "error"])
 
     prepared = rows.withColumn(_INPUT, encoder.prepare(F.col(input_col)))
-    return prepared.mapInArrow(run, schema)
+    return map_arrow(prepared, run, schema)
 
 
 def _encode(encoder: Encoder, values: list) -> tuple[pa.Array, pa.Array]:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import ZERO_TOLERANCE, cosine, is_match, is_zero, vector_literal
+from ..session import map_arrow
 from .blocks import ROWS_PER_BLOCK, block_reduce, to_matrix
 
 # Queries whose vectors fit here are broadcast; more are matched block by block.
@@ -44,7 +45,7 @@ def search(store: DataFrame, query: Sequence[float], limit: int = 10, key: str =
     rows = store.select(key, vector)
     if use_arrow and 0 < limit <= ARROW_MAX_LIMIT:
         schema = rows.select(key).schema.add("score", "double")
-        candidates = rows.mapInArrow(_topk_task(np.array(query, np.float64), limit, key), schema)
+        candidates = map_arrow(rows, _topk_task(np.array(query, np.float64), limit, key), schema)
     else:
         candidates = (
             score_all(rows.where(~is_zero(F.col(vector))), query, vector)
@@ -88,17 +89,17 @@ class _QueryBlock:
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
         self.norms = _lengths(vectors)
+        self.unit = _unit32(vectors, self.norms)
+        # Bound on the rounding error of a float32 dot product of unit vectors.
+        self.slack = (vectors.shape[1] + 8) * 2.4e-7
 
-    def scores(self, rows: np.ndarray, row_norms: np.ndarray) -> np.ndarray:
-        """[rows, queries] cosines; -1 where a side is a failed (zero) or NaN vector."""
-        with np.errstate(divide="ignore", invalid="ignore"):
-            scores = (rows @ self.vectors.T) / (row_norms[:, None] * self.norms[None, :])
-        scores[(np.abs(rows) <= ZERO_TOLERANCE).all(axis=1)] = -1.0
-        return np.where(np.isfinite(scores), scores, -1.0)
+    def rough(self, rows: np.ndarray, row_norms: np.ndarray) -> np.ndarray:
+        """[queries, rows] cosines in float32; NaN where a side is a failed (zero) vector."""
+        return self.unit @ _unit32(rows, row_norms).T
 
     def exact(self, rows: np.ndarray, row_norms: np.ndarray, row: np.ndarray,
               query: np.ndarray) -> np.ndarray:
-        """The same cosines for chosen pairs, summed in one fixed order.
+        """Cosines of chosen pairs in double, summed in one fixed order.
 
         A matrix product may round equal vectors differently depending on where they
         stand in the block. Ties must be ties, so survivors are scored again like this.
@@ -116,6 +117,16 @@ def _lengths(vectors: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
 
 
+def _unit32(vectors: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """Rows of unit length in float32; rows that pass the all-zero test become NaN."""
+    short = np.flatnonzero(norms <= ZERO_TOLERANCE * np.sqrt(vectors.shape[1]))
+    failed = short[(np.abs(vectors[short]) <= ZERO_TOLERANCE).all(axis=1)]
+    safe = norms.copy()
+    safe[failed] = np.nan
+    with np.errstate(invalid="ignore"):
+        return (vectors / safe[:, None]).astype(np.float32)
+
+
 def batch_search(store: DataFrame, queries: DataFrame, limit: int = 10, key: str = "path",
                  vector: str = "vector", query_key: str = "query_id",
                  broadcast_bytes: int = BROADCAST_BYTES,
@@ -141,7 +152,7 @@ def batch_search(store: DataFrame, queries: DataFrame, limit: int = 10, key: str
         shared = spark.sparkContext.broadcast(
             (collected.column("__qid").combine_chunks(), to_matrix(collected.column("__qvec"), size.dim)))
         out = schema.add("score", "double").add("__qid", id_schema[0].dataType)
-        candidates = rows.mapInArrow(_many_topk_task(shared, limit), out)
+        candidates = map_arrow(rows, _many_topk_task(shared, limit), out)
     else:
         out = f"__key {schema[0].dataType.simpleString()}, score double, " \
               f"__qid {id_schema[0].dataType.simpleString()}"
@@ -157,8 +168,6 @@ def batch_search(store: DataFrame, queries: DataFrame, limit: int = 10, key: str
 class _RunningTopK:
     """The best rows per query seen so far in one task."""
 
-    SLACK = 1e-9  # far above rounding error: nothing near the cut is dropped unscored
-
     def __init__(self, n_queries: int, limit: int):
         self.limit = limit
         self.floor = np.zeros(n_queries)
@@ -172,19 +181,20 @@ class _RunningTopK:
 
     def _add_step(self, keys: pa.Array, rows: np.ndarray, block: _QueryBlock) -> None:
         norms = _lengths(rows)
-        scores = block.scores(rows, norms)
-        cut = self.floor
-        if len(rows) > self.limit:
+        scores = block.rough(rows, norms)
+        passing = scores >= (self.floor - block.slack).astype(np.float32)[:, None]
+        if len(rows) > self.limit and np.count_nonzero(passing) > 4 * self.limit * len(self.floor):
             place = len(rows) - self.limit
-            cut = np.maximum(cut, np.partition(scores, place, axis=0)[place])
-        row, query = np.nonzero((scores > -self.SLACK) & (scores >= cut[None, :] - self.SLACK))
+            best = np.partition(np.where(passing, scores, np.float32(-2)), place, axis=1)[:, place]
+            passing &= scores >= (best - 2 * block.slack)[:, None]
+        query, row = np.nonzero(passing)
         exact = block.exact(rows, norms, row, query)
         hit = (exact > 0) & (exact >= self.floor[query])
         row, query, exact = row[hit], query[hit], exact[hit]
         if len(row):
             self.found.append(pa.table({"__key": keys.take(pa.array(row)), "score": exact, "q": query}))
             self.pending += len(row)
-        if self.pending > 4 * self.limit * len(self.floor):
+        if self.pending > 2 * self.limit * len(self.floor):
             self.shrink()
 
     def shrink(self) -> pa.Table | None:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..session import map_arrow
+
 # Per-channel mean and standard deviation of the normalisation.
 IMAGE_MEAN = (0.48145466, 0.4578275, 0.40821073)
 IMAGE_STD = (0.26862954, 0.26130258, 0.27577711)
@@ -45,7 +47,7 @@ def tensors(images: DataFrame, spec: TensorSpec = TensorSpec()) -> DataFrame:
                 yield _tensor_batch(batch.slice(start, 64), keep, spec)
 
     wanted = [*keep, *(c for c in ("rgb", "error") if c in images.columns)]
-    return images.select(*wanted).mapInArrow(run, schema)
+    return map_arrow(images.select(*wanted), run, schema)
 
 
 def _tensor_batch(batch: pa.RecordBatch, keep: list[str], spec: TensorSpec) -> pa.RecordBatch:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import fresh_dir
+from ..session import fresh_dir, map_arrow
 from ..sources.files import strip_file_scheme, write_bytes
 from ..sources.images import encode_png
 
@@ -87,7 +87,7 @@ def write_files(rows: DataFrame) -> str:
                 write_bytes(f"{root}/{row['rel']}", row["content"], row["mtime"])
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
-    rows.select("rel", "mtime", "content").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    map_arrow(rows.select("rel", "mtime", "content"), write, "n long").agg(F.sum("n")).collect()
     return root
 
 
@@ -138,7 +138,7 @@ def image_files(spark: SparkSession, sf_dir: str, broken: bool = True) -> str:
                  pa.array([1.6e9 + r["s_suppkey"] for r in rows]), pa.array(content, pa.binary())],
                 names=["rel", "mtime", "content"])
 
-    return write_files(keys.mapInArrow(draw, "rel string, mtime double, content binary"))
+    return write_files(map_arrow(keys, draw, "rel string, mtime double, content binary"))
 
 
 def image_key(path) -> Callable:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from .sources.files import strip_file_scheme, write_bytes
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -34,11 +41,18 @@ def shared_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
     if named:
-        return named.rstrip("/")
+        return _qualified(spark, named)
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors can reach")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumisync-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    return _qualified(spark, spark.sparkContext.getCheckpointDir())
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """With its scheme, so tasks in Python and in the JVM mean the same place."""
+    named = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = named.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.makeQualified(named).toString().rstrip("/")
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
@@ -48,3 +62,25 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
 
 def parallelism(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in tasks, wherever the driver was started from."""
+    context = spark.sparkContext
+    if getattr(context, "_lumisync_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    content = io.BytesIO()
+    with zipfile.ZipFile(content, "w", zipfile.ZIP_DEFLATED) as archive:
+        for source in sorted(package.rglob("*.py")):
+            archive.write(source, source.relative_to(package.parent))
+    target = strip_file_scheme(fresh_dir(spark, "package") + "/lumisync.zip")
+    write_bytes(target, content.getvalue())
+    context.addPyFile(target)
+    context._lumisync_shipped = True
+
+
+def map_arrow(rows: DataFrame, task: Callable, schema: T.StructType | str) -> DataFrame:
+    """`mapInArrow` with this package at hand in the tasks."""
+    ship_package(rows.sparkSession)
+    return rows.mapInArrow(task, schema)

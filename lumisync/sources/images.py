@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import map_arrow
+from .files import is_uri
+
 try:
     import io
 
@@ -28,15 +31,14 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     does not decode keeps its row with an error and no pixels.
     """
     images = (
-        spark.read.format("image").option("recursiveFileLookup", "true").load(path)
+        spark.read.format("image").option("recursiveFileLookup", "true")
+        .load(path if is_uri(path) else f"file://{path}")
         .select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
     )
     plain = F.url_decode(F.replace(F.col("origin"), F.lit("+"), F.lit("%2B")))
-    return (
-        images.withColumn("path", F.regexp_replace(plain, "^file:/+", "/"))
-        .select("path", "height", "width", "nChannels", "data")
-        .mapInArrow(_to_rgb, RGB_SCHEMA)
-    )
+    named = images.select(F.regexp_replace(plain, "^file:/+", "/").alias("path"),
+                          "height", "width", "nChannels", "data")
+    return map_arrow(named, _to_rgb, RGB_SCHEMA)
 
 
 def _to_rgb(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import IMAGE_EXTENSIONS, glob_regex
 from ..schemas import LISTING
-from ..session import fresh_dir, parallelism
+from ..session import fresh_dir, map_arrow, parallelism
 from .files import is_folder, is_uri, list_folder, strip_file_scheme
 
 ENTRIES_PER_TASK = 50_000
@@ -49,7 +49,7 @@ def scan_images(
                                      "path string").coalesce(1)
     for round_no in itertools.count():
         target = f"{base}/round={round_no}"
-        frontier.mapInArrow(walk, LISTING).write.parquet(target)
+        map_arrow(frontier, walk, LISTING).write.parquet(target)
         pending = spark.read.schema(LISTING).parquet(target).where("is_dir").select("path")
         n_pending = pending.count()
         if n_pending == 0:
