@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 
-ROWS_PER_BLOCK = 8192
+ROWS_PER_BLOCK = 16_384
 
 
 def block_reduce(

@@ -36,31 +36,16 @@ def embed(
         for batch in batches:
             for start in range(0, batch.num_rows, encoder.batch_rows):
                 part = batch.slice(start, encoder.batch_rows)
-                vectors, errors = _encode(encoder, part.column(_INPUT).to_pylist())
-                columns = [part.column(c) for c in keep] + [vectors, errors]
+                matrix, errors = encoder.encode_column(part.column(_INPUT))
+                offsets = np.arange(part.num_rows + 1, dtype=np.int32) * encoder.dim
+                vectors = pa.ListArray.from_arrays(offsets, matrix.reshape(-1))
+                columns = [part.column(c) for c in keep] + [vectors, pa.array(errors, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, vector_col, "error"])
 
     prepared = rows.withColumn(_INPUT, encoder.prepare(F.col(input_col)))
     return map_arrow(prepared, run, schema)
 
 
-def _encode(encoder: Encoder, values: list) -> tuple[pa.Array, pa.Array]:
-    items, places, errors = [], [], [None] * len(values)
-    for place, value in enumerate(values):
-        try:
-            if value is None:
-                raise ValueError("no input")
-            items.append(encoder.load(value))
-            places.append(place)
-        except Exception as error:  # any unreadable input is that row's failure alone
-            errors[place] = f"{type(error).__name__}: {error}"
-    matrix = np.zeros((len(values), encoder.dim), np.float32)
-    if items:
-        matrix[places] = np.asarray(encoder.encode(items), np.float32)
-    offsets = np.arange(len(values) + 1, dtype=np.int32) * encoder.dim
-    return pa.ListArray.from_arrays(offsets, matrix.reshape(-1)), pa.array(errors, pa.string())
-
-
 def embed_text(spark: SparkSession, text: str, encoder: Encoder | ColumnEncoder) -> list[float]:
     """The vector of one query text, by the same job that embeds tables."""
     row = spark.createDataFrame([(text,)], "text string")

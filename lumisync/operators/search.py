@@ -17,6 +17,8 @@ from .blocks import ROWS_PER_BLOCK, block_reduce, to_matrix
 BROADCAST_BYTES = 32 << 20
 SCORES_PER_STEP = 4_000_000
 ARROW_MAX_LIMIT = 100_000
+DIRECT_LIMIT = 10
+MERGE_SLOTS = 64
 
 
 def score_all(store: DataFrame, query: Sequence[float], vector: str = "vector") -> DataFrame:
@@ -51,11 +53,22 @@ def search(store: DataFrame, query: Sequence[float], limit: int = 10, key: str =
             score_all(rows.where(~is_zero(F.col(vector))), query, vector)
             .where(is_match(F.col("score"))).select(key, "score")
         )
+    if limit > DIRECT_LIMIT:
+        candidates = _thin(candidates, limit, key)
     best = candidates.orderBy(F.desc("score"), key).limit(limit)
     total = store.agg(F.count("*").alias("n")).scalar()
     return best.withColumn("total_images", total)
 
 
+def _thin(candidates: DataFrame, limit: int, key: str) -> DataFrame:
+    """Cut the lists of many tasks to MERGE_SLOTS lists of `limit` before the final merge,
+    which is one task. Every slot keeps its best `limit` rows, so nothing is lost."""
+    slot = F.pmod(F.xxhash64(key), F.lit(MERGE_SLOTS))
+    order = Window.partitionBy("__slot").orderBy(F.desc("score"), F.asc(key))
+    ranked = candidates.withColumn("__slot", slot).withColumn("__place", F.row_number().over(order))
+    return ranked.where(F.col("__place") <= limit).drop("__slot", "__place")
+
+
 def search_rounded(store: DataFrame, query: Sequence[float], limit: int = 5,
                    key: str = "path", vector: str = "vector") -> DataFrame:
     """As `search`, scores rounded to three decimals after the positive test."""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot, normalize
 from .blocks import ROWS_PER_BLOCK, block_reduce, to_matrix
 
+ENTRIES_PER_STEP = 4_000_000
 _PARTIAL = "side string, id {key}, n bigint, total double, low double, high double, mass double"
 
 
@@ -48,29 +49,44 @@ def similarity_summary(texts: DataFrame, images: DataFrame, logit_scale: float =
 
 def _block_statistics(scale: float):
     def reduce(texts: pa.Table, images: pa.Table) -> pa.Table:
-        parts = []
-        if texts.num_rows and images.num_rows:
-            logits = to_matrix(texts.column("vec")) @ to_matrix(images.column("vec")).T * scale
-            parts = [_side("text", texts.column("id"), logits), _side("image", images.column("id"), logits.T)]
-        if parts:
-            return pa.concat_tables(parts)
-        nothing = np.empty((0, 1))
-        return _side("text", texts.column("id").slice(0, 0), nothing)
+        rows = to_matrix(texts.column("vec")) if texts.num_rows else np.empty((0, 1))
+        columns = to_matrix(images.column("vec")) if images.num_rows else np.empty((0, 1))
+        text_side = _Statistics(len(rows) if len(columns) else 0)
+        image_side = _Statistics(len(columns) if len(rows) else 0)
+        step = max(1, ENTRIES_PER_STEP // max(1, len(columns)))
+        for start in range(0, len(rows) if len(columns) else 0, step):
+            logits = rows[start:start + step] @ columns.T * scale
+            text_side.add(slice(start, start + step), logits)
+            image_side.add(slice(None), logits.T)
+        parts = [s.table(side, ids.column("id").slice(0, len(s.n)))
+                 for s, side, ids in ((text_side, "text", texts), (image_side, "image", images))
+                 if "id" in ids.column_names]
+        return pa.concat_tables(parts)
 
     return reduce
 
 
-def _side(side: str, ids: pa.ChunkedArray, logits: np.ndarray) -> pa.Table:
-    high = logits.max(axis=1)
-    return pa.table({
-        "side": pa.array([side] * len(ids), pa.string()),
-        "id": ids,
-        "n": np.full(len(ids), logits.shape[1], np.int64),
-        "total": logits.sum(axis=1),
-        "low": logits.min(axis=1),
-        "high": high,
-        "mass": np.exp(logits - high[:, None]).sum(axis=1),
-    })
+class _Statistics:
+    """Running count, sum, extremes and exp-sum per matrix row."""
+
+    def __init__(self, size: int):
+        self.n = np.zeros(size, np.int64)
+        self.total, self.mass = np.zeros(size), np.zeros(size)
+        self.low, self.high = np.full(size, np.inf), np.full(size, -np.inf)
+
+    def add(self, where: slice, logits: np.ndarray) -> None:
+        high = np.maximum(self.high[where], logits.max(axis=1))
+        self.mass[where] *= np.exp(self.high[where] - high)
+        self.mass[where] += np.exp(logits - high[:, None]).sum(axis=1)
+        self.high[where] = high
+        self.low[where] = np.minimum(self.low[where], logits.min(axis=1))
+        self.total[where] += logits.sum(axis=1)
+        self.n[where] += logits.shape[1]
+
+    def table(self, side: str, ids: pa.ChunkedArray) -> pa.Table:
+        names = pa.array([side] * len(ids), pa.string())
+        return pa.table({"side": names, "id": ids, "n": self.n, "total": self.total,
+                         "low": self.low, "high": self.high, "mass": self.mass})
 
 
 def contrastive_loss(pairs: DataFrame, logit_scale: float = 0.0,

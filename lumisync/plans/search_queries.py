@@ -10,6 +10,7 @@ from ..operators import search as S
 from ..operators.encoders import HashedTextEncoder
 from ..operators.embed import embed
 from ..operators.similarity import contrastive_loss, similarity_summary
+from ..session import spread
 from .fixtures import FILES_CTE, files, table
 from .text_sql import hashed_vectors
 
@@ -86,7 +87,7 @@ def batch_topk_blocks(spark, sf):
 
 def text_search(spark, sf):
     encoder = HashedTextEncoder(TEXT_DIM)
-    docs = embed(table(spark, sf, "documents").select("doc_id", "text"), "text", encoder)
+    docs = embed(spread(table(spark, sf, "documents").select("doc_id", "text")), "text", encoder)
     asked = embed(table(spark, sf, "benchmark"), "text", encoder)
     best = S.batch_search(
         docs, asked.select(F.col("item_id").alias("query_id"), F.col("vector").alias("query_vec")),

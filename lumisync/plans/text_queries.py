@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import BOS, EOS, normalize_text, pretokenize
 from ..operators import bpe as B
 from ..operators.embed import embed
 from ..operators.encoders import HashedTextEncoder
+from ..session import fresh_dir, spread
 from .fixtures import table
 from .sync_queries import vector_summary_frame
 from .text_sql import normalized, tokens, vector_summary
@@ -25,64 +26,68 @@ select a, b, count(*) as n from (
 group by a, b"""
 
 
-def _words(docs: DataFrame) -> DataFrame:
-    words = docs.select(F.explode(pretokenize(normalize_text(F.col("text")))).alias("word")).distinct()
-    return words.where(~F.col("word").isin(BOS, EOS))
-
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
 
-def _chars(words: DataFrame) -> DataFrame:
-    """The characters of each word in order, the last one marked as the end."""
-    size = F.length("word")
-    chars = F.transform(F.sequence(F.lit(1), size), lambda i: F.concat(
-        F.substring(F.col("word"), i, F.lit(1)), F.when(i == size, B.END_OF_WORD).otherwise("")))
-    return words.select("word", chars.alias("chars"))
 
-
-def _merges(docs: DataFrame) -> DataFrame:
-    def at(offset: int):
-        return F.get(F.col("chars"), F.col("pos") + offset).alias(f"c{offset}")
-    spots = _chars(_words(docs)).select("chars", F.posexplode("chars").alias("pos", "c"))
-    pairs = spots.sparkSession.sql(
-        _PAIRS_SQL.replace("grams", "{grams}"), grams=spots.select(*[at(i) for i in range(4)]))
+def _words(docs: DataFrame) -> DataFrame:
+    """(word, chars): the distinct words as a table of their own, and the characters of each
+    in order, the last one marked as the end."""
+    target = fresh_dir(docs.sparkSession, "words")
+    words = docs.select(F.explode(pretokenize(normalize_text(F.col("text")))).alias("word")).distinct()
+    words.where(~F.col("word").isin(BOS, EOS)).write.parquet(target)
+    words = docs.sparkSession.read.schema("word string").parquet(target)
+    chars, size = F.split("word", ""), F.length("word")
+    last = F.array(F.concat(F.element_at(chars, -1), F.lit(B.END_OF_WORD)))
+    return words.select("word", F.concat(F.slice(chars, 1, size - 1), last).alias("chars"))
+
+
+def _merges(words: DataFrame) -> DataFrame:
+    size = F.size("chars")
+    shifted = [F.slice("chars", i, size).alias(f"c{i - 1}") for i in range(1, 5)]
+    grams = words.select(*shifted).select(F.inline(F.arrays_zip("c0", "c1", "c2", "c3")))
+    pairs = words.sparkSession.sql(_PAIRS_SQL.replace("grams", "{grams}"), grams=grams)
     best = pairs.orderBy(F.desc("n"), "a", "b").limit(B.MAX_MERGES)
     order = Window.orderBy(F.desc("n"), F.asc("a"), F.asc("b"))  # at most MAX_MERGES rows
     return best.select((F.row_number().over(order) - 1).alias("rank"), "a", "b")
 
 
-def _vocab(docs: DataFrame, merges: DataFrame) -> DataFrame:
+def _vocab(words: DataFrame, merges: DataFrame) -> DataFrame:
     """Ids in token order for every character form, every merge result and both specials."""
-    singles = _chars(_words(docs)).select(F.explode("chars").alias("token"))
+    singles = words.select(F.explode("chars").alias("token"))
     joined = merges.select(F.concat("a", "b").alias("token"))
-    special = docs.sparkSession.createDataFrame([(BOS,), (EOS,)], "token string")
-    every = singles.union(joined).union(special).distinct().limit(B.MAX_VOCAB)
+    special = words.sparkSession.createDataFrame([(BOS,), (EOS,)], "token string")
+    # Characters and at most MAX_MERGES results: a few times the size of Unicode at the worst.
+    every = singles.union(joined).union(special).distinct()
     return every.select("token", (F.row_number().over(Window.orderBy("token")) - 1).alias("id"))
 
 
 def _tables(docs: DataFrame, with_ids: bool) -> B.BpeTables:
-    merges = _merges(docs)
-    return B.BpeTables.collect(merges, _vocab(docs, merges) if with_ids else None)
+    words = _words(docs)
+    merges = _merges(words)
+    return B.BpeTables.collect(merges, _vocab(words, merges) if with_ids else None)
 
 
 def text_normalize(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", normalize_text(F.col("text")).alias("t"))
+    docs = _docs(spark, sf).select("doc_id", normalize_text(F.col("text")).alias("t"))
     return docs.select("doc_id", F.length("t").cast("bigint").alias("n"), F.md5(F.encode("t", "utf-8")).alias("digest"))
 
 
 def text_pretokenize(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", pretokenize(normalize_text(F.col("text"))).alias("t"))
+    docs = _docs(spark, sf).select("doc_id", pretokenize(normalize_text(F.col("text"))).alias("t"))
     joined = F.concat_ws(" ", "t")
     return docs.select("doc_id", F.size("t").cast("bigint").alias("n"), F.md5(F.encode(joined, "utf-8")).alias("digest"))
 
 
 def bpe_encode(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = _docs(spark, sf)
     pieces = B.bpe_pieces(docs, "text", _tables(docs, False))
     return pieces.select("doc_id", F.size("pieces").cast("bigint").alias("n"),
                          F.md5(F.encode(F.concat_ws(" ", "pieces"), "utf-8")).alias("digest"))
 
 
 def token_ids(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = _docs(spark, sf)
     coded = B.token_ids(docs, "text", _tables(docs, True))
     joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n"),
@@ -90,7 +95,7 @@ def token_ids(spark, sf):
 
 
 def embed_text(spark, sf):
-    turns = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    turns = spread(table(spark, sf, "conversations").select("conv_id", "turn", "text"))
     return vector_summary_frame(embed(turns, "text", HashedTextEncoder(DIM)), ["conv_id", "turn"])
 
 

@@ -26,6 +26,7 @@ def local_session(cpus: int | str = "*", app: str = "lumisync", **conf: str) ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
     )
     for key, value in conf.items():
@@ -64,6 +65,17 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give CPU-heavy work on a small table every core.
+
+    A table in a few splits would leave most of the cluster idle, so it is shuffled once;
+    a table with at least one split per core is left alone. `scan` is a plain table read:
+    counting its splits runs no job.
+    """
+    cores = parallelism(scan.sparkSession)
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in tasks, wherever the driver was started from."""
     context = spark.sparkContext

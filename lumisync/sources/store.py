@@ -7,6 +7,7 @@ so readers never see half a version and untouched buckets are never rewritten.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -88,11 +89,14 @@ class VectorStore:
         """Append the manifest row that makes a version current."""
         version = (head.version if head else 0) + 1
         n_buckets = head.n_buckets if head else self._n_buckets
-        row = (version, uuid.uuid4().hex, n_rows, n_buckets, dim, parts)
-        (self.spark.createDataFrame([row], MANIFEST).coalesce(1)
-            .write.mode("append").parquet(f"{self.root}/manifest"))
+        commit = uuid.uuid4().hex
+        named = F.from_json(F.lit(json.dumps(parts)), "map<string,string>")
+        values = (version, commit, n_rows, n_buckets, dim)
+        columns = [F.lit(v) for v in values] + [named]
+        row = self.spark.range(1).select(*[c.cast(f.dataType).alias(f.name) for c, f in zip(columns, MANIFEST)])
+        row.coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
         now = self.current()
-        if now.commit != row[1]:
+        if now.commit != commit:
             raise RuntimeError(f"another writer published version {version} first; sync again")
         return now
 

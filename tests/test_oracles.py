@@ -1,0 +1,43 @@
+"""Every registered query against its SQL on the same tables."""
+
+import duckdb
+import pytest
+
+import __spark_entry__ as contract
+
+TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
+          "pages benchmark labels conversations").split()
+
+
+@pytest.fixture(scope="module")
+def duck(sf_dir="/root/testdata/sf0.001"):
+    con = duckdb.connect()
+    for name in TABLES:
+        con.sql(f"create view {name} as select * from '{sf_dir}/{name}.parquet'")
+    return con
+
+
+def _rows(names, table):
+    return sorted(tuple(repr(row[n]) for n in names) for row in table.to_pylist())
+
+
+@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+def test_matches_oracle(spark, duck, sf, name):
+    got = contract.queries()[name](spark, sf).toArrow()
+    want = duck.sql(contract.oracle_sql()[name]).arrow().read_all()
+    names = sorted(got.column_names)
+    assert names == sorted(want.column_names)
+    assert _rows(names, got) == _rows(names, want)
+
+
+def test_every_oracle_has_a_query():
+    assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+def test_entry(spark):
+    assert contract.entry(spark).count() == 10
+
+
+def test_linear_probe_predicts_held_out_rows(spark, sf):
+    rows = contract.queries()["linear_probe"](spark, sf).collect()
+    assert rows and all(0 <= r.prediction < 10 for r in rows)
