@@ -34,9 +34,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 def normalize(a: Column) -> Column:
     """Scale to unit length; NULL for a zero vector."""
-    length = norm(a)
-    scaled = F.transform(a, lambda x: x.cast("double") / length)
-    return F.when(length > 0, scaled)
+    def scale(length: Column) -> Column:
+        return F.when(length > 0, F.transform(a, lambda x: x.cast("double") / length))
+    # The outer lambda binds the length, so it is computed once and not once per entry.
+    return F.element_at(F.transform(F.array(norm(a)), scale), 1)
 
 
 def is_zero(a: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import ZERO_TOLERANCE, cosine, is_match, is_zero, vector_literal
+from ..functions.vectors import ZERO_TOLERANCE, dot, is_match, is_zero, norm, vector_literal
 from ..session import map_arrow
 from .blocks import ROWS_PER_BLOCK, block_reduce, to_matrix
 
@@ -23,7 +24,10 @@ MERGE_SLOTS = 64
 
 def score_all(store: DataFrame, query: Sequence[float], vector: str = "vector") -> DataFrame:
     """Add `score`, the cosine with the query; NULL for a zero vector."""
-    return store.withColumn("score", cosine(F.col(vector), vector_literal(query)))
+    length = math.sqrt(sum(float(x) ** 2 for x in query))  # once, not once per row
+    column = F.col(vector)
+    score = F.try_divide(dot(column, vector_literal(query)), norm(column) * F.lit(length))
+    return store.withColumn("score", score)
 
 
 def full_ranking(store: DataFrame, query: Sequence[float], key: str = "path",

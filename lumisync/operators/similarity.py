@@ -28,7 +28,7 @@ def similarity_summary(texts: DataFrame, images: DataFrame, logit_scale: float =
     partial = block_reduce(
         texts.select("id", F.col("vector").alias("vec")),
         images.select("id", F.col("vector").alias("vec")),
-        "id", _block_statistics(math.exp(logit_scale)), _PARTIAL.format(key=key), rows_per_block,
+        "id", _block_statistics(math.exp(logit_scale), ENTRIES_PER_STEP), _PARTIAL.format(key=key), rows_per_block,
     )
     # exp() is taken relative to the largest entry of the whole row or column. The window
     # and the grouping share one shuffle on (side, id).
@@ -47,13 +47,13 @@ def similarity_summary(texts: DataFrame, images: DataFrame, logit_scale: float =
     )
 
 
-def _block_statistics(scale: float):
+def _block_statistics(scale: float, entries: int):
     def reduce(texts: pa.Table, images: pa.Table) -> pa.Table:
         rows = to_matrix(texts.column("vec")) if texts.num_rows else np.empty((0, 1))
         columns = to_matrix(images.column("vec")) if images.num_rows else np.empty((0, 1))
         text_side = _Statistics(len(rows) if len(columns) else 0)
         image_side = _Statistics(len(columns) if len(rows) else 0)
-        step = max(1, ENTRIES_PER_STEP // max(1, len(columns)))
+        step = max(1, entries // max(1, len(columns)))
         for start in range(0, len(rows) if len(columns) else 0, step):
             logits = rows[start:start + step] @ columns.T * scale
             text_side.add(slice(start, start + step), logits)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import fresh_dir, map_arrow
+from ..session import fresh_dir, map_arrow, spread
 from ..sources.files import strip_file_scheme, write_bytes
 from ..sources.images import encode_png
 
@@ -72,7 +72,7 @@ from {customer}"""
 
 def file_tree(spark: SparkSession, sf_dir: str) -> str:
     """Write the tree with Spark tasks to a new shared folder and return its root."""
-    rows = spark.sql(TREE_SQL, customer=table(spark, sf_dir, "customer"))
+    rows = spark.sql(TREE_SQL, customer=spread(table(spark, sf_dir, "customer").select("c_custkey")))
     return write_files(rows.select("rel", "mtime", F.lit(b"x").alias("content")))
 
 
@@ -126,7 +126,7 @@ BROKEN_SQL = "s_suppkey % 9 = 4"
 
 def image_files(spark: SparkSession, sf_dir: str, broken: bool = True) -> str:
     """One PNG per supplier; every ninth is not an image when `broken` is set."""
-    keys = table(spark, sf_dir, "supplier").select("s_suppkey", F.expr(BROKEN_SQL).alias("bad"))
+    keys = spread(table(spark, sf_dir, "supplier").select("s_suppkey")).select("s_suppkey", F.expr(BROKEN_SQL).alias("bad"))
 
     def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

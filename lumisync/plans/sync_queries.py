@@ -56,13 +56,13 @@ def _filled_store(spark: SparkSession, sf: str) -> VectorStore:
 
 def scan_files(spark, sf):
     root = file_tree(spark, sf)
-    listing = scan_images(spark, root, exclude=P.DEFAULT_EXCLUDES, entries_per_task=500)
+    listing = scan_images(spark, root, exclude=P.DEFAULT_EXCLUDES)
     return sorted_paths(listing).select(relative(_path(), root).alias("path"))
 
 
 def file_snapshot(spark, sf):
     root = file_tree(spark, sf)
-    return scan_images(spark, root).select(relative(_path(), root).alias("path"), "mtime")
+    return scan_images(spark, root, entries_per_task=200).select(relative(_path(), root).alias("path"), "mtime")
 
 
 def scan_nonrecursive(spark, sf):
