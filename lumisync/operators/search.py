@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,6 +131,30 @@ class _QueryBlock:
         return out
 
 
+def _without_hopeless_copies(keys: pa.Array, rows: np.ndarray, limit: int) -> tuple[pa.Array, np.ndarray]:
+    """Drop rows that no query can ever rank in its first `limit`.
+
+    Equal vectors score equally and the smaller key wins, so of any number of copies in
+    a batch only the `limit` smallest keys can appear in a result. A vector that fills a
+    third of the store then costs no more than any other.
+    """
+    if len(rows) <= limit:
+        return keys, rows
+    bits = np.ascontiguousarray(rows).view(np.uint64)
+    mix = np.arange(1, bits.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mark = ((bits ^ (bits >> np.uint64(29))) * mix).sum(axis=1)
+    _, group, sizes = np.unique(mark, return_inverse=True, return_counts=True)
+    if sizes.max() <= limit:
+        return keys, rows
+    keep = np.ones(len(rows), bool)
+    for crowd in np.flatnonzero(sizes > limit):
+        members = np.flatnonzero(group == crowd)
+        members = members[(bits[members] == bits[members[0]]).all(axis=1)]
+        order = pa.compute.sort_indices(keys.take(pa.array(members))).to_numpy()
+        keep[members[order[limit:]]] = False
+    return keys.filter(pa.array(keep)), rows[keep]
+
+
 def _lengths(vectors: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
 
@@ -192,6 +217,7 @@ class _RunningTopK:
         self.pending = 0
 
     def add(self, keys: pa.Array, rows: np.ndarray, block: _QueryBlock) -> None:
+        keys, rows = _without_hopeless_copies(keys, rows, self.limit)
         step = max(1, SCORES_PER_STEP // max(1, len(self.floor)))
         for start in range(0, len(rows), step):
             self._add_step(keys.slice(start, step), rows[start:start + step], block)

@@ -9,7 +9,7 @@ from ..functions import paths as P
 from ..operators import diff as D
 from ..operators.encoders import ColumnEncoder, HashedTextEncoder
 from ..schemas import STORE
-from ..session import fresh_dir
+from ..session import fresh_dir, spread
 from ..sources.scan import scan_images, sorted_paths
 from ..sources.store import VectorStore
 from ..streaming.refresh import embed_arrivals, run_cycles, start_refresh
@@ -179,7 +179,7 @@ def refresh_stream(spark, sf):
 def stream_new_files(spark, sf):
     """Documents arrive in two batches; each is embedded once."""
     arrivals, target, progress = (fresh_dir(spark, n) for n in ("arrivals", "embedded", "progress"))
-    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text", "lang"))
     encoder = HashedTextEncoder(TEXT_DIM)
     for part in (docs.where("lang = 'en'"), docs.where("lang is distinct from 'en'")):
         part.write.mode("append").parquet(arrivals)
