@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -18,6 +19,9 @@ IMAGE_MEAN = (0.48145466, 0.4578275, 0.40821073)
 IMAGE_STD = (0.26862954, 0.26130258, 0.27577711)
 
 
+LINES_PER_STEP = 16
+
+
 @dataclass(frozen=True)
 class TensorSpec:
     """Which preparation steps run and to what size."""
@@ -67,12 +71,21 @@ def _tensor_batch(batch: pa.RecordBatch, keep: list[str], spec: TensorSpec) -> p
 
 def image_tensor(pixels: np.ndarray, spec: TensorSpec = TensorSpec()) -> np.ndarray:
     """uint8 [height, width, 3] to float32 [crop, crop, 3]."""
-    if spec.resize:
-        pixels = _resize(pixels, spec.size)
+    height, width = pixels.shape[:2]
+    size = _resized(height, width, spec.size) if spec.resize else (height, width)
+    # Rows and columns of the resized image that the crop keeps; the rest is not computed.
+    spans = [_crop_span(n, spec.crop) if spec.center_crop else (0, n) for n in size]
+    if size != (height, width):
+        pixels = _resample(pixels, size, *spans)
+    else:
+        pixels = pixels[slice(*spans[0]), slice(*spans[1])]
     if spec.center_crop:
-        pixels = _center_crop(pixels, spec.crop)
+        pixels = _pad(pixels, size, spec.crop)
     table = _channel_values(spec.mean, spec.std) if spec.normalize else _channel_values((0, 0, 0), (1, 1, 1))
-    return table[pixels, np.arange(3)]
+    values = np.empty(pixels.shape, np.float32)
+    for channel in range(3):
+        np.take(table[:, channel], pixels[..., channel], out=values[..., channel], mode="clip")
+    return values
 
 
 @lru_cache(maxsize=8)
@@ -82,41 +95,76 @@ def _channel_values(mean: tuple, std: tuple) -> np.ndarray:
     return ((scaled - np.array(mean)) / np.array(std)).astype(np.float32)
 
 
-def _resize(pixels: np.ndarray, size: int) -> np.ndarray:
-    height, width = pixels.shape[:2]
-    short = min(height, width)
+def _resized(height: int, width: int, size: int) -> tuple[int, int]:
+    short, long = min(height, width), max(height, width)
     if short == size:
+        return height, width
+    scaled = int(size * long / short)
+    return (scaled, size) if width <= height else (size, scaled)
+
+
+def _crop_span(n: int, crop: int) -> tuple[int, int]:
+    """Start and stop of the centre crop along one side, as far as the image reaches."""
+    start = (n - crop) // 2
+    return max(start, 0), min(start + crop, n)
+
+
+def _pad(pixels: np.ndarray, size: tuple[int, int], crop: int) -> np.ndarray:
+    """What the crop takes from outside the image is black."""
+    if pixels.shape[:2] == (crop, crop):
         return pixels
-    long = int(size * max(height, width) / short)
-    new_height, new_width = (long, size) if width <= height else (size, long)
-    across = np.einsum("ow,hwc->hoc", _bicubic_weights(width, new_width), pixels, optimize=True)
-    across = _to_uint8(across)
-    return _to_uint8(np.einsum("oh,hwc->owc", _bicubic_weights(height, new_height), across, optimize=True))
+    out = np.zeros((crop, crop, 3), pixels.dtype)
+    top, left = (max(0, -((n - crop) // 2)) for n in size)
+    out[top:top + pixels.shape[0], left:left + pixels.shape[1]] = pixels
+    return out
 
 
-def _to_uint8(values: np.ndarray) -> np.ndarray:
-    return np.clip(np.floor(values + 0.5), 0, 255).astype(np.uint8)
+def _resample(pixels: np.ndarray, size: tuple[int, int], rows: tuple[int, int],
+              columns: tuple[int, int]) -> np.ndarray:
+    """Antialiased bicubic to `size`, first across and then down; only the given spans."""
+    n_rows, n_columns = pixels.shape[:2]
+    first, last = _taps(n_rows, size[0], *rows)
+    lines = pixels[first:last].transpose(1, 0, 2).reshape(n_columns, -1)
+    across = _resample_axis(lines, n_columns, size[1], columns)
+    across = across.reshape(-1, last - first, 3).transpose(1, 0, 2)
+    down = _resample_axis(across.reshape(last - first, -1), n_rows, size[0], rows, first)
+    return down.reshape(len(down), -1, 3)
+
+
+def _resample_axis(lines: np.ndarray, n_in: int, n_out: int, span: tuple[int, int],
+                   offset: int = 0) -> np.ndarray:
+    """Output lines `span` of `n_out`, from input lines starting at `offset` of `n_in`.
+
+    A few output lines at a time share a window of input lines, so the product stays small
+    however large the image is.
+    """
+    lines = lines.astype(np.float32)
+    out = np.empty((span[1] - span[0], lines.shape[1]), np.uint8)
+    for start in range(span[0], span[1], LINES_PER_STEP):
+        stop = min(start + LINES_PER_STEP, span[1])
+        low, high = _taps(n_in, n_out, start, stop)
+        weights = _bicubic_weights(n_in, n_out, start, stop, low, high)
+        values = weights @ lines[low - offset:high - offset]
+        out[start - span[0]:stop - span[0]] = np.clip(np.floor(values + 0.5), 0, 255)
+    return out
 
 
-@lru_cache(maxsize=256)
-def _bicubic_weights(n_in: int, n_out: int) -> np.ndarray:
-    """[n_out, n_in] antialiased bicubic weights (a = -0.5), each row summing to one."""
+def _taps(n_in: int, n_out: int, start: int, stop: int) -> tuple[int, int]:
+    """Input lines that output lines start..stop draw on."""
     scale = n_in / n_out
-    stretch = max(scale, 1.0)
-    centers = (np.arange(n_out) + 0.5) * scale
-    distance = np.abs((np.arange(n_in) + 0.5)[None, :] - centers[:, None]) / stretch
+    reach = 2 * max(scale, 1.0)
+    low = math.floor((start + 0.5) * scale - reach)
+    high = math.ceil((stop - 0.5) * scale + reach)
+    return max(low, 0), min(high, n_in)
+
+
+def _bicubic_weights(n_in: int, n_out: int, start: int, stop: int, low: int, high: int) -> np.ndarray:
+    """[stop - start, high - low] weights (a = -0.5), each row summing to one."""
+    scale = n_in / n_out
+    centers = (np.arange(start, stop) + 0.5) * scale
+    places = np.arange(low, high) + 0.5
+    distance = np.abs(places[None, :] - centers[:, None]) / max(scale, 1.0)
     near = (1.5 * distance - 2.5) * distance**2 + 1.0
     far = ((-0.5 * distance + 2.5) * distance - 4.0) * distance + 2.0
     weights = np.where(distance < 1, near, np.where(distance < 2, far, 0.0))
-    return weights / weights.sum(axis=1, keepdims=True)
-
-
-def _center_crop(pixels: np.ndarray, crop: int) -> np.ndarray:
-    """The middle crop x crop pixels; what lies outside the image is black."""
-    height, width = pixels.shape[:2]
-    top, left = (height - crop) // 2, (width - crop) // 2
-    out = np.zeros((crop, crop, 3), pixels.dtype)
-    y0, y1 = max(top, 0), min(top + crop, height)
-    x0, x1 = max(left, 0), min(left + crop, width)
-    out[y0 - top:y1 - top, x0 - left:x1 - left] = pixels[y0:y1, x0:x1]
-    return out
+    return (weights / weights.sum(axis=1, keepdims=True)).astype(np.float32)

@@ -6,6 +6,8 @@ The SQL text of a derivation is shared with the oracle, so both engines see one
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import fresh_dir, map_arrow, spread
 from ..sources.files import strip_file_scheme, write_bytes
-from ..sources.images import encode_png
+from ..sources.images import PNG_MAGIC
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +102,18 @@ def relative(path, root: str):
 SIDE = 32  # side of the patterned images, and the crop size of the registered image queries
 
 
+def encode_png(pixels: np.ndarray) -> bytes:
+    """uint8 [height, width, 3 or 4] as an unfiltered PNG."""
+    height, width, channels = pixels.shape
+    lines = np.zeros((height, 1 + width * channels), np.uint8)
+    lines[:, 1:] = pixels.reshape(height, -1)
+    header = struct.pack(">IIBBBBB", width, height, 8, {3: 2, 4: 6}[channels], 0, 0, 0)
+    body = b""
+    for kind, data in ((b"IHDR", header), (b"IDAT", zlib.compress(lines.tobytes(), 1)), (b"IEND", b"")):
+        body += struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return PNG_MAGIC + body
+
+
 def _pattern(k: int) -> np.ndarray:
     """Even keys: SIDE x SIDE pattern, every fourth with alpha. Odd keys: one flat colour in
     a size that differs from key to key."""

@@ -138,15 +138,3 @@ def _unfilter_sequential(raw: list[int], above: list[int], bpp: int, mode: int)
                         (abs(estimate - corner), 2, corner))[2]
         done[i] = (value + guess) & 0xFF
     return np.array(done, np.uint8)
-
-
-def encode_png(pixels: np.ndarray) -> bytes:
-    """uint8 [height, width, 3 or 4] as an unfiltered PNG; for fixtures and exports."""
-    height, width, channels = pixels.shape
-    lines = np.zeros((height, 1 + width * channels), np.uint8)
-    lines[:, 1:] = pixels.reshape(height, -1)
-    header = struct.pack(">IIBBBBB", width, height, 8, {3: 2, 4: 6}[channels], 0, 0, 0)
-    body = b""
-    for kind, data in ((b"IHDR", header), (b"IDAT", zlib.compress(lines.tobytes(), 1)), (b"IEND", b"")):
-        body += struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    return PNG_MAGIC + body

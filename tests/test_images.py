@@ -11,7 +11,8 @@ from lumisync.functions.geometry import crop_box, resized
 from lumisync.operators.embed import embed
 from lumisync.operators.encoders import Encoder, GridImageEncoder, OnnxEncoder
 from lumisync.operators.tensor import IMAGE_MEAN, IMAGE_STD, TensorSpec, image_tensor, tensors
-from lumisync.sources.images import decode_rgb, encode_png, read_images
+from lumisync.plans.fixtures import encode_png
+from lumisync.sources.images import decode_rgb, read_images
 
 
 def noise(height, width, channels=3, seed=0):

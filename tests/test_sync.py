@@ -11,7 +11,7 @@ from lumisync.operators.encoders import ColumnEncoder, GridImageEncoder
 from lumisync.operators.search import search
 from lumisync.operators.tensor import TensorSpec
 from lumisync.plans.sync import stats_frame, sync
-from lumisync.sources.images import encode_png
+from lumisync.plans.fixtures import encode_png
 from lumisync.sources.scan import scan_images
 from lumisync.sources.store import VectorStore
 from lumisync.streaming.refresh import run_cycles, start_refresh
