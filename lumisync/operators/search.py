@@ -186,7 +186,7 @@ def batch_search(store: DataFrame, queries: DataFrame, limit: int = 10, key: str
     id_schema = asked.select("__qid").schema
     schema = rows.select("__key").schema
     size = asked.agg(F.count("*").alias("n"), F.max(F.size("__qvec")).alias("dim"),
-                     F.sum(F.length(F.col("__qid").cast("string"))).alias("ids")).first()
+                     F.sum(F.octet_length(F.col("__qid").cast("string"))).alias("ids")).first()
 
     if size.n == 0 or size.n * size.dim * 8 + size.ids <= broadcast_bytes:
         spark = store.sparkSession

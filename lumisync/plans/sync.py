@@ -13,7 +13,7 @@ from ..operators.diff import DELETED, MODIFIED, NEW, UNCHANGED, classify
 from ..operators.embed import embed
 from ..operators.encoders import ColumnEncoder, Encoder
 from ..schemas import STORE
-from ..session import fresh_dir
+from ..session import fresh_dir, scratch
 from ..sources.store import VectorStore
 
 ROWS_PER_EMBED_TASK = 20_000
@@ -45,7 +45,12 @@ def sync(
     `current` is a snapshot (path, mtime), unique by path; the encoder reads `path`.
     Nothing is written when nothing changed. Only buckets with a change are rewritten.
     """
-    spark = store.spark
+    with scratch(store.spark):
+        return _sync(store, current, encoder, rows_per_task, broadcast_key_bytes)
+
+
+def _sync(store: VectorStore, current: DataFrame, encoder: Encoder | ColumnEncoder,
+          rows_per_task: int, broadcast_key_bytes: int) -> SyncStats:
     started = time.perf_counter()
     head = store.current()
     diff = _written_diff(store, current, head)
@@ -54,13 +59,15 @@ def sync(
                       counts["unchanged"], counts["total"], 0.0)
     if not (stats.new or stats.modified or stats.deleted):
         return stats
+    if stats.unchanged and head.dim != encoder.dim:
+        raise ValueError(f"the store holds vectors of {head.dim} entries, the encoder makes {encoder.dim}")
 
     touched = set(counts["touched"])
     old_parts = dict(head.parts) if head else {}
     added = _embedded(diff, encoder, counts, rows_per_task)
     kept = _kept(store, head, diff, touched, counts, broadcast_key_bytes)
     rows = concat_rows(kept, added) if kept is not None else added
-    folder = store.stage(rows, head)
+    folder = store.stage(rows, head, encoder.dim)
 
     parts = {b: f for b, f in old_parts.items() if b not in touched}
     parts |= {b: f"{folder}/bucket={b}" for b in touched & set(counts["filled"])}
@@ -95,7 +102,7 @@ def _counts(diff: DataFrame) -> dict:
         count(NEW, MODIFIED, UNCHANGED).alias("total"),
         F.collect_set(F.when(changed, F.col("bucket"))).alias("touched"),
         F.collect_set(F.when(F.col("status") != DELETED, F.col("bucket"))).alias("filled"),
-        F.sum(F.when(F.col("status").isin(MODIFIED, DELETED), F.length("path") + 32))
+        F.sum(F.when(F.col("status").isin(MODIFIED, DELETED), F.octet_length("path") + 32))
         .alias("changed_bytes"),
     ).first().asDict()
 

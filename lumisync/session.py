@@ -6,7 +6,9 @@ import io
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,7 +60,27 @@ def _qualified(spark: SparkSession, path: str) -> str:
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder. It is not created."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if (made := _scratch.get()) is not None:
+        made.append(path)
+    return path
+
+
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables made inside the block when it ends."""
+    token = _scratch.set([])
+    try:
+        yield
+    finally:
+        made = _scratch.get()
+        _scratch.reset(token)
+        for path in made:
+            named = spark._jvm.org.apache.hadoop.fs.Path(path)
+            named.getFileSystem(spark._jsc.hadoopConfiguration()).delete(named, True)
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -86,7 +108,8 @@ def ship_package(spark: SparkSession) -> None:
     with zipfile.ZipFile(content, "w", zipfile.ZIP_DEFLATED) as archive:
         for source in sorted(package.rglob("*.py")):
             archive.write(source, source.relative_to(package.parent))
-    target = strip_file_scheme(fresh_dir(spark, "package") + "/lumisync.zip")
+    folder = f"{shared_dir(spark)}/package-{uuid.uuid4().hex}"  # lives as long as the session
+    target = strip_file_scheme(f"{folder}/lumisync.zip")
     write_bytes(target, content.getvalue())
     context.addPyFile(target)
     context._lumisync_shipped = True

@@ -14,6 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.vectors import checked_vector
 from ..schemas import MANIFEST, SNAPSHOT, STORE
 
 
@@ -68,7 +69,7 @@ class VectorStore:
         """Create the store or replace all of it."""
         head = self.current()
         bucketed = rows.withColumn("bucket", self.bucket(F.col("path"), head))
-        folder = self.stage(bucketed, head)
+        folder = self.stage(bucketed, head, dim)
         written = self.spark.read.schema("path string, bucket int").parquet(f"{self.root}/{folder}")
         counts = written.groupBy("bucket").count().collect()
         return self.publish(
@@ -77,12 +78,16 @@ class VectorStore:
             n_rows=sum(r["count"] for r in counts),
         )
 
-    def stage(self, bucketed: DataFrame, head: Row | None) -> str:
-        """Write rows with a `bucket` column to a new folder; invisible until published."""
+    def stage(self, bucketed: DataFrame, head: Row | None, dim: int) -> str:
+        """Write rows with a `bucket` column to a new folder; invisible until published.
+
+        Every vector is cast to the store's type and must have `dim` entries.
+        """
         version = (head.version if head else 0) + 1
         folder = f"data/v{version:08d}-{uuid.uuid4().hex[:12]}"
-        columns = [F.col(f.name).cast(f.dataType) for f in STORE] + [F.col("bucket")]
-        bucketed.select(*columns).write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
+        columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in STORE] + [F.col("bucket")]
+        checked = bucketed.select(*columns).withColumn("vector", checked_vector(F.col("vector"), dim))
+        checked.write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
         return folder
 
     def publish(self, head: Row | None, dim: int, parts: dict[int, str], n_rows: int) -> Row:

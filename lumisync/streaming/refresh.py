@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 from ..operators.embed import embed
 from ..operators.encoders import ColumnEncoder, Encoder
 from ..plans.sync import SyncStats, sync
-from ..session import fresh_dir
+from ..session import fresh_dir, scratch
 from ..sources.store import VectorStore
 
 REFRESH_SECONDS = 60  # fixed value: default pause between refreshes
@@ -23,17 +23,22 @@ log = logging.getLogger(__name__)
 def start_refresh(
     store: VectorStore, list_current: Callable[[], DataFrame], encoder: Encoder | ColumnEncoder,
     seconds: float = REFRESH_SECONDS, on_cycle: Callable[[int, SyncStats | Exception], None] | None = None,
+    keep_versions: int | None = None,
 ) -> StreamingQuery:
     """Sync the store every `seconds`. A failing cycle is logged and the next one runs.
 
     `list_current` lists the source afresh each time: a file stream would only ever see
-    additions, never touched or deleted files. One such query owns the store.
+    additions, never touched or deleted files. One such query owns the store. With
+    `keep_versions`, folders that only older versions use are deleted after each cycle.
     """
     spark = store.spark
 
     def cycle(ticks: DataFrame, number: int) -> None:
         try:
-            result: SyncStats | Exception = sync(store, list_current(), encoder)
+            with scratch(spark):  # the listing is not needed after the sync
+                result: SyncStats | Exception = sync(store, list_current(), encoder)
+            if keep_versions:
+                store.vacuum(keep_versions)
             log.info("refresh %d: %s", number, result)
         except Exception as error:
             result = error

@@ -1,6 +1,7 @@
 """The six sync scenarios on real files, and the store underneath."""
 
 import os
+import pathlib
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from lumisync.operators.search import search
 from lumisync.operators.tensor import TensorSpec
 from lumisync.plans.sync import stats_frame, sync
 from lumisync.plans.fixtures import encode_png
+from lumisync.session import shared_dir
 from lumisync.sources.scan import scan_images
 from lumisync.sources.store import VectorStore
 from lumisync.streaming.refresh import run_cycles, start_refresh
@@ -202,7 +204,7 @@ def test_diff_reads_no_vectors(spark, store):
 def test_unpublished_data_is_invisible(spark, store):
     sync(store, snapshot(spark, [("/r/a", 1.0)]), LENGTH)
     rows = store.read().withColumn("bucket", F.lit(0)).withColumn("mtime", F.lit(9.0))
-    store.stage(rows, store.current())
+    store.stage(rows, store.current(), 2)
     assert store.read().first().mtime == 1.0
     assert store.vacuum() == 1
     assert store.read().first().mtime == 1.0
@@ -232,6 +234,29 @@ def test_write_replaces_everything(spark, store):
     assert store.read().count() == 0
 
 
+def test_vectors_of_another_length_are_refused(spark, store):
+    rows = [("/r/a", 1.0), ("/r/b", 1.0)]
+    sync(store, snapshot(spark, rows), LENGTH)
+    wider = ColumnEncoder(3, lambda p: F.array(*[F.length(p).cast("float")] * 3))
+    with pytest.raises(ValueError, match="2 entries"):
+        sync(store, snapshot(spark, [*rows, ("/r/c", 1.0)]), wider)
+    assert sync(store, snapshot(spark, [("/r/c", 1.0)]), wider).new == 1  # nothing old is left
+    bad = store.read().withColumn("bucket", F.lit(0))
+    with pytest.raises(Exception, match="expected 2 entries"):
+        store.stage(bad, store.current(), 2)
+
+
+def test_sync_and_refresh_leave_no_scratch(spark, store, folder):
+    base = pathlib.Path(shared_dir(spark).removeprefix("file:"))
+    folder.add(*"01")
+    before = set(base.iterdir())
+    done = run_cycles(lambda note: start_refresh(
+        store, lambda: scan_images(spark, str(folder.root)), ENCODER, 0.1, note, keep_versions=1), 2)
+    assert done[0].new == 2 and done[1].unchanged == 2
+    left = {p.name.split("-")[0] for p in set(base.iterdir()) - before}
+    assert left <= {"refresh", "package"}
+
+
 def test_refresh_survives_a_failing_cycle(spark, store):
     states = iter([[("/r/a", 1.0)], None, [("/r/a", 2.0), ("/r/b", 1.0)]])
 
