@@ -106,19 +106,28 @@ class VectorStore:
         return now
 
     def vacuum(self, keep: int = 2) -> int:
-        """Delete data folders that none of the newest `keep` versions names."""
+        """Forget all but the newest `keep` versions and delete data folders that none of
+        those names; returns how many. Run it from the one job that writes the store."""
         manifests = self._manifests()
         if manifests is None:
             return 0
         kept = manifests.orderBy(F.desc("version"), "commit").limit(keep).collect()
+        oldest = min(row.version for row in kept)
+        outdated = (manifests.where(F.col("version") < oldest)
+                    .select("_metadata.file_path").distinct().toLocalIterator())
+        for row in outdated:
+            self._delete(self.spark._jvm.java.net.URI(row.file_path))  # percent-encoded
         live = {"/".join(f.split("/")[:2]) for row in kept for f in row.parts.values()}
-        path_class = self.spark._jvm.org.apache.hadoop.fs.Path
-        data = path_class(f"{self.root}/data")
-        files = data.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(data):
-            return 0
-        dead = [s.getPath() for s in files.listStatus(data)
-                if f"data/{s.getPath().getName()}" not in live]
-        for path in dead:
-            files.delete(path, True)
+        dead = [folder for folder in self._data_folders() if f"data/{folder}" not in live]
+        for folder in dead:
+            self._delete(f"{self.root}/data/{folder}")
         return len(dead)
+
+    def _data_folders(self) -> list[str]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/data")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+
+    def _delete(self, name) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

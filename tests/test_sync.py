@@ -214,6 +214,8 @@ def test_vacuum_keeps_what_the_newest_versions_name(spark, store):
     for i in range(4):
         sync(store, snapshot(spark, [(f"/r/{k}", float(i)) for k in range(40)]), LENGTH)
     assert store.vacuum(keep=2) == 2
+    assert sorted(r.version for r in store._manifests().collect()) == [3, 4]
+    assert store.vacuum(keep=2) == 0
     assert store.read().where("mtime = 3").count() == 40
 
 
