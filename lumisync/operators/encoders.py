@@ -8,7 +8,6 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from ..functions.text import hash_buckets, normalize_text, pretokenize
 from ..sources.files import read_bytes

@@ -12,14 +12,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import ZERO_TOLERANCE, dot, is_match, is_zero, norm, vector_literal
-from ..session import map_arrow
+from ..session import map_arrow, parallelism
 from .blocks import ROWS_PER_BLOCK, block_reduce, to_matrix
 
 # Queries whose vectors fit here are broadcast; more are matched block by block.
 BROADCAST_BYTES = 32 << 20
 SCORES_PER_STEP = 4_000_000
 ARROW_MAX_LIMIT = 100_000
-DIRECT_LIMIT = 10
+# Every task hands on its best rows per query, so very many small splits are read by fewer
+# tasks. The number stays far above what a cluster runs at a time.
+SCAN_TASKS = 10_000
+DIRECT_LIMIT = 100
 MERGE_SLOTS = 64
 
 
@@ -49,7 +52,7 @@ def search(store: DataFrame, query: Sequence[float], limit: int = 10, key: str =
         raise ValueError("limit must not be negative")
     if use_arrow is None:
         use_arrow = limit <= ARROW_MAX_LIMIT
-    rows = store.select(key, vector)
+    rows = _in_fewer_tasks(store.select(key, vector))
     if use_arrow and 0 < limit <= ARROW_MAX_LIMIT:
         schema = rows.select(key).schema.add("score", "double")
         candidates = map_arrow(rows, _topk_task(np.array(query, np.float64), limit, key), schema)
@@ -65,6 +68,11 @@ def search(store: DataFrame, query: Sequence[float], limit: int = 10, key: str =
     return best.withColumn("total_images", total)
 
 
+def _in_fewer_tasks(rows: DataFrame) -> DataFrame:
+    """Join splits, without a shuffle, where there are more than SCAN_TASKS of them."""
+    return rows.coalesce(max(SCAN_TASKS, 4 * parallelism(rows.sparkSession)))
+
+
 def _thin(candidates: DataFrame, limit: int, key: str) -> DataFrame:
     """Cut the lists of many tasks to MERGE_SLOTS lists of `limit` before the final merge,
     which is one task. Every slot keeps its best `limit` rows, so nothing is lost."""
@@ -194,7 +202,7 @@ def batch_search(store: DataFrame, queries: DataFrame, limit: int = 10, key: str
         shared = spark.sparkContext.broadcast(
             (collected.column("__qid").combine_chunks(), to_matrix(collected.column("__qvec"), size.dim)))
         out = schema.add("score", "double").add("__qid", id_schema[0].dataType)
-        candidates = map_arrow(rows, _many_topk_task(shared, limit), out)
+        candidates = map_arrow(_in_fewer_tasks(rows), _many_topk_task(shared, limit), out)
     else:
         out = f"__key {schema[0].dataType.simpleString()}, score double, " \
               f"__qid {id_schema[0].dataType.simpleString()}"

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..operators import diff as D
 from ..operators.encoders import ColumnEncoder, HashedTextEncoder
-from ..schemas import STORE
 from ..session import fresh_dir, spread
 from ..sources.scan import scan_images, sorted_paths
 from ..sources.store import VectorStore

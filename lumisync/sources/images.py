@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -15,8 +16,6 @@ from ..session import map_arrow
 from .files import is_uri
 
 try:
-    import io
-
     from PIL import Image as _pillow
 except ImportError:
     _pillow = None

@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.paths import IMAGE_EXTENSIONS, glob_regex
 from ..schemas import LISTING
