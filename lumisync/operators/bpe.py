@@ -6,6 +6,7 @@ task splits every distinct word once and remembers it, and rows only pick up ind
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import pairwise
@@ -23,6 +24,9 @@ END_OF_WORD = "</w>"
 MAX_MERGES = 48_894  # fixed value: merge lines used, after one header line
 MAX_VOCAB = 1_000_000
 REMEMBERED_WORDS = 500_000
+LONG_WORD = 64
+# Words a Python worker has split for the job it is on; the next task finds them again.
+_remembered: dict[str, dict[str, list]] = {}
 _UNRANKED = float("inf")
 
 
@@ -65,17 +69,31 @@ def split_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     if word in (BOS, EOS):
         return [word]
     parts = [*word[:-1], word[-1] + END_OF_WORD]
-    while True:
-        ranked = [ranks.get(pair, _UNRANKED) for pair in pairwise(parts)]
-        best = min(ranked, default=_UNRANKED)
-        if best == _UNRANKED:
-            return parts
-        joined, at = [], 0
-        while at < len(parts):
-            width = 2 if at < len(ranked) and ranked[at] == best else 1
-            joined.append("".join(parts[at:at + width]))
-            at += width
-        parts = joined
+    ranked = [ranks.get(pair, _UNRANKED) for pair in pairwise(parts)]
+    while ranked and (best := min(ranked)) != _UNRANKED:
+        if len(parts) > LONG_WORD:
+            parts = _join_everywhere(parts, ranked, best)
+            ranked = [ranks.get(pair, _UNRANKED) for pair in pairwise(parts)]
+            continue
+        while best in ranked:  # a join changes only the two pairs beside it
+            at = ranked.index(best)
+            parts[at] += parts.pop(at + 1)
+            ranked.pop(at)
+            if at:
+                ranked[at - 1] = ranks.get((parts[at - 1], parts[at]), _UNRANKED)
+            if at < len(ranked):
+                ranked[at] = ranks.get((parts[at], parts[at + 1]), _UNRANKED)
+    return parts
+
+
+def _join_everywhere(parts: list[str], ranked: list[float], best: float) -> list[str]:
+    """Join every pair of rank `best` from the left in one pass, for very long symbol runs."""
+    joined, at = [], 0
+    while at < len(parts):
+        width = 2 if at < len(ranked) and ranked[at] == best else 1
+        joined.append("".join(parts[at:at + width]))
+        at += width
+    return joined
 
 
 def bpe_pieces(docs: DataFrame, text_col: str, tables: BpeTables, out_col: str = "pieces") -> DataFrame:
@@ -105,8 +123,12 @@ def _per_word(docs: DataFrame, text_col: str, out_col: str, spark_type: T.DataTy
     added = T.StructField(out_col, T.ArrayType(spark_type))
     schema = T.StructType(docs.schema.fields + [added])
 
+    job = uuid.uuid4().hex
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list] = {}
+        if job not in _remembered:
+            _remembered.clear()
+        known = _remembered.setdefault(job, {})
         for batch in batches:
             coded = _split_batch(batch.column("__tokens"), split, known, arrow_type)
             columns = [batch.column(c) for c in keep] + [coded]

@@ -56,7 +56,20 @@ def naive_bpe(word, merges):
               st.sampled_from(["a", "b", "c</w>", "a</w>", "ab", "bc", "aa</w>", "ab</w>"])),
     unique=True, max_size=12))
 def test_split_word_equals_naive(word, merges):
-    assert B.split_word(word, {p: i for i, p in enumerate(merges)}) == naive_bpe(word, merges)
+    ranks = {p: i for i, p in enumerate(merges)}
+    want = naive_bpe(word, merges)
+    assert B.split_word(word, ranks) == want
+    short, B.LONG_WORD = B.LONG_WORD, 1  # the same by whole passes
+    try:
+        assert B.split_word(word, ranks) == want
+    finally:
+        B.LONG_WORD = short
+
+
+def test_very_long_runs_are_quick():
+    ranks = {("=" * 2**i, "=" * 2**i): i for i in range(12)}
+    parts = B.split_word("=" * 200_001, ranks)
+    assert "".join(parts) == "=" * 200_001 + "</w>" and len(parts) < 60
 
 
 MERGES = [("l", "o"), ("lo", "w</w>"), ("e", "r</w>"), ("n", "e"), ("ne", "w"), ("w", "er</w>"), ("'", "s</w>")]
