@@ -48,19 +48,20 @@ _ARROW = pa.schema([
 
 
 def squeeze(values: np.ndarray) -> bytes:
-    """Whole numbers below 2**32, compressed byte plane by byte plane."""
-    planes = np.ascontiguousarray(values, dtype="<u4").view(np.uint8).reshape(-1, 4).T
-    used = max((i + 1 for i in range(4) if planes[i].any()), default=0)
+    """Whole numbers from 0, compressed byte plane by byte plane; 32 bits wide if they come so."""
+    width = 4 if values.dtype == np.uint32 else 8
+    planes = np.ascontiguousarray(values, dtype=f"<u{width}").view(np.uint8).reshape(-1, width).T
+    used = max((i + 1 for i in range(width) if planes[i].any()), default=0)
     packed = zstandard.ZstdCompressor(level=3).compress(planes[:used].tobytes())
-    return bytes([used]) + len(values).to_bytes(8, "little") + packed
+    return bytes([width, used]) + len(values).to_bytes(8, "little") + packed
 
 
 def expand(packed: bytes) -> np.ndarray:
-    used, n = packed[0], int.from_bytes(packed[1:9], "little")
-    planes = np.zeros((4, n), np.uint8)
-    raw = zstandard.ZstdDecompressor().decompress(packed[9:], max_output_size=used * n)
+    width, used, n = packed[0], packed[1], int.from_bytes(packed[2:10], "little")
+    planes = np.zeros((width, n), np.uint8)
+    raw = zstandard.ZstdDecompressor().decompress(packed[10:], max_output_size=max(1, used * n))
     planes[:used] = np.frombuffer(raw, np.uint8).reshape(used, n)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
 
 
 def squeeze_words(words: list[bytes]) -> bytes:
