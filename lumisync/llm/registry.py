@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, lm_scoring, near_dedup, pii, quality, token_counts, url_filter
+from . import byte_bpe, decontaminate, lm_scoring, near_dedup, pii, quality, token_counts, url_filter, vector_search
 
-_MODULES = (pii, lm_scoring, decontaminate, near_dedup, byte_bpe, quality, token_counts, url_filter)
+_MODULES = (pii, lm_scoring, decontaminate, vector_search, near_dedup, byte_bpe, quality, token_counts, url_filter)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
