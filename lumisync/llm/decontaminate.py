@@ -83,9 +83,9 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256) of every row of `(doc_id, text)`.
+    """(doc_id, text_hash, n_words, n_hit, n_items, items_sha256) of every row of `(doc_id, text)`.
 
-    `benchmark` is `(item_id, text)`. A word is hit if it lies in a place where a window of an
+    `text_hash` is xxhash64 of the text; `benchmark` is `(item_id, text)`. A word is hit if it lies in a place where a window of an
     item occurs; `items_sha256` digests the ids of the items with such windows, sorted as
     strings and joined by commas. Null texts have no words, items without words no windows; the
     id of an item without one is the empty text. Repeated rows and null ids give a row each.
@@ -95,7 +95,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     lengths = sorted(r.length for r in windows.select("length").distinct().collect())
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("words"))
     if not lengths:
-        return texts.select("doc_id", F.size("words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
+        return texts.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
                             F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"))
 
     fingerprints = materialize(windows.select("fingerprint").distinct(), "fingerprints")
@@ -125,9 +125,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = _items_of(per_doc, windows)
     same = [documents[c].eqNullSafe(per_doc[c]) for c in key]
     joined = documents.join(per_doc, same, "left").select(
-        documents.doc_id, "n_words", "copies", "n_hit", "groups_key").join(items, "groups_key", "left")
+        documents.doc_id, documents.text_hash, "n_words", "copies", "n_hit", "groups_key").join(items, "groups_key", "left")
     return joined.select(
-        "doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        "doc_id", "text_hash", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")).drop("copy")
@@ -156,7 +156,7 @@ def _items_of(per_doc: DataFrame, windows: DataFrame) -> DataFrame:
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every whole text of `documents` that windows of `benchmark` items hit."""
     found = find_hits(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
-    return found.withColumn("contaminated", F.col("n_hit") > 0)
+    return found.drop("text_hash").withColumn("contaminated", F.col("n_hit") > 0)
 
 
 # The definition by plain equality of windows, without fingerprints.

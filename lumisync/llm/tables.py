@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import fresh_dir
 
+BROADCAST_KEYS = 1_000_000  # up to so many keys of 16 bytes go to every executor instead of a shuffle of all rows
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -36,3 +37,13 @@ def lower_ascii(text: Column) -> Column:
 def crc_of_id(doc_id: Column) -> Column:
     """crc32 of an id's decimal text; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+
+
+def without(rows: DataFrame, keys: DataFrame, on: dict[str, Column]) -> DataFrame:
+    """The rows that match none of `keys`, a written table; `on` gives the row's value for each of
+    its columns, and null matches null."""
+    few = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    condition = F.lit(True)
+    for name, value in on.items():
+        condition = condition & value.eqNullSafe(keys[name])
+    return rows.join(few, condition, "left_anti")
