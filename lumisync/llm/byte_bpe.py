@@ -21,16 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import map_arrow, ship_package
-from .chunks import expand, expand_words, pack, spans, squeeze, take_runs
+from .chunks import expand, expand_ranks, expand_words, pack, rank_order, spans, squeeze, take_runs
 from .tables import materialize, read_table, shuffle_partitions
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CACHED_WORDS = 500_000
-BATCH_BYTES = 4 << 20
 
-_ENCODED = "chunk long, bucket int, ids binary, id_counts binary"
-_ARROW_ENCODED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("ids", pa.binary()),
-                            ("id_counts", pa.binary())])
+_ENCODED = "chunk long, bucket int, tally binary, ids binary, id_counts binary"
+_ARROW_ENCODED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("tally", pa.binary()),
+                            ("ids", pa.binary()), ("id_counts", pa.binary())])
 _RESULT = "doc_id long, n_tokens long, ids binary, decoded binary"
 _ARROW_RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()),
                            ("decoded", pa.binary())])
@@ -69,7 +68,7 @@ def encode_and_decode(
         return [word.encode() for word in compiled[0].findall(text)]
 
     packed = materialize(pack(docs.select("doc_id", "text"), split, shuffle_partitions(spark)), "bpe-chunks")
-    words = packed.where("bucket is not null").select("chunk", "bucket", "words")
+    words = packed.where("bucket is not null").select("chunk", "bucket", "words", "tally")
     dealt = words.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket")
     encoded = map_arrow(dealt, _encoder(path, pattern), _ENCODED)
     chunks = packed.where("bucket is null").select("chunk", "doc_ids", "lengths", "numbers")
@@ -91,9 +90,9 @@ def _encoder(path: str, pattern: str):
                     ids.append(found)
                 flat = np.fromiter((i for word in ids for i in word), np.uint32)
                 counts = np.fromiter(map(len, ids), np.uint32, len(ids))
-                yield pa.RecordBatch.from_pylist([{"chunk": row["chunk"], "bucket": row["bucket"],
-                                                   "ids": squeeze(flat), "id_counts": squeeze(counts)}],
-                                                 schema=_ARROW_ENCODED)
+                yield pa.RecordBatch.from_pylist([{
+                    "chunk": row["chunk"], "bucket": row["bucket"], "tally": row["tally"], "ids": squeeze(flat),
+                    "id_counts": squeeze(counts)}], schema=_ARROW_ENCODED)
 
     return encode
 
@@ -113,12 +112,13 @@ def _assembler(path: str):
         found = sorted(encoded.to_pylist(), key=lambda row: row["bucket"])
         ids = np.concatenate([np.zeros(0, np.uint32), *(expand(row["ids"]) for row in found)])
         counts = np.concatenate([np.zeros(0, np.uint32), *(expand(row["id_counts"]) for row in found)]).astype(np.int64)
-        starts = spans(counts)
+        places = rank_order(row["tally"] for row in found)
+        starts, counts = spans(counts)[places], counts[places]
         token_bytes, token_starts = _token_bytes(path)
         parts = []
         for row in chunks.to_pylist():
             edges = spans(expand(row["lengths"]))
-            numbers = expand(row["numbers"])
+            numbers = expand_ranks(row["numbers"])
             for at in _stretches(edges):
                 first, last = at
                 here = numbers[edges[first]:edges[last]]

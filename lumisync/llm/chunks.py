@@ -9,11 +9,12 @@ The packed table has two kinds of rows:
 
 - `bucket` null: a chunk's documents (`doc_ids`, `flags`, `lengths` in words) and `numbers`,
   the word numbers of all its documents one after the other;
-- `bucket` set: the chunk's words of that bucket, in the order of their numbers (`words`),
-  with how often the flagged documents use them (`uses`).
+- `bucket` set: the chunk's sorted words of that bucket (`words`), how often the chunk has
+  them (`tally`) and how often its flagged documents do (`uses`).
 
-Word numbers go bucket by bucket in sorted order, so the buckets' words, put one after the
-other by bucket, are the chunk's vocabulary.
+A word's number is its rank by falling `tally`; of equal ones the lower bucket comes first,
+then the sorted order. So numbers are mostly small, and `rank_order` finds a word from the
+tallies of all buckets.
 """
 
 from __future__ import annotations
@@ -32,18 +33,18 @@ from pyspark.sql import types as T
 
 from ..session import map_arrow
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
 
 _FIELDS = [
     ("chunk", T.LongType()), ("bucket", T.IntegerType()), ("doc_ids", T.ArrayType(T.LongType())),
     ("flags", T.BinaryType()), ("lengths", T.BinaryType()), ("numbers", T.BinaryType()),
-    ("hashes", T.BinaryType()), ("words", T.BinaryType()), ("uses", T.BinaryType()),
+    ("hashes", T.BinaryType()), ("words", T.BinaryType()), ("tally", T.BinaryType()), ("uses", T.BinaryType()),
 ]
 PACKED = T.StructType([T.StructField(n, t) for n, t in _FIELDS])
 _ARROW = pa.schema([
     ("chunk", pa.int64()), ("bucket", pa.int32()), ("doc_ids", pa.list_(pa.int64())),
     ("flags", pa.binary()), ("lengths", pa.binary()), ("numbers", pa.binary()),
-    ("hashes", pa.binary()), ("words", pa.binary()), ("uses", pa.binary()),
+    ("hashes", pa.binary()), ("words", pa.binary()), ("tally", pa.binary()), ("uses", pa.binary()),
 ])
 
 
@@ -64,10 +65,44 @@ def expand(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
 
 
+def squeeze_ranks(ranks: np.ndarray) -> bytes:
+    """Word numbers: a byte below 240, else one byte that holds the top four of twenty bits and two more."""
+    if len(ranks) and ranks.max() >= 1 << 20:
+        return b"\x00" + squeeze(ranks)
+    large = ranks >= 240
+    rest = ranks[large]
+    lead = ranks.astype(np.uint8)
+    lead[large] = 240 + (rest >> 16)
+    planes = (lead, (rest >> 8).astype(np.uint8), rest.astype(np.uint8))
+    packed = [zstandard.ZstdCompressor(level=3).compress(p.tobytes()) for p in planes]
+    sizes = (len(lead), *map(len, packed))
+    return b"\x01" + np.array(sizes, "<u8").tobytes() + b"".join(packed)
+
+
+def expand_ranks(packed: bytes) -> np.ndarray:
+    if packed[0] == 0:
+        return expand(packed[1:])
+    n, *sizes = np.frombuffer(packed[1:33], "<u8").tolist()
+    edges = np.cumsum([33, *sizes]).tolist()
+    lead, high, low = (
+        np.frombuffer(zstandard.ZstdDecompressor().decompress(packed[a:b], max_output_size=max(1, n)), np.uint8)
+        for a, b in zip(edges, edges[1:]))
+    ranks = lead.astype(np.uint32)
+    large = lead >= 240
+    ranks[large] = ((ranks[large] - 240) << 16) + (high.astype(np.uint32) << 8) + low
+    return ranks
+
+
+def rank_order(tallies: Iterable[bytes]) -> np.ndarray:
+    """Where the word of each number is among the words of all buckets of its chunk, one after the other."""
+    tally = np.concatenate([np.zeros(0, np.int64), *(expand(t).astype(np.int64) for t in tallies)])
+    return np.argsort(-tally, kind="stable")
+
+
 def squeeze_words(words: list[bytes]) -> bytes:
     """Words as their lengths and their bytes, so that a word may hold any byte."""
     lengths = squeeze(np.fromiter(map(len, words), np.uint32, len(words)))
-    body = zstandard.ZstdCompressor(level=3).compress(b"".join(words))
+    body = zstandard.ZstdCompressor(level=9).compress(b"".join(words))
     return len(lengths).to_bytes(8, "little") + lengths + body
 
 
@@ -124,19 +159,21 @@ def _packed(chunk: int, ids: list, flags: list, parts: list[np.ndarray], vocabul
     buckets = hashes % n_buckets
     order = sorted(range(len(vocabulary)), key=vocabulary.__getitem__)
     order = np.array(order, np.int64)[np.argsort(buckets[order], kind="stable")] if order else np.zeros(0, np.int64)
-    renumbered = np.empty(len(vocabulary), np.uint32)
-    renumbered[order] = np.arange(len(vocabulary), dtype=np.uint32)
-    numbers = renumbered[np.concatenate(parts)] if parts else np.zeros(0, np.uint32)
+    numbers = np.concatenate([np.zeros(0, np.uint32), *parts])
+    tally = np.bincount(numbers, minlength=len(vocabulary))[order]
+    ranked = np.argsort(-tally, kind="stable")
+    rank_of = np.empty(len(vocabulary), np.uint32)
+    rank_of[order[ranked]] = np.arange(len(vocabulary), dtype=np.uint32)
     lengths = np.array([len(p) for p in parts], np.uint32)
-    counted = numbers[np.repeat(np.array(flags, bool), lengths)]
-    uses = np.bincount(counted, minlength=len(vocabulary))
+    flagged = numbers[np.repeat(np.array(flags, bool), lengths)]
+    uses = np.bincount(flagged, minlength=len(vocabulary))[order]
     rows = [{"chunk": chunk, "doc_ids": ids, "flags": bytes(map(bool, flags)), "lengths": squeeze(lengths),
-             "numbers": squeeze(numbers), "hashes": squeeze(hashes[order]) if hashed else None}]
+             "numbers": squeeze_ranks(rank_of[numbers]), "hashes": squeeze(hashes[order][ranked]) if hashed else None}]
     starts = np.searchsorted(buckets[order], np.arange(n_buckets + 1))
     for bucket in np.unique(buckets).tolist():
         lo, hi = int(starts[bucket]), int(starts[bucket + 1])
         rows.append({"chunk": chunk, "bucket": bucket, "words": squeeze_words([vocabulary[i] for i in order[lo:hi]]),
-                     "uses": squeeze(uses[lo:hi])})
+                     "tally": squeeze(tally[lo:hi]), "uses": squeeze(uses[lo:hi])})
     return pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 

@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import map_arrow, parallelism, ship_package
-from .chunks import expand, expand_words, pack, spans, squeeze
+from .chunks import expand, expand_ranks, expand_words, pack, rank_order, spans, squeeze
 from .tables import crc_of_id, materialize, read_table, shuffle_partitions
 
 CLASSES = 32
-SLOTS = CLASSES * 32
+SLOTS = CLASSES * CLASSES
 CLASS_FEATURES = 4096
 SLOT_FEATURES = 1024
 ROUNDS = 2
@@ -40,9 +40,9 @@ BLOCK_ROWS = 512
 
 _CLASS_ROWS = 3 * CLASS_FEATURES
 _ROWS = _CLASS_ROWS + 2 * SLOT_FEATURES * CLASSES
-_COUNTS = "chunk long, bucket int, counts binary, slot_tokens array<long>, slot_words array<long>"
-_ARROW_COUNTS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("counts", pa.binary()),
-                           ("slot_tokens", pa.list_(pa.int64())), ("slot_words", pa.list_(pa.int64()))])
+_COUNTS = "chunk long, bucket int, tally binary, counts binary, slot_tokens array<long>, slot_words array<long>"
+_ARROW_COUNTS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("tally", pa.binary()),
+                           ("counts", pa.binary()), ("slot_tokens", pa.list_(pa.int64())), ("slot_words", pa.list_(pa.int64()))])
 _UPDATE = "block int, weight binary, change binary"
 _ARROW_UPDATE = pa.schema([("block", pa.int32()), ("weight", pa.binary()), ("change", pa.binary())])
 _SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, base_sum double, model_score double")
@@ -70,8 +70,8 @@ class _History:
         skipped[starts] = 0
         skipped[starts[starts + 1 < n] + 1] = 0
         pair = before * np.uint32(2654435761) + skipped * np.uint32(2246822519)
-        self.slot = (hashes >> np.uint32(22)).astype(np.int32)
-        self.word_class = self.slot >> 5
+        self.slot = _slots(hashes).astype(np.int32)
+        self.word_class, self.within = np.divmod(self.slot, CLASSES)
         self.class_rows = [_bits(before, 12), CLASS_FEATURES + _bits(skipped, 12), 2 * CLASS_FEATURES + _bits(pair, 12)]
         self.slot_rows = [
             _CLASS_ROWS + _bits(before, 10) * CLASSES + self.word_class,
@@ -79,6 +79,10 @@ class _History:
         ]
 
 
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> np.uint32(22)
+
+
 def _bits(hashes: np.ndarray, bits: int) -> np.ndarray:
     return ((hashes * np.uint32(2654435769)) >> np.uint32(32 - bits)).astype(np.int32)
 
@@ -113,7 +117,7 @@ class Model:
 
     def log_probs(self, history: _History, at: slice) -> np.ndarray:
         """Natural log of class and slot of each token."""
-        n, classes, slots = np.arange(at.stop - at.start), history.word_class[at], history.slot[at] & 31
+        n, classes, slots = np.arange(at.stop - at.start), history.word_class[at], history.within[at]
         of_class = _log_softmax(self.class_bias, self.weights, [r[at] for r in history.class_rows])
         of_slot = _log_softmax(self.slot_bias[classes], self.weights, [r[at] for r in history.slot_rows])
         return of_class[n, classes] + of_slot[n, slots]
@@ -127,11 +131,12 @@ class Model:
             missing = -np.exp(_log_softmax(self.class_bias, self.weights, class_rows))
             missing[n, classes] += 1
             within = -np.exp(_log_softmax(self.slot_bias[classes], self.weights, slot_rows))
-            within[n, history.slot[at] & 31] += 1
+            within[n, history.within[at]] += 1
             for rows, gradient in [(r, missing) for r in class_rows] + [(r, within) for r in slot_rows]:
                 order = np.argsort(rows, kind="stable")
-                touched, first = np.unique(rows[order], return_index=True)
-                total = np.add.reduceat(gradient[order], first, axis=0)
+                ranked = rows[order]
+                first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+                touched, total = ranked[first], np.add.reduceat(gradient[order], first, axis=0)
                 seen[touched] += np.diff(np.append(first, len(rows)))
                 squares[touched] += (total * total).mean(axis=1)
                 self.weights[touched] += RATE * total / np.sqrt(squares[touched] + 1e-6)[:, None]
@@ -151,7 +156,7 @@ def score_documents(docs: DataFrame, is_training, rounds: int = ROUNDS) -> DataF
     n_buckets = shuffle_partitions(spark)
     packed = materialize(pack(flagged, _tokens, n_buckets, hashed=True), "lm-chunks")
 
-    words = packed.where("bucket is not null").select("chunk", "bucket", "words", "uses")
+    words = packed.where("bucket is not null").select("chunk", "bucket", "words", "tally", "uses")
     ship_package(spark)
     counts = materialize(words.groupBy("bucket").applyInArrow(_count_bucket, _COUNTS), "lm-counts")
     model = Model(*_slot_totals(counts))
@@ -162,7 +167,7 @@ def score_documents(docs: DataFrame, is_training, rounds: int = ROUNDS) -> DataF
         _train_round(share, model)
 
     shared = spark.sparkContext.broadcast(model)
-    word_counts = counts.where("chunk is not null").select("chunk", "bucket", "counts")
+    word_counts = counts.where("chunk is not null").select("chunk", "bucket", "tally", "counts")
     scored = chunks.groupBy("chunk").cogroup(word_counts.groupBy("chunk")).applyInArrow(_scorer(shared), _SCORES)
     # log10 of (c + 1) / (N + 1 * (V + 1)) for each token
     unit = float(np.log10(model.n_tokens + model.n_words + 1))
@@ -174,19 +179,20 @@ def score_documents(docs: DataFrame, is_training, rounds: int = ROUNDS) -> DataF
 def _count_bucket(rows: pa.Table) -> pa.Table:
     """The corpus count of every word of a bucket, back in the order of each chunk, and totals by slot."""
     totals: dict[bytes, int] = defaultdict(int)
-    chunks = rows.select(["chunk", "words", "uses"]).to_pylist()
+    chunks = rows.select(["chunk", "words", "tally", "uses"]).to_pylist()
     bucket = rows.column("bucket")[0].as_py()
     for row in chunks:
         for word, uses in zip(expand_words(row["words"]), expand(row["uses"]).tolist()):
             totals[word] += uses
-    hashes = np.fromiter(map(zlib.crc32, totals), np.uint32, len(totals)) >> np.uint32(22)
+    slots = _slots(np.fromiter(map(zlib.crc32, totals), np.uint32, len(totals)))
     tokens = np.fromiter(totals.values(), np.int64, len(totals))
     out = [{"bucket": bucket,
-            "slot_tokens": np.bincount(hashes, tokens, SLOTS).astype(np.int64).tolist(),
-            "slot_words": np.bincount(hashes, tokens > 0, SLOTS).astype(np.int64).tolist()}]
+            "slot_tokens": np.bincount(slots, tokens, SLOTS).astype(np.int64).tolist(),
+            "slot_words": np.bincount(slots, tokens > 0, SLOTS).astype(np.int64).tolist()}]
     for row in chunks:
         found = [totals[word] for word in expand_words(row["words"])]
-        out.append({"chunk": row["chunk"], "bucket": bucket, "counts": squeeze(np.array(found, np.uint64))})
+        out.append({"chunk": row["chunk"], "bucket": bucket, "tally": row["tally"],
+                    "counts": squeeze(np.array(found, np.uint64))})
     return pa.Table.from_pylist(out, schema=_ARROW_COUNTS)
 
 
@@ -221,7 +227,7 @@ def _trainer(start):
         for batch in batches:
             for row in batch.to_pylist():
                 lengths, training = expand(row["lengths"]), np.frombuffer(row["flags"], np.bool_)
-                history = _History(expand(row["hashes"])[expand(row["numbers"])], lengths)
+                history = _History(expand(row["hashes"])[expand_ranks(row["numbers"])], lengths)
                 chosen = np.flatnonzero(np.repeat(training, lengths))
                 model.learn(history, chosen, seen, squares)
         for at in range(0, _ROWS, BLOCK_ROWS):
@@ -251,13 +257,15 @@ def _average(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _scorer(shared):
     def score(chunks: pa.Table, word_counts: pa.Table) -> pa.Table:
         model = shared.value
-        found = sorted(word_counts.select(["bucket", "counts"]).to_pylist(), key=lambda row: row["bucket"])
+        found = sorted(word_counts.select(["bucket", "tally", "counts"]).to_pylist(), key=lambda row: row["bucket"])
         counts = np.concatenate([np.zeros(0, np.int64), *(expand(row["counts"]).astype(np.int64) for row in found)])
+        counts = counts[rank_order(row["tally"] for row in found)]
+        hashes = [np.zeros(0, np.uint32), *(expand(packed.as_py()) for packed in chunks.column("hashes"))]
         base = np.log10(counts + 1.0)
-        in_slot = base - np.log10(model.slot_tokens + model.slot_words + 1.0)[_slots(chunks)]
+        in_slot = base - np.log10(model.slot_tokens + model.slot_words + 1.0)[_slots(np.concatenate(hashes))]
         parts = []
         for row in chunks.to_pylist():
-            lengths, numbers = expand(row["lengths"]), expand(row["numbers"])
+            lengths, numbers = expand(row["lengths"]), expand_ranks(row["numbers"])
             history = _History(expand(row["hashes"])[numbers], lengths)
             scores = in_slot[numbers]
             for at in range(0, len(numbers), STEP_TOKENS):
@@ -275,11 +283,6 @@ def _scorer(shared):
     return score
 
 
-def _slots(chunks: pa.Table) -> np.ndarray:
-    hashes = [expand(packed.as_py()) for packed in chunks.column("hashes")]
-    return np.concatenate([np.zeros(0, np.uint32), *hashes]) >> np.uint32(22)
-
-
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every whole text of `documents`; a seventh of the ids is held out of training."""
     is_training = F.pmod(crc_of_id(F.col("doc_id")), F.lit(7)) != 2
