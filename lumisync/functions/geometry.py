@@ -9,17 +9,10 @@ SIZE = 224  # fixed value: short side after the resize and side of the crop
 
 
 def resized(width: Column, height: Column, size: int = SIZE) -> tuple[Column, Column]:
-    """(width, height) once the short side is `size`, the long side rounded down."""
-    short, long = F.least(width, height), F.greatest(width, height)
-    new_long = F.floor(F.lit(float(size)) * long / short).cast("int")
-    portrait = width <= height
-    new_width = F.when(portrait, F.lit(size)).otherwise(new_long)
-    new_height = F.when(portrait, new_long).otherwise(F.lit(size))
-    untouched = short == size
-    return (
-        F.when(untouched, width).otherwise(new_width).cast("int"),
-        F.when(untouched, height).otherwise(new_height).cast("int"),
-    )
+    """(width, height) over the short side times `size`, rounded down."""
+    short = F.least(width, height)
+    scaled = [side.cast("long") * size for side in (width, height)]
+    return tuple(((side - side % short) / short).cast("int") for side in scaled)
 
 
 def crop_box(

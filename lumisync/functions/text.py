@@ -8,10 +8,7 @@ from pyspark.sql import functions as F
 # The two special tokens and the token pattern.
 BOS = "<|startoftext|>"
 EOS = "<|endoftext|>"
-TOKEN_PATTERN = (
-    r"<\|startoftext\|>|<\|endoftext\|>|'s|'t|'re|'ve|'m|'ll|'d"
-    r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-)
+TOKEN_PATTERN = r"<\|startoftext\|>|<\|endoftext\|>|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def normalize_text(text: Column) -> Column:

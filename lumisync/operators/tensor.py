@@ -96,11 +96,8 @@ def _channel_values(mean: tuple, std: tuple) -> np.ndarray:
 
 
 def _resized(height: int, width: int, size: int) -> tuple[int, int]:
-    short, long = min(height, width), max(height, width)
-    if short == size:
-        return height, width
-    scaled = int(size * long / short)
-    return (scaled, size) if width <= height else (size, scaled)
+    """Both sides over the short one times `size`, rounded down."""
+    return height * size // min(height, width), width * size // min(height, width)
 
 
 def _crop_span(n: int, crop: int) -> tuple[int, int]:

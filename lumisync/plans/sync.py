@@ -13,7 +13,7 @@ from ..operators.diff import DELETED, MODIFIED, NEW, UNCHANGED, classify
 from ..operators.embed import embed
 from ..operators.encoders import ColumnEncoder, Encoder
 from ..schemas import STORE
-from ..session import fresh_dir, scratch
+from ..session import fresh_dir, parallelism, scratch
 from ..sources.store import VectorStore
 
 ROWS_PER_EMBED_TASK = 20_000
@@ -112,7 +112,7 @@ def _embedded(diff: DataFrame, encoder, counts: dict, rows_per_task: int) -> Dat
     before the encoder, so the vectors go straight from it into the writer."""
     work = diff.where(F.col("status").isin(NEW, MODIFIED)).select("path", "mtime", "bucket")
     n_work = counts["new"] + counts["modified"]
-    tasks = max(1, math.ceil(n_work / rows_per_task))
+    tasks = max(1, min(n_work, 2 * parallelism(diff.sparkSession)), math.ceil(n_work / rows_per_task))
     spread = work.repartitionByRange(tasks, F.col("bucket"), F.xxhash64("path"))
     return embed(spread, "path", encoder).select(*STORE.names, "bucket")
 

@@ -21,12 +21,3 @@ LISTING = T.StructType([
     T.StructField("mtime", T.DoubleType()),
     T.StructField("is_dir", T.BooleanType()),
 ])
-
-MANIFEST = T.StructType([
-    T.StructField("version", T.LongType()),
-    T.StructField("commit", T.StringType()),
-    T.StructField("n_rows", T.LongType()),
-    T.StructField("n_buckets", T.IntegerType()),
-    T.StructField("dim", T.IntegerType()),
-    T.StructField("parts", T.MapType(T.IntegerType(), T.StringType())),
-])

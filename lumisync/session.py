@@ -33,22 +33,31 @@ def local_session(cpus: int | str = "*", app: str = "lumisync", **conf: str) ->
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    name_local_scratch(spark)
+    return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach.
+def name_local_scratch(spark: SparkSession) -> None:
+    """Name a folder for intermediate tables where a local session has none, as in tests.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local master, where driver
-    and executors share one machine, falls back to a new temporary folder.
+    Jobs never do this themselves: on a cluster the folder must be one that all executors reach.
     """
-    named = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return _qualified(spark, named)
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not _named_dir(spark) and context.master.startswith("local["):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lumisync-"))
+
+
+def _named_dir(spark: SparkSession) -> str | None:
+    return spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor can reach, named in ``spark.checkpoint.dir``."""
+    named = _named_dir(spark)
+    if not named:
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors can reach")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lumisync-"))
-    return _qualified(spark, spark.sparkContext.getCheckpointDir())
+    return _qualified(spark, named)
 
 
 def _qualified(spark: SparkSession, path: str) -> str:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyarrow import fs as pafs
+from pyspark.sql import SparkSession
 
 
 def is_uri(path: str) -> bool:
@@ -20,7 +23,10 @@ def strip_file_scheme(path: str) -> str:
 
 
 def list_folder(path: str) -> Iterator[tuple[str, str, bool, float]]:
-    """(path, name, is_folder, mtime) of the children. Links and vanished names are skipped."""
+    """(path, name, is_folder, mtime) of the children. Links and vanished names are skipped.
+
+    A local folder is streamed; of a remote one, the listing is held whole in the task.
+    """
     if not is_uri(path):
         yield from _list_local(path)
         return
@@ -41,7 +47,7 @@ def _list_local(path: str) -> Iterator[tuple[str, str, bool, float]]:
                     yield entry.path, entry.name, True, 0.0
                 elif entry.is_file(follow_symlinks=False):
                     yield entry.path, entry.name, False, entry.stat().st_mtime
-            except OSError:
+            except (PermissionError, FileNotFoundError):
                 continue
 
 
@@ -74,3 +80,40 @@ def is_folder(path: str) -> bool:
         return os.path.isdir(path)
     remote, inner = pafs.FileSystem.from_uri(path)
     return remote.get_file_info(inner).type == pafs.FileType.Directory
+
+
+def put_if_absent(spark: SparkSession, path: str, content: bytes) -> bool:
+    """Create a file with its whole content at once; False if the name is taken. Runs on the driver.
+
+    The content is written under another name first. On local disks a hard link then gives it its
+    name, elsewhere a rename that does not overwrite; either fails if the name exists.
+    """
+    local = strip_file_scheme(path)
+    if not is_uri(local):
+        draft = os.path.join(os.path.dirname(local), f".{uuid.uuid4().hex}")
+        write_bytes(draft, content)
+        try:
+            os.link(draft, local)
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            os.remove(draft)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    draft = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{uuid.uuid4().hex}")
+    files = target.getFileSystem(conf)
+    out = files.create(draft)
+    out.write(bytearray(content))
+    out.close()
+    try:
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), conf)
+        no_overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        context.rename(draft, target, no_overwrite)
+        return True
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" not in error.java_exception.getClass().getName():
+            raise
+        return False
+    finally:
+        files.delete(draft, False)

@@ -31,6 +31,9 @@ def scan_images(
 ) -> DataFrame:
     """(path, mtime) of every image file below `root`.
 
+    Folders that may not be read or vanish meanwhile are skipped. Any other error fails the
+    task, for an incomplete listing would pass the files it lacks for deleted ones.
+
     The tree is walked in rounds. A task walks its folders until it has seen
     `entries_per_task` names and hands back the folders it did not get to; the next
     round spreads those over the cluster. However lopsided the tree is, no subtree is
@@ -87,8 +90,8 @@ def _walker(recursive: bool, skipped: str | None, budget: int) -> Callable:
                             stack.append(path)
                     elif name.endswith(IMAGE_EXTENSIONS):
                         yield path, mtime, False
-            except OSError:
-                continue  # an unreadable folder is skipped, as a listing tool would
+            except (PermissionError, FileNotFoundError):
+                continue  # a closed or vanished folder is skipped, as a listing tool would
         for path in stack:
             yield path, None, True
 

@@ -1,21 +1,27 @@
-"""Versioned vector store: Parquet folders by key bucket plus a manifest table.
+"""Versioned vector store: Parquet folders by key bucket plus one manifest file per version.
 
-A version is one manifest row that names, per bucket, the folder holding its rows. A
-sync writes new folders only for buckets it touches and then appends one manifest row,
-so readers never see half a version and untouched buckets are never rewritten.
+A manifest names, per bucket, the folder holding its rows. A sync writes new folders only
+for buckets it touches and then puts the manifest of the next version in its place, which
+fails if that version exists: of two writers one wins, and the other has to sync again.
+Readers never see half a version, and untouched buckets are never rewritten.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import checked_vector
-from ..schemas import MANIFEST, SNAPSHOT, STORE
+from ..schemas import SNAPSHOT, STORE
+from .files import put_if_absent
+
+
+class VersionTaken(RuntimeError):
+    """Another writer published the version first."""
 
 
 class VectorStore:
@@ -26,21 +32,23 @@ class VectorStore:
 
     # -- versions ---------------------------------------------------------------
 
-    def _manifests(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest")
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" in str(error.getCondition()):
-                return None
-            raise
+    def versions(self) -> list[int]:
+        """The numbers of the versions that exist, ascending."""
+        names = (re.fullmatch(r"v(\d+)\.json", name) for name in self._names("manifest"))
+        return sorted(int(name[1]) for name in names if name)
+
+    def version(self, number: int) -> Row:
+        text = self.spark.read.text(self._manifest(number), wholetext=True).first().value
+        known = json.loads(text)
+        return Row(**known | {"parts": {int(b): folder for b, folder in known["parts"].items()}})
 
     def current(self) -> Row | None:
-        """The newest manifest row, or None before the first write."""
-        manifests = self._manifests()
-        if manifests is None:
-            return None
-        # Two writers may race for a number; the smaller commit id wins for everyone.
-        return manifests.orderBy(F.desc("version"), "commit").first()
+        """The newest version, or None before the first write."""
+        numbers = self.versions()
+        return self.version(numbers[-1]) if numbers else None
+
+    def _manifest(self, number: int) -> str:
+        return f"{self.root}/manifest/v{number:08d}.json"
 
     def bucket(self, path: Column, head: Row | None) -> Column:
         """The bucket of a path; the first version fixes their number."""
@@ -91,43 +99,32 @@ class VectorStore:
         return folder
 
     def publish(self, head: Row | None, dim: int, parts: dict[int, str], n_rows: int) -> Row:
-        """Append the manifest row that makes a version current."""
-        version = (head.version if head else 0) + 1
-        n_buckets = head.n_buckets if head else self._n_buckets
-        commit = uuid.uuid4().hex
-        named = F.from_json(F.lit(json.dumps(parts)), "map<string,string>")
-        values = (version, commit, n_rows, n_buckets, dim)
-        columns = [F.lit(v) for v in values] + [named]
-        row = self.spark.range(1).select(*[c.cast(f.dataType).alias(f.name) for c, f in zip(columns, MANIFEST)])
-        row.coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
-        now = self.current()
-        if now.commit != commit:
-            raise RuntimeError(f"another writer published version {version} first; sync again")
-        return now
+        """Make a version current, or raise `VersionTaken` if another writer made that version."""
+        number = (head.version if head else 0) + 1
+        row = Row(version=number, n_rows=n_rows, n_buckets=head.n_buckets if head else self._n_buckets,
+                  dim=dim, parts=parts)
+        if not put_if_absent(self.spark, self._manifest(number), json.dumps(row.asDict()).encode()):
+            raise VersionTaken(f"another writer published version {number} first; sync again")
+        return row
 
     def vacuum(self, keep: int = 2) -> int:
         """Forget all but the newest `keep` versions and delete data folders that none of
         those names; returns how many. Run it from the one job that writes the store."""
-        manifests = self._manifests()
-        if manifests is None:
-            return 0
-        kept = manifests.orderBy(F.desc("version"), "commit").limit(keep).collect()
-        oldest = min(row.version for row in kept)
-        outdated = (manifests.where(F.col("version") < oldest)
-                    .select("_metadata.file_path").distinct().toLocalIterator())
-        for row in outdated:
-            self._delete(self.spark._jvm.java.net.URI(row.file_path))  # percent-encoded
+        numbers = self.versions()
+        kept = [self.version(number) for number in numbers[-keep:]]
+        for number in numbers[:-keep]:
+            self._delete(self._manifest(number))
         live = {"/".join(f.split("/")[:2]) for row in kept for f in row.parts.values()}
-        dead = [folder for folder in self._data_folders() if f"data/{folder}" not in live]
+        dead = [folder for folder in self._names("data") if f"data/{folder}" not in live] if kept else []
         for folder in dead:
             self._delete(f"{self.root}/data/{folder}")
         return len(dead)
 
-    def _data_folders(self) -> list[str]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/data")
+    def _names(self, folder: str) -> list[str]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}")
         files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         return [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
 
-    def _delete(self, name) -> None:
+    def _delete(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,8 +2,10 @@
 
 import os
 import pathlib
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,11 +13,12 @@ from lumisync.operators import diff as D
 from lumisync.operators.encoders import ColumnEncoder, GridImageEncoder
 from lumisync.operators.search import search
 from lumisync.operators.tensor import TensorSpec
-from lumisync.plans.sync import stats_frame, sync
+from lumisync.plans.sync import _embedded, stats_frame, sync
 from lumisync.plans.fixtures import encode_png
 from lumisync.session import shared_dir
+from lumisync.sources import scan
 from lumisync.sources.scan import scan_images
-from lumisync.sources.store import VectorStore
+from lumisync.sources.store import VectorStore, VersionTaken
 from lumisync.streaming.refresh import run_cycles, start_refresh
 
 ENCODER = GridImageEncoder(2, TensorSpec(size=8, crop=8))
@@ -214,19 +217,56 @@ def test_vacuum_keeps_what_the_newest_versions_name(spark, store):
     for i in range(4):
         sync(store, snapshot(spark, [(f"/r/{k}", float(i)) for k in range(40)]), LENGTH)
     assert store.vacuum(keep=2) == 2
-    assert sorted(r.version for r in store._manifests().collect()) == [3, 4]
+    assert store.versions() == [3, 4]
     assert store.vacuum(keep=2) == 0
     assert store.read().where("mtime = 3").count() == 40
 
 
 def test_two_writers_of_one_version(spark, store):
     sync(store, snapshot(spark, [("/r/a", 1.0)]), LENGTH)
-    head = store.current()
-    store.publish(head, 2, dict(head.parts), 1)
-    with pytest.raises(RuntimeError, match="another writer"):
-        for _ in range(64):  # the loser is decided by chance; one of many must lose
-            store.publish(head, 2, dict(head.parts), 1)
-    assert store.current().version == head.version + 1
+
+    def publish(writer):
+        try:
+            return store.publish(head, 2, dict(head.parts), writer)
+        except VersionTaken:
+            return None
+
+    for _ in range(50):
+        head = store.current()
+        with ThreadPoolExecutor(4) as writers:
+            won = [row for row in writers.map(publish, range(4)) if row]
+        assert len(won) == 1
+        assert store.current() == won[0]
+    assert not [name for name in store._names("manifest") if name.startswith(".")]
+
+
+def test_a_failing_listing_fails_the_scan(monkeypatch):
+    def away(path):
+        yield f"{path}/a.png", "a.png", False, 1.0
+        raise ConnectionError("reset")
+
+    monkeypatch.setattr(scan, "list_folder", away)
+    batch = pa.record_batch({"path": ["/r"]})
+    with pytest.raises(ConnectionError):
+        list(scan._walker(True, None, 10)([batch]))
+    monkeypatch.setattr(scan, "list_folder", lambda path: (_ for _ in ()).throw(PermissionError(path)))
+    assert list(scan._walker(True, None, 10)([batch])) == []
+
+
+def test_a_failing_source_leaves_the_store_alone(spark, store):
+    sync(store, snapshot(spark, [("/r/a", 1.0)]), LENGTH)
+    broken = snapshot(spark, [("/r/b", 1.0)]).where(F.raise_error(F.lit("away")).isNull())
+    with pytest.raises(Exception, match="away"):
+        sync(store, broken, LENGTH)
+    assert store.versions() == [1]
+    assert [r.path for r in store.read().collect()] == ["/r/a"]
+
+
+def test_embedding_uses_every_core(spark, store):
+    rows = snapshot(spark, [(f"/r/{i}", 1.0) for i in range(2000)])
+    diff = D.classify(rows, rows.limit(0)).withColumn("bucket", F.lit(0))
+    work = _embedded(diff, LENGTH, {"new": 2000, "modified": 0}, 20_000)
+    assert work.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
 def test_write_replaces_everything(spark, store):
