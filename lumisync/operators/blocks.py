@@ -1,13 +1,12 @@
-"""Every row of one table against every row of another, in bounded blocks.
+"""Every row of one table against every row of another of the same batch, in bounded blocks.
 
-Both sides are hashed into groups small enough to hold as matrices. A task gets one
-group of each side and returns a reduction of the block (a partial top-k, partial row
-and column sums), so no pair is ever written out and no side is held whole anywhere.
+A batch is hashed into groups small enough to hold as matrices; most batches are one group.
+A task gets one group of each side and returns a reduction of the block (partial row and
+column sums), so no pair is ever written out and no large batch is held whole anywhere.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
@@ -27,25 +26,30 @@ def block_reduce(
     reduce: Callable[[pa.Table, pa.Table], pa.Table],
     schema: str,
     rows_per_block: int = ROWS_PER_BLOCK,
+    batch: str = "batch",
 ) -> DataFrame:
-    """Apply `reduce(left_block, right_block)` to every pair of blocks.
+    """Apply `reduce(left_block, right_block)` to every pair of blocks of a batch.
 
-    `key` names the unique key column on both sides. The group of a row depends only on
-    its key, so a recomputed task sees the same blocks.
+    `key` names the unique key column on both sides, `batch` the column that holds together the
+    rows that meet. The work is rows times batch size: a row is copied only where the other side
+    of its batch exceeds one block. The group of a row depends on its key and the sizes of its
+    batch alone, so a recomputed task sees the same blocks.
     """
-    n_left = max(1, math.ceil(left.count() / rows_per_block))
-    n_right = max(1, math.ceil(right.count() / rows_per_block))
+    def sizes(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy(batch).agg(F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias(name))
 
-    def grouped(side: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        group = F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int")
-        copies = F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
+    blocks = sizes(left, "n_left").join(sizes(right, "n_right"), batch)
+
+    def grouped(side: DataFrame, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
+        group = F.pmod(F.xxhash64(key), F.col(n_own)).cast("int")
+        copies = F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))
         # Fresh aliases: both sides may come from one table and must not share columns.
         columns = [F.col(c).alias(c) for c in side.columns]
-        return side.select(*columns, group.alias(own), copies.alias(other))
+        return side.join(blocks, batch).select(*columns, group.alias(own), copies.alias(other))
 
     ship_package(left.sparkSession)
-    a = grouped(left, "bi", n_left, "bj", n_right).groupBy("bi", "bj")
-    b = grouped(right, "bj", n_right, "bi", n_left).groupBy("bi", "bj")
+    a = grouped(left, "bi", "n_left", "bj", "n_right").groupBy(batch, "bi", "bj")
+    b = grouped(right, "bj", "n_right", "bi", "n_left").groupBy(batch, "bi", "bj")
     return a.cogroup(b).applyInArrow(reduce, schema)
 
 

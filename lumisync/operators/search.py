@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import ZERO_TOLERANCE, dot, is_match, is_zero, norm, vector_literal
-from ..session import map_arrow, parallelism
-from .blocks import ROWS_PER_BLOCK, block_reduce, to_matrix
+from ..session import fresh_dir, map_arrow, parallelism
+from .blocks import to_matrix
 
-# Queries whose vectors fit here are broadcast; more are matched block by block.
-BROADCAST_BYTES = 32 << 20
+# So many bytes of queries, and so many results of theirs, does a task hold at a time; more
+# queries are worked off in blocks, each by one pass over the store.
+BLOCK_BYTES = 32 << 20
+BLOCK_RESULTS = 2_000_000
 SCORES_PER_STEP = 4_000_000
 ARROW_MAX_LIMIT = 100_000
 # Every task hands on its best rows per query, so very many small splits are read by fewer
@@ -45,14 +47,16 @@ def search(store: DataFrame, query: Sequence[float], limit: int = 10, key: str =
            vector: str = "vector", use_arrow: bool | None = None) -> DataFrame:
     """The `limit` best rows: (key, score, total_images).
 
-    Zero vectors mark failed inputs and never match; only positive scores count; ties go
-    to the smaller key. `total_images` counts the whole store, failed rows included.
+    Zero vectors mark failed inputs and never match, nor do NULL vectors or scores that are
+    no numbers; the test is on stored rows only, so a tiny query matches. Only positive scores
+    count; ties go to the smaller key; a vector of another length is an error. Both ways of
+    scoring follow these rules. `total_images` counts the whole store, failed rows included.
     """
     if limit < 0:
         raise ValueError("limit must not be negative")
     if use_arrow is None:
         use_arrow = limit <= ARROW_MAX_LIMIT
-    rows = _in_fewer_tasks(store.select(key, vector))
+    rows = _in_fewer_tasks(store.select(key, vector).where(F.col(vector).isNotNull()))
     if use_arrow and 0 < limit <= ARROW_MAX_LIMIT:
         schema = rows.select(key).schema.add("score", "double")
         candidates = map_arrow(rows, _topk_task(np.array(query, np.float64), limit, key), schema)
@@ -115,12 +119,13 @@ class _QueryBlock:
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
         self.norms = _lengths(vectors)
-        self.unit = _unit32(vectors, self.norms)
+        with np.errstate(invalid="ignore"):
+            self.unit = (vectors / self.norms[:, None]).astype(np.float32)  # NaN without a length
         # Bound on the rounding error of a float32 dot product of unit vectors.
         self.slack = (vectors.shape[1] + 8) * 2.4e-7
 
     def rough(self, rows: np.ndarray, row_norms: np.ndarray) -> np.ndarray:
-        """[queries, rows] cosines in float32; NaN where a side is a failed (zero) vector."""
+        """[queries, rows] cosines in float32; NaN for failed (zero) rows and queries without length."""
         return self.unit @ _unit32(rows, row_norms).T
 
     def exact(self, rows: np.ndarray, row_norms: np.ndarray, row: np.ndarray,
@@ -179,42 +184,46 @@ def _unit32(vectors: np.ndarray, norms: np.ndarray) -> np.ndarray:
 
 def batch_search(store: DataFrame, queries: DataFrame, limit: int = 10, key: str = "path",
                  vector: str = "vector", query_key: str = "query_id",
-                 broadcast_bytes: int = BROADCAST_BYTES,
-                 rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+                 block_bytes: int = BLOCK_BYTES, block_results: int = BLOCK_RESULTS) -> DataFrame:
     """The `limit` best rows for each query: (query_key, rank, key, score).
 
-    `queries` is (query_key, query_vec) with unique keys. Their size is measured first:
-    up to `broadcast_bytes` they go to every task and the store is read once without a
-    shuffle; beyond that both sides are matched block by block.
+    `queries` is (query_key, query_vec) with unique keys; NULL vectors find nothing. They are
+    written first, so that an encoder behind them runs once, and dealt by hash into blocks of at
+    most about `block_bytes` of vectors and `block_results` results. Each block goes to every
+    task, which reads its part of the store once: the store is never shuffled or copied. With
+    more than one block, write a store that comes from an encoder first.
     """
     if limit < 1:
         raise ValueError("limit must be at least 1")
-    rows = store.select(F.col(key).alias("__key"), F.col(vector).alias("__vec"))
-    asked = queries.select(F.col(query_key).alias("__qid"), F.col("query_vec").alias("__qvec"))
-    id_schema = asked.select("__qid").schema
-    schema = rows.select("__key").schema
+    spark = store.sparkSession
+    rows = store.select(F.col(key).alias("__key"), F.col(vector).alias("__vec")).where("__vec is not null")
+    asked = _written(queries.select(F.col(query_key).alias("__qid"), F.col("query_vec").alias("__qvec"))
+                     .where("__qvec is not null"))
     size = asked.agg(F.count("*").alias("n"), F.max(F.size("__qvec")).alias("dim"),
                      F.sum(F.octet_length(F.col("__qid").cast("string"))).alias("ids")).first()
+    out = rows.select("__key").schema.add("score", "double").add("__qid", asked.schema["__qid"].dataType)
 
-    if size.n == 0 or size.n * size.dim * 8 + size.ids <= broadcast_bytes:
-        spark = store.sparkSession
-        collected = asked.toArrow()
+    blocks = max(1, math.ceil((size.n * (size.dim or 0) * 8 + (size.ids or 0)) / block_bytes),
+                 math.ceil(size.n * limit / block_results))
+    candidates = None
+    for block in range(blocks):
+        chosen = asked.where(F.pmod(F.xxhash64("__qid"), F.lit(blocks)) == block).toArrow()
         shared = spark.sparkContext.broadcast(
-            (collected.column("__qid").combine_chunks(), to_matrix(collected.column("__qvec"), size.dim)))
-        out = schema.add("score", "double").add("__qid", id_schema[0].dataType)
-        candidates = map_arrow(_in_fewer_tasks(rows), _many_topk_task(shared, limit), out)
-    else:
-        out = f"__key {schema[0].dataType.simpleString()}, score double, " \
-              f"__qid {id_schema[0].dataType.simpleString()}"
-        left = asked.withColumnRenamed("__qid", "__id")
-        right = rows.withColumnRenamed("__key", "__id")
-        candidates = block_reduce(left, right, "__id", _block_topk(limit), out, rows_per_block)
+            (chosen.column("__qid").combine_chunks(), to_matrix(chosen.column("__qvec"), size.dim)))
+        found = map_arrow(_in_fewer_tasks(rows), _many_topk_task(shared, limit), out)
+        candidates = found if candidates is None else candidates.union(found)
 
     order = Window.partitionBy("__qid").orderBy(F.desc("score"), F.asc("__key"))
     ranked = candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     return ranked.select(F.col("__qid").alias(query_key), "rank", F.col("__key").alias(key), "score")
 
 
+def _written(rows: DataFrame) -> DataFrame:
+    target = fresh_dir(rows.sparkSession, "queries")
+    rows.write.parquet(target)
+    return rows.sparkSession.read.schema(rows.schema).parquet(target)
+
+
 class _RunningTopK:
     """The best rows per query seen so far in one task."""
 
@@ -284,20 +293,3 @@ def _many_topk_task(shared, limit: int):
             yield from result.combine_chunks().to_batches()
 
     return run
-
-
-def _block_topk(limit: int):
-    def reduce(asked: pa.Table, rows: pa.Table) -> pa.Table:
-        query_ids = asked.column("__id").combine_chunks()
-        keys = rows.column("__id").combine_chunks()
-        top = _RunningTopK(len(query_ids), limit)
-        if len(query_ids) and len(keys):
-            queries = to_matrix(asked.column("__qvec"))
-            top.add(keys, to_matrix(rows.column("__vec"), queries.shape[1]), _QueryBlock(queries))
-        result = top.result(query_ids)
-        if result is None:
-            empty = pa.array([], pa.float64())
-            result = pa.table({"__key": keys.slice(0, 0), "score": empty, "__qid": query_ids.slice(0, 0)})
-        return result
-
-    return reduce

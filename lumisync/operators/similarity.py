@@ -1,4 +1,4 @@
-"""The scaled similarity matrix of two embedding tables and the contrastive loss on it."""
+"""The scaled similarity matrix of batches of two embedding tables and the contrastive loss on it."""
 
 from __future__ import annotations
 
@@ -18,16 +18,16 @@ _PARTIAL = "side string, id {key}, n bigint, total double, low double, high doub
 
 def similarity_summary(texts: DataFrame, images: DataFrame, logit_scale: float = 0.0,
                        rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Row and column statistics of `texts @ images.T * exp(logit_scale)`.
+    """Row and column statistics of `texts @ images.T * exp(logit_scale)` of each batch.
 
-    Both inputs are (id, vector). The matrix has |texts| x |images| entries and exists
-    only block by block inside tasks; what leaves a block is one partial per row and
+    Both inputs are (batch, id, vector); only rows of one batch meet. The matrix of a batch
+    exists only block by block inside tasks; what leaves a block is one partial per row and
     column: (side, id, n, mean, low, high, logsumexp), side "text" or "image".
     """
     key = texts.schema["id"].dataType.simpleString()
     partial = block_reduce(
-        texts.select("id", F.col("vector").alias("vec")),
-        images.select("id", F.col("vector").alias("vec")),
+        texts.select("batch", "id", F.col("vector").alias("vec")),
+        images.select("batch", "id", F.col("vector").alias("vec")),
         "id", _block_statistics(math.exp(logit_scale), ENTRIES_PER_STEP), _PARTIAL.format(key=key), rows_per_block,
     )
     # exp() is taken relative to the largest entry of the whole row or column. The window
@@ -91,17 +91,17 @@ class _Statistics:
 
 def contrastive_loss(pairs: DataFrame, logit_scale: float = 0.0,
                      rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Symmetric cross-entropy of matching pairs against everything else: one row, `loss`.
+    """Symmetric cross-entropy of matching pairs against the rest of their batch: (batch, loss).
 
-    `pairs` is (id, text, image) with one vector of each kind; both are scaled to unit
-    length first. The loss is the mean over rows and over columns of
+    `pairs` is (batch, id, text, image) with one vector of each kind; both are scaled to unit
+    length first. A batch's loss is the mean over its rows and over its columns of
     logsumexp - diagonal, halved.
     """
-    unit = pairs.select("id", normalize(F.col("text")).alias("text"), normalize(F.col("image")).alias("image"))
+    unit = pairs.select("batch", "id", normalize(F.col("text")).alias("text"), normalize(F.col("image")).alias("image"))
     summary = similarity_summary(
-        unit.select("id", F.col("text").alias("vector")),
-        unit.select("id", F.col("image").alias("vector")),
+        unit.select("batch", "id", F.col("text").alias("vector")),
+        unit.select("batch", "id", F.col("image").alias("vector")),
         logit_scale, rows_per_block,
     )
-    diagonal = unit.select("id", (dot(F.col("text"), F.col("image")) * math.exp(logit_scale)).alias("own"))
-    return summary.join(diagonal, "id").agg(F.avg(F.col("logsumexp") - F.col("own")).alias("loss"))
+    diagonal = unit.select("batch", "id", (dot(F.col("text"), F.col("image")) * math.exp(logit_scale)).alias("own"))
+    return summary.join(diagonal, "id").groupBy("batch").agg(F.avg(F.col("logsumexp") - F.col("own")).alias("loss"))

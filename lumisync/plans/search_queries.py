@@ -16,6 +16,7 @@ from .text_sql import hashed_vectors
 
 LOGIT_SCALE = 2.0
 TEXT_DIM = 64
+BATCH = 128  # vectors that are contrasted with each other
 
 
 def _emb() -> Column:
@@ -34,7 +35,7 @@ def _embeddings(spark: SparkSession, sf: str) -> DataFrame:
 def _store(spark: SparkSession, sf: str) -> DataFrame:
     """Every vector, and a failed (zero) row for each."""
     rows = _embeddings(spark, sf)
-    failed = rows.select((F.col("vec_id") + 1_000_000_000).alias("vec_id"),
+    failed = rows.select((-1 - F.col("vec_id")).alias("vec_id"),
                          F.transform("embedding", lambda x: F.lit(0.0).cast("float")).alias("embedding"))
     return rows.unionByName(failed)
 
@@ -57,6 +58,18 @@ def vector_topk_native(spark, sf):
     return best.select("vec_id", _r6("score"), "total_images")
 
 
+def _tiny(spark, sf):
+    """A query whose entries would pass the test for failed rows, which is not made on queries."""
+    return [x * 1e-9 for x in _query(spark, sf)]
+
+
+def vector_topk_tiny_query(spark, sf):
+    """One rule for both ways of scoring."""
+    both = [S.search(_store(spark, sf), _tiny(spark, sf), 10, "vec_id", "embedding", use_arrow=how)
+            .select(F.lit(how).alias("in_arrow"), "vec_id", _r6("score"), "total_images") for how in (True, False)]
+    return both[0].union(both[1])
+
+
 def vector_topk_rounded(spark, sf):
     return S.search_rounded(_store(spark, sf), _query(spark, sf), 5, "vec_id", "embedding")
 
@@ -81,7 +94,7 @@ def batch_topk(spark, sf):
 
 
 def batch_topk_blocks(spark, sf):
-    best = S.batch_search(_store(spark, sf), _asked(spark, sf), 5, "vec_id", "embedding", broadcast_bytes=0)
+    best = S.batch_search(_store(spark, sf), _asked(spark, sf), 5, "vec_id", "embedding", block_bytes=64 << 10)
     return best.select("query_id", "rank", "vec_id", _r6("score"))
 
 
@@ -136,23 +149,28 @@ def first_n(spark, sf):
     return files(spark, sf).select("path").orderBy("path").limit(225)
 
 
+def _batch() -> Column:
+    return F.floor(F.col("vec_id") / BATCH).alias("batch")
+
+
 def similarity_matrix(spark, sf):
     rows = _embeddings(spark, sf)
     summary = similarity_summary(
-        rows.select(F.col("vec_id").alias("id"), _emb().alias("vector")),
-        rows.select(F.col("vec_id").alias("id"), _rev().alias("vector")), LOGIT_SCALE)
+        rows.select(_batch(), F.col("vec_id").alias("id"), _emb().alias("vector")),
+        rows.select(_batch(), F.col("vec_id").alias("id"), _rev().alias("vector")), LOGIT_SCALE)
     return summary.select("side", "id", "n", *[_r6(c) for c in ("mean", "low", "high", "logsumexp")])
 
 
 def contrastive(spark, sf):
     pairs = _embeddings(spark, sf).select(
-        F.col("vec_id").alias("id"), _emb().alias("text"), _rev().alias("image"))
-    return contrastive_loss(pairs, LOGIT_SCALE).select(_r6("loss"))
+        _batch(), F.col("vec_id").alias("id"), _emb().alias("text"), _rev().alias("image"))
+    return contrastive_loss(pairs, LOGIT_SCALE).select("batch", _r6("loss"))
 
 
 QUERIES = {
     "vector_topk": vector_topk,
     "vector_topk_native": vector_topk_native,
+    "vector_topk_tiny_query": vector_topk_tiny_query,
     "vector_topk_rounded": vector_topk_rounded,
     "ranked_results": ranked_results,
     "full_ranking": full_ranking,
@@ -174,7 +192,7 @@ QUERIES = {
 _STORE_SQL = """
 e as (select vec_id, cast(embedding as double[]) as v from embeddings),
 store as (select vec_id, v from e
-    union all select vec_id + 1000000000, list_transform(v, lambda x: cast(0 as double)) from e)"""
+    union all select -1 - vec_id, list_transform(v, lambda x: cast(0 as double)) from e)"""
 
 _SCORED_SQL = f"""
 with {_STORE_SQL},
@@ -198,7 +216,7 @@ with {_STORE_SQL},
 ranked as (
   select a.vec_id as query_id, b.vec_id as vec_id,
     list_dot_product(b.v, a.v) / (sqrt(list_dot_product(b.v, b.v)) * sqrt(list_dot_product(a.v, a.v))) as score
-  from e a, store b where b.vec_id < 1000000000),
+  from e a, store b where b.vec_id >= 0),
 best as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank
   from ranked where score > 0)
 select query_id, cast(rank as integer) as rank, vec_id, round(score, 6) as score from best where rank <= 5"""
@@ -206,7 +224,7 @@ select query_id, cast(rank as integer) as rank, vec_id, round(score, 6) as score
 _LOGITS_SQL = f"""
 with e as (select vec_id as id, cast(embedding as double[]) as v from embeddings),
 l as (select a.id as t, b.id as i, list_dot_product(a.v, list_reverse(b.v)) * exp(cast({LOGIT_SCALE} as double)) as z
-  from e a, e b),
+  from e a join e b on a.id // {BATCH} = b.id // {BATCH}),
 sides as (select 'text' as side, t as id, z from l union all select 'image', i, z from l),
 peaks as (select side, id, max(z) as peak from sides group by side, id),
 summary as (select side, id, count(*) as n, avg(z) as mean, min(z) as low, max(z) as high,
@@ -216,6 +234,8 @@ summary as (select side, id, count(*) as n, avg(z) as mean, min(z) as low, max(z
 ORACLES = {
     "vector_topk": _TOPK_SQL,
     "vector_topk_native": _TOPK_SQL,
+    "vector_topk_tiny_query": f"""with best as ({_TOPK_SQL})
+select in_arrow, vec_id, score, total_images from best, (values (true), (false)) t(in_arrow)""",
     "vector_topk_rounded": f"""{_SCORED_SQL}
 select vec_id, round(score, 3) as score from scored where score > 0
 order by scored.score desc, vec_id limit 5""",
@@ -261,5 +281,6 @@ select vec_id, cast(len(v) as bigint) as n, {_zero('list_sum(cast(v as double[])
 select side, id, n, {_zero('mean')} as mean, {_zero('low')} as low, {_zero('high')} as high,
   {_zero('logsumexp')} as logsumexp from summary""",
     "contrastive_loss": f"""{_LOGITS_SQL}
-select round(avg(s.logsumexp - l.z), 6) as loss from summary s join l on l.t = s.id and l.i = s.id""",
+select s.id // {BATCH} as batch, round(avg(s.logsumexp - l.z), 6) as loss
+from summary s join l on l.t = s.id and l.i = s.id group by all""",
 }

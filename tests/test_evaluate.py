@@ -10,9 +10,9 @@ from lumisync.operators.probe import INVERSE_STRENGTH, accuracy, fit_probe, pred
 from lumisync.operators.similarity import contrastive_loss, similarity_summary
 
 
-def vectors(spark, matrix, name="vector"):
-    return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(matrix)],
-                                 f"id long, {name} array<double>")
+def vectors(spark, matrix, name="vector", batch=0):
+    return spark.createDataFrame([(batch, 100 * batch + i, [float(x) for x in v]) for i, v in enumerate(matrix)],
+                                 f"batch long, id long, {name} array<double>")
 
 
 @pytest.mark.parametrize("rows_per_block", [4, 1000])
@@ -23,8 +23,10 @@ def test_similarity_summary(spark, monkeypatch, rows_per_block, scale):
     t, i = rng.normal(size=(11, 5)), rng.normal(size=(7, 5))
     logits = t @ i.T * np.exp(scale)
     got = {(r.side, r.id): r for r in similarity_summary(
-        vectors(spark, t), vectors(spark, i), scale, rows_per_block).collect()}
-    assert len(got) == 18
+        vectors(spark, t).union(vectors(spark, t[:3], batch=1)),
+        vectors(spark, i).union(vectors(spark, i[:2], batch=1)), scale, rows_per_block).collect()}
+    assert len(got) == 18 + 5
+    assert {(k, r.n) for (side, k), r in got.items() if k >= 100 and side == "text"} == {(100, 2), (101, 2), (102, 2)}
     for side, matrix in (("text", logits), ("image", logits.T)):
         for k, row in enumerate(matrix):
             r = got[side, k]
@@ -38,7 +40,7 @@ def test_similarity_summary(spark, monkeypatch, rows_per_block, scale):
 def test_contrastive_loss(spark, rows_per_block):
     rng = np.random.default_rng(3)
     t, i = rng.normal(size=(10, 6)), rng.normal(size=(10, 6))
-    pairs = vectors(spark, t, "text").join(vectors(spark, i, "image"), "id")
+    pairs = vectors(spark, t, "text").join(vectors(spark, i, "image"), ["batch", "id"])
     t, i = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (t, i))
     logits = t @ i.T * 100
 

@@ -82,7 +82,7 @@ def test_topk_is_the_head_of_the_full_ranking(spark):
     assert [r.path for r in S.search(rows, query, 8).collect()] == head
 
 
-@pytest.mark.parametrize("how", [{}, {"broadcast_bytes": 0, "rows_per_block": 16}, {"broadcast_bytes": 0}])
+@pytest.mark.parametrize("how", [{}, {"block_bytes": 600}, {"block_results": 1000}])
 @pytest.mark.parametrize("limit", [1, 5, 45, 500])
 def test_batch_search_equals_brute_force(spark, monkeypatch, how, limit):
     vectors = random_vectors(120, seed=3)
@@ -136,3 +136,25 @@ def test_plans_do_not_shuffle_vectors(spark, sf):
     queries = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
     plan = S.batch_search(rows, queries, 3, "vec_id", "embedding")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.count("WindowGroupLimit") == 2
+    plan = S.batch_search(rows, queries, 3, "vec_id", "embedding", block_bytes=40_000)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan and plan.count("MapInArrow") > 2
+
+
+@pytest.mark.parametrize("arrow", [True, False])
+def test_one_rule_for_both_ways(spark, arrow):
+    rows = spark.createDataFrame([
+        ("whole", [1.0, 0.0]), ("null", None), ("zero", [0.0, 0.0]), ("tiny", [1e-9, 0.0]), ("nan", [float("nan"), 1.0]),
+        ("small", [1e-6, 0.0])], SCHEMA)
+
+    def found(query):
+        return [(r.path, r.total_images) for r in S.search(rows, query, use_arrow=arrow).collect()]
+
+    assert found([1.0, 0.0]) == [("small", 6), ("whole", 6)]
+    assert found([1e-9, 0.0]) == [("small", 6), ("whole", 6)]
+    assert found([0.0, 0.0]) == []
+
+
+def test_batch_search_follows_the_rule(spark):
+    rows = spark.createDataFrame([("whole", [1.0, 0.0]), ("null", None), ("zero", [0.0, 0.0])], SCHEMA)
+    queries = spark.createDataFrame([(0, [1e-9, 0.0]), (1, None), (2, [0.0, 0.0])], "query_id long, query_vec array<float>")
+    assert [(r.query_id, r.path) for r in S.batch_search(rows, queries).collect()] == [(0, "whole")]
