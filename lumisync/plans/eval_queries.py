@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import runs as R
 from ..operators.diff import throughput as per_second
-from ..operators.probe import accuracy, fit_probe, predict
+from ..operators.probe import accuracy, fit_probe, optimality, predict
 from ..session import fresh_dir
 from .fixtures import table
 
@@ -60,12 +60,23 @@ def probe_accuracy(spark, sf):
         F.round(accuracy(F.col("toxic"), F.col("quality")), 6).alias("accuracy"))
 
 
+HELD_OUT = "vec_id % 5 = 0"
+
+
 def linear_probe(spark, sf):
     """Predicted labels of the held-out fifth, from a probe fitted on the rest."""
     rows = table(spark, sf, "embeddings")
-    held_out = F.pmod(F.xxhash64("vec_id"), F.lit(5)) == 0
-    model = fit_probe(rows.where(~held_out), "embedding", "label")
-    return predict(model, rows.where(held_out), "embedding").select("vec_id", "label", "prediction")
+    model = fit_probe(rows.where(f"not {HELD_OUT}"), "embedding", "label")
+    return predict(model, rows.where(HELD_OUT), "embedding").select("vec_id", "label", "prediction")
+
+
+def probe_optimality(spark, sf):
+    """How many rows of each label the probe learns from, and whether its weights for the label
+    are the optimum: there the gradient of the penalised loss vanishes, and only there."""
+    train = table(spark, sf, "embeddings").where(f"not {HELD_OUT}")
+    model = fit_probe(train, "embedding", "label")
+    return optimality(model, train, "embedding", "label").select(
+        F.col("label").cast("int").alias("label"), "n", (F.col("steepest") < 1e-3).alias("optimal"))
 
 
 QUERIES = {
@@ -77,6 +88,7 @@ QUERIES = {
     "throughput": throughput,
     "probe_accuracy": probe_accuracy,
     "linear_probe": linear_probe,
+    "probe_optimality": probe_optimality,
 }
 
 _COLUMNS = ", ".join(f"{c} as {run}" for run, c in MEASURES.items())
@@ -104,6 +116,8 @@ select images, {_pivot([*RUNS, 'run_8'])} from m group by images""",
 select images, round(avg(seconds), 4) as mean, round(stddev_pop(seconds), 4) as std from l group by images""",
     "throughput": """select l_orderkey, l_linenumber,
   case when l_discount <> 0 then round(l_quantity / l_discount, 4) end as per_second from lineitem""",
+    "probe_optimality": f"""select label, count(*) as n, true as optimal from embeddings
+where not {HELD_OUT} group by label""",
     "probe_accuracy": """select round(avg(case when toxic = quality then 1.0 else 0.0 end) * 100, 6) as accuracy
 from labels""",
 }

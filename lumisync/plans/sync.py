@@ -28,6 +28,7 @@ class SyncStats:
     deleted: int
     unchanged: int
     total: int
+    failed: int  # new and modified rows that could not be embedded
     elapsed: float
 
 
@@ -56,7 +57,7 @@ def _sync(store: VectorStore, current: DataFrame, encoder: Encoder | ColumnEncod
     diff = _written_diff(store, current, head)
     counts = _counts(diff)
     stats = SyncStats(counts["new"], counts["modified"], counts["deleted"],
-                      counts["unchanged"], counts["total"], 0.0)
+                      counts["unchanged"], counts["total"], 0, 0.0)
     if not (stats.new or stats.modified or stats.deleted):
         return stats
     if stats.unchanged and head.dim != encoder.dim:
@@ -71,13 +72,19 @@ def _sync(store: VectorStore, current: DataFrame, encoder: Encoder | ColumnEncod
 
     parts = {b: f for b, f in old_parts.items() if b not in touched}
     parts |= {b: f"{folder}/bucket={b}" for b in touched & set(counts["filled"])}
+    stats.failed = _failed(store, folder, diff)
     store.publish(head, encoder.dim, parts, stats.total)
     stats.elapsed = time.perf_counter() - started
     return stats
 
 
+def _failed(store: VectorStore, folder: str, diff: DataFrame) -> int:
+    staged = store.spark.read.schema(STORE).parquet(f"{store.root}/{folder}").where("error is not null").select("path")
+    return staged.join(diff.where(F.col("status").isin(NEW, MODIFIED)), "path", "left_semi").count()
+
+
 def stats_frame(spark: SparkSession, stats: SyncStats) -> DataFrame:
-    schema = "new long, modified long, deleted long, unchanged long, total long, elapsed double"
+    schema = "new long, modified long, deleted long, unchanged long, total long, failed long, elapsed double"
     return spark.createDataFrame([tuple(asdict(stats).values())], schema)
 
 

@@ -265,7 +265,7 @@ where not regexp_matches(path, '/(Lib[^/]*|[^v-z/]env|f[^/]7\.[^/]*|node_module[
     "snapshot_diff": _CLASSES + "select path, status, mtime, stored_mtime from d",
     "work_set": _CLASSES + "select path, mtime from d where status in ('new', 'modified') order by path",
     "diff_summary": _CLASSES + f"select {_COUNTS} from d",
-    "sync_summary": _CLASSES + f"select {_COUNTS} from d",
+    "sync_summary": _CLASSES + f"select {_COUNTS}, cast(0 as bigint) as failed from d",
     "sync_plan": _CLASSES + f""", c as (select {_COUNTS} from d)
 select total as found, unchanged + modified + deleted as stored, unchanged, "new", modified,
   deleted as removed, "new" + modified as to_embed,

@@ -17,7 +17,9 @@ from .text_sql import normalized, tokens, vector_summary
 DIM = 512
 
 # A merge table learnt from the words themselves: neighbouring characters, then pairs with
-# a third and a fourth character, the most frequent first.
+# a third and a fourth character, the most frequent first. A pair has to make up one in
+# LEAST_SHARE of all, so there are never more merges than that, however large the corpus.
+LEAST_SHARE = 20_000
 _PAIRS_SQL = """
 select a, b, count(*) as n from (
   select c0 as a, c1 as b from grams where c1 is not null union all
@@ -47,9 +49,9 @@ def _merges(words: DataFrame) -> DataFrame:
     shifted = [F.slice("chars", i, size).alias(f"c{i - 1}") for i in range(1, 5)]
     grams = words.select(*shifted).select(F.inline(F.arrays_zip("c0", "c1", "c2", "c3")))
     pairs = words.sparkSession.sql(_PAIRS_SQL.replace("grams", "{grams}"), grams=grams)
-    best = pairs.orderBy(F.desc("n"), "a", "b").limit(B.MAX_MERGES)
-    order = Window.orderBy(F.desc("n"), F.asc("a"), F.asc("b"))  # at most MAX_MERGES rows
-    return best.select((F.row_number().over(order) - 1).alias("rank"), "a", "b")
+    frequent = pairs.where(F.col("n") * LEAST_SHARE >= pairs.agg(F.sum("n").alias("n")).scalar())
+    order = Window.orderBy(F.desc("n"), F.asc("a"), F.asc("b"))  # at most LEAST_SHARE rows
+    return frequent.select((F.row_number().over(order) - 1).alias("rank"), "a", "b")
 
 
 def _vocab(words: DataFrame, merges: DataFrame) -> DataFrame:
@@ -57,15 +59,45 @@ def _vocab(words: DataFrame, merges: DataFrame) -> DataFrame:
     singles = words.select(F.explode("chars").alias("token"))
     joined = merges.select(F.concat("a", "b").alias("token"))
     special = words.sparkSession.createDataFrame([(BOS,), (EOS,)], "token string")
-    # Characters and at most MAX_MERGES results: a few times the size of Unicode at the worst.
+    # Characters and at most LEAST_SHARE results: less than twice the size of Unicode at the worst.
     every = singles.union(joined).union(special).distinct()
     return every.select("token", (F.row_number().over(Window.orderBy("token")) - 1).alias("id"))
 
 
-def _tables(docs: DataFrame, with_ids: bool) -> B.BpeTables:
-    words = _words(docs)
-    merges = _merges(words)
-    return B.BpeTables.collect(merges, _vocab(words, merges) if with_ids else None)
+_learnt: dict[tuple[str, str], str] = {}
+
+
+def _table_files(spark: SparkSession, sf: str) -> str:
+    """The folder of the merge and the vocabulary file, written once per session and table."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _learnt:
+        folder = fresh_dir(spark, "bpe-tables")
+        words = _words(_docs(spark, sf))
+        learnt = _merges(words)
+        learnt.write.parquet(f"{folder}/learnt")
+        merges = spark.read.schema(learnt.schema).parquet(f"{folder}/learnt")
+        header = spark.createDataFrame([(-1, "#version:", "1")], "rank int, a string, b string")
+        lines = header.union(merges.select(F.col("rank").cast("int"), "a", "b")).coalesce(1).sortWithinPartitions("rank")
+        lines.select(F.concat_ws(" ", "a", "b").alias("value")).write.text(f"{folder}/merges")
+        entries = F.collect_list(F.struct("token", F.col("id").cast("int")))  # less than twice Unicode
+        vocab = _vocab(words, merges).agg(F.to_json(F.map_from_entries(entries)).alias("value"))
+        vocab.coalesce(1).write.text(f"{folder}/vocab")
+        _learnt[key] = folder
+    return _learnt[key]
+
+
+def _tables(spark: SparkSession, sf: str, with_ids: bool) -> B.BpeTables:
+    folder = _table_files(spark, sf)
+    merges, vocab = B.read_merges(spark, f"{folder}/merges"), B.read_vocab(spark, f"{folder}/vocab")
+    return B.BpeTables.collect(merges, vocab if with_ids else None)
+
+
+def bpe_tables(spark, sf):
+    """The merges and the vocabulary as read back from their files."""
+    folder = _table_files(spark, sf)
+    merges, vocab = B.read_merges(spark, f"{folder}/merges"), B.read_vocab(spark, f"{folder}/vocab")
+    return merges.select(F.lit("merge").alias("kind"), F.col("rank").cast("bigint").alias("number"), "a", "b").union(
+        vocab.select(F.lit("token"), F.col("id").cast("bigint"), "token", F.lit(None).cast("string")))
 
 
 def text_normalize(spark, sf):
@@ -81,14 +113,14 @@ def text_pretokenize(spark, sf):
 
 def bpe_encode(spark, sf):
     docs = _docs(spark, sf)
-    pieces = B.bpe_pieces(docs, "text", _tables(docs, False))
+    pieces = B.bpe_pieces(docs, "text", _tables(spark, sf, False))
     return pieces.select("doc_id", F.size("pieces").cast("bigint").alias("n"),
                          F.md5(F.encode(F.concat_ws(" ", "pieces"), "utf-8")).alias("digest"))
 
 
 def token_ids(spark, sf):
     docs = _docs(spark, sf)
-    coded = B.token_ids(docs, "text", _tables(docs, True))
+    coded = B.token_ids(docs, "text", _tables(spark, sf, True))
     joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n"),
                         F.md5(F.encode(joined, "utf-8")).alias("digest"))
@@ -102,6 +134,7 @@ def embed_text(spark, sf):
 QUERIES = {
     "text_normalize": text_normalize,
     "text_pretokenize": text_pretokenize,
+    "bpe_tables": bpe_tables,
     "bpe_encode": bpe_encode,
     "token_ids": token_ids,
     "embed_text": embed_text,
@@ -120,7 +153,7 @@ spots as (select s, unnest(range(1, len(s) + 1)) as i from chars),
 grams as (select s[i] as c0, s[i + 1] as c1, s[i + 2] as c2, s[i + 3] as c3 from spots),
 pairs as ({_PAIRS_SQL}),
 merges as (select row_number() over (order by n desc, a, b) - 1 as rank, a, b from pairs
-  qualify rank < {B.MAX_MERGES}),
+  where n * {LEAST_SHARE} >= (select sum(n) from pairs)),
 vocab as (select token, row_number() over (order by token) - 1 as id from (
   select unnest(s) as token from chars union select a || b from merges
   union select '{BOS}' union select '{EOS}')),
@@ -149,6 +182,8 @@ ORACLES = {
 select doc_id, cast(length(t) as bigint) as n, md5(t) as digest from d""",
     "text_pretokenize": f"""with d as (select doc_id, {tokens('text')} as t from documents)
 select doc_id, cast(len(t) as bigint) as n, md5(array_to_string(t, ' ')) as digest from d""",
+    "bpe_tables": f"""{_BPE_SQL}
+select 'merge' as kind, rank as number, a, b from merges union all select 'token', id, token, null from vocab""",
     "bpe_encode": f"""{_BPE_SQL}
 select doc_id, cast(coalesce(len(pieces), 0) as bigint) as n,
   md5(coalesce(array_to_string(pieces, ' '), '')) as digest
