@@ -17,8 +17,12 @@ from ..session import fresh_dir, parallelism, scratch
 from ..sources.store import VectorStore
 
 ROWS_PER_EMBED_TASK = 20_000
-# Changed keys are broadcast up to this many bytes of path text, else joined by shuffle.
+# Tombstones of a store, and the changed keys of one group of buckets that is written anew, go
+# to every task: up to so many bytes of path text.
 BROADCAST_KEY_BYTES = 64 << 20
+DEAD_SHARE = 0.25  # of the rows; with more tombstones the buckets are written anew
+MAX_PARTS = 32  # folders of a bucket; with more it is written anew
+GROWTH = 4  # the store is dealt into more buckets when they are so many times their size
 
 
 @dataclass
@@ -44,7 +48,8 @@ def sync(
     """One pass: classify, embed new and modified rows, drop deleted ones, publish.
 
     `current` is a snapshot (path, mtime), unique by path; the encoder reads `path`.
-    Nothing is written when nothing changed. Only buckets with a change are rewritten.
+    Nothing is written when nothing changed. A small change adds its rows and tombstones; a
+    large one writes the buckets anew that it or a tombstone touches.
     """
     with scratch(store.spark):
         return _sync(store, current, encoder, rows_per_task, broadcast_key_bytes)
@@ -63,17 +68,37 @@ def _sync(store: VectorStore, current: DataFrame, encoder: Encoder | ColumnEncod
     if stats.unchanged and head.dim != encoder.dim:
         raise ValueError(f"the store holds vectors of {head.dim} entries, the encoder makes {encoder.dim}")
 
-    touched = set(counts["touched"])
-    old_parts = dict(head.parts) if head else {}
+    n_buckets = store.buckets_for(stats.total, encoder.dim)
+    if head and n_buckets < GROWTH * head.n_buckets:
+        n_buckets = head.n_buckets
+    diff = diff.withColumn("bucket", store.bucket(F.col("path"), n_buckets))
     added = _embedded(diff, encoder, counts, rows_per_task)
-    kept = _kept(store, head, diff, touched, counts, broadcast_key_bytes)
-    rows = concat_rows(kept, added) if kept is not None else added
-    folder = store.stage(rows, head, encoder.dim)
-
-    parts = {b: f for b, f in old_parts.items() if b not in touched}
-    parts |= {b: f"{folder}/bucket={b}" for b in touched & set(counts["filled"])}
+    gone = diff.where(F.col("status").isin(MODIFIED, DELETED))
+    n_gone, gone_bytes = stats.modified + stats.deleted, counts["changed_bytes"] or 0
+    touched = _buckets(diff.where(F.col("status") != UNCHANGED))
+    is_small = head is not None and head.n_buckets == n_buckets and stats.unchanged > 0 and (
+        head.dead_bytes + gone_bytes <= broadcast_key_bytes
+        and head.n_dead + n_gone <= DEAD_SHARE * stats.total
+        and all(len(head.parts.get(b, ())) < MAX_PARTS for b in touched))
+
+    if is_small:
+        folder = store.stage(added, head, encoder.dim)
+        parts = {b: list(listed) for b, listed in head.parts.items()}
+        for b in _buckets(diff.where(F.col("status").isin(NEW, MODIFIED))):
+            parts[b] = [*parts.get(b, ()), f"{folder}/bucket={b}"]
+        dead = [*head.dead, store.stage_tombstones(gone, head)] if n_gone else head.dead
+        state = {"dead": dead, "n_dead": head.n_dead + n_gone, "dead_bytes": head.dead_bytes + gone_bytes,
+                 "dead_buckets": {*head.dead_buckets, *_buckets(gone)}}
+    else:
+        rewritten = set(head.dead_buckets) | touched if head and head.n_buckets == n_buckets else set(range(n_buckets))
+        kept = _kept(store, head, gone, rewritten, n_buckets, broadcast_key_bytes)
+        folder = store.stage(concat_rows(kept, added) if kept is not None else added, head, encoder.dim)
+        filled = rewritten & _buckets(diff.where(F.col("status") != DELETED))
+        parts = {b: listed for b, listed in (head.parts if head else {}).items() if b not in rewritten}
+        parts |= {b: [f"{folder}/bucket={b}"] for b in filled}
+        state = {}
     stats.failed = _failed(store, folder, diff)
-    store.publish(head, encoder.dim, parts, stats.total)
+    store.publish(head, encoder.dim, parts, stats.total, n_buckets, **state)
     stats.elapsed = time.perf_counter() - started
     return stats
 
@@ -89,31 +114,31 @@ def stats_frame(spark: SparkSession, stats: SyncStats) -> DataFrame:
 
 
 def _written_diff(store: VectorStore, current: DataFrame, head) -> DataFrame:
-    """The classification as a table: later steps read it three times, and it must not
+    """The classification as a table: later steps read it several times, and it must not
     change between them if the file tree does."""
-    stored = store.read(head=head).select("path", "mtime")
-    diff = classify(current, stored).withColumn("bucket", store.bucket(F.col("path"), head))
+    diff = classify(current, store.read(head=head).select("path", "mtime"))
     target = fresh_dir(store.spark, "diff")
     diff.write.parquet(target)
     return store.spark.read.schema(diff.schema).parquet(target)
 
 
 def _counts(diff: DataFrame) -> dict:
-    """Counts per status and the bucket numbers involved (at most one set per store)."""
     def count(*statuses: str):
         return F.count(F.when(F.col("status").isin(*statuses), 1))
-    changed = F.col("status") != UNCHANGED
     return diff.agg(
         count(NEW).alias("new"), count(MODIFIED).alias("modified"),
         count(DELETED).alias("deleted"), count(UNCHANGED).alias("unchanged"),
         count(NEW, MODIFIED, UNCHANGED).alias("total"),
-        F.collect_set(F.when(changed, F.col("bucket"))).alias("touched"),
-        F.collect_set(F.when(F.col("status") != DELETED, F.col("bucket"))).alias("filled"),
         F.sum(F.when(F.col("status").isin(MODIFIED, DELETED), F.octet_length("path") + 32))
         .alias("changed_bytes"),
     ).first().asDict()
 
 
+def _buckets(rows: DataFrame) -> set[int]:
+    """The bucket numbers of some rows: at most as many as the store has."""
+    return {r.bucket for r in rows.select("bucket").distinct().collect()}
+
+
 def _embedded(diff: DataFrame, encoder, counts: dict, rows_per_task: int) -> DataFrame:
     """Embed the work set. The cheap (path, mtime) rows are spread evenly, in bucket order,
     before the encoder, so the vectors go straight from it into the writer."""
@@ -124,13 +149,33 @@ def _embedded(diff: DataFrame, encoder, counts: dict, rows_per_task: int) -> Dat
     return embed(spread, "path", encoder).select(*STORE.names, "bucket")
 
 
-def _kept(store: VectorStore, head, diff: DataFrame, touched: set[int], counts: dict,
+def _kept(store: VectorStore, head, gone: DataFrame, rewritten: set[int], n_buckets: int,
           broadcast_key_bytes: int) -> DataFrame | None:
-    """Unchanged rows of the touched buckets: the stored rows without the changed keys."""
-    if head is None or not set(head.parts) & touched:
+    """The stored rows of the buckets to be written anew, without the changed keys.
+
+    Buckets are taken in groups whose changed keys fit the broadcast, so each bucket is read once
+    and no vector is shuffled, however many keys changed. A single bucket's keys are not divided:
+    they are bounded by the size of a bucket.
+    """
+    if head is None or not head.parts:
+        return None
+    old = store.bucket(F.col("path"), head.n_buckets)
+    sizes = {r.bucket: r.size for r in gone.groupBy(old.alias("bucket")).agg(
+        F.sum(F.octet_length("path") + 32).alias("size")).collect()}
+    wanted = sorted(set(head.parts) & rewritten if head.n_buckets == n_buckets else set(head.parts))
+    groups, room = [], 0
+    for bucket in wanted:
+        size = sizes.get(bucket, 0)
+        if not groups or size > room:
+            groups.append(set())
+            room = broadcast_key_bytes
+        groups[-1].add(bucket)
+        room -= size
+    kept = None
+    for group in groups:
+        keys = gone.where(old.isin(sorted(group))).select("path")
+        rows = store.read(group, head).join(F.broadcast(keys), "path", "left_anti")
+        kept = rows if kept is None else kept.union(rows)
+    if kept is None:
         return None
-    stored = store.read(touched, head).withColumn("bucket", store.bucket(F.col("path"), head))
-    gone = diff.where(F.col("status").isin(MODIFIED, DELETED)).select("path")
-    if (counts["changed_bytes"] or 0) <= broadcast_key_bytes:
-        gone = F.broadcast(gone)
-    return stored.join(gone, "path", "left_anti").select(*STORE.names, "bucket")
+    return kept.withColumn("bucket", store.bucket(F.col("path"), n_buckets)).select(*STORE.names, "bucket")

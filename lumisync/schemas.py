@@ -16,6 +16,10 @@ STORE = T.StructType([
     T.StructField("error", T.StringType()),
 ])
 
+# In the files of a store: its rows with the version that wrote them, and what hides older rows.
+STORED = T.StructType([*STORE.fields, T.StructField("version", T.LongType())])
+TOMBSTONE = T.StructType([T.StructField("path", T.StringType()), T.StructField("version", T.LongType())])
+
 LISTING = T.StructType([
     T.StructField("path", T.StringType()),
     T.StructField("mtime", T.DoubleType()),

@@ -13,10 +13,11 @@ from lumisync.operators import diff as D
 from lumisync.operators.encoders import ColumnEncoder, GridImageEncoder
 from lumisync.operators.search import search
 from lumisync.operators.tensor import TensorSpec
-from lumisync.plans.sync import _embedded, stats_frame, sync
+from lumisync.plans.sync import _embedded, _kept, stats_frame, sync
 from lumisync.plans.fixtures import encode_png
 from lumisync.session import shared_dir
 from lumisync.sources import scan
+from lumisync.sources import store as store_module
 from lumisync.sources.scan import scan_images
 from lumisync.sources.store import VectorStore, VersionTaken
 from lumisync.streaming.refresh import run_cycles, start_refresh
@@ -222,6 +223,68 @@ def test_vacuum_keeps_what_the_newest_versions_name(spark, store):
     assert store.read().where("mtime = 3").count() == 40
 
 
+def _bytes(store, folder):
+    return sum(p.stat().st_size for p in (pathlib.Path(store.root.removeprefix("file:")) / folder).rglob("*.parquet"))
+
+
+def test_a_small_change_writes_little(spark, store):
+    wide = ColumnEncoder(256, lambda p: F.transform(F.sequence(F.lit(1), F.lit(256)), lambda i: F.rand(3).cast("float")))
+    rows = [(f"/r/{i}", float(i)) for i in range(20_000)]
+    sync(store, snapshot(spark, rows), wide)
+    before, first = _bytes(store, "data"), store.current()
+    changed = [(p, t + 0.5 if int(t) % 100 == 0 else t) for p, t in rows if int(t) % 200 != 1]
+    stats = sync(store, snapshot(spark, changed), wide)
+    assert (stats.modified, stats.deleted) == (200, 100)
+    assert _bytes(store, "data") - before < 0.03 * before
+    assert store.current().parts[0][0] == first.parts[0][0]
+    assert {(r.path, r.mtime) for r in store.read().select("path", "mtime").collect()} == set(changed)
+
+
+def test_no_sync_shuffles_vectors(spark, store):
+    rows = [(f"/r/{i}", float(i)) for i in range(300)]
+    sync(store, snapshot(spark, rows), LENGTH)
+    gone = snapshot(spark, rows[:200])
+    for limit in (0, 1 << 20):
+        kept = _kept(store, store.current(), gone, set(range(4)), 4, limit)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and kept.count() == 100
+    sync(store, snapshot(spark, rows[20:]), LENGTH)
+    assert store.current().dead
+    assert "Exchange hashpartitioning(vector" not in store.read()._jdf.queryExecution().executedPlan().toString()
+    assert store.read().count() == 280
+
+
+def test_tombstones_are_dropped_when_there_are_many(spark, store):
+    rows = {f"/r/{i}": 0.0 for i in range(100)}
+    sync(store, snapshot(spark, list(rows.items())), LENGTH)
+    seen = []
+    for step in range(1, 6):
+        rows |= {f"/r/{i}": float(step) for i in range(step * 10, step * 10 + 10)}
+        sync(store, snapshot(spark, list(rows.items())), LENGTH)
+        seen.append(store.current().n_dead)
+        assert {r.path: r.mtime for r in store.read().collect()} == rows
+    assert seen == [10, 20, 0, 10, 20]
+    rows["/r/0"] = 9.0
+    sync(store, snapshot(spark, list(rows.items())), LENGTH)  # a second tombstone of a path counts anew
+    rows["/r/0"] = 10.0
+    sync(store, snapshot(spark, list(rows.items())), LENGTH)
+    del rows["/r/0"]
+    sync(store, snapshot(spark, list(rows.items())), LENGTH)
+    assert {r.path: r.mtime for r in store.read().collect()} == rows
+
+
+def test_a_grown_store_gets_more_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "BUCKET_BYTES", 40)
+    monkeypatch.setattr(store_module, "LEAST_BUCKETS", 2)
+    store = VectorStore(spark, str(tmp_path / "grown"))
+    rows = [(f"/r/{i}", 1.0) for i in range(10)]
+    sync(store, snapshot(spark, rows), LENGTH)
+    assert store.current().n_buckets == 2
+    rows += [(f"/r/{i}", 1.0) for i in range(10, 60)]
+    sync(store, snapshot(spark, rows), LENGTH)
+    assert store.current().n_buckets == 12 and store.read().count() == 60
+
+
 def test_two_writers_of_one_version(spark, store):
     sync(store, snapshot(spark, [("/r/a", 1.0)]), LENGTH)
 
