@@ -11,7 +11,7 @@ from pyspark.sql import Column
 
 from ..functions.text import hash_buckets, normalize_text, pretokenize
 from ..sources.files import read_bytes
-from ..sources.images import decode_rgb
+from ..sources.images import DecoderMissing, decode_rgb, decoder
 from .tensor import TensorSpec, image_tensor
 
 
@@ -50,6 +50,8 @@ class Encoder:
                     raise ValueError("no input")
                 items.append(self.load(value))
                 places.append(place)
+            except DecoderMissing:
+                raise
             except Exception as error:  # any unreadable input is that row's failure alone
                 errors[place] = f"{type(error).__name__}: {error}"
         matrix = np.zeros((len(values), self.dim), np.float32)
@@ -97,11 +99,12 @@ class GridImageEncoder(Encoder):
         if spec.crop % grid:
             raise ValueError("the crop size must be a multiple of the grid")
         self.grid, self.spec, self.unit = grid, spec, unit
+        self.decoder = decoder()
         self.dim = 3 * grid * grid
 
     def load(self, value: str | bytes) -> np.ndarray:
         content = value if isinstance(value, bytes) else read_bytes(value)
-        return image_tensor(decode_rgb(content), self.spec)
+        return image_tensor(decode_rgb(content, self.decoder), self.spec)
 
     def encode(self, items: Sequence[np.ndarray]) -> np.ndarray:
         cell = self.spec.crop // self.grid

@@ -60,17 +60,29 @@ def _to_rgb(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def decode_rgb(content: bytes) -> np.ndarray:
+def decoder() -> str:
+    """How this machine decodes single files: with Pillow, else 8-bit PNG only."""
+    return "png" if _pillow is None else "pillow"
+
+
+def decode_rgb(content: bytes, how: str | None = None) -> np.ndarray:
     """Bytes of one image file to uint8 [height, width, 3].
 
-    Uses Pillow where the cluster has it; otherwise 8-bit PNG only, and any other
-    format raises, which the embed job records as a failed row.
+    `how` is the driver's `decoder()`, so that all nodes decode alike: a node that lacks
+    Pillow where the driver has it is an error of the node, not of the file.
     """
-    if _pillow is not None:
+    how = how or decoder()
+    if how == "pillow":
+        if _pillow is None:
+            raise DecoderMissing("Pillow is installed on the driver but not on this node")
         return np.asarray(_pillow.open(io.BytesIO(content)).convert("RGB"))
     return _decode_png(content)
 
 
+class DecoderMissing(RuntimeError):
+    """A node cannot decode what the others can."""
+
+
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
 _PNG_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 
@@ -104,36 +116,21 @@ def _decode_png(content: bytes) -> np.ndarray:
 
 
 def _unfilter(lines: np.ndarray, bpp: int) -> np.ndarray:
-    """Undo the per-line PNG filters (0 none, 1 left, 2 up, 3 average, 4 Paeth)."""
-    out = np.zeros((lines.shape[0], lines.shape[1] - 1), np.uint8)
-    above = np.zeros(out.shape[1], np.uint8)
-    for y, line in enumerate(lines):
-        mode, raw = int(line[0]), line[1:]
-        if mode == 0:
-            done = raw
-        elif mode == 1:
-            sums = np.cumsum(raw.reshape(-1, bpp), axis=0, dtype=np.uint64)
-            done = sums.astype(np.uint8).reshape(-1)
-        elif mode == 2:
-            done = raw + above
-        else:
-            done = _unfilter_sequential(raw.tolist(), above.tolist(), bpp, mode)
-        out[y] = done
-        above = out[y]
-    return out
-
-
-def _unfilter_sequential(raw: list[int], above: list[int], bpp: int, mode: int) -> np.ndarray:
-    done = [0] * len(raw)
-    for i, value in enumerate(raw):
-        left = done[i - bpp] if i >= bpp else 0
-        up = above[i]
-        if mode == 3:
-            guess = (left + up) // 2
-        else:
-            corner = above[i - bpp] if i >= bpp else 0
-            estimate = left + up - corner
-            guess = min((abs(estimate - left), 0, left), (abs(estimate - up), 1, up),
-                        (abs(estimate - corner), 2, corner))[2]
-        done[i] = (value + guess) & 0xFF
-    return np.array(done, np.uint8)
+    """Undo the per-line PNG filters (0 none, 1 left, 2 up, 3 average, 4 Paeth).
+
+    A pixel depends on those to the left, above and in the corner between, so all pixels of one
+    diagonal are done at a time.
+    """
+    height, width = lines.shape[0], (lines.shape[1] - 1) // bpp
+    raw, modes = lines[:, 1:].reshape(height, width, bpp).astype(np.int16), lines[:, :1]
+    done = np.zeros((height + 1, width + 1, bpp), np.int16)  # with a black line above and to the left
+    for diagonal in range(height + width - 1):
+        y = np.arange(max(0, diagonal - width + 1), min(height, diagonal + 1))
+        x = diagonal - y
+        left, up, corner, mode = done[y + 1, x], done[y, x + 1], done[y, x], modes[y]
+        slope = left + up - corner
+        off_left, off_up, off_corner = np.abs(slope - left), np.abs(slope - up), np.abs(slope - corner)
+        nearest = np.where((off_left <= off_up) & (off_left <= off_corner), left, np.where(off_up <= off_corner, up, corner))
+        guess = np.choose(mode, (0, left, up, (left + up) >> 1, nearest))
+        done[y + 1, x + 1] = (raw[y, x] + guess) & 0xFF
+    return done[1:, 1:].astype(np.uint8).reshape(height, -1)
