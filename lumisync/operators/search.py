@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import ZERO_TOLERANCE, dot, is_match, is_zero, norm, vector_literal
-from ..session import fresh_dir, map_arrow, parallelism
+from ..session import fresh_dir, map_arrow
 from .blocks import to_matrix
 
 # So many bytes of queries, and so many results of theirs, does a task hold at a time; more
@@ -21,11 +21,9 @@ BLOCK_BYTES = 32 << 20
 BLOCK_RESULTS = 2_000_000
 SCORES_PER_STEP = 4_000_000
 ARROW_MAX_LIMIT = 100_000
-# Every task hands on its best rows per query, so very many small splits are read by fewer
-# tasks. The number stays far above what a cluster runs at a time.
-SCAN_TASKS = 10_000
-DIRECT_LIMIT = 100
-MERGE_SLOTS = 64
+# Every task hands on its best rows. More of them than this are cut in parallel before the
+# final merge, which is one task.
+MERGE_ROWS = 1_000_000
 
 
 def score_all(store: DataFrame, query: Sequence[float], vector: str = "vector") -> DataFrame:
@@ -56,7 +54,7 @@ def search(store: DataFrame, query: Sequence[float], limit: int = 10, key: str =
         raise ValueError("limit must not be negative")
     if use_arrow is None:
         use_arrow = limit <= ARROW_MAX_LIMIT
-    rows = _in_fewer_tasks(store.select(key, vector).where(F.col(vector).isNotNull()))
+    rows = store.select(key, vector).where(F.col(vector).isNotNull())
     if use_arrow and 0 < limit <= ARROW_MAX_LIMIT:
         schema = rows.select(key).schema.add("score", "double")
         candidates = map_arrow(rows, _topk_task(np.array(query, np.float64), limit, key), schema)
@@ -65,22 +63,18 @@ def search(store: DataFrame, query: Sequence[float], limit: int = 10, key: str =
             score_all(rows.where(~is_zero(F.col(vector))), query, vector)
             .where(is_match(F.col("score"))).select(key, "score")
         )
-    if limit > DIRECT_LIMIT:
-        candidates = _thin(candidates, limit, key)
+    handed_on = rows.rdd.getNumPartitions() * limit
+    if handed_on > MERGE_ROWS:
+        candidates = _thin(candidates, limit, key, math.ceil(handed_on / MERGE_ROWS))
     best = candidates.orderBy(F.desc("score"), key).limit(limit)
     total = store.agg(F.count("*").alias("n")).scalar()
     return best.withColumn("total_images", total)
 
 
-def _in_fewer_tasks(rows: DataFrame) -> DataFrame:
-    """Join splits, without a shuffle, where there are more than SCAN_TASKS of them."""
-    return rows.coalesce(max(SCAN_TASKS, 4 * parallelism(rows.sparkSession)))
-
-
-def _thin(candidates: DataFrame, limit: int, key: str) -> DataFrame:
-    """Cut the lists of many tasks to MERGE_SLOTS lists of `limit` before the final merge,
-    which is one task. Every slot keeps its best `limit` rows, so nothing is lost."""
-    slot = F.pmod(F.xxhash64(key), F.lit(MERGE_SLOTS))
+def _thin(candidates: DataFrame, limit: int, key: str, slots: int) -> DataFrame:
+    """Cut the lists of many tasks to `slots` lists of `limit`. Every slot keeps its best `limit`
+    rows, so nothing is lost."""
+    slot = F.pmod(F.xxhash64(key), F.lit(slots))
     order = Window.partitionBy("__slot").orderBy(F.desc("score"), F.asc(key))
     ranked = candidates.withColumn("__slot", slot).withColumn("__place", F.row_number().over(order))
     return ranked.where(F.col("__place") <= limit).drop("__slot", "__place")
@@ -210,7 +204,7 @@ def batch_search(store: DataFrame, queries: DataFrame, limit: int = 10, key: str
         chosen = asked.where(F.pmod(F.xxhash64("__qid"), F.lit(blocks)) == block).toArrow()
         shared = spark.sparkContext.broadcast(
             (chosen.column("__qid").combine_chunks(), to_matrix(chosen.column("__qvec"), size.dim)))
-        found = map_arrow(_in_fewer_tasks(rows), _many_topk_task(shared, limit), out)
+        found = map_arrow(rows, _many_topk_task(shared, limit), out)
         candidates = found if candidates is None else candidates.union(found)
 
     order = Window.partitionBy("__qid").orderBy(F.desc("score"), F.asc("__key"))

@@ -35,7 +35,8 @@ def random_vectors(n, dim=9, seed=0):
 
 @pytest.mark.parametrize("arrow", [True, False])
 @pytest.mark.parametrize("limit", [0, 1, 7, 60, 1000])
-def test_search_equals_brute_force(spark, arrow, limit):
+def test_search_equals_brute_force(spark, monkeypatch, arrow, limit):
+    monkeypatch.setattr(S, "MERGE_ROWS", 100)  # larger limits take the second tier
     vectors = random_vectors(120)
     names = [f"p{i:03d}" for i in range(120)]
     query = vectors[0].astype(float) + 0.1
