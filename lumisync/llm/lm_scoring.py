@@ -2,12 +2,12 @@
 
 The probability of a word after its history is the product of three factors:
 
-- its class among 32, a softmax over hashed features of the history: the word before, the
+- its class among 16, a softmax over hashed features of the history: the word before, the
   word before that (a skip feature) and the pair of both;
-- its slot among the 32 of its class, a softmax over the two single-word features;
+- its slot among the 16 of its class, a softmax over the two single-word features;
 - the word within its slot, from corpus counts with one unit of mass for unknown words.
 
-Class and slot are ten bits of the word's crc32, so the vocabulary may grow without bound
+Class and slot are eight bits of the word's crc32, so the vocabulary may grow without bound
 while the weights stay one matrix of fixed size. The weights are trained by distributed
 gradient updates: in each round, every task runs gradient steps over its share of the
 training documents from the common weights, and the changes of each row of the matrix are
@@ -29,7 +29,7 @@ from ..session import map_arrow, parallelism, ship_package
 from .chunks import expand, expand_ranks, expand_words, pack, rank_order, spans, squeeze
 from .tables import crc_of_id, materialize, read_table, shuffle_partitions
 
-CLASSES = 32
+CLASSES = 16
 SLOTS = CLASSES * CLASSES
 CLASS_FEATURES = 4096
 SLOT_FEATURES = 1024
@@ -80,7 +80,7 @@ class _History:
 
 
 def _slots(hashes: np.ndarray) -> np.ndarray:
-    return hashes >> np.uint32(22)
+    return hashes >> np.uint32(24)
 
 
 def _bits(hashes: np.ndarray, bits: int) -> np.ndarray:
