@@ -97,7 +97,7 @@ def _by_size(rows: Iterable[tuple[int, list[int]]]) -> dict[int, tuple[np.ndarra
     grouped: dict[int, list] = {}
     for key, vector in rows:
         grouped.setdefault(len(vector), []).append((key, vector))
-    return {size: (np.array([k for k, _ in found], np.int64), np.array([v for _, v in found], np.float64).reshape(-1, size))
+    return {size: (np.array([k for k, _ in found], np.int64), np.array([v for _, v in found], np.float64).reshape(len(found), size))
             for size, found in grouped.items()}
 
 
