@@ -11,6 +11,7 @@ from lumisync.llm.language import document_rows, identify
 from lumisync.llm.near_dedup import near_duplicates
 from lumisync.llm.pii import redact
 from lumisync.llm.tables import materialize, read_table, without
+from lumisync.session import name_local_scratch
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,6 +74,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; the table after each but the last is written to the shared folder."""
+    name_local_scratch(spark)
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
