@@ -22,7 +22,8 @@ def similarity_summary(texts: DataFrame, images: DataFrame, logit_scale: float =
 
     Both inputs are (batch, id, vector); only rows of one batch meet. The matrix of a batch
     exists only block by block inside tasks; what leaves a block is one partial per row and
-    column: (side, id, n, mean, low, high, logsumexp), side "text" or "image".
+    column: (side, id, n, mean, low, high, logsumexp), side "text" or "image". The inputs are
+    read more than once, so write them first if they come from an encoder.
     """
     key = texts.schema["id"].dataType.simpleString()
     partial = block_reduce(

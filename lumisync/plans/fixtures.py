@@ -141,24 +141,39 @@ select s_suppkey as k, y, x, c, case when s_suppkey % 2 = 0
     then (s_suppkey * 7 + y * 3 + x * 5 + c * 11) % 256 else (s_suppkey * 13 + c * 50) % 256 end as p
 from supplier, range({SIDE}) ty(y), range({SIDE}) tx(x), range(3) tc(c)"""
 
+# Larger pictures, of twice and three times SIDE, whose lines and columns all differ.
+WIDE_PIXEL_SQL = f"""
+select s_suppkey as k, y, x, c, (s_suppkey * 7 + y * y * 3 + x * 5 + (x * y) % 13 * 9 + c * 11) % 256 as p
+from supplier, range({2 * SIDE}) ty(y), range({3 * SIDE}) tx(x), range(3) tc(c)"""
+
+
+def _wide(k: int) -> np.ndarray:
+    y, x, c = np.ogrid[:2 * SIDE, :3 * SIDE, :3]
+    return ((k * 7 + y * y * 3 + x * 5 + (x * y) % 13 * 9 + c * 11) % 256).astype(np.uint8)
+
+
 BROKEN_SQL = "s_suppkey % 9 = 4"
 
 
-def image_files(spark: SparkSession, sf_dir: str, broken: bool = True) -> str:
+def image_files(spark: SparkSession, sf_dir: str, broken: bool = True, draw: Callable = _pattern) -> str:
     """One PNG per supplier; every ninth is not an image when `broken` is set."""
     keys = spread(table(spark, sf_dir, "supplier").select("s_suppkey")).select("s_suppkey", F.expr(BROKEN_SQL).alias("bad"))
 
-    def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
-            content = [b"not an image" if broken and r["bad"] else encode_png(_pattern(r["s_suppkey"]))
+            content = [b"not an image" if broken and r["bad"] else encode_png(draw(r["s_suppkey"]))
                        for r in rows]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f"{r['s_suppkey']}.png" for r in rows]),
                  pa.array([1.6e9 + r["s_suppkey"] for r in rows]), pa.array(content, pa.binary())],
                 names=["rel", "mtime", "content"])
 
-    return write_files(map_arrow(keys, draw, "rel string, mtime double, content binary"))
+    return write_files(map_arrow(keys, encode, "rel string, mtime double, content binary"))
+
+
+def wide_image_files(spark: SparkSession, sf_dir: str) -> str:
+    return image_files(spark, sf_dir, broken=False, draw=_wide)
 
 
 def photo_files(spark: SparkSession, n: int) -> str:

@@ -14,10 +14,11 @@ from ..operators.tensor import IMAGE_MEAN, IMAGE_STD, TensorSpec, tensors
 from ..session import parallelism
 from ..sources.images import read_images
 from ..sources.scan import scan_images
-from .fixtures import BROKEN_SQL, PIXEL_SQL, SIDE, image_files, image_key, table
+from .fixtures import BROKEN_SQL, PIXEL_SQL, SIDE, WIDE_PIXEL_SQL, image_files, image_key, table, wide_image_files
 
 SPEC = TensorSpec(size=SIDE, crop=SIDE)
 GRID = 4
+CROP = 24  # of a side of 32: what a halved picture has without the reach of its border
 IMAGES_PER_TASK = 2_000
 
 SIZES_SQL = """select p_partkey, cast(1 + (p_partkey * 37) % 900 as int) as w,
@@ -57,6 +58,15 @@ def image_tensor(spark, sf):
         F.round(weighted, 6).alias("weighted"), F.col("error").isNotNull().alias("failed"))
 
 
+def image_resample(spark, sf):
+    """Checksum of pictures of 64 lines and 96 columns, halved and cropped to the middle."""
+    images = read_images(spark, wide_image_files(spark, sf))
+    halved = tensors(images, TensorSpec(size=SIDE, crop=CROP, normalize=False))
+    levels = F.transform("tensor", lambda x, i: F.round(x.cast("double") * 255).cast("bigint") * (i % 97 + 1))
+    checksum = F.aggregate(levels, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return halved.select(image_key(F.col("path")).alias("k"), F.size("tensor").cast("bigint").alias("n"), checksum.alias("checksum"))
+
+
 def _features(spark, sf, unit: bool, broken: bool) -> DataFrame:
     listing = scan_images(spark, image_files(spark, sf, broken))
     tasks = max(parallelism(spark), math.ceil(listing.count() / IMAGES_PER_TASK))
@@ -93,6 +103,7 @@ QUERIES = {
     "crop_box": crop_box,
     "decode_images": decode_images,
     "image_tensor": image_tensor,
+    "image_resample": image_resample,
     "embed_batch": embed_batch,
     "embed_failures": embed_failures,
     "extract_features": extract_features,
@@ -112,7 +123,23 @@ t as (select k, y, x, c, cast(cast((p / cast(255 as double) - {_per_channel(IMAG
 cells as (select k, (y // {SIDE // GRID}) * {3 * GRID} + (x // {SIDE // GRID}) * 3 + c as cell, avg(v) as value
   from t group by all)"""
 
+def _taps(n_out: int) -> str:
+    """Weights of the bicubic rule (a = -0.5) that halves `2 * n_out` lines, spread over twice its reach."""
+    return f"""select o, j, w / sum(w) over (partition by o) as w from (
+      select o, j, case when d < 1 then (1.5 * d - 2.5) * d * d + 1 else ((-0.5 * d + 2.5) * d - 4) * d + 2 end as w
+      from (select o, j, cast(abs(j + 0.5 - (o + 0.5) * 2) / 2 as double) as d
+            from range({n_out}) t(o), range({2 * n_out}) s(j)) where d < 2)"""
+
+
 ORACLES = {
+    "image_resample": f"""with px as ({WIDE_PIXEL_SQL}), tx as ({_taps(3 * SIDE // 2)}), ty as ({_taps(SIDE)}),
+across as (select k, y, o as x, c, greatest(least(floor(sum(p * w) + 0.5), 255), 0) as p
+  from px join tx on px.x = tx.j group by all),
+down as (select k, o as y, x, c, greatest(least(floor(sum(p * w) + 0.5), 255), 0) as p
+  from across join ty on across.y = ty.j group by all),
+middle as (select k, y - {(SIDE - CROP) // 2} as y, x - {(3 * SIDE // 2 - CROP) // 2} as x, c, cast(p as bigint) as p from down)
+select k, count(*) as n, cast(sum(p * ((y * {3 * CROP} + x * 3 + c) % 97 + 1)) as bigint) as checksum from middle
+where y between 0 and {CROP - 1} and x between 0 and {CROP - 1} group by k""",
     "resize_geometry": f"""{_SIZES}, n as (select *,
     cast(floor(cast(224 as double) * greatest(w, h) / least(w, h)) as integer) as long from s)
 select p_partkey,
