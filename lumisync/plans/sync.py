@@ -44,31 +44,35 @@ def concat_rows(kept: DataFrame, added: DataFrame) -> DataFrame:
 def sync(
     store: VectorStore, current: DataFrame, encoder: Encoder | ColumnEncoder,
     rows_per_task: int = ROWS_PER_EMBED_TASK, broadcast_key_bytes: int = BROADCAST_KEY_BYTES,
+    root: str | None = None,
 ) -> SyncStats:
     """One pass: classify, embed new and modified rows, drop deleted ones, publish.
 
     `current` is a snapshot (path, mtime), unique by path; the encoder reads `path`.
     Nothing is written when nothing changed. A small change adds its rows and tombstones; a
-    large one writes the buckets anew that it or a tombstone touches.
+    large one writes the buckets anew that it or a tombstone touches. With `root`, `current`
+    lists that folder only, and stored rows outside of it stay as they are.
     """
     with scratch(store.spark):
-        return _sync(store, current, encoder, rows_per_task, broadcast_key_bytes)
+        return _sync(store, current, encoder, rows_per_task, broadcast_key_bytes, root)
 
 
 def _sync(store: VectorStore, current: DataFrame, encoder: Encoder | ColumnEncoder,
-          rows_per_task: int, broadcast_key_bytes: int) -> SyncStats:
+          rows_per_task: int, broadcast_key_bytes: int, root: str | None) -> SyncStats:
     started = time.perf_counter()
     head = store.current()
-    diff = _written_diff(store, current, head)
+    diff = _written_diff(store, current, head, root)
     counts = _counts(diff)
     stats = SyncStats(counts["new"], counts["modified"], counts["deleted"],
                       counts["unchanged"], counts["total"], 0, 0.0)
     if not (stats.new or stats.modified or stats.deleted):
         return stats
-    if stats.unchanged and head.dim != encoder.dim:
+    n_rows = (head.n_rows if head else 0) + stats.new - stats.deleted
+    n_kept = n_rows - stats.new - stats.modified
+    if n_kept and head.dim != encoder.dim:
         raise ValueError(f"the store holds vectors of {head.dim} entries, the encoder makes {encoder.dim}")
 
-    n_buckets = store.buckets_for(stats.total, encoder.dim)
+    n_buckets = store.buckets_for(n_rows, encoder.dim)
     if head and n_buckets < GROWTH * head.n_buckets:
         n_buckets = head.n_buckets
     diff = diff.withColumn("bucket", store.bucket(F.col("path"), n_buckets))
@@ -76,9 +80,9 @@ def _sync(store: VectorStore, current: DataFrame, encoder: Encoder | ColumnEncod
     gone = diff.where(F.col("status").isin(MODIFIED, DELETED))
     n_gone, gone_bytes = stats.modified + stats.deleted, counts["changed_bytes"] or 0
     touched = _buckets(diff.where(F.col("status") != UNCHANGED))
-    is_small = head is not None and head.n_buckets == n_buckets and stats.unchanged > 0 and (
+    is_small = head is not None and head.n_buckets == n_buckets and n_kept > 0 and (
         head.dead_bytes + gone_bytes <= broadcast_key_bytes
-        and head.n_dead + n_gone <= DEAD_SHARE * stats.total
+        and head.n_dead + n_gone <= DEAD_SHARE * n_rows
         and all(len(head.parts.get(b, ())) < MAX_PARTS for b in touched))
 
     if is_small:
@@ -93,12 +97,12 @@ def _sync(store: VectorStore, current: DataFrame, encoder: Encoder | ColumnEncod
         rewritten = set(head.dead_buckets) | touched if head and head.n_buckets == n_buckets else set(range(n_buckets))
         kept = _kept(store, head, gone, rewritten, n_buckets, broadcast_key_bytes)
         folder = store.stage(concat_rows(kept, added) if kept is not None else added, head, encoder.dim)
-        filled = rewritten & _buckets(diff.where(F.col("status") != DELETED))
+        staged = store.spark.read.schema("path string, bucket int").parquet(f"{store.root}/{folder}")
         parts = {b: listed for b, listed in (head.parts if head else {}).items() if b not in rewritten}
-        parts |= {b: [f"{folder}/bucket={b}"] for b in filled}
+        parts |= {b: [f"{folder}/bucket={b}"] for b in _buckets(staged)}
         state = {}
     stats.failed = _failed(store, folder, diff)
-    store.publish(head, encoder.dim, parts, stats.total, n_buckets, **state)
+    store.publish(head, encoder.dim, parts, n_rows, n_buckets, **state)
     stats.elapsed = time.perf_counter() - started
     return stats
 
@@ -113,10 +117,14 @@ def stats_frame(spark: SparkSession, stats: SyncStats) -> DataFrame:
     return spark.createDataFrame([tuple(asdict(stats).values())], schema)
 
 
-def _written_diff(store: VectorStore, current: DataFrame, head) -> DataFrame:
+def _written_diff(store: VectorStore, current: DataFrame, head, root: str | None) -> DataFrame:
     """The classification as a table: later steps read it several times, and it must not
     change between them if the file tree does."""
-    diff = classify(current, store.read(head=head).select("path", "mtime"))
+    stored = store.read(head=head).select("path", "mtime")
+    if root is not None:
+        below = F.startswith("path", F.lit(root.rstrip("/") + "/"))
+        current, stored = current.where(below), stored.where(below)
+    diff = classify(current, stored)
     target = fresh_dir(store.spark, "diff")
     diff.write.parquet(target)
     return store.spark.read.schema(diff.schema).parquet(target)

@@ -285,6 +285,22 @@ def test_a_grown_store_gets_more_buckets(spark, tmp_path, monkeypatch):
     assert store.current().n_buckets == 12 and store.read().count() == 60
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_roots_are_synced_one_by_one(spark, store, limit):
+    a = {f"/a/{i}": 1.0 for i in range(30)}
+    b = {f"/ab/{i}": 1.0 for i in range(30)}
+    for root, rows in (("/a", a), ("/ab", b)):
+        stats = sync(store, snapshot(spark, list(rows.items())), LENGTH, broadcast_key_bytes=limit, root=root)
+        assert (stats.new, stats.deleted) == (30, 0)
+    del a["/a/3"]
+    a["/a/4"] = 2.0
+    stats = sync(store, snapshot(spark, list(a.items())), LENGTH, broadcast_key_bytes=limit, root="/a/")
+    assert (stats.modified, stats.deleted, stats.unchanged) == (1, 1, 28)
+    assert {r.path: r.mtime for r in store.read().collect()} == a | b and store.current().n_rows == 59
+    assert sync(store, snapshot(spark, []), LENGTH, broadcast_key_bytes=limit, root="/a").deleted == 29
+    assert {r.path: r.mtime for r in store.read().collect()} == b
+
+
 def test_two_writers_of_one_version(spark, store):
     sync(store, snapshot(spark, [("/r/a", 1.0)]), LENGTH)
 
