@@ -88,8 +88,13 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         made = _scratch.get()
         _scratch.reset(token)
         for path in made:
-            named = spark._jvm.org.apache.hadoop.fs.Path(path)
-            named.getFileSystem(spark._jsc.hadoopConfiguration()).delete(named, True)
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that `fresh_dir` named."""
+    named = spark._jvm.org.apache.hadoop.fs.Path(path)
+    named.getFileSystem(spark._jsc.hadoopConfiguration()).delete(named, True)
 
 
 def parallelism(spark: SparkSession) -> int:
