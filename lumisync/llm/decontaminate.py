@@ -122,10 +122,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     per_doc = hits.groupBy(*key).agg(places.alias("places"), F.array_sort(F.collect_set("item_group")).alias("groups"))
     per_doc = materialize(per_doc.select(*key, _covered(F.col("places")).alias("n_hit"), "groups",
                                          F.md5(F.to_json("groups")).alias("groups_key")), "hits")
-    items = _items_of(per_doc, windows)
-    same = [documents[c].eqNullSafe(per_doc[c]) for c in key]
-    joined = documents.join(per_doc, same, "left").select(
-        documents.doc_id, documents.text_hash, "n_words", "copies", "n_hit", "groups_key").join(items, "groups_key", "left")
+    # documents without hits have no key and stay out of this join
+    named = per_doc.join(_items_of(per_doc, windows), "groups_key").drop("groups", "groups_key")
+    same = [documents[c].eqNullSafe(named[c]) for c in key]
+    joined = documents.join(named, same, "left").select(
+        documents.doc_id, documents.text_hash, "n_words", "copies", "n_hit", "n_items", "items_sha256")
     return joined.select(
         "doc_id", "text_hash", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
