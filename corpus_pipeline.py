@@ -10,7 +10,7 @@ from lumisync.llm.decontaminate import find_hits
 from lumisync.llm.language import document_rows, identify
 from lumisync.llm.near_dedup import near_duplicates
 from lumisync.llm.pii import redact
-from lumisync.llm.tables import materialize, read_table, without
+from lumisync.llm.tables import materialize, read_table, settle, without
 from lumisync.session import name_local_scratch
 
 
@@ -19,9 +19,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Rows alike in id and text are judged alike: if one goes, they all do.
     """
-    decided = identify(document_rows(docs), docs)
-    rejected = decided.where("not kept").select(F.col("row_key").alias("rejected_id"), F.col("text_key").alias("rejected_text"))
-    rejected = materialize(rejected.distinct(), "rejected")
+    rejected = settle(spark, "rejected", lambda: identify(document_rows(docs), docs).where("not kept").select(
+        F.col("row_key").alias("rejected_id"), F.col("text_key").alias("rejected_text")).distinct())
     return without(docs, rejected, {"rejected_id": docs["doc_id"], "rejected_text": F.xxhash64(docs["text"])})
 
 
@@ -30,7 +29,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Of several rows of one id, the first by their values stays. Rows without id stay.
     """
-    grouped = materialize(near_duplicates(docs), "groups")
+    grouped = settle(spark, "groups", lambda: near_duplicates(docs))
     dropped = grouped.where("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct()
     rest = without(docs, materialize(dropped, "dropped"), {"dropped_id": docs["doc_id"]})
     repeated = grouped.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
@@ -46,9 +45,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def not_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    hits = find_hits(docs, read_table(spark, sf_dir, "benchmark")).where("n_hit > 0")
-    hit = hits.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_text")).distinct()
-    return without(docs, materialize(hit, "hit"), {"hit_id": docs["doc_id"], "hit_text": F.xxhash64(docs["text"])})
+    benchmark = read_table(spark, sf_dir, "benchmark")
+    hit = settle(spark, "hit", lambda: find_hits(docs, benchmark).where("n_hit > 0").select(
+        F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_text")).distinct())
+    return without(docs, hit, {"hit_id": docs["doc_id"], "hit_text": F.xxhash64(docs["text"])})
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from .chunks import expand, expand_ranks, expand_words, pack, rank_order, spans,
 from .tables import materialize, read_table, shuffle_partitions
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 
 _ENCODED = "chunk long, bucket int, tally binary, ids binary, id_counts binary"
 _ARROW_ENCODED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("tally", pa.binary()),
@@ -139,7 +139,7 @@ def _assembler(path: str):
     return assemble
 
 
-def _stretches(edges: np.ndarray, words: int = 500_000) -> Iterator[tuple[int, int]]:
+def _stretches(edges: np.ndarray, words: int = 100_000) -> Iterator[tuple[int, int]]:
     """Consecutive documents of about so many words, to bound the memory of one step."""
     first = 0
     while first < len(edges) - 1:

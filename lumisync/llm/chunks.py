@@ -10,7 +10,7 @@ The packed table has two kinds of rows:
 - `bucket` null: a chunk's documents (`doc_ids`, `flags`, `lengths` in words) and `numbers`,
   the word numbers of all its documents one after the other;
 - `bucket` set: the chunk's sorted words of that bucket (`words`), how often the chunk has
-  them (`tally`) and how often its flagged documents do (`uses`).
+  them (`tally`) and, if there are flags, how often its flagged documents do (`uses`).
 
 A word's number is its rank by falling `tally`; of equal ones the lower bucket comes first,
 then the sorted order. So numbers are mostly small, and `rank_order` finds a word from the
@@ -124,7 +124,7 @@ def pack(
 ) -> DataFrame:
     """Pack `(doc_id, text[, flag])` rows; null text is empty. `split` gives a text's words.
 
-    `flag` marks the documents whose words count in `uses`; without it all do. `hashed` adds
+    `flag` marks the documents whose words count in `uses`, which is null without it. `hashed` adds
     the crc32 of each word of the vocabulary. A chunk holds at least one document and ends
     with the document that reaches `chunk_bytes`.
     """
@@ -135,7 +135,7 @@ def pack(
         ids, flags, parts, size = [], [], [], 0
         numbers = defaultdict(count().__next__)
         for batch in batches:
-            marks = batch.column("flag").to_pylist() if has_flag else [True] * batch.num_rows
+            marks = batch.column("flag").to_pylist() if has_flag else [None] * batch.num_rows
             for doc_id, text, mark in zip(batch.column("doc_id").to_pylist(), batch.column("text"), marks):
                 text = text.as_py() or ""
                 words = split(text)
@@ -165,15 +165,17 @@ def _packed(chunk: int, ids: list, flags: list, parts: list[np.ndarray], vocabul
     rank_of = np.empty(len(vocabulary), np.uint32)
     rank_of[order[ranked]] = np.arange(len(vocabulary), dtype=np.uint32)
     lengths = np.array([len(p) for p in parts], np.uint32)
-    flagged = numbers[np.repeat(np.array(flags, bool), lengths)]
-    uses = np.bincount(flagged, minlength=len(vocabulary))[order]
+    uses = None
+    if flags[0] is not None:
+        flagged = numbers[np.repeat(np.array(flags, bool), lengths)]
+        uses = np.bincount(flagged, minlength=len(vocabulary))[order]
     rows = [{"chunk": chunk, "doc_ids": ids, "flags": bytes(map(bool, flags)), "lengths": squeeze(lengths),
              "numbers": squeeze_ranks(rank_of[numbers]), "hashes": squeeze(hashes[order][ranked]) if hashed else None}]
     starts = np.searchsorted(buckets[order], np.arange(n_buckets + 1))
     for bucket in np.unique(buckets).tolist():
         lo, hi = int(starts[bucket]), int(starts[bucket + 1])
         rows.append({"chunk": chunk, "bucket": bucket, "words": squeeze_words([vocabulary[i] for i in order[lo:hi]]),
-                     "tally": squeeze(tally[lo:hi]), "uses": squeeze(uses[lo:hi])})
+                     "tally": squeeze(tally[lo:hi]), "uses": None if uses is None else squeeze(uses[lo:hi])})
     return pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 

@@ -33,7 +33,7 @@ BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
 LEAST_AGREEING = 80
 BROADCAST_IDS = 1_000_000  # up to so many ids (16 MB) go to every executor instead of a shuffle of all texts
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 BLOCK = 8_192
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)

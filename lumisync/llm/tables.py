@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import fresh_dir
+from ..session import fresh_dir, scratch
 
 BROADCAST_KEYS = 1_000_000  # up to so many keys of 16 bytes go to every executor instead of a shuffle of all rows
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send rows to Python by the thousand where the session has Spark's default of ten thousand:
+    texts are long, and a batch is held several times over on either side."""
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "1000")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -19,11 +30,22 @@ def materialize(rows: DataFrame, label: str) -> DataFrame:
     """Write rows to the shared folder and read them back: the lineage ends in files that
     outlive any executor."""
     spark = rows.sparkSession
+    small_batches(spark)
     path = fresh_dir(spark, label)
     rows.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def settle(spark: SparkSession, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """As `materialize`, but the intermediate tables that `make` and its rows need are deleted."""
+    small_batches(spark)
+    path = fresh_dir(spark, label)
+    with scratch(spark):
+        rows = make()
+        rows.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     """The number of partitions that the session deals its shuffles to; a cluster sets it by its data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
