@@ -1,17 +1,21 @@
 """Language-model scores from a hashed maximum-entropy model with class-factored softmax.
 
-The probability of a word after its history is the product of three factors:
+The probability of a word after its history is the product of these factors:
 
-- its class among 16, a softmax over hashed features of the history: the word before, the
+- its class among 32, a softmax over hashed features of the history: the word before, the
   word before that (a skip feature) and the pair of both;
-- its slot among the 16 of its class, a softmax over the two single-word features;
-- the word within its slot, from corpus counts with one unit of mass for unknown words.
-
-Class and slot are eight bits of the word's crc32, so the vocabulary may grow without bound
-while the weights stay one matrix of fixed size. The weights are trained by distributed
-gradient updates: in each round, every task runs gradient steps over its share of the
-training documents from the common weights, and the changes of each row of the matrix are
-averaged by how often a task used the row. Corpus counts cover all training documents.
+- its place among the 32 of its class, and of those again as often as the vocabulary asks for,
+  each a softmax over the two single-word features;
+- the word within the slot that these places name, from corpus counts with one unit of mass for
+  unknown words.
+
+Class and places are leading bits of the word's crc32. The model follows the training vocabulary:
+there are slots for every 32 words, at least 32 x 32, and the rows of the weight matrix that the
+features are hashed to double whenever the vocabulary quadruples, for every task holds the matrix.
+The weights are trained by distributed gradient updates: in each round, every task runs gradient
+steps over its share of the training documents from the common weights, and the changes of each
+row of the matrix are averaged by how often a task used the row. Corpus counts cover all training
+documents.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from copy import copy
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,20 +35,51 @@ from ..session import map_arrow, parallelism, ship_package
 from .chunks import expand, expand_ranks, expand_words, pack, rank_order, spans, squeeze
 from .tables import crc_of_id, materialize, read_table, shuffle_partitions
 
-CLASSES = 16
-SLOTS = CLASSES * CLASSES
-CLASS_FEATURES = 4096
-SLOT_FEATURES = 1024
+CLASS_BITS = 5
+CLASSES = 1 << CLASS_BITS  # of the first softmax, and the places of each softmax below it
+WORDS_A_SLOT = 32
+LEAST_WORDS = WORDS_A_SLOT * CLASSES * CLASSES  # of a vocabulary that the least shape is made for
 ROUNDS = 2
-STEP_TOKENS = 8192
+STEP_BITS = 13
+STEP_TOKENS = 1 << STEP_BITS
 RATE = 0.1
 BLOCK_ROWS = 512
 
-_CLASS_ROWS = 3 * CLASS_FEATURES
-_ROWS = _CLASS_ROWS + 2 * SLOT_FEATURES * CLASSES
-_COUNTS = "chunk long, bucket int, tally binary, counts binary, slot_tokens array<long>, slot_words array<long>"
+
+class Shape(NamedTuple):
+    """Sizes of a model in bits: its slots, the rows of each class feature, those of each slot feature."""
+
+    slot_bits: int
+    class_row_bits: int
+    slot_row_bits: int
+
+    @classmethod
+    def of(cls, n_words: int) -> Shape:
+        """The sizes for a vocabulary."""
+        more = max(0, (max(1, n_words) - 1).bit_length() - (LEAST_WORDS - 1).bit_length())
+        return cls(2 * CLASS_BITS + more, 12 + (more + 1) // 2, 15 + (more + 1) // 2)
+
+    @property
+    def slots(self) -> int:
+        return 1 << self.slot_bits
+
+    @property
+    def rows(self) -> int:
+        return (3 << self.class_row_bits) + (2 << self.slot_row_bits)
+
+    @property
+    def levels(self) -> list[tuple[int, int]]:
+        """Bits above and bits of each softmax."""
+        return [(at, min(CLASS_BITS, self.slot_bits - at)) for at in range(0, self.slot_bits, CLASS_BITS)]
+
+
+SMALL = Shape(8, 12, 15)  # of a model that is given no vocabulary to follow
+SLOTS = SMALL.slots
+
+_COUNTS = "chunk long, bucket int, tally binary, counts binary, n_words long, hashes binary, uses binary"
 _ARROW_COUNTS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("tally", pa.binary()),
-                           ("counts", pa.binary()), ("slot_tokens", pa.list_(pa.int64())), ("slot_words", pa.list_(pa.int64()))])
+                           ("counts", pa.binary()), ("n_words", pa.int64()), ("hashes", pa.binary()), ("uses", pa.binary())])
+_TOTALS = "slot int, tokens long, words long"
 _UPDATE = "block int, weight binary, change binary"
 _ARROW_UPDATE = pa.schema([("block", pa.int32()), ("weight", pa.binary()), ("change", pa.binary())])
 _SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, base_sum double, model_score double")
@@ -59,9 +96,9 @@ def _tokens(text: str) -> list[bytes]:
 
 
 class _History:
-    """Rows of the weight matrix that each token of some documents uses."""
+    """Rows of the weight matrix that each token of some documents uses, and its places."""
 
-    def __init__(self, hashes: np.ndarray, lengths: np.ndarray):
+    def __init__(self, hashes: np.ndarray, lengths: np.ndarray, shape: Shape = SMALL):
         n, starts = len(hashes), spans(lengths)[:-1]
         starts = starts[lengths > 0]
         before, skipped = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
@@ -70,42 +107,56 @@ class _History:
         skipped[starts] = 0
         skipped[starts[starts + 1 < n] + 1] = 0
         pair = before * np.uint32(2654435761) + skipped * np.uint32(2246822519)
-        self.slot = _slots(hashes).astype(np.int32)
-        self.word_class, self.within = np.divmod(self.slot, CLASSES)
-        self.class_rows = [_bits(before, 12), CLASS_FEATURES + _bits(skipped, 12), 2 * CLASS_FEATURES + _bits(pair, 12)]
-        self.slot_rows = [
-            _CLASS_ROWS + _bits(before, 10) * CLASSES + self.word_class,
-            _CLASS_ROWS + (SLOT_FEATURES + _bits(skipped, 10)) * CLASSES + self.word_class,
-        ]
+        self.above = [_lead(hashes, at).astype(np.int32) for at, _ in shape.levels]
+        self.place = [(_lead(hashes, at + bits) & np.uint32((1 << bits) - 1)).astype(np.int32) for at, bits in shape.levels]
+        self.class_rows = [(i << shape.class_row_bits) + _bits(h, shape.class_row_bits)
+                           for i, h in enumerate((before, skipped, pair))]
+        self.slot_rows = []
+        for (at, _), above in zip(shape.levels[1:], self.above[1:]):
+            path = (above.astype(np.uint32) + np.uint32(1 << at)) * np.uint32(3266489917)
+            for i, h in enumerate((before, skipped)):
+                mixed = (h ^ path) * np.uint32(2246822519)
+                mixed ^= mixed >> np.uint32(15)
+                self.slot_rows.append((3 << shape.class_row_bits) + (i << shape.slot_row_bits) + _bits(mixed, shape.slot_row_bits))
+        self.rows = [self.class_rows, *(self.slot_rows[i:i + 2] for i in range(0, len(self.slot_rows), 2))]
 
 
-def _slots(hashes: np.ndarray) -> np.ndarray:
-    return hashes >> np.uint32(24)
+def _lead(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return hashes >> np.uint32(32 - bits) if bits else np.zeros_like(hashes)
 
 
 def _bits(hashes: np.ndarray, bits: int) -> np.ndarray:
     return ((hashes * np.uint32(2654435769)) >> np.uint32(32 - bits)).astype(np.int32)
 
 
-def _log_softmax(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+def _exponents(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     logits = weights[rows[0]]
     for more in rows[1:]:
         logits += weights[more]
     logits += bias
     logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
     return logits
 
 
 class Model:
-    """Corpus totals and the weights; of fixed size, whatever the corpus."""
+    """Corpus totals and the weights; their sizes are those of the shape."""
+
+    def __init__(self, slot_tokens: np.ndarray, slot_words: np.ndarray, shape: Shape = SMALL):
+        self.slot_tokens, self.slot_words, self.shape = slot_tokens, slot_words, shape
+        prior = slot_tokens + 1.0
+        self.biases = []
+        for at, bits in shape.levels:
+            mass = prior.reshape(1 << at, 1 << bits, -1).sum(axis=2)
+            bias = np.full((1 << at, CLASSES), -1e30, np.float32)  # places beyond the last
+            bias[:, :1 << bits] = np.log(mass / mass.sum(axis=1, keepdims=True))
+            self.biases.append(bias)
+        self.weights = np.zeros((shape.rows, CLASSES), np.float32)
 
-    def __init__(self, slot_tokens: np.ndarray, slot_words: np.ndarray):
-        self.slot_tokens, self.slot_words = slot_tokens, slot_words
-        prior = (slot_tokens + 1.0).reshape(CLASSES, -1)
-        self.class_bias = np.log(prior.sum(axis=1) / prior.sum()).astype(np.float32)
-        self.slot_bias = np.log(prior / prior.sum(axis=1, keepdims=True)).astype(np.float32)
-        self.weights = np.zeros((_ROWS, CLASSES), np.float32)
+    def __getstate__(self) -> dict:
+        return vars(self) | {"weights": squeeze(self.weights.view(np.uint32).ravel())}
+
+    def __setstate__(self, state: dict) -> None:
+        vars(self).update(state, weights=expand(state["weights"]).view(np.float32).reshape(-1, CLASSES))
 
     @property
     def n_tokens(self) -> int:
@@ -116,25 +167,28 @@ class Model:
         return int(self.slot_words.sum())
 
     def log_probs(self, history: _History, at: slice) -> np.ndarray:
-        """Natural log of class and slot of each token."""
-        n, classes, slots = np.arange(at.stop - at.start), history.word_class[at], history.within[at]
-        of_class = _log_softmax(self.class_bias, self.weights, [r[at] for r in history.class_rows])
-        of_slot = _log_softmax(self.slot_bias[classes], self.weights, [r[at] for r in history.slot_rows])
-        return of_class[n, classes] + of_slot[n, slots]
+        """Natural log of the slot of each token."""
+        n, total = np.arange(at.stop - at.start), 0.0
+        for bias, above, place, rows in zip(self.biases, history.above, history.place, history.rows):
+            logits = _exponents(bias[above[at]], self.weights, [r[at] for r in rows])
+            total = total + logits[n, place[at]] - np.log(np.exp(logits, out=logits).sum(axis=1))
+        return total
 
     def learn(self, history: _History, chosen: np.ndarray, seen: np.ndarray, squares: np.ndarray) -> None:
         """Gradient steps with a rate per row over the chosen tokens; `seen` counts the uses of a row."""
         for start in range(0, len(chosen), STEP_TOKENS):
             at = chosen[start:start + STEP_TOKENS]
-            classes, n = history.word_class[at], np.arange(len(at))
-            class_rows, slot_rows = [r[at] for r in history.class_rows], [r[at] for r in history.slot_rows]
-            missing = -np.exp(_log_softmax(self.class_bias, self.weights, class_rows))
-            missing[n, classes] += 1
-            within = -np.exp(_log_softmax(self.slot_bias[classes], self.weights, slot_rows))
-            within[n, history.within[at]] += 1
-            for rows, gradient in [(r, missing) for r in class_rows] + [(r, within) for r in slot_rows]:
-                order = np.argsort(rows, kind="stable")
-                ranked = rows[order]
+            n, gradients = np.arange(len(at)), []
+            for bias, above, place, rows in zip(self.biases, history.above, history.place, history.rows):
+                used = [r[at] for r in rows]
+                missing = _exponents(bias[above[at]], self.weights, used)
+                np.exp(missing, out=missing)
+                missing /= -missing.sum(axis=1, keepdims=True)
+                missing[n, place[at]] += 1
+                gradients += [(r, missing) for r in used]
+            for rows, gradient in gradients:
+                keys = np.sort((rows.astype(np.int64) << STEP_BITS) | n)  # by row, then in order of the text
+                order, ranked = keys & (STEP_TOKENS - 1), keys >> STEP_BITS
                 first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
                 touched, total = ranked[first], np.add.reduceat(gradient[order], first, axis=0)
                 seen[touched] += np.diff(np.append(first, len(rows)))
@@ -159,7 +213,8 @@ def score_documents(docs: DataFrame, is_training, rounds: int = ROUNDS) -> DataF
     words = packed.where("bucket is not null").select("chunk", "bucket", "words", "tally", "uses")
     ship_package(spark)
     counts = materialize(words.groupBy("bucket").applyInArrow(_count_bucket, _COUNTS), "lm-counts")
-    model = Model(*_slot_totals(counts))
+    shape = Shape.of(counts.agg(F.sum("n_words")).first()[0] or 0)
+    model = Model(*_slot_totals(counts, shape), shape)
 
     chunks = packed.where("bucket is null").select("chunk", "doc_ids", "flags", "lengths", "numbers", "hashes")
     for number in range(rounds):
@@ -177,18 +232,17 @@ def score_documents(docs: DataFrame, is_training, rounds: int = ROUNDS) -> DataF
 
 
 def _count_bucket(rows: pa.Table) -> pa.Table:
-    """The corpus count of every word of a bucket, back in the order of each chunk, and totals by slot."""
+    """The corpus count of every word of a bucket, back in the order of each chunk, and its training words."""
     totals: dict[bytes, int] = defaultdict(int)
     chunks = rows.select(["chunk", "words", "tally", "uses"]).to_pylist()
     bucket = rows.column("bucket")[0].as_py()
     for row in chunks:
         for word, uses in zip(expand_words(row["words"]), expand(row["uses"]).tolist()):
             totals[word] += uses
-    slots = _slots(np.fromiter(map(zlib.crc32, totals), np.uint32, len(totals)))
-    tokens = np.fromiter(totals.values(), np.int64, len(totals))
-    out = [{"bucket": bucket,
-            "slot_tokens": np.bincount(slots, tokens, SLOTS).astype(np.int64).tolist(),
-            "slot_words": np.bincount(slots, tokens > 0, SLOTS).astype(np.int64).tolist()}]
+    trained = [word for word, uses in totals.items() if uses]
+    out = [{"bucket": bucket, "n_words": len(trained),
+            "hashes": squeeze(np.fromiter(map(zlib.crc32, trained), np.uint32, len(trained))),
+            "uses": squeeze(np.fromiter(map(totals.__getitem__, trained), np.uint64, len(trained)))}]
     for row in chunks:
         found = [totals[word] for word in expand_words(row["words"])]
         out.append({"chunk": row["chunk"], "bucket": bucket, "tally": row["tally"],
@@ -196,12 +250,24 @@ def _count_bucket(rows: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, schema=_ARROW_COUNTS)
 
 
-def _slot_totals(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    stats = counts.where("chunk is null").select(F.posexplode(F.arrays_zip("slot_tokens", "slot_words")))
-    sums = stats.groupBy("pos").agg(F.sum("col.slot_tokens").alias("tokens"), F.sum("col.slot_words").alias("words"))
-    tokens, words = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
-    for row in sums.collect():  # one row per slot
-        tokens[row.pos], words[row.pos] = row.tokens, row.words
+def _slot_totals(counts: DataFrame, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """Training tokens and words of every slot."""
+    def by_slot(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, words = np.zeros(shape.slots, np.int64), np.zeros(shape.slots, np.int64)
+        for batch in batches:
+            for row in batch.to_pylist():
+                slots, uses = _lead(expand(row["hashes"]), shape.slot_bits), expand(row["uses"]).astype(np.int64)
+                np.add.at(tokens, slots, uses)
+                np.add.at(words, slots, 1)
+        found = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(found.astype(np.int32)), pa.array(tokens[found]), pa.array(words[found])], ["slot", "tokens", "words"])
+
+    partial = map_arrow(counts.where("chunk is null").select("hashes", "uses"), by_slot, _TOTALS)
+    sums = partial.groupBy("slot").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).toArrow()
+    tokens, words = np.zeros(shape.slots, np.int64), np.zeros(shape.slots, np.int64)
+    slots = sums.column("slot").to_numpy()  # one row per slot
+    tokens[slots], words[slots] = sums.column("tokens").to_numpy(), sums.column("words").to_numpy()
     return tokens, words
 
 
@@ -209,42 +275,51 @@ def _train_round(chunks: DataFrame, model: Model) -> None:
     """One pass of gradient steps over the chunks; the averaged changes go into the weights."""
     spark = chunks.sparkSession
     start = spark.sparkContext.broadcast(model)
-    tasks = chunks.coalesce(2 * parallelism(spark))  # each task sends one copy of its changes
+    tasks = chunks.coalesce(parallelism(spark))  # each task sends one copy of its changes
     changes = map_arrow(tasks, _trainer(start), _UPDATE)
     dealt = changes.repartition(shuffle_partitions(spark), "block")
-    for row in map_arrow(dealt, _average, _UPDATE).collect():  # the matrix, once
+    for row in map_arrow(dealt, _average, _UPDATE).toLocalIterator():  # the matrix, once
         at = row.block * BLOCK_ROWS
         change = np.frombuffer(row.change, np.float32).reshape(-1, CLASSES)
         model.weights[at:at + len(change)] += change
-    start.unpersist()
+    start.destroy()
 
 
 def _trainer(start):
     def train(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(start.value.slot_tokens, start.value.slot_words)
-        model.weights = start.value.weights.copy()
-        seen, squares = np.zeros(_ROWS, np.int64), np.zeros(_ROWS, np.float32)
+        model = copy(start.value)  # weights too
+        n_rows = model.shape.rows
+        seen, squares = np.zeros(n_rows, np.int64), np.zeros(n_rows, np.float32)
         for batch in batches:
             for row in batch.to_pylist():
                 lengths, training = expand(row["lengths"]), np.frombuffer(row["flags"], np.bool_)
-                history = _History(expand(row["hashes"])[expand_ranks(row["numbers"])], lengths)
+                history = _History(expand(row["hashes"])[expand_ranks(row["numbers"])], lengths, model.shape)
                 chosen = np.flatnonzero(np.repeat(training, lengths))
                 model.learn(history, chosen, seen, squares)
-        for at in range(0, _ROWS, BLOCK_ROWS):
+        for at in range(0, n_rows, BLOCK_ROWS):
             if (weight := seen[at:at + BLOCK_ROWS]).any():
                 change = model.weights[at:at + BLOCK_ROWS] - start.value.weights[at:at + BLOCK_ROWS]
                 yield pa.RecordBatch.from_pylist([{"block": at // BLOCK_ROWS, "weight": squeeze(weight),
-                                                   "change": change.tobytes()}], schema=_ARROW_UPDATE)
+                                                   "change": _squeeze_change(change)}], schema=_ARROW_UPDATE)
 
     return train
 
 
+def _squeeze_change(change: np.ndarray) -> bytes:
+    """A change of weights on its way, in 16-bit floating point; sums and weights have 32 bits or more."""
+    return squeeze(change.astype(np.float16).view(np.uint16).astype(np.uint32).ravel())
+
+
+def _expand_change(packed: bytes) -> np.ndarray:
+    return expand(packed).astype(np.uint16).view(np.float16).astype(np.float64).reshape(-1, CLASSES)
+
+
 def _average(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
         for row in batch.to_pylist():
             weight = expand(row["weight"]).astype(np.float64)
-            change = np.frombuffer(row["change"], np.float32).reshape(-1, CLASSES) * weight[:, None]
+            change = _expand_change(row["change"]) * weight[:, None]
             if (old := sums.get(row["block"])) is not None:
                 weight, change = old[0] + weight, old[1] + change
             sums[row["block"]] = weight, change
@@ -262,11 +337,12 @@ def _scorer(shared):
         counts = counts[rank_order(row["tally"] for row in found)]
         hashes = [np.zeros(0, np.uint32), *(expand(packed.as_py()) for packed in chunks.column("hashes"))]
         base = np.log10(counts + 1.0)
-        in_slot = base - np.log10(model.slot_tokens + model.slot_words + 1.0)[_slots(np.concatenate(hashes))]
+        in_slot = base - np.log10(model.slot_tokens + model.slot_words + 1.0)[
+            _lead(np.concatenate(hashes), model.shape.slot_bits)]
         parts = []
         for row in chunks.to_pylist():
             lengths, numbers = expand(row["lengths"]), expand_ranks(row["numbers"])
-            history = _History(expand(row["hashes"])[numbers], lengths)
+            history = _History(expand(row["hashes"])[numbers], lengths, model.shape)
             scores = in_slot[numbers]
             for at in range(0, len(numbers), STEP_TOKENS):
                 step = slice(at, min(at + STEP_TOKENS, len(numbers)))

@@ -67,3 +67,26 @@ def test_history_ends_with_the_document():
     apart, alone = L._History(hashes, np.array([3, 3])), L._History(hashes[:3], np.array([3]))
     for a, b in zip(apart.class_rows + apart.slot_rows, alone.class_rows + alone.slot_rows):
         assert (a == np.tile(b, 2)).all()
+
+
+def test_model_follows_the_vocabulary():
+    small, large = L.Shape.of(1_000), L.Shape.of(3_000_000)
+    assert small.slots == 32 * 32 and large.slots * 32 >= 3_000_000
+    assert large.class_row_bits > small.class_row_bits and large.slot_row_bits > small.slot_row_bits
+    rng = np.random.default_rng(1)
+    shape = L.Shape(12, 12, 15)  # the last softmax has four places only
+    model = L.Model(rng.integers(0, 90, shape.slots), rng.integers(1, 9, shape.slots), shape)
+    model.weights[:] = rng.normal(size=model.weights.shape)
+    hashes = np.array([h for slot in range(shape.slots) for h in (7 << 24, 9 << 20, slot << 20)], np.uint32)
+    history = L._History(hashes, np.full(shape.slots, 3), shape)
+    every = np.exp(model.log_probs(history, slice(0, len(hashes))).astype(float))
+    assert every[2::3].sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_scores_use_the_shape_of_the_vocabulary(spark, monkeypatch):
+    shapes = []
+    totals = L._slot_totals
+    monkeypatch.setattr(L, "_slot_totals", lambda counts, shape: shapes.append(shape) or totals(counts, shape))
+    rows = [(i, " ".join(f"w{j}" for j in range(i * 1_000, i * 1_000 + 1_000))) for i in range(40)]
+    assert len(L.score_documents(documents(spark, rows), F.lit(True)).collect()) == 40
+    assert shapes == [L.Shape.of(40_001)] and shapes[0].slots == 2_048
