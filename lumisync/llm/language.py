@@ -19,7 +19,7 @@ from ..session import map_arrow
 from .tables import materialize, read_table
 
 LABELLED_ROWS = 1_000  # labelled rows of each language that the text models may learn from
-MAX_LANGUAGES = 64  # the most frequent ones
+HELD_LANGUAGES = 64  # whose counts a task holds before it sends them on
 BUCKET_BITS = 15
 EVIDENCE_TRIGRAMS = 200  # a longer text weighs as much as one of so many independent trigrams
 UNKNOWN_NATS = -10.4  # log-likelihood of a trigram of an unknown language: all buckets alike
@@ -50,36 +50,42 @@ def _trigram_counts(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 def learn_models(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and their log-probabilities of trigram buckets, from rows `(text, lang)`.
 
-    A bounded sample by hash: up to `LABELLED_ROWS` of each of the `MAX_LANGUAGES` most frequent
-    languages. Null and empty texts and labels teach nothing.
+    A bounded sample by hash: up to `LABELLED_ROWS` of each language, however many there are. Null
+    and empty texts and labels teach nothing.
     """
     rows = labelled.where("lang is not null and lang <> '' and text is not null and text <> ''").select(
         F.lower("lang").alias("lang"), "text")
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r.lang for r in common)
-    share = {r.lang: LABELLED_ROWS / r["count"] for r in common}
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
+    languages = sorted(sizes)
     if not languages:
         return [], np.zeros((0, 1 << BUCKET_BITS))
-    keep = F.lit(0.0)
-    for lang, part in share.items():
-        keep = F.when(F.col("lang") == lang, min(1.0, 1.25 * part)).otherwise(keep)
+    wanted = [(lang, i, min(1.0, 1.25 * LABELLED_ROWS / sizes[lang])) for i, lang in enumerate(languages)]
+    wanted = labelled.sparkSession.createDataFrame(wanted, "lang string, number int, keep double")
     chance = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000.0
-    chosen = rows.where(F.col("lang").isin(languages)).where(chance < keep)
-    number = {lang: i for i, lang in enumerate(languages)}
+    chosen = rows.join(F.broadcast(wanted), "lang").where(chance < F.col("keep")).select("number", "text")
+
+    def sent(found: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, counted in found.items():
+            at = np.flatnonzero(counted)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(at), lang, np.int32)), pa.array(at.astype(np.int32)), pa.array(counted[at])], ["lang", "bucket", "n"])
 
     def counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros((len(languages), 1 << BUCKET_BITS), np.int64)
+        found: dict[int, np.ndarray] = {}
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                found[number[lang]] += np.bincount(_trigram_counts(text, BUCKET_BITS)[0], minlength=1 << BUCKET_BITS)
-        at = np.nonzero(found)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at[0].astype(np.int32)), pa.array(at[1].astype(np.int32)), pa.array(found[at])], ["lang", "bucket", "n"])
+            for lang, text in zip(batch.column("number").to_pylist(), batch.column("text").to_pylist()):
+                if lang not in found:
+                    if len(found) == HELD_LANGUAGES:
+                        yield from sent(found)
+                        found.clear()
+                    found[lang] = np.zeros(1 << BUCKET_BITS, np.int64)
+                found[lang] += np.bincount(_trigram_counts(text, BUCKET_BITS)[0], minlength=1 << BUCKET_BITS)
+        yield from sent(found)
 
     partial = map_arrow(chosen, counts, "lang int, bucket int, n long")
     totals = np.full((len(languages), 1 << BUCKET_BITS), 0.1)
-    for row in partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():  # languages x buckets at most
-        totals[row.lang, row.bucket] += row.n
+    summed = partial.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages x buckets at most
+    totals[summed.column("lang").to_numpy(), summed.column("bucket").to_numpy()] += summed.column("n").to_numpy()
     return languages, np.log(totals / totals.sum(axis=1, keepdims=True))
 
 
@@ -102,7 +108,7 @@ def identify(rows: DataFrame, labelled: DataFrame) -> DataFrame:
     if not languages:
         return inputs.select("row_key", "text_key", F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("probability"),
                              F.lit(True).alias("kept"))
-    shared = spark.sparkContext.broadcast(logs.T.copy())  # buckets x languages, of fixed size
+    shared = spark.sparkContext.broadcast(logs.T.copy())  # buckets x languages
 
     def likelihoods(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -120,6 +126,8 @@ def identify(rows: DataFrame, labelled: DataFrame) -> DataFrame:
 
     scored = materialize(map_arrow(inputs, likelihoods, _SCORED), "language-scores")
     names = [*languages, UNKNOWN]
+    for given in ("declared", "suffix"):
+        scored = scored.withColumn(f"{given}_known", F.col(given).isin(names))
     by_content = F.zip_with("logs", _hints(names), lambda a, b: a + b)
     scored = scored.select("row_key", "text_key", "host", "parent", "n_letters", by_content.alias("logs"))
 
@@ -137,32 +145,33 @@ def identify(rows: DataFrame, labelled: DataFrame) -> DataFrame:
 
 def _hints(names: list[str]) -> Column:
     """Log-likelihood of the declared language and of the suffix for each language."""
-    def hint(given: str, right: float) -> list[Column]:
+    every = F.array(*map(F.lit, names))
+
+    def hint(given: str, right: float, name: Column) -> Column:
         wrong = (1 - right) / max(1, len(names) - 1)
-        known = F.col(given).isin(names)
-        return [F.when(known, F.when(F.col(given) == n, float(np.log(right))).otherwise(float(np.log(wrong)))).otherwise(0.0)
-                for n in names]
+        return F.when(F.col(f"{given}_known"), F.when(F.col(given) == name, float(np.log(right))).otherwise(float(np.log(wrong)))).otherwise(0.0)
 
-    return F.array(*[a + b for a, b in zip(hint("declared", DECLARED_RIGHT), hint("suffix", SUFFIX_RIGHT))])
+    return F.transform(every, lambda n: hint("declared", DECLARED_RIGHT, n) + hint("suffix", SUFFIX_RIGHT, n))
 
 
 def _host_priors(scored: DataFrame, n: int) -> DataFrame:
     """(host, parent, prior): language shares of each host, smoothed by its parent's and the corpus's."""
-    best = F.array_position("logs", F.array_max("logs"))
-    counts = scored.groupBy("host", "parent").agg(*[F.sum((best == i + 1).cast("double")).alias(f"n{i}") for i in range(n)])
-    counts = materialize(counts.select("host", "parent", F.array(*[f"n{i}" for i in range(n)]).alias("counts")), "host-counts")
-    each = [F.sum(F.get("counts", F.lit(i))) for i in range(n)]
-    whole = counts.agg(*[F.coalesce(e, F.lit(0.0)).alias(f"n{i}") for i, e in enumerate(each)]).first()
-    corpus = [(v + 1.0 / n) / (sum(whole) + 1.0) for v in whole]
-    parents = counts.groupBy("parent").agg(F.array(*each).alias("of_parent"))
-    base = F.array(*map(F.lit, corpus))
+    best = F.array_position("logs", F.array_max("logs")).cast("int")
+    counts = materialize(scored.groupBy("host", "parent", best.alias("best")).agg(F.count(F.lit(1)).cast("double").alias("n")), "host-counts")
+    whole = [0.0] * n
+    for row in counts.groupBy("best").agg(F.sum("n").alias("n")).collect():  # one row per language
+        whole[row.best - 1] = row.n
+    base = F.array(*[F.lit((v + 1.0 / n) / (sum(whole) + 1.0)) for v in whole])
+    of_each = F.map_from_entries(F.collect_list(F.struct("best", "n")))
 
     def smoothed(counted: str, prior: Column) -> Column:
-        total = F.aggregate(counted, F.lit(0.0), lambda s, x: s + x)
-        return F.zip_with(counted, prior, lambda c, p: (c + SMOOTHING * p) / (total + SMOOTHING))
+        total = F.aggregate(F.map_values(counted), F.lit(0.0), lambda s, x: s + x)
+        return F.transform(prior, lambda p, i: (F.coalesce(F.try_element_at(counted, i + 1), F.lit(0.0)) + SMOOTHING * p) / (total + SMOOTHING))
 
+    parents = counts.groupBy("parent", "best").agg(F.sum("n").alias("n")).groupBy("parent").agg(of_each.alias("of_parent"))
     parents = parents.select("parent", smoothed("of_parent", base).alias("of_parent"))
-    return counts.join(parents, "parent").select("host", "parent", smoothed("counts", F.col("of_parent")).alias("prior"))
+    hosts = counts.groupBy("host", "parent").agg(of_each.alias("counts"))
+    return hosts.join(parents, "parent").select("host", "parent", smoothed("counts", F.col("of_parent")).alias("prior"))
 
 
 def document_rows(docs: DataFrame) -> DataFrame:

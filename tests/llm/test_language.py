@@ -1,5 +1,6 @@
 import collections
 
+import numpy as np
 from cases import ROWS, documents
 from pyspark.sql import functions as F
 
@@ -52,3 +53,14 @@ def test_query(spark, sf):
     assert sum(r.page_id is not None for r in got) == spark.read.parquet(f"{sf}/pages.parquet").count()
     assert sum(r.lang == docs[r.doc_id] for r in got if r.doc_id is not None) >= 0.98 * len(docs)
     assert all(0 <= r.probability <= 1 for r in got)
+
+
+def test_every_language_has_a_model(spark):
+    """80 languages, each with words of its own; none is left out for being rare."""
+    rng = np.random.default_rng(0)
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(30)] for _ in range(80)]
+    labelled = [(" ".join(rng.choice(w, 200)), f"l{i:02d}") for i, w in enumerate(words) for _ in range(1 + (i < 64))]
+    rows = [(i, " ".join(rng.choice(w, 60)), "h", None, None, None) for i, w in enumerate(words)]
+    rows += [(100 + i, "ok", f"h{i}", None, f"l{i:02d}", f"l{i:02d}") for i in range(80)]
+    got = _identify(spark, rows, spark.createDataFrame(labelled, "text string, lang string"))
+    assert all(got[i].lang == got[100 + i].lang == f"l{i:02d}" and got[i].kept for i in range(80))
