@@ -13,6 +13,8 @@ from lumisync.llm.pii import redact
 from lumisync.llm.tables import materialize, read_table, settle, without
 from lumisync.session import name_local_scratch
 
+NEAR_PERCENT = 80  # similarity of near copies; op6's own threshold is another
+
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; those without letters or of no known language go.
@@ -29,7 +31,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Of several rows of one id, the first by their values stays. Rows without id stay.
     """
-    grouped = settle(spark, "groups", lambda: near_duplicates(docs))
+    grouped = settle(spark, "groups", lambda: near_duplicates(docs, NEAR_PERCENT))
     dropped = grouped.where("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct()
     rest = without(docs, materialize(dropped, "dropped"), {"dropped_id": docs["doc_id"]})
     repeated = grouped.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")

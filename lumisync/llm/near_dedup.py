@@ -1,11 +1,12 @@
 """Near-duplicate documents by MinHash: banding, verification and connected components.
 
 1. Every text becomes its set of 5-word shingles (64-bit hashes) and 128 universal hash minima,
-   dealt into 32 bands of 4. Two sets of similarity 0.85 share a band but for 1 pair in 10^10.
+   dealt into 32 bands of 4. Two sets of similarity 0.85 share a band but for 1 pair in 10^10,
+   of 0.80 but for 1 in 2 * 10^7.
    Equal sets become one class at once, so a group of copies is one node from here on.
 2. The classes of a band bucket are linked to the smallest of them, its representative, not to
-   each other. Signatures discard pairs that agree in fewer than 80 of 128 minima (a pair of
-   similarity 0.85 does so once in 10^10); the rest is confirmed on full sets.
+   each other. Signatures discard pairs that agree in too few of the 128 minima, for 85 % fewer
+   than 79 (a pair of the asked similarity does so once in 10^10); the rest is confirmed on full sets.
 3. Buckets whose classes are then in one component are done, for all other pairs in them would
    link nothing new. The classes of the other buckets are joined by an exact prefix filter: two
    sets of the asked similarity share one of the rarest shingles of each, early enough to leave
@@ -15,7 +16,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ WORDS = 5
 PERCENT = 85
 BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
-LEAST_AGREEING = 80
+MISSED = 1e-10  # the share of pairs of the asked similarity that signatures may discard
 BROADCAST_IDS = 1_000_000  # up to so many ids (16 MB) go to every executor instead of a shuffle of all texts
 CACHED_WORDS = 200_000
 BLOCK = 8_192
@@ -119,26 +121,39 @@ def _expand_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 schema=_ARROW_SETS)
 
 
-def _agreeing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures agree often enough."""
-    for batch in batches:
-        if batch.num_rows:
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, MINIMA)
-                           for c in ("minima_a", "minima_b"))
-            kept = pa.array((left == right).sum(axis=1) >= LEAST_AGREEING)
-            yield batch.select(["a", "b"]).filter(kept)
+def least_agreeing(percent: int) -> int:
+    """Minima in which a pair of that similarity agrees but for `MISSED` of the pairs."""
+    p, below = percent / 100, 0.0
+    for k in range(MINIMA + 1):
+        below += comb(MINIMA, k) * p**k * (1 - p) ** (MINIMA - k)
+        if below > MISSED:
+            return k
+    return MINIMA
+
+
+def _agreeing(least: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs whose signatures agree in `least` minima or more."""
+    def agreeing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, MINIMA)
+                               for c in ("minima_a", "minima_b"))
+                kept = pa.array((left == right).sum(axis=1) >= least)
+                yield batch.select(["a", "b"]).filter(kept)
+
+    return agreeing
 
 
-def similar_size(n: Column, m: Column) -> Column:
+def similar_size(n: Column, m: Column, percent: int) -> Column:
     """Sets of such sizes can have the asked similarity."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of `(doc_id, text)`.
 
     Words stand between ASCII white space, A-Z in lower case. Sets whose intersection has at
-    least 85 % of the size of their union are linked; `component_id` is the smallest doc_id
+    least `percent` % of the size of their union are linked; `component_id` is the smallest doc_id
     reachable over links. Null and empty texts have no shingles and link with nothing. Rows of
     one doc_id count as one document: each keeps its row, and their groups are joined. Rows
     without doc_id have a null component and are linked with nothing. Other columns are ignored.
@@ -153,11 +168,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = _bucket_members(classes)
     sets = _sets_of(texts, classes, members)
 
-    pairs = members.where("node <> rep").where(similar_size(F.col("n"), F.col("rep_n")))
-    found = _confirmed(pairs.select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct(), sets, signatures=True)
+    pairs = members.where("node <> rep").where(similar_size(F.col("n"), F.col("rep_n"), percent))
+    found = _confirmed(pairs.select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct(), sets, percent, signatures=True)
     links = materialize(found, "star-links")
     rest = _unresolved(members, connected_components(links), sets)
-    more = materialize(_confirmed(_prefix_pairs(rest), sets), "rest-links")
+    more = materialize(_confirmed(_prefix_pairs(rest, percent), sets, percent), "rest-links")
 
     # rows of one id in several classes join these
     same_id = (signed.where("n_shingles > 0").join(classes.select("set_key", "node"), "set_key")
@@ -191,18 +206,18 @@ def _sets_of(texts: DataFrame, classes: DataFrame, members: DataFrame) -> DataFr
     return materialize(rows, "sets")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, signatures: bool = False) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, signatures: bool = False) -> DataFrame:
     """The pairs `(a, b)` whose full sets have the asked similarity."""
     def side(name: str, *columns: str) -> DataFrame:
         return sets.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
     if signatures:
         known = pairs.join(side("a", "minima"), "a").join(side("b", "minima"), "b")
-        pairs = map_arrow(known.select("a", "b", "minima_a", "minima_b"), _agreeing, "a long, b long")
+        pairs = map_arrow(known.select("a", "b", "minima_a", "minima_b"), _agreeing(least_agreeing(percent)), "a long, b long")
     both = pairs.join(side("a", "n", "shingles"), "a").join(side("b", "n", "shingles"), "b")
     shared = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")
     counted = both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"), shared.alias("shared"))
-    return counted.where(F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * PERCENT).select("a", "b")
+    return counted.where(F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * percent).select("a", "b")
 
 
 def _unresolved(members: DataFrame, components: DataFrame, sets: DataFrame) -> DataFrame:
@@ -216,7 +231,7 @@ def _unresolved(members: DataFrame, components: DataFrame, sets: DataFrame) -> D
     return materialize(nodes.join(rows, "node"), "unresolved")
 
 
-def _prefix_pairs(rest: DataFrame) -> DataFrame:
+def _prefix_pairs(rest: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that an exact prefix filter lets through.
 
     Shingles are put in one order for all sets, the rarest first. If x and y, not larger, have
@@ -229,19 +244,19 @@ def _prefix_pairs(rest: DataFrame) -> DataFrame:
     ordered = (tokens.join(counts, "token").groupBy("row")
                .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("tokens")))
     n = F.col("n")
-    probe = (n - F.ceil(n * PERCENT / 100) + 1).cast("int")
+    probe = (n - F.ceil(n * percent / 100) + 1).cast("int")
     prefixed = (ordered.join(rest.select("row", "node", "n", "component"), "row")
                 .select("node", "n", "component", F.posexplode(F.slice("tokens", 1, probe)).alias("at", "item"))
                 .where("item.df > 1").select("node", "n", "component", "at", F.col("item.token").alias("token")))
     prefixed = materialize(prefixed, "prefixes")
-    index = F.col("n_y") - F.ceil(F.col("n_y") * (2 * PERCENT) / (100 + PERCENT)) + 1
+    index = F.col("n_y") - F.ceil(F.col("n_y") * (2 * percent) / (100 + percent)) + 1
     x = prefixed.select("token", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "component", "at")])
     y = prefixed.select("token", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "component", "at")])
     smaller = (F.col("n_y") < F.col("n_x")) | ((F.col("n_y") == F.col("n_x")) & (F.col("node_y") < F.col("node_x")))
     room = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
-    enough = room * (100 + PERCENT) >= (F.col("n_x") + F.col("n_y")) * PERCENT
+    enough = room * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent
     matched = (x.token == y.token) & smaller & (F.col("component_x") != F.col("component_y")) & (
-        F.col("at_y") < index) & similar_size(F.col("n_x"), F.col("n_y")) & enough
+        F.col("at_y") < index) & similar_size(F.col("n_x"), F.col("n_y"), percent) & enough
     pairs = x.join(y, matched).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
     return pairs.distinct()
 

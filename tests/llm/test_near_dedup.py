@@ -93,3 +93,23 @@ def test_components_of_random_links(spark, seed):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {n: find(n) for link in links if link[0] != link[1] for n in link}
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("percent", [60, 80])
+def test_other_similarities_by_brute_force(spark, percent):
+    """60 copies with up to 12 of 150 words changed, against every pair."""
+    rng = np.random.default_rng(percent)
+    rows = []
+    for i in range(60):
+        copy = [f"word{j}" for j in range(150)]
+        for at in rng.choice(len(copy), rng.integers(0, 13), replace=False):
+            copy[at] = f"new{rng.integers(10**6)}"
+        rows.append((i, " ".join(copy)))
+    sets = [_shingles(t) for _, t in rows]
+    links = {(i, j) for i in range(60) for j in range(i) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
+    want = list(range(60))
+    for _ in rows:
+        for i, j in links:
+            want[i] = want[j] = min(want[i], want[j])
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(documents(spark, rows), percent).collect()}
+    assert got == dict(enumerate(want))

@@ -57,3 +57,12 @@ def test_one_row_of_each_id_stays(spark, sf):
     kept = _rows(C.one_of_each_group(spark, documents(spark), sf))
     ids = [i for i, _ in kept if i is not None]
     assert len(ids) == len(set(ids)) and (None, None) in kept and (1, ROWS[0][1]) in kept and 2 not in ids
+
+
+def test_near_copies_from_80_percent_go(spark, sf):
+    words = [f"word{i}" for i in range(200)]
+    copy = [f"new{i}" if i in (30, 80, 130, 180) else w for i, w in enumerate(words)]
+    a, b = ({tuple(t[i:i + 5]) for i in range(196)} for t in (words, copy))
+    assert 0.80 <= len(a & b) / len(a | b) < 0.85
+    rows = [(1, " ".join(words)), (2, " ".join(copy)), (3, "something else entirely that stays as it is")]
+    assert [i for i, _ in _rows(C.one_of_each_group(spark, documents(spark, rows), sf))] == [1, 3]
