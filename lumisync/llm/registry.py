@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, language, lm_scoring, near_dedup, pii, quality, token_counts, url_filter, vector_search
+from . import (byte_bpe, decontaminate, divergence, language, lm_scoring, near_dedup, pii, quality, token_counts, url_filter,
+               vector_search)
 
-_MODULES = (pii, lm_scoring, decontaminate, language, vector_search, near_dedup, byte_bpe, quality, token_counts, url_filter)
+_MODULES = (pii, lm_scoring, decontaminate, language, vector_search, near_dedup, byte_bpe, quality, token_counts, url_filter,
+            divergence)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
