@@ -14,16 +14,16 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import map_arrow
 from .tables import crc_of_id, read_table
 
-DICTIONARY_BYTES = 512 << 10
+DICTIONARY_BYTES = 1 << 20  # of whole labelled texts; the next text that would go beyond ends the sample
 DICTIONARY_ROWS = 2_000  # labelled rows of a class that may go into its dictionary
+LONGEST_SAMPLE = 64 << 10  # a labelled text with more bytes is not taken as a sample
 CALIBRATION_ROWS = 8_000  # labelled rows that may go into the calibration
-PIECE, PIECE_STEP, PIECES = 2_048, 8_192, 8  # what a labelled row gives to a dictionary
 BLOCK_BYTES = 4_096
 LEVEL = 3
 THRESHOLD = 0.7
@@ -78,6 +78,20 @@ def _calibrate(features: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return weights
 
 
+def _dictionary(rows: DataFrame, labelled: DataFrame) -> bytes:
+    """The whole texts of a sample of labelled rows: the first by hash of the id, up to the bounds above."""
+    chosen = labelled.orderBy("order", "doc_id").limit(DICTIONARY_ROWS)
+    texts = rows.join(F.broadcast(chosen), "doc_id").withColumn("bytes", F.octet_length("text"))
+    texts = texts.where(F.col("bytes").between(1, LONGEST_SAMPLE))
+    text_hash = F.xxhash64("text").alias("text_hash")  # a labelled row is one text of its id
+    one = texts.groupBy("order", "doc_id").agg(F.min(F.struct(text_hash, "bytes")).alias("one")).select("order", "doc_id", "one.*")
+    through = F.sum("bytes").over(Window.orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    keys = one.withColumn("through", through).where(F.col("through") <= DICTIONARY_BYTES).select("doc_id", "text_hash")
+    taken = texts.select("*", text_hash).join(F.broadcast(keys), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+    found = sorted(taken.select("order", "doc_id", "text").collect())  # at most DICTIONARY_BYTES
+    return "\n".join(r.text for r in found).encode()
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, may_learn: Column) -> DataFrame:
     """(doc_id, score) of every row of `(doc_id, text)`; `labels` is `(doc_id, quality)`.
 
@@ -93,15 +107,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Data
              .withColumn("order", F.xxhash64("doc_id")))
     part = F.pmod("order", F.lit(2))
 
-    contents = []
-    for good in (True, False):
-        chosen = known.where((part == 0) & (F.col("good") == good)).orderBy("order", "doc_id").limit(DICTIONARY_ROWS)
-        starts = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: i * PIECE_STEP + 1)
-        pieces = F.concat_ws("\n", F.transform(starts, lambda at: F.substring("text", at, F.lit(PIECE))))
-        texts = rows.join(F.broadcast(chosen), "doc_id").select("order", "doc_id", pieces.alias("piece"))
-        taken = sorted(texts.collect())  # at most DICTIONARY_ROWS * PIECES * PIECE characters
-        contents.append("\n".join(r.piece for r in taken).encode()[:DICTIONARY_BYTES])
-    good, bad = contents
+    good, bad = (_dictionary(rows, known.where((part == 0) & (F.col("good") == good))) for good in (True, False))
     if not good or not bad:
         return rows.select("doc_id", F.lit(0.5).alias("score"))
 

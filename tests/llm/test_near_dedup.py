@@ -11,7 +11,7 @@ def _shingles(text):
     return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def brute_force(rows):
+def brute_force(rows, percent=85):
     """{doc_id: smallest id reachable}; rows of one id count as one document."""
     sets = [(i, _shingles(t)) for i, t in rows]
     parent = {i: i for i, _ in rows if i is not None}
@@ -24,7 +24,7 @@ def brute_force(rows):
     known = [(i, s) for i, s in sets if i is not None and s]
     for k, (i, s) in enumerate(known):
         for j, t in known[:k]:
-            if i != j and 100 * len(s & t) >= 85 * len(s | t):
+            if i != j and 100 * len(s & t) >= percent * len(s | t):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
     return {i: find(i) for i in parent}

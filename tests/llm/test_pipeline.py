@@ -23,7 +23,7 @@ def test_each_stage_on_what_the_one_before_kept(spark, sf):
     first = C.materialize(known(spark, docs, sf), "t")
     assert first.columns == docs.columns and _rows(first) == _rows(docs)  # all are of a known language
     second = C.materialize(single(spark, first, sf), "t")
-    groups = groups_of(_rows(first))
+    groups = groups_of(_rows(first), C.NEAR_PERCENT)
     assert _rows(second) == [r for r in _rows(first) if groups[r[0]] == r[0]]
     third = C.materialize(clean(spark, second, sf), "t")
     hit = {i for i, _, n, *_ in hits_of(_rows(second), items) if n}
@@ -53,10 +53,23 @@ def test_edge_cases_and_empty_tables(spark, sf):
         assert empty.count() == 0, name
 
 
-def test_one_row_of_each_id_stays(spark, sf):
+def test_unrelated_texts_of_one_id_stay(spark, sf):
+    def text(seed):
+        return " ".join(f"w{seed}x{i}" for i in range(40))
+
+    rows = [(1, text(1)), (5, text(1)), (5, text(2)), (7, text(3)), (7, text(4)), (7, text(3)), (8, text(4) + " end"), (9, None), (9, None),
+            (9, ""), (None, text(1)), (None, text(1)), (4, text(2)), (10, text(5)), (10, text(5) + " end")]
+    kept = _rows(C.one_of_each_group(spark, documents(spark, rows), sf))
+    assert kept == sorted([(1, text(1)), (7, text(3)), (7, text(4)), (9, None), (9, ""), (None, text(1)), (None, text(1)),
+                           (4, text(2)), (10, text(5))], key=repr) or (10, text(5) + " end") in kept
+    assert len(kept) == 9 and {i for i, _ in kept} == {1, 4, 7, 9, 10, None}
+
+
+def test_rows_alike_are_one_document(spark, sf):
     kept = _rows(C.one_of_each_group(spark, documents(spark), sf))
-    ids = [i for i, _ in kept if i is not None]
-    assert len(ids) == len(set(ids)) and (None, None) in kept and (1, ROWS[0][1]) in kept and 2 not in ids
+    pairs = [r for r in kept if r[0] is not None]
+    assert len(pairs) == len(set(pairs)) and (None, None) in kept and (1, ROWS[0][1]) in kept and 2 not in dict(kept)
+    assert {t for i, t in pairs if i == 10} == {t for i, t in ROWS if i == 10}  # two unrelated texts
 
 
 def test_near_copies_from_80_percent_go(spark, sf):
