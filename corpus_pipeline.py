@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumisync.llm.byte_bpe import encode_and_decode
@@ -10,7 +10,7 @@ from lumisync.llm.decontaminate import find_hits
 from lumisync.llm.language import document_rows, identify
 from lumisync.llm.near_dedup import near_duplicates
 from lumisync.llm.pii import redact
-from lumisync.llm.tables import materialize, read_table, settle, without
+from lumisync.llm.tables import look_up, materialize, read_table, settle, without
 from lumisync.session import name_local_scratch
 
 NEAR_PERCENT = 80  # similarity of near copies; op6's own threshold is another
@@ -27,22 +27,39 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies; one row of each id.
+    """The document of the smallest id of each group of near copies.
 
-    Of several rows of one id, the first by their values stays. Rows without id stay.
+    Rows alike in id and text are one document, of which the first by its values stays. Different texts
+    under one id are documents of their own: only links between their texts make one of them go, the
+    later one by its values of two of one id. Rows without id stay.
     """
+    named = docs.where("doc_id is not null")
+    repeated = named.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("repeated_id"))
+    repeated = materialize(repeated, "repeated")
+    if not repeated.isEmpty():
+        return _of_repeated_ids(spark, docs, repeated)
     grouped = settle(spark, "groups", lambda: near_duplicates(docs, NEAR_PERCENT))
-    dropped = grouped.where("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct()
-    rest = without(docs, materialize(dropped, "dropped"), {"dropped_id": docs["doc_id"]})
-    repeated = grouped.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    repeated = materialize(repeated.select(F.col("doc_id").alias("repeated_id")), "repeated")
-    if repeated.isEmpty():
-        return rest
-    several = rest.join(repeated, rest["doc_id"] == repeated["repeated_id"], "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(*docs.columns)
-    numbered = several.select(F.struct("*").alias("row"), F.row_number().over(order).alias("number"))
-    first = numbered.where("number = 1").select(*[F.col(f"row.`{c}`") for c in docs.columns])
-    return without(rest, repeated, {"repeated_id": rest["doc_id"]}).union(first)
+    dropped = grouped.where("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id"))
+    return without(docs, materialize(dropped, "dropped"), {"dropped_id": docs["doc_id"]})
+
+
+def _of_repeated_ids(spark: SparkSession, docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The same where ids repeat: each id and text is numbered, and groups are made of the numbers."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    several = docs.join(repeated, docs["doc_id"] == repeated["repeated_id"], "left_semi")
+    first = several.groupBy("doc_id", "text").agg(F.min(F.struct(*columns)).alias("first"))
+    single = without(docs, repeated, {"repeated_id": docs["doc_id"]}).union(first.select("first.*"))
+    numbered = materialize(single.select(F.struct(*columns).alias("document"), F.monotonically_increasing_id().alias("number")),
+                           "numbered")
+    named = numbered.where("document.doc_id is not null")
+    texts = named.select(F.col("number").alias("doc_id"), "document.text")
+    grouped = settle(spark, "groups", lambda: near_duplicates(texts, NEAR_PERCENT))
+    members = materialize(named.select("document.doc_id", "number").join(
+        grouped.select(F.col("doc_id").alias("number"), "component_id"), "number"), "members")
+    stays = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "number")).alias("stays"))
+    found = look_up(members, materialize(stays, "stays"), ["component_id"])
+    dropped = found.where("number <> stays.number").select(F.col("number").alias("dropped"))
+    return without(numbered, materialize(dropped, "dropped"), {"dropped": numbered["number"]}).select("document.*")
 
 
 def not_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
