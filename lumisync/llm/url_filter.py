@@ -5,6 +5,7 @@ The model is trained from a small labelled URL table; rules are a short list in
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
@@ -39,7 +40,37 @@ _ADDRESSES = (
     "https://{}.example.com/en/12", "http://www.{}.example.net/de/345.html", "https://m.{}.example.org/fr/6/",
     "http://blog.{}.example.com/es/78?page=2", "https://{}.example/",
 )
-LABELLED_URLS = [(address.format(name), label)
+# Addresses as they are: well-known sites and invented ones of the kinds that are not wanted.
+_WANTED_URLS = (
+    "https://github.com/explore", "https://www.python.org/doc/", "https://docs.oracle.com/en/java/", "https://de.wikipedia.org/wiki/Berlin",
+    "https://fr.wikipedia.org/wiki/Paris", "https://www.wikidata.org/wiki/Q42", "https://www.ox.ac.uk/admissions", "https://www.ed.ac.uk/",
+    "https://web.mit.edu/research", "https://www.stanford.edu/", "https://www.nasa.gov/missions", "https://www.nist.gov/publications",
+    "https://www.gov.uk/browse/benefits", "https://www.parliament.uk/", "https://europa.eu/", "https://www.who.int/health-topics",
+    "https://www.un.org/en/about-us", "https://www.bbc.co.uk/news/world", "https://www.theguardian.com/science", "https://www.lemonde.fr/",
+    "https://www.zeit.de/kultur", "https://elpais.com/cultura", "https://www.nature.com/articles", "https://arxiv.org/abs/1706.03762",
+    "https://www.jstor.org/stable", "https://spark.apache.org/docs/latest/", "https://kernel.org/", "https://www.gnu.org/software/emacs/",
+    "https://stackoverflow.com/questions/tagged/sql", "https://developer.mozilla.org/en-US/docs/Web", "https://www.w3.org/TR/html52/",
+    "https://www.ietf.org/standards/rfcs/", "https://www.gutenberg.org/ebooks/1342", "https://archive.org/details/texts",
+    "https://www.openstreetmap.org/about", "https://www.britishmuseum.org/collection", "https://www.louvre.fr/en", "https://www.bl.uk/",
+    "https://www.metoffice.gov.uk/weather", "https://www.sussex.ac.uk/study", "https://www.middlesex.edu/", "https://www.bundestag.de/",
+    "http://localhost/index.html", "https://blog.example.org/2019/05/how-to-bake-bread", "https://shop.example.org/books/item?id=3",
+    "https://travel-notes.example.net/fr/2021/", "https://www.example.net/en/about", "https://example.org/", "https://example.com/de/kontakt",
+    "http://what-is-that.example.net/fr/faq", "http://that-other-place.example.com/es/11",
+)
+_UNWANTED_URLS = (
+    "http://secure-login.verify-account.invalid/", "http://phishing.invalid/login", "http://account-login-verify.invalid/signin",
+    "http://update-your-password.invalid/login.php", "http://bank-login-confirm.invalid/", "http://phish-kit.invalid/paypal-login/",
+    "http://free-iphone-winner.invalid/claim", "http://you-won-prize.invalid/", "http://casino777.invalid/bonus",
+    "http://bonus.slots-jackpot.invalid/play", "http://online-poker-room.invalid/", "http://betting-odds-tips.invalid/",
+    "http://cheapviagra.invalid/buy", "http://buy-pills-no-prescription.invalid/", "http://lose-weight-fast-pills.invalid/",
+    "http://hotxxx.invalid/videos", "http://sexcams.invalid/live", "http://adultfriend.invalid/", "http://freeporn.invalid/tube",
+    "http://adserver7.invalid/click?id=9", "http://popads.invalid/banner", "http://tracking-ads.invalid/pixel.gif",
+    "http://seo-backlinks-cheap.invalid/", "http://buy-followers-cheap.invalid/", "http://link-farm-directory.invalid/links",
+    "http://replica-watches-cheap.invalid/", "http://payday-loans-fast-cash.invalid/", "http://crypto-doubler-free.invalid/",
+    "http://crack-keygen-warez.invalid/download", "http://torrent-free-movies.invalid/download", "http://make-money-fast.invalid/",
+    "http://work-from-home-rich.invalid/", "http://miracle-diet-pills.invalid/", "http://spam-mail-lists.invalid/buy",
+)
+LABELLED_URLS = [(url, label) for label, urls in ((1, _UNWANTED_URLS), (0, _WANTED_URLS)) for url in urls] + [(address.format(name), label)
                  for label, names in ((1, _UNWANTED), (0, _WANTED)) for name in names for address in _ADDRESSES]
 
 
@@ -78,9 +109,9 @@ def _split(url: str) -> tuple[str, str]:
 
 
 def train(labelled: Iterable[tuple[str, int]], steps: int = 300, rate: float = 1.0, decay: float = 1e-4) -> np.ndarray:
-    """Weights of the n-gram buckets and, last, the bias. Up to `MAX_LABELLED` labelled URLs are
-    read; the result does not depend on their order."""
-    rows = sorted(labelled)[:MAX_LABELLED]
+    """Weights of the n-gram buckets and, last, the bias. Of more than `MAX_LABELLED` labelled URLs, those with
+    the smallest hashes are the sample; the result does not depend on their order."""
+    rows = sorted(heapq.nsmallest(MAX_LABELLED, labelled, key=lambda row: (zlib.crc32(row[0].encode()), row)))
     weights = np.zeros((1 << FEATURE_BITS) + 1)
     if not rows:
         return weights
@@ -103,15 +134,20 @@ def train(labelled: Iterable[tuple[str, int]], steps: int = 300, rate: float = 1
 def judge_urls(
     pages: DataFrame,
     rules: Sequence[tuple[str, str]] = RULES,
-    labelled: Iterable[tuple[str, int]] = tuple(LABELLED_URLS),
+    labelled: DataFrame | Iterable[tuple[str, int]] = tuple(LABELLED_URLS),
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of every row of `(page_id, url)`.
 
     `score` is the model's probability that a URL is unwanted; it decides where no rule fits,
     from 0.5 on as `block`. Null URLs and URLs without `://` have an empty host and path, fit
     no rule and are allowed unless the model's bias says otherwise. Repeated rows and null ids
-    give a row each; other columns are ignored.
+    give a row each; other columns are ignored. `labelled` is a table of (url, label), 1 for unwanted, or
+    pairs of these; rows without either are not used.
     """
+    if isinstance(labelled, DataFrame):
+        known = labelled.select("url", F.col("label").cast("int").alias("label")).where("url is not null and label is not null")
+        order = F.crc32(F.col("url").cast("binary"))
+        labelled = [(r.url, r.label) for r in known.orderBy(order, "url", "label").limit(MAX_LABELLED).collect()]
     weights = train(labelled)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

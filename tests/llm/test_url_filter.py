@@ -44,3 +44,36 @@ def test_unwanted_hosts_are_found_and_others_left_alone(spark):
 def test_training_does_not_depend_on_order_and_takes_no_rows():
     assert (U.train(U.LABELLED_URLS) == U.train(U.LABELLED_URLS[::-1])).all()
     assert not U.train([]).any()
+
+
+def test_addresses_that_were_not_learnt(spark):
+    wanted = ["https://github.com/apache/spark", "https://www.cam.ac.uk/research", "https://www.essex.ac.uk", "https://en.wikipedia.org/wiki/Spark"]
+    unwanted = ["http://phishing-login.example", "http://mega-casino-slots.test/", "http://cheap-pills-now.test/buy", "http://xxx-cams.test/"]
+    pages = spark.createDataFrame(list(enumerate(wanted + unwanted)), "page_id long, url string")
+    got = {r.url: r.verdict for r in U.judge_urls(pages).join(pages, "page_id").collect()}
+    assert got == dict.fromkeys(wanted, "allow") | dict.fromkeys(unwanted, "block")
+
+
+def test_scores_by_the_definition(spark):
+    """The model on one core: every bucket of every n-gram once, summed and scaled."""
+    import math
+    import zlib
+
+    weights = U.train(U.LABELLED_URLS)
+    urls = [u for u in URLS if u] + ["http://long.example/" + "path/" * 20_000]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    for r in U.judge_urls(pages).collect():
+        host, path, *_ = brute_force(urls[r.page_id])
+        buckets = {zlib.crc32(text[i:i + n].encode()) >> 16 for text in (f"<{host}>", f"|{path}|") for n in (3, 4, 5)
+                   for i in range(len(text) - n + 1)}
+        logit = math.fsum(weights[b] for b in buckets) / math.sqrt(max(1, len(buckets))) + weights[-1]
+        assert abs(r.score - 1 / (1 + math.exp(-logit))) < 1e-9
+
+
+def test_a_table_of_labels_is_sampled_by_hash(spark, monkeypatch):
+    rows = U.LABELLED_URLS * 2 + [(None, 1), ("http://x", None)]
+    labels = spark.createDataFrame(rows, "url string, label int")
+    pages = spark.createDataFrame([(1, "http://a.example/b")], "page_id long, url string")
+    monkeypatch.setattr(U, "MAX_LABELLED", 300)
+    by_table = U.judge_urls(pages, labelled=labels).first().score
+    assert by_table == U.judge_urls(pages, labelled=[r for r in rows if None not in r][::-1]).first().score
