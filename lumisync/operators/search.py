@@ -4,21 +4,28 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator, Sequence
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyarrow import parquet
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.vectors import ZERO_TOLERANCE, dot, is_match, is_zero, norm, vector_literal
-from ..session import fresh_dir, map_arrow
+from ..session import fresh_dir, map_arrow, parallelism
+from ..sources.files import is_uri, read_bytes, strip_file_scheme
 from .blocks import to_matrix
 
-# So many bytes of queries, and so many results of theirs, does a task hold at a time; more
-# queries are worked off in blocks, each by one pass over the store.
+# So many bytes of queries, and so many results of all queries, does a task hold at a time.
 BLOCK_BYTES = 32 << 20
 BLOCK_RESULTS = 2_000_000
+# With several blocks of queries, a task goes through them once for so many bytes of its rows.
+STRETCH_BYTES = 64 << 20
+SEED_ROWS = 4_096  # rows of the store that give the first bounds of a large search
+SLOT_ROWS = 100_000  # candidates of one query that one task ranks
 SCORES_PER_STEP = 4_000_000
 ARROW_MAX_LIMIT = 100_000
 # Every task hands on its best rows. More of them than this are cut in parallel before the
@@ -182,42 +189,77 @@ def batch_search(store: DataFrame, queries: DataFrame, limit: int = 10, key: str
     """The `limit` best rows for each query: (query_key, rank, key, score).
 
     `queries` is (query_key, query_vec) with unique keys; NULL vectors find nothing. They are
-    written first, so that an encoder behind them runs once, and dealt by hash into blocks of at
-    most about `block_bytes` of vectors and `block_results` results. Each block goes to every
-    task, which reads its part of the store once: the store is never shuffled or copied. With
-    more than one block, write a store that comes from an encoder first.
+    written first, dealt by hash into files of about `block_bytes` of vectors. The store is read
+    once, for any number of queries: a task holds a stretch of its rows and goes through the files
+    with it, one at a time. It holds at most about `block_results` results; beyond that it hands
+    on what it has and remembers each query's bound, which later rows must reach.
     """
     if limit < 1:
         raise ValueError("limit must be at least 1")
-    spark = store.sparkSession
     rows = store.select(F.col(key).alias("__key"), F.col(vector).alias("__vec")).where("__vec is not null")
     asked = _written(queries.select(F.col(query_key).alias("__qid"), F.col("query_vec").alias("__qvec"))
-                     .where("__qvec is not null"))
+                     .where("__qvec is not null").withColumn("__floor", F.lit(0.0)))
     size = asked.agg(F.count("*").alias("n"), F.max(F.size("__qvec")).alias("dim"),
                      F.sum(F.octet_length(F.col("__qid").cast("string"))).alias("ids")).first()
+    blocks = max(1, math.ceil((size.n * (size.dim or 0) * 8 + (size.ids or 0)) / block_bytes))
+    if blocks > 1:
+        asked = _written(asked.repartition(blocks, "__qid"))
     out = rows.select("__key").schema.add("score", "double").add("__qid", asked.schema["__qid"].dataType)
 
-    blocks = max(1, math.ceil((size.n * (size.dim or 0) * 8 + (size.ids or 0)) / block_bytes),
-                 math.ceil(size.n * limit / block_results))
-    candidates = None
-    for block in range(blocks):
-        chosen = asked.where(F.pmod(F.xxhash64("__qid"), F.lit(blocks)) == block).toArrow()
-        shared = spark.sparkContext.broadcast(
-            (chosen.column("__qid").combine_chunks(), to_matrix(chosen.column("__qvec"), size.dim)))
-        found = map_arrow(rows, _many_topk_task(shared, limit), out)
-        candidates = found if candidates is None else candidates.union(found)
-
-    order = Window.partitionBy("__qid").orderBy(F.desc("score"), F.asc("__key"))
-    ranked = candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    def candidates(rows: DataFrame) -> DataFrame:
+        return map_arrow(rows, _many_topk_task(_QueryFiles(asked, blocks), limit, block_results), out)
+
+    tasks = rows.rdd.getNumPartitions()
+    if tasks * size.n * limit > MERGE_ROWS:
+        # Bounds from a few rows: what lies below the best of these is in no result.
+        seeds = rows.limit(SEED_ROWS).repartition(parallelism(store.sparkSession))
+        bounds = _ranked(candidates(seeds), limit, 1).where(F.col("rank") == limit).select("__qid", F.col("score").alias("__bound"))
+        known = asked.join(bounds, "__qid", "left").select("__qid", "__qvec", F.coalesce("__bound", "__floor").alias("__floor"))
+        asked = _written(known.repartition(blocks, "__qid"))
+    ranked = _ranked(candidates(rows), limit, math.ceil(tasks * limit / SLOT_ROWS))
     return ranked.select(F.col("__qid").alias(query_key), "rank", F.col("__key").alias(key), "score")
 
 
+def _ranked(candidates: DataFrame, limit: int, slots: int) -> DataFrame:
+    """The `limit` best candidates of each query with their rank. With several slots, those of a query
+    are cut in parallel first, so that one task never ranks what all tasks of a large store hand on."""
+    order = [F.desc("score"), F.asc("__key")]
+    if slots > 1:
+        part = Window.partitionBy("__qid", "__slot").orderBy(*order)
+        dealt = candidates.withColumn("__slot", F.pmod(F.xxhash64("__key"), F.lit(slots)))
+        candidates = dealt.withColumn("__place", F.row_number().over(part)).where(F.col("__place") <= limit)
+    rank = F.row_number().over(Window.partitionBy("__qid").orderBy(*order))
+    return candidates.withColumn("rank", rank).where(F.col("rank") <= limit)
+
+
 def _written(rows: DataFrame) -> DataFrame:
     target = fresh_dir(rows.sparkSession, "queries")
     rows.write.parquet(target)
     return rows.sparkSession.read.schema(rows.schema).parquet(target)
 
 
+class _QueryFiles:
+    """Written queries as blocks that a task reads by itself, one after the other."""
+
+    def __init__(self, asked: DataFrame, blocks: int):
+        files = sorted(strip_file_scheme(f) for f in asked.inputFiles())
+        self.blocks = [[f] for f in files] if blocks > 1 else [files]
+        self.id_type = to_arrow_type(asked.schema["__qid"].dataType)
+        self.last: tuple[int, tuple] | None = None
+
+    def read(self, block: int) -> tuple[pa.Array, _QueryBlock, np.ndarray] | None:
+        """The ids, the vectors and the first bounds of a block; the last one read is kept."""
+        if self.last is None or self.last[0] != block:
+            tables = [parquet.read_table(pa.BufferReader(read_bytes(f if is_uri(f) else unquote(f)))) for f in self.blocks[block]]
+            table = pa.concat_tables(tables) if tables else None
+            found = None
+            if table is not None and table.num_rows:
+                ids = table.column("__qid").cast(self.id_type).combine_chunks()
+                found = ids, _QueryBlock(to_matrix(table.column("__qvec"))), table.column("__floor").to_numpy()
+            self.last = block, found
+        return self.last[1]
+
+
 class _RunningTopK:
     """The best rows per query seen so far in one task."""
 
@@ -274,16 +316,47 @@ class _RunningTopK:
         return pa.table({"__key": table.column("__key"), "score": table.column("score"), "__qid": ids})
 
 
-def _many_topk_task(shared, limit: int):
+def _many_topk_task(queries: _QueryFiles, limit: int, most_results: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, queries = shared.value
-        if not len(query_ids):
-            return
-        block, top = _QueryBlock(queries), _RunningTopK(len(query_ids), limit)
-        for batch in batches:
-            top.add(batch.column(0), to_matrix(batch.column(1), queries.shape[1]), block)
-        result = top.result(query_ids)
-        if result is not None:
-            yield from result.combine_chunks().to_batches()
+        tops: list[_RunningTopK | None] = [None] * len(queries.blocks)
+
+        def hand_on(block: int, ids: pa.Array) -> Iterator[pa.RecordBatch]:
+            result = tops[block].result(ids)
+            tops[block].found, tops[block].pending = [], 0  # the bounds stay
+            if result is not None:
+                yield from result.combine_chunks().to_batches()
+
+        for stretch in _stretches(batches, 0 if len(tops) == 1 else STRETCH_BYTES):
+            matrix = None
+            for block in range(len(tops)):
+                if (found := queries.read(block)) is None:
+                    continue
+                ids, vectors, bounds = found
+                if matrix is None:
+                    matrix = to_matrix(stretch.column(1), vectors.vectors.shape[1])
+                elif matrix.shape[1] != vectors.vectors.shape[1]:
+                    raise ValueError("vectors differ in length")
+                if tops[block] is None:
+                    tops[block] = _RunningTopK(len(ids), limit)
+                    tops[block].floor = bounds.copy()
+                tops[block].add(stretch.column(0).combine_chunks(), matrix, vectors)
+                if sum(top.pending for top in tops if top) > most_results:
+                    yield from hand_on(block, ids)
+        for block, top in enumerate(tops):
+            if top is not None and top.found:
+                yield from hand_on(block, queries.read(block)[0])
 
     return run
+
+
+def _stretches(batches: Iterable[pa.RecordBatch], n_bytes: int) -> Iterator[pa.Table]:
+    """Consecutive batches together, up to about `n_bytes`."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if held and sum(b.nbytes for b in held) >= n_bytes:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
