@@ -11,7 +11,7 @@ from pyspark.sql import Column
 
 from ..functions.text import hash_buckets, normalize_text, pretokenize
 from ..sources.files import read_bytes
-from ..sources.images import DecoderMissing, decode_rgb, decoder
+from ..sources.images import NOT_READABLE, rgb_of
 from .tensor import TensorSpec, image_tensor
 
 
@@ -24,6 +24,7 @@ class Encoder:
 
     dim: int
     batch_rows = 256
+    takes_pixels = False  # its input is an image row of the JVM's codecs, not what the column holds
 
     def prepare(self, column: Column) -> Column:
         """JVM-side work on the input column before rows travel to Python."""
@@ -50,8 +51,6 @@ class Encoder:
                     raise ValueError("no input")
                 items.append(self.load(value))
                 places.append(place)
-            except DecoderMissing:
-                raise
             except Exception as error:  # any unreadable input is that row's failure alone
                 errors[place] = f"{type(error).__name__}: {error}"
         matrix = np.zeros((len(values), self.dim), np.float32)
@@ -95,16 +94,19 @@ class GridImageEncoder(Encoder):
     exercises the whole path. `unit=False` gives the features before normalisation.
     """
 
+    takes_pixels = True
+    batch_rows = 64
+
     def __init__(self, grid: int = 8, spec: TensorSpec = TensorSpec(), unit: bool = True):
         if spec.crop % grid:
             raise ValueError("the crop size must be a multiple of the grid")
         self.grid, self.spec, self.unit = grid, spec, unit
-        self.decoder = decoder()
         self.dim = 3 * grid * grid
 
-    def load(self, value: str | bytes) -> np.ndarray:
-        content = value if isinstance(value, bytes) else read_bytes(value)
-        return image_tensor(decode_rgb(content, self.decoder), self.spec)
+    def load(self, value: dict) -> np.ndarray:
+        if value["height"] < 0:
+            raise ValueError(NOT_READABLE)
+        return image_tensor(rgb_of(value["height"], value["width"], value["nChannels"], value["data"]), self.spec)
 
     def encode(self, items: Sequence[np.ndarray]) -> np.ndarray:
         cell = self.spec.crop // self.grid

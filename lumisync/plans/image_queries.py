@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +9,6 @@ from ..functions import geometry as G
 from ..operators.embed import embed
 from ..operators.encoders import GridImageEncoder
 from ..operators.tensor import IMAGE_MEAN, IMAGE_STD, TensorSpec, tensors
-from ..session import parallelism
 from ..sources.images import read_images
 from ..sources.scan import scan_images
 from .fixtures import BROKEN_SQL, PIXEL_SQL, SIDE, WIDE_PIXEL_SQL, image_files, image_key, table, wide_image_files
@@ -19,7 +16,6 @@ from .fixtures import BROKEN_SQL, PIXEL_SQL, SIDE, WIDE_PIXEL_SQL, image_files,
 SPEC = TensorSpec(size=SIDE, crop=SIDE)
 GRID = 4
 CROP = 24  # of a side of 32: what a halved picture has without the reach of its border
-IMAGES_PER_TASK = 2_000
 
 SIZES_SQL = """select p_partkey, cast(1 + (p_partkey * 37) % 900 as int) as w,
   cast(1 + (p_partkey * 53) % 700 as int) as h from {part}"""
@@ -69,8 +65,7 @@ def image_resample(spark, sf):
 
 def _features(spark, sf, unit: bool, broken: bool) -> DataFrame:
     listing = scan_images(spark, image_files(spark, sf, broken))
-    tasks = max(parallelism(spark), math.ceil(listing.count() / IMAGES_PER_TASK))
-    return embed(listing.repartition(tasks), "path", GridImageEncoder(GRID, SPEC, unit))
+    return embed(listing, "path", GridImageEncoder(GRID, SPEC, unit))
 
 
 def _cells(rows: DataFrame) -> DataFrame:

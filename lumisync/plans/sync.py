@@ -149,10 +149,16 @@ def _buckets(rows: DataFrame) -> set[int]:
 
 def _embedded(diff: DataFrame, encoder, counts: dict, rows_per_task: int) -> DataFrame:
     """Embed the work set. The cheap (path, mtime) rows are spread evenly, in bucket order,
-    before the encoder, so the vectors go straight from it into the writer."""
+    before the encoder, so the vectors go straight from it into the writer; but not where the
+    encoder takes pixels."""
     work = diff.where(F.col("status").isin(NEW, MODIFIED)).select("path", "mtime", "bucket")
     n_work = counts["new"] + counts["modified"]
     tasks = max(1, min(n_work, 2 * parallelism(diff.sparkSession)), math.ceil(n_work / rows_per_task))
+    if isinstance(encoder, Encoder) and encoder.takes_pixels:
+        # The image source deals out the files; pixels stay where they are read, vectors are put together by bucket.
+        vectors = embed(work, "path", encoder).select(*STORE.names, "bucket")
+        parts = max(1, math.ceil(n_work / rows_per_task))
+        return vectors.repartition(parts, "bucket", F.pmod(F.xxhash64("path"), F.lit(parts)))
     spread = work.repartitionByRange(tasks, F.col("bucket"), F.xxhash64("path"))
     return embed(spread, "path", encoder).select(*STORE.names, "bucket")
 

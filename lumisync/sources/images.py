@@ -1,26 +1,26 @@
-"""Image decoding: whole folders through Spark's image source, single files in tasks."""
+"""Images as pixels, decoded by Spark's image source in the JVM (PNG, JPEG, GIF, BMP and what else its codecs read)."""
 
 from __future__ import annotations
 
-import io
-import struct
-import zlib
-from collections.abc import Iterable, Iterator
+import math
+import os
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import map_arrow
+from ..session import fresh_dir, map_arrow
 from .files import is_uri
 
-try:
-    from PIL import Image as _pillow
-except ImportError:
-    _pillow = None
-
 RGB_SCHEMA = "path string, height int, width int, rgb binary, error string"
+IMAGE = "struct<height:int,width:int,nChannels:int,data:binary>"
+# The image source takes its files as a list that goes through the driver; more files than this go in waves.
+WAVE_FILES = 50_000
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -29,15 +29,22 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     One row per file: (path, height, width, rgb bytes in row order, error). A file that
     does not decode keeps its row with an error and no pixels.
     """
-    images = (
-        spark.read.format("image").option("recursiveFileLookup", "true")
-        .load(path if is_uri(path) else f"file://{path}")
-        .select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
-    )
-    plain = F.url_decode(F.replace(F.col("origin"), F.lit("+"), F.lit("%2B")))
-    named = images.select(F.regexp_replace(plain, "^file:/+", "/").alias("path"),
-                          "height", "width", "nChannels", "data")
-    return map_arrow(named, _to_rgb, RGB_SCHEMA)
+    source = spark.read.format("image").option("recursiveFileLookup", "true")
+    images = _named(source.load(path if is_uri(path) else f"file://{path}"))
+    return map_arrow(images.select("path", "image.*"), _to_rgb, RGB_SCHEMA)
+
+
+def _named(images: DataFrame) -> DataFrame:
+    """(path, image) with paths as a listing has them."""
+    plain = F.url_decode(F.replace(F.col("image.origin"), F.lit("+"), F.lit("%2B")))
+    fields = [F.col(f"image.{name}") for name in ("height", "width", "nChannels", "data")]
+    return images.select(F.regexp_replace(plain, "^file:/+", "/").alias("path"), F.struct(*fields).alias("image"))
+
+
+def rgb_of(height: int, width: int, channels: int, data) -> np.ndarray:
+    """uint8 [height, width, 3] of the pixels of an image row, which are gray, BGR or BGRA."""
+    pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+    return np.repeat(pixels, 3, axis=2) if channels == 1 else pixels[:, :, 2::-1]
 
 
 def _to_rgb(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,13 +52,9 @@ def _to_rgb(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for row in batch.to_pylist():
             if row["height"] < 0:
-                out.append((row["path"], None, None, None, "not a readable image"))
+                out.append((row["path"], None, None, None, NOT_READABLE))
                 continue
-            pixels = np.frombuffer(row["data"], np.uint8).reshape(-1, row["nChannels"])
-            if pixels.shape[1] == 1:
-                rgb = np.repeat(pixels, 3, axis=1)
-            else:
-                rgb = pixels[:, 2::-1]  # stored as BGR or BGRA
+            rgb = rgb_of(row["height"], row["width"], row["nChannels"], row["data"])
             out.append((row["path"], row["height"], row["width"], rgb.tobytes(), None))
         types = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.string())
         names = ("path", "height", "width", "rgb", "error")
@@ -60,77 +63,74 @@ def _to_rgb(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def decoder() -> str:
-    """How this machine decodes single files: with Pillow, else 8-bit PNG only."""
-    return "png" if _pillow is None else "pillow"
+NOT_READABLE = "not a readable image"
+_GONE = "FileNotFoundError: no such file"
+_NO_PATH = "ValueError: no path"
 
 
-def decode_rgb(content: bytes, how: str | None = None) -> np.ndarray:
-    """Bytes of one image file to uint8 [height, width, 3].
+def with_pixels(rows: DataFrame, path_col: str, image_col: str, error_col: str,
+                use: Callable[[DataFrame], DataFrame], wave_files: int | None = None) -> DataFrame:
+    """`use` of the rows with the pixels of the file that each names, in `image_col`.
 
-    `how` is the driver's `decoder()`, so that all nodes decode alike: a node that lacks
-    Pillow where the driver has it is an error of the node, not of the file.
+    A row whose file is gone, or that has no path, has no pixels and says so in `error_col`, which is null
+    otherwise. Only the files of the rows are read. Their paths pass through the driver, about `wave_files`
+    at a time: beyond that each wave is written to the shared folder before the next one is listed.
+    `rows` is read several times, so it should be a written table, and narrow.
     """
-    how = how or decoder()
-    if how == "pillow":
-        if _pillow is None:
-            raise DecoderMissing("Pillow is installed on the driver but not on this node")
-        return np.asarray(_pillow.open(io.BytesIO(content)).convert("RGB"))
-    return _decode_png(content)
-
-
-class DecoderMissing(RuntimeError):
-    """A node cannot decode what the others can."""
-
-
-PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
-_PNG_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
-
-
-def _decode_png(content: bytes) -> np.ndarray:
-    if not content.startswith(PNG_MAGIC):
-        raise ValueError("not a PNG file")
-    at, chunks, header, palette = len(PNG_MAGIC), [], None, None
-    while at + 8 <= len(content):
-        length, kind = struct.unpack(">I4s", content[at:at + 8])
-        body = content[at + 8:at + 8 + length]
-        if kind == b"IHDR":
-            header = struct.unpack(">IIBBBBB", body)
-        elif kind == b"PLTE":
-            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
-        elif kind == b"IDAT":
-            chunks.append(body)
-        at += length + 12
-    if header is None:
-        raise ValueError("PNG without a header")
-    width, height, depth, color, _, _, interlace = header
-    if depth != 8 or interlace or color not in _PNG_CHANNELS:
-        raise ValueError("only 8-bit, non-interlaced PNG is supported without Pillow")
-    channels = _PNG_CHANNELS[color]
-    lines = np.frombuffer(zlib.decompress(b"".join(chunks)), np.uint8)
-    pixels = _unfilter(lines.reshape(height, 1 + width * channels), channels)
-    pixels = pixels.reshape(height, width, channels)
-    if color == 3:
-        return palette[pixels[:, :, 0]]
-    return np.repeat(pixels[:, :, :1], 3, axis=2) if channels < 3 else pixels[:, :, :3]
-
-
-def _unfilter(lines: np.ndarray, bpp: int) -> np.ndarray:
-    """Undo the per-line PNG filters (0 none, 1 left, 2 up, 3 average, 4 Paeth).
-
-    A pixel depends on those to the left, above and in the corner between, so all pixels of one
-    diagonal are done at a time.
-    """
-    height, width = lines.shape[0], (lines.shape[1] - 1) // bpp
-    raw, modes = lines[:, 1:].reshape(height, width, bpp).astype(np.int16), lines[:, :1]
-    done = np.zeros((height + 1, width + 1, bpp), np.int16)  # with a black line above and to the left
-    for diagonal in range(height + width - 1):
-        y = np.arange(max(0, diagonal - width + 1), min(height, diagonal + 1))
-        x = diagonal - y
-        left, up, corner, mode = done[y + 1, x], done[y, x + 1], done[y, x], modes[y]
-        slope = left + up - corner
-        off_left, off_up, off_corner = np.abs(slope - left), np.abs(slope - up), np.abs(slope - corner)
-        nearest = np.where((off_left <= off_up) & (off_left <= off_corner), left, np.where(off_up <= off_corner, up, corner))
-        guess = np.choose(mode, (0, left, up, (left + up) >> 1, nearest))
-        done[y + 1, x + 1] = (raw[y, x] + guess) & 0xFF
-    return done[1:, 1:].astype(np.uint8).reshape(height, -1)
+    spark = rows.sparkSession
+    waves = max(1, math.ceil(rows.count() / (wave_files or WAVE_FILES)))
+    wave = F.pmod(F.xxhash64(path_col), F.lit(waves))
+    if waves == 1:
+        return use(_wave(rows, path_col, image_col, error_col))
+    folders = []
+    for number in range(waves):
+        made = use(_wave(rows.where(wave == number), path_col, image_col, error_col))
+        folders.append(fresh_dir(spark, "wave"))
+        made.write.parquet(folders[-1])
+    return spark.read.schema(made.schema).parquet(*folders)
+
+
+def _wave(rows: DataFrame, path_col: str, image_col: str, error_col: str) -> DataFrame:
+    others = [c for c in rows.columns if c not in (image_col, error_col)]
+    images, gone = _listed(rows.select(F.col(path_col).alias("path")).where("path is not null").distinct())
+    missing = rows.sparkSession.createDataFrame([(path,) for path in gone], "gone string")
+    lost = rows.join(F.broadcast(missing), rows[path_col] == missing["gone"], "left_semi").union(
+        rows.where(F.col(path_col).isNull()))
+    problem = F.when(F.col(path_col).isNull(), F.lit(_NO_PATH)).otherwise(F.lit(_GONE))
+    lost = lost.select(*others, F.lit(None).cast(IMAGE).alias(image_col), problem.alias(error_col))
+    if images is None:
+        return lost
+    own = images.select(F.col("path").alias("__path"), F.col("image").alias(image_col))
+    found = own.join(F.broadcast(rows.select(*others)), F.col("__path") == F.col(path_col))  # a wave of narrow rows
+    return found.select(*others, image_col, F.lit(None).cast("string").alias(error_col)).union(lost)
+
+
+def _listed(paths: DataFrame) -> tuple[DataFrame | None, list[str]]:
+    """The image rows of the files that exist, and the paths of the others."""
+    for attempts_left in (2, 1, 0):
+        asked = map_arrow(paths, _ask, "path string, there boolean").collect()  # a wave of paths
+        files = [_source_path(r.path) for r in asked if r.there]
+        try:
+            images = _named(paths.sparkSession.read.format("image").load(files)) if files else None
+            return images, [r.path for r in asked if not r.there]
+        except AnalysisException:  # a file went after it was seen
+            if not attempts_left:
+                raise
+
+
+def _source_path(path: str) -> str:
+    """A path as the image source takes it: with its scheme, and no character read as a pattern."""
+    return ("" if is_uri(path) else "file://") + re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
+def _ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        there = [_is_file(path) for path in batch.column("path").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(there, pa.bool_())], names=["path", "there"])
+
+
+def _is_file(path: str) -> bool:
+    if not is_uri(path):
+        return os.path.isfile(path)
+    remote, inner = pafs.FileSystem.from_uri(path)
+    return remote.get_file_info(inner).type == pafs.FileType.File

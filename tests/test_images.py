@@ -12,7 +12,8 @@ from lumisync.operators.embed import embed
 from lumisync.operators.encoders import Encoder, GridImageEncoder, OnnxEncoder
 from lumisync.operators.tensor import IMAGE_MEAN, IMAGE_STD, TensorSpec, image_tensor, tensors
 from lumisync.plans.fixtures import encode_png
-from lumisync.sources.images import decode_rgb, read_images
+from lumisync.sources import images as I
+from lumisync.sources.images import read_images, rgb_of
 
 
 def noise(height, width, channels=3, seed=0):
@@ -42,25 +43,93 @@ def filtered_png(pixels, color, modes):
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
 
 
-@pytest.mark.parametrize("color,channels", [(0, 1), (2, 3), (4, 2), (6, 4)])
-@pytest.mark.parametrize("modes", [[0], [1], [2], [3], [4], [4, 3, 2, 1, 0]])
-def test_png_filters(color, channels, modes):
-    pixels = noise(7, 5, channels)
-    want = np.repeat(pixels[:, :, :1], 3, axis=2) if channels < 3 else pixels[:, :, :3]
-    assert (decode_rgb(filtered_png(pixels, color, modes)) == want).all()
+def decoded(spark, folder):
+    rows = {r.path.rsplit("/", 1)[1]: r for r in read_images(spark, str(folder)).collect()}
+    return {n: None if r.error else np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3) for n, r in rows.items()}
 
 
-def test_both_decoders_agree(spark, tmp_path):
-    for i, channels in enumerate((3, 4, 3)):
-        (tmp_path / f"{i} +%20.png").write_bytes(encode_png(noise(6, 9, channels, i)))
-    (tmp_path / "gray.png").write_bytes(filtered_png(noise(4, 4, 1), 0, [4]))
+def write_image(spark, path, pixels, kind, image_type=5):
+    """A file of another format by the codecs of the JVM; 5 is 8-bit BGR, 13 a palette."""
+    height, width = pixels.shape[:2]
+    image = spark._jvm.java.awt.image.BufferedImage(width, height, image_type)
+    for y in range(height):
+        for x in range(width):
+            r, g, b = map(int, pixels[y, x])
+            image.setRGB(x, y, (r << 16) + (g << 8) + b - (1 << 24))
+    assert spark._jvm.javax.imageio.ImageIO.write(image, kind, spark._jvm.java.io.File(str(path)))
+
+
+def deep_png(pixels):
+    """16 bits for each of three channels; the low bytes are noise."""
+    height, width, _ = pixels.shape
+    body = b"".join(b"\0" + bytes(v for p in line.reshape(-1).tolist() for v in (p, p ^ 85)) for line in pixels)
+
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    header = struct.pack(">IIBBBBB", width, height, 16, 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+
+
+def test_png_filters(spark, tmp_path):
+    want = {}
+    for color, channels in [(0, 1), (2, 3), (4, 2), (6, 4)]:
+        for i, modes in enumerate([[0], [1], [2], [3], [4], [4, 3, 2, 1, 0]]):
+            pixels, name = noise(7, 5, channels, i), f"{color}-{i}.png"
+            (tmp_path / name).write_bytes(filtered_png(pixels, color, modes))
+            want[name] = np.repeat(pixels[:, :, :1], 3, axis=2) if channels < 3 else pixels[:, :, :3]
+    got = decoded(spark, tmp_path)
+    assert got.keys() == want.keys() and all((got[n] == want[n]).all() for n in want)
+
+
+def test_other_formats(spark, tmp_path):
+    y, x = np.mgrid[:24, :32]
+    smooth = np.stack([y * 9, x * 7, 255 - y * 5], axis=2).astype(np.uint8)
+    few = np.where((y + x)[:, :, None] % 2, np.array([255, 0, 0]), np.array([0, 0, 255])).astype(np.uint8)
+    write_image(spark, tmp_path / "a.bmp", smooth, "bmp")
+    write_image(spark, tmp_path / "a.jpg", smooth, "jpg")
+    write_image(spark, tmp_path / "a.gif", few, "gif", 13)
+    write_image(spark, tmp_path / "a.tif", smooth, "tiff")
+    (tmp_path / "deep.png").write_bytes(deep_png(smooth))
     (tmp_path / "bad.png").write_bytes(b"nope")
-    rows = {r.path: r for r in read_images(spark, str(tmp_path)).collect()}
-    assert len(rows) == 5 and rows[str(tmp_path / "bad.png")].error
-    for path, row in rows.items():
-        if row.error is None:
-            pixels = np.frombuffer(row.rgb, np.uint8).reshape(row.height, row.width, 3)
-            assert (pixels == decode_rgb(open(path, "rb").read())).all()
+    got = decoded(spark, tmp_path)
+    assert got.pop("bad.png") is None
+    assert (got["a.bmp"] == smooth).all() and (got["a.tif"] == smooth).all() and (got["a.gif"] == few).all()
+    assert np.abs(got["deep.png"].astype(int) - smooth).max() <= 1
+    assert np.abs(got["a.jpg"].astype(int) - smooth).mean() < 4
+
+
+@pytest.mark.parametrize("wave_files", [100, 3])
+def test_only_the_files_of_the_rows_are_read(spark, tmp_path, monkeypatch, wave_files):
+    monkeypatch.setattr(I, "WAVE_FILES", wave_files)
+    names = ["plain.png", "sp ace.png", "100%25+1.png", "a[b]{c}.png", "st*r.png", "b\\s.png", "\u00fc.png", "k=v.png", "#?.png"]
+    (tmp_path / "sub").mkdir()
+    pixels = {n: noise(4, 5, 3, i) for i, n in enumerate(names)}
+    for n, p in pixels.items():
+        (tmp_path / n).write_bytes(encode_png(p))
+        (tmp_path / "sub" / n).write_bytes(b"not one of the rows, and no image")
+    (tmp_path / "bad.png").write_bytes(b"nope")
+    rows = [(str(tmp_path / n), i) for i, n in enumerate([*names, "bad.png", "gone.png", "plain.png"])] + [(None, 99)]
+    frame = spark.createDataFrame(rows, "path string, n long")
+    spec = TensorSpec(resize=False, crop=4, normalize=False)
+    got = embed(frame, "path", GridImageEncoder(4, spec, unit=False)).collect()
+    assert sorted((r.path or "", r.n) for r in got) == sorted((p or "", n) for p, n in rows)
+    for r in got:
+        name = r.path and r.path.rsplit("/", 1)[1]
+        if name in pixels:
+            want = image_tensor(pixels[name], spec).astype(float).reshape(-1)
+            assert r.error is None and r.vector == pytest.approx(want.tolist(), abs=1e-6)
+        else:
+            assert not any(r.vector) and {"bad.png": "not a readable", "gone.png": "no such file", None: "no path"}[name] in r.error
+    assert embed(frame.limit(0), "path", GridImageEncoder(4, spec)).collect() == []
+
+
+def test_rows_of_the_image_source_are_encoded_directly(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(encode_png(noise(8, 8)))
+    spec = TensorSpec(size=8, crop=8)
+    images = spark.read.format("image").load(f"file://{tmp_path}")
+    direct = embed(images, "image", GridImageEncoder(2, spec)).first().vector
+    by_path = embed(spark.createDataFrame([(str(tmp_path / "a.png"),)], "path string"), "path", GridImageEncoder(2, spec))
+    assert direct == by_path.first().vector and len(direct) == 12
 
 
 def slow_resize(pixels, size):

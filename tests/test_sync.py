@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from test_images import write_image
 
 from lumisync.operators import diff as D
 from lumisync.operators.encoders import ColumnEncoder, GridImageEncoder
@@ -127,12 +128,25 @@ def test_mixed(spark, store, folder):
         assert rows[path] == kept[path]
 
 
+def test_pictures_of_other_formats_get_vectors(spark, store, folder):
+    write_image(spark, folder.root / "a.jpg", np.full((20, 30, 3), 200, np.uint8), "jpg")
+    write_image(spark, folder.root / "b.bmp", np.full((20, 30, 3), 200, np.uint8), "bmp")
+    write_image(spark, folder.root / "c.gif", np.zeros((20, 30, 3), np.uint8) + [255, 0, 0], "gif", 13)
+    folder.add("1")
+    stats = run(spark, store, folder)
+    rows = {r.path.rsplit("/", 1)[1]: r for r in store.read().collect()}
+    assert (stats.new, stats.failed, len(rows)) == (4, 0, 4) and not any(r.error for r in rows.values())
+    assert rows["a.jpg"].vector == pytest.approx(rows["b.bmp"].vector, abs=0.02)
+    folder.touch("1")
+    assert run(spark, store, folder).modified == 1
+
+
 def test_broken_image_is_kept_as_a_failed_row_until_touched(spark, store, folder):
     folder.add(*"12")
     (folder.root / "9.png").write_bytes(b"text, not pixels")
     assert run(spark, store, folder).new == 3
     broken = store.read().where("path like '%9.png'").first()
-    assert set(broken.vector) == {0.0} and "PNG" in broken.error
+    assert set(broken.vector) == {0.0} and "not a readable image" in broken.error
     assert run(spark, store, folder).new == 0
     query = store.read().where("path like '%1.png'").first()
     best = search(store.read(), query.vector).collect()
