@@ -1,60 +1,53 @@
-"""Byte-pair tokens for a text column, without a shuffle.
+"""Byte-pair tokens for a text column, each distinct word encoded once.
 
-Text is normalised and split in the JVM. Each Arrow batch is dictionary-encoded, so a
-task splits every distinct word once and remembers it, and rows only pick up indices.
+The distinct words of the column are a table of their own. Its words are split by merge ranks that
+each task holds or, with a merge table too large for that, by joins with the merge table, one merge
+of every word a round. Texts then pick up the tokens of their words: from a copy in each task if the
+encoded words are few enough for that, else by a join in which no frequent word is hot.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import BOS, EOS, normalize_text, pretokenize
-from ..session import map_arrow
+from ..session import map_arrow, parallelism
+from .joins import look_up, written
 
 END_OF_WORD = "</w>"
-MAX_MERGES = 48_894  # fixed value: merge lines used, after one header line
-MAX_VOCAB = 1_000_000
-REMEMBERED_WORDS = 500_000
+MAX_MERGES = 48_894  # fixed value: merge lines of a published table that are used, after one header line
+# So many rows of the merge table and of the vocabulary, and so many bytes of encoded words, does a task hold.
+HELD_MERGES = 200_000
+HELD_TOKENS = 400_000
+HELD_WORD_BYTES = 64 << 20
 LONG_WORD = 64
-# Words a Python worker has split for the job it is on; the next task finds them again.
-_remembered: dict[str, dict[str, list]] = {}
 _UNRANKED = float("inf")
 
 
-@dataclass
+@dataclass(frozen=True)
 class BpeTables:
-    """Merge ranks and token ids; both small enough to ship to every task."""
+    """Merges (rank, a, b) and, for ids, the vocabulary (token, id), of any size."""
 
-    ranks: dict[tuple[str, str], int]
-    vocab: dict[str, int] = field(default_factory=dict)
+    merges: DataFrame
+    vocab: DataFrame | None = None
 
-    @classmethod
-    def collect(cls, merges: DataFrame, vocab: DataFrame | None = None) -> BpeTables:
-        """From (rank, a, b) and (token, id) tables whose sizes are checked."""
-        rows = merges.limit(MAX_MERGES + 1).collect()
-        if len(rows) > MAX_MERGES:
-            raise ValueError(f"more than {MAX_MERGES} merges")
-        words = vocab.limit(MAX_VOCAB + 1).collect() if vocab is not None else []
-        if len(words) > MAX_VOCAB:
-            raise ValueError(f"more than {MAX_VOCAB} vocabulary entries")
-        return cls({(r.a, r.b): r["rank"] for r in rows}, {r.token: r.id for r in words})
 
-
-def read_merges(spark: SparkSession, path: str) -> DataFrame:
-    """(rank, a, b) from a merges file: one header line, then one pair per line."""
+def read_merges(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """(rank, a, b) from a merges file: one header line, then one pair per line, of which the first `MAX_MERGES`
+    count unless the `whole` file does."""
     text = spark.read.text(path, wholetext=True)
     lines = text.select(F.posexplode(F.split(F.regexp_replace("value", r"\A\s+|\s+\z", ""), "\n")))
     pair = F.split(F.trim("col"), r"\s+")
-    used = lines.where(F.col("pos").between(1, MAX_MERGES))
+    used = lines.where((F.col("pos") >= 1) & (F.lit(whole) | (F.col("pos") <= MAX_MERGES)))
     return used.select((F.col("pos") - 1).alias("rank"), pair[0].alias("a"), pair[1].alias("b"))
 
 
@@ -96,62 +89,148 @@ def _join_everywhere(parts: list[str], ranked: list[float], best: float) -> list
     return joined
 
 
+def encode_words(words: DataFrame, tables: BpeTables) -> DataFrame:
+    """(word, pieces[, ids]) of a table of distinct words; ids with a vocabulary, and a piece that it
+    lacks is an error. Null words are not allowed."""
+    spark = words.sparkSession
+    merges = tables.merges.select("rank", "a", "b").limit(HELD_MERGES + 1).collect()
+    if len(merges) > HELD_MERGES:
+        pieces = _split_by_joins(words, tables.merges)
+    else:
+        ranks = spark.sparkContext.broadcast({(r.a, r.b): r["rank"] for r in merges})
+
+        def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [split_word(word, ranks.value) for word in batch.column("word").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(found, pa.list_(pa.string()))],
+                                                 names=["word", "pieces"])
+
+        pieces = map_arrow(words.select("word").repartition(parallelism(spark)), split, "word string, pieces array<string>")
+    return pieces if tables.vocab is None else _with_ids(pieces, tables.vocab)
+
+
+def _with_ids(pieces: DataFrame, vocab: DataFrame) -> DataFrame:
+    spark = pieces.sparkSession
+    known = vocab.select("token", "id").limit(HELD_TOKENS + 1).collect()
+    if len(known) <= HELD_TOKENS:
+        ids = spark.sparkContext.broadcast({r.token: r.id for r in known})
+
+        def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [[ids.value[p] for p in word] for word in batch.column("pieces").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))],
+                                                 names=["word", "pieces", "ids"])
+
+        return map_arrow(pieces, number, "word string, pieces array<string>, ids array<int>")
+    of_words = written(pieces, "pieces")
+    tokens = written(of_words.select("word", F.posexplode("pieces").alias("at", "token")), "tokens")
+    numbered = look_up(tokens, vocab.select("token", F.col("id").cast("int").alias("id")), ["token"])
+    checked = F.coalesce("id", F.raise_error(F.concat(F.lit("KeyError: "), "token")).cast("int"))
+    ids = numbered.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("at", checked.alias("id")))).alias("found"))
+    return of_words.join(ids.select("word", F.col("found.id").alias("ids")), "word")
+
+
+def _split_by_joins(words: DataFrame, merges: DataFrame) -> DataFrame:
+    """(word, pieces) with a merge table of any size: in each round, a join finds the best pair of every word that
+    has one, and all its places are joined. A word without one is done; the rounds end when all are."""
+    special = F.col("word").isin(BOS, EOS)
+    chars = F.split("word", "")
+    last = F.array(F.concat(F.element_at(chars, -1), F.lit(END_OF_WORD)))
+    pieces = F.when(special, F.array("word")).otherwise(F.concat(F.slice(chars, 1, F.length("word") - 1), last))
+    still_open = written(words.select("word", pieces.alias("pieces"), F.lit(True).alias("open")), "split")
+    done = []
+
+    def join_best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for parts, best in zip(batch.column("pieces").to_pylist(), batch.column("best").to_pylist()):
+                ranked = [0 if best and pair == (best["a"], best["b"]) else _UNRANKED for pair in pairwise(parts)]
+                found.append(_join_everywhere(parts, ranked, 0))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("word"), pa.array(found, pa.list_(pa.string())), pc.is_valid(batch.column("best"))],
+                names=["word", "pieces", "open"])
+
+    while not still_open.isEmpty():
+        n = F.size("pieces")
+        sides = F.arrays_zip(F.slice("pieces", 1, n - 1).alias("a"), F.slice("pieces", 2, n - 1).alias("b"))
+        pairs = still_open.where((n > 1) & ~special).select("word", F.inline(sides)).distinct()
+        known = look_up(written(pairs, "pairs"), merges.select("rank", "a", "b"), ["a", "b"]).where("rank is not null")
+        best = known.groupBy("word").agg(F.min(F.struct("rank", "a", "b")).alias("best"))
+        stepped = still_open.select("word", "pieces").join(best, "word", "left")
+        table = written(map_arrow(stepped, join_best, "word string, pieces array<string>, open boolean"), "split")
+        done.append(table.where("not open").select("word", "pieces"))
+        still_open = table.where("open")
+    return reduce(DataFrame.union, done) if done else still_open.select("word", "pieces")
+
+
 def bpe_pieces(docs: DataFrame, text_col: str, tables: BpeTables, out_col: str = "pieces") -> DataFrame:
-    """Add the byte-pair pieces of each text."""
-    shared = docs.sparkSession.sparkContext.broadcast(tables)
-    return _per_word(docs, text_col, out_col, T.StringType(), pa.string(),
-                     lambda word: split_word(word, shared.value.ranks))
+    """Add the byte-pair pieces of each text. `docs` is read twice."""
+    encoded = encode_words(distinct_words(docs, text_col), BpeTables(tables.merges))
+    return _pick_up(docs, text_col, out_col, encoded.select("word", F.col("pieces").alias("value")))
 
 
 def token_ids(docs: DataFrame, text_col: str, tables: BpeTables, out_col: str = "ids",
               prepend_bos: bool = True, append_eos: bool = True) -> DataFrame:
-    """Add the token ids of each text. A piece missing from the vocabulary is an error."""
-    shared = docs.sparkSession.sparkContext.broadcast(tables)
-
-    def ids(word: str) -> list[int]:
-        return [shared.value.vocab[p] for p in split_word(word, shared.value.ranks)]
-
-    coded = _per_word(docs, text_col, out_col, T.IntegerType(), pa.int32(), ids)
-    ends = [[F.array(F.lit(tables.vocab[token]))] if wanted else []
+    """Add the token ids of each text. A piece missing from the vocabulary is an error. `docs` is read twice."""
+    encoded = encode_words(distinct_words(docs, text_col), tables)
+    coded = _pick_up(docs, text_col, out_col, encoded.select("word", F.col("ids").alias("value")))
+    special = {r.token: r.id for r in tables.vocab.where(F.col("token").isin(BOS, EOS)).collect()}
+    ends = [[F.array(F.lit(special[token]))] if wanted else []
             for token, wanted in ((BOS, prepend_bos), (EOS, append_eos))]
     return coded.withColumn(out_col, F.concat(*ends[0], F.col(out_col), *ends[1]))
 
 
-def _per_word(docs: DataFrame, text_col: str, out_col: str, spark_type: T.DataType,
-              arrow_type: pa.DataType, split: Callable[[str], list]) -> DataFrame:
-    keep = docs.columns
-    added = T.StructField(out_col, T.ArrayType(spark_type))
-    schema = T.StructType(docs.schema.fields + [added])
+def distinct_words(docs: DataFrame, text_col: str) -> DataFrame:
+    """(word): the distinct words of a text column."""
+    return docs.select(F.explode(F.array_distinct(_tokens(text_col))).alias("word")).distinct()
+
 
-    job = uuid.uuid4().hex
+def _tokens(text_col: str):
+    return pretokenize(normalize_text(F.col(text_col)))
+
+
+def _pick_up(docs: DataFrame, text_col: str, out_col: str, encoded: DataFrame) -> DataFrame:
+    """Add the values of the words of each text, one after the other; null for null text."""
+    encoded = written(encoded, "encoded")
+    size = encoded.agg(F.sum(F.octet_length("word") + F.size("value") * 16 + 32)).first()[0] or 0
+    if size > HELD_WORD_BYTES:
+        return _pick_up_by_join(docs, text_col, out_col, encoded)
+    held = encoded.toArrow().combine_chunks()
+    words, values = (held.column(c).combine_chunks() if held.num_rows else pa.array([], held.schema.field(c).type)
+                     for c in ("word", "value"))
+    shared = docs.sparkSession.sparkContext.broadcast((words, values))
+    keep = docs.columns
+    schema = docs.withColumn(out_col, F.lit(None).cast(encoded.schema["value"].dataType)).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if job not in _remembered:
-            _remembered.clear()
-        known = _remembered.setdefault(job, {})
+        words, values = shared.value
         for batch in batches:
-            coded = _split_batch(batch.column("__tokens"), split, known, arrow_type)
-            columns = [batch.column(c) for c in keep] + [coded]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, out_col])
-            if len(known) > REMEMBERED_WORDS:
-                known.clear()
-
-    tokens = pretokenize(normalize_text(F.col(text_col)))
-    return map_arrow(docs.withColumn("__tokens", tokens), run, schema)
-
-
-def _split_batch(tokens: pa.ListArray, split: Callable[[str], list], known: dict[str, list],
-                 arrow_type: pa.DataType) -> pa.ListArray:
-    """list<word> to list<piece>, splitting each distinct word of the batch once."""
-    words = tokens.flatten().dictionary_encode()
-    pieces = []
-    for word in words.dictionary.to_pylist():
-        if word not in known:
-            known[word] = split(word)
-        pieces.append(known[word])
-    per_word = pa.array(pieces, pa.list_(arrow_type)).take(words.indices)
+            coded = _values_of(batch.column("__tokens"), words, values)
+            columns = [coded if c == out_col else batch.column(c) for c in schema.names]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return map_arrow(docs.select(*keep, _tokens(text_col).alias("__tokens")), run, schema)
+
+
+def _values_of(tokens: pa.ListArray, words: pa.Array, values: pa.ListArray) -> pa.ListArray:
+    """list<word> to list<value>."""
+    coded = tokens.flatten().dictionary_encode()
+    places = pc.index_in(coded.dictionary, value_set=words).take(coded.indices)
+    per_word = values.take(places)
     word_ends = np.r_[0, np.cumsum(per_word.value_lengths().to_numpy(zero_copy_only=False))]
     lengths = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    row_ends = np.r_[0, np.cumsum(lengths)]
+    row_ends = np.r_[0, np.cumsum(lengths)].astype(np.int64)
     offsets = pa.array(word_ends[row_ends].astype(np.int32))
     return pa.ListArray.from_arrays(offsets, per_word.flatten(), mask=tokens.is_null())
+
+
+def _pick_up_by_join(docs: DataFrame, text_col: str, out_col: str, encoded: DataFrame) -> DataFrame:
+    """The same by a join of the words of all texts with the encoded words; each text is put together again by its number."""
+    rows = written(docs.select(F.struct(*docs.columns).alias("row"), _tokens(text_col).alias("tokens"),
+                               F.monotonically_increasing_id().alias("number")), "texts")
+    used = written(rows.select("number", F.posexplode("tokens").alias("at", "word")), "words")
+    found = look_up(used, encoded, ["word"]).groupBy("number").agg(
+        F.array_sort(F.collect_list(F.struct("at", "value"))).alias("found"))
+    empty = F.array().cast(encoded.schema["value"].dataType)
+    value = F.when(F.col("tokens").isNotNull(), F.coalesce(F.flatten("found.value"), empty))
+    return rows.join(found, "number", "left").select("row.*", value.alias(out_col))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import BOS, EOS, normalize_text, pretokenize
 from ..operators import bpe as B
 from ..operators.embed import embed
 from ..operators.encoders import HashedTextEncoder
+from ..operators.joins import numbered
 from ..session import fresh_dir, spread
 from .fixtures import table
 from .sync_queries import vector_summary_frame
@@ -17,9 +18,7 @@ from .text_sql import normalized, tokens, vector_summary
 DIM = 512
 
 # A merge table learnt from the words themselves: neighbouring characters, then pairs with
-# a third and a fourth character, the most frequent first. A pair has to make up one in
-# LEAST_SHARE of all, so there are never more merges than that, however large the corpus.
-LEAST_SHARE = 20_000
+# a third and a fourth character, all of them, the most frequent first.
 _PAIRS_SQL = """
 select a, b, count(*) as n from (
   select c0 as a, c1 as b from grams where c1 is not null union all
@@ -49,9 +48,8 @@ def _merges(words: DataFrame) -> DataFrame:
     shifted = [F.slice("chars", i, size).alias(f"c{i - 1}") for i in range(1, 5)]
     grams = words.select(*shifted).select(F.inline(F.arrays_zip("c0", "c1", "c2", "c3")))
     pairs = words.sparkSession.sql(_PAIRS_SQL.replace("grams", "{grams}"), grams=grams)
-    frequent = pairs.where(F.col("n") * LEAST_SHARE >= pairs.agg(F.sum("n").alias("n")).scalar())
-    order = Window.orderBy(F.desc("n"), F.asc("a"), F.asc("b"))  # at most LEAST_SHARE rows
-    return frequent.select((F.row_number().over(order) - 1).alias("rank"), "a", "b")
+    ranked = numbered(pairs, "rank", F.desc("n"), F.asc("a"), F.asc("b"))
+    return ranked.select("rank", "a", "b")
 
 
 def _vocab(words: DataFrame, merges: DataFrame) -> DataFrame:
@@ -59,9 +57,7 @@ def _vocab(words: DataFrame, merges: DataFrame) -> DataFrame:
     singles = words.select(F.explode("chars").alias("token"))
     joined = merges.select(F.concat("a", "b").alias("token"))
     special = words.sparkSession.createDataFrame([(BOS,), (EOS,)], "token string")
-    # Characters and at most LEAST_SHARE results: less than twice the size of Unicode at the worst.
-    every = singles.union(joined).union(special).distinct()
-    return every.select("token", (F.row_number().over(Window.orderBy("token")) - 1).alias("id"))
+    return numbered(singles.union(joined).union(special).distinct(), "id", F.asc("token"))
 
 
 _learnt: dict[tuple[str, str], str] = {}
@@ -79,23 +75,22 @@ def _table_files(spark: SparkSession, sf: str) -> str:
         header = spark.createDataFrame([(-1, "#version:", "1")], "rank int, a string, b string")
         lines = header.union(merges.select(F.col("rank").cast("int"), "a", "b")).coalesce(1).sortWithinPartitions("rank")
         lines.select(F.concat_ws(" ", "a", "b").alias("value")).write.text(f"{folder}/merges")
-        entries = F.collect_list(F.struct("token", F.col("id").cast("int")))  # less than twice Unicode
+        entries = F.collect_list(F.struct("token", F.col("id").cast("int")))  # one JSON object, as the format asks
         vocab = _vocab(words, merges).agg(F.to_json(F.map_from_entries(entries)).alias("value"))
         vocab.coalesce(1).write.text(f"{folder}/vocab")
         _learnt[key] = folder
     return _learnt[key]
 
 
-def _tables(spark: SparkSession, sf: str, with_ids: bool) -> B.BpeTables:
+def _tables(spark: SparkSession, sf: str) -> B.BpeTables:
     folder = _table_files(spark, sf)
-    merges, vocab = B.read_merges(spark, f"{folder}/merges"), B.read_vocab(spark, f"{folder}/vocab")
-    return B.BpeTables.collect(merges, vocab if with_ids else None)
+    return B.BpeTables(B.read_merges(spark, f"{folder}/merges", whole=True), B.read_vocab(spark, f"{folder}/vocab"))
 
 
 def bpe_tables(spark, sf):
     """The merges and the vocabulary as read back from their files."""
-    folder = _table_files(spark, sf)
-    merges, vocab = B.read_merges(spark, f"{folder}/merges"), B.read_vocab(spark, f"{folder}/vocab")
+    tables = _tables(spark, sf)
+    merges, vocab = tables.merges, tables.vocab
     return merges.select(F.lit("merge").alias("kind"), F.col("rank").cast("bigint").alias("number"), "a", "b").union(
         vocab.select(F.lit("token"), F.col("id").cast("bigint"), "token", F.lit(None).cast("string")))
 
@@ -113,14 +108,14 @@ def text_pretokenize(spark, sf):
 
 def bpe_encode(spark, sf):
     docs = _docs(spark, sf)
-    pieces = B.bpe_pieces(docs, "text", _tables(spark, sf, False))
+    pieces = B.bpe_pieces(docs, "text", _tables(spark, sf))
     return pieces.select("doc_id", F.size("pieces").cast("bigint").alias("n"),
                          F.md5(F.encode(F.concat_ws(" ", "pieces"), "utf-8")).alias("digest"))
 
 
 def token_ids(spark, sf):
     docs = _docs(spark, sf)
-    coded = B.token_ids(docs, "text", _tables(spark, sf, True))
+    coded = B.token_ids(docs, "text", _tables(spark, sf))
     joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n"),
                         F.md5(F.encode(joined, "utf-8")).alias("digest"))
@@ -152,8 +147,7 @@ chars as (select word, list_transform(range(1, length(word) + 1), lambda i:
 spots as (select s, unnest(range(1, len(s) + 1)) as i from chars),
 grams as (select s[i] as c0, s[i + 1] as c1, s[i + 2] as c2, s[i + 3] as c3 from spots),
 pairs as ({_PAIRS_SQL}),
-merges as (select row_number() over (order by n desc, a, b) - 1 as rank, a, b from pairs
-  where n * {LEAST_SHARE} >= (select sum(n) from pairs)),
+merges as (select row_number() over (order by n desc, a, b) - 1 as rank, a, b from pairs),
 vocab as (select token, row_number() over (order by token) - 1 as id from (
   select unnest(s) as token from chars union select a || b from merges
   union select '{BOS}' union select '{EOS}')),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lumisync.functions.text import BOS, EOS, TOKEN_PATTERN, normalize_text, pretokenize
 from lumisync.operators import bpe as B
+from lumisync.operators import joins as J
 from lumisync.operators.embed import embed, embed_text
 from lumisync.operators.encoders import HashedTextEncoder
 
@@ -86,14 +87,14 @@ def files(tmp_path):
 
 
 def load(spark, path):
-    return B.BpeTables.collect(B.read_merges(spark, str(path / "merges.txt")), B.read_vocab(spark, str(path / "vocab.json")))
+    return B.BpeTables(B.read_merges(spark, str(path / "merges.txt")), B.read_vocab(spark, str(path / "vocab.json")))
 
 
 def test_tables_from_files(spark, files):
     path, vocab = files
     tables = load(spark, path)
-    assert tables.ranks == {p: i for i, p in enumerate(MERGES)}
-    assert tables.vocab == vocab
+    assert {(r.a, r.b): r["rank"] for r in tables.merges.collect()} == {p: i for i, p in enumerate(MERGES)}
+    assert {r.token: r.id for r in tables.vocab.collect()} == vocab
 
 
 def test_only_the_first_merge_lines_count(spark, tmp_path, monkeypatch):
@@ -101,9 +102,16 @@ def test_only_the_first_merge_lines_count(spark, tmp_path, monkeypatch):
     (tmp_path / "m.txt").write_text("head\n" + "\n".join(f"a{i} b" for i in range(9)))
     rows = B.read_merges(spark, str(tmp_path / "m.txt")).orderBy("rank").collect()
     assert [(r["rank"], r.a) for r in rows] == [(0, "a0"), (1, "a1"), (2, "a2")]
+    assert B.read_merges(spark, str(tmp_path / "m.txt"), whole=True).count() == 9
 
 
-def test_pieces_and_ids(spark, files):
+HELD = ["HELD_MERGES", "HELD_TOKENS", "HELD_WORD_BYTES"]
+
+
+@pytest.mark.parametrize("too_small", [[], *[[name] for name in HELD], HELD])
+def test_pieces_and_ids(spark, files, monkeypatch, too_small):
+    for name in too_small:
+        monkeypatch.setattr(B, name, 1)  # then tables are joined instead of held
     path, vocab = files
     tables = load(spark, path)
     texts = ["Low lower newer", "it's LOW!", "", None, f"a {EOS} b", "low low low"]
@@ -120,17 +128,46 @@ def test_pieces_and_ids(spark, files):
     assert bare.ids == [vocab["low</w>"]]
 
 
-def test_unknown_piece_is_an_error(spark, files):
+@pytest.mark.parametrize("held", [B.HELD_TOKENS, 1])
+def test_unknown_piece_is_an_error(spark, files, monkeypatch, held):
+    monkeypatch.setattr(B, "HELD_TOKENS", held)
     tables = load(spark, files[0])
     with pytest.raises(Exception, match="KeyError"):
         B.token_ids(frame(spark, ["ü"]), "text", tables).collect()
 
 
-def test_table_sizes_are_checked(spark, monkeypatch):
-    monkeypatch.setattr(B, "MAX_MERGES", 1)
-    merges = spark.createDataFrame([(0, "a", "b"), (1, "b", "c")], "rank int, a string, b string")
-    with pytest.raises(ValueError):
-        B.BpeTables.collect(merges)
+def test_merging_by_joins_equals_naive(spark, monkeypatch):
+    import random
+    rng = random.Random(6)
+    words = sorted({"".join(rng.choice("abc\x01") for _ in range(rng.randrange(1, 14))) for _ in range(150)} | {"a" * 70, BOS})
+    pairs = list(dict.fromkeys((rng.choice(["a", "b", "c", "ab", "aa", "abc", "\x01"]), rng.choice(
+        ["a", "b", "c</w>", "a</w>", "ab", "bc", "aa", "ab</w>"])) for _ in range(25)))
+    merges = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "rank int, a string, b string")
+    table = spark.createDataFrame([(w,) for w in words], "word string")
+    want = {w: [w] if w == BOS else naive_bpe(w, pairs) for w in words}
+    for held in (B.HELD_MERGES, 1):
+        monkeypatch.setattr(B, "HELD_MERGES", held)
+        assert {r.word: r.pieces for r in B.encode_words(table, B.BpeTables(merges)).collect()} == want
+    assert B.encode_words(table.limit(0), B.BpeTables(merges)).collect() == []
+
+
+def test_each_distinct_word_is_encoded_once(spark, files):
+    docs = frame(spark, ["low low lower", "lower low", "newer"] * 50).repartition(7)
+    encoded = B.encode_words(B.distinct_words(docs, "text"), load(spark, files[0])).collect()
+    assert sorted(r.word for r in encoded) == ["low", "lower", "newer"]
+    plan = B.bpe_pieces(docs, "text", load(spark, files[0]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan  # the texts only pick up what was encoded before
+
+
+def test_numbered_and_look_up(spark):
+    rows = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 7919 % 5000).alias("v"))
+    got = J.numbered(rows, "place", F.desc("v")).collect()
+    assert len(got) == 5000 and all(r.place == 4999 - r.v for r in got)
+    assert J.numbered(rows.limit(0), "place", F.desc("v")).collect() == []
+    hot = J.written(rows.select(F.when(F.col("k") % 3 == 0, 1).otherwise(F.col("k")).alias("k"), "v"), "t")
+    found = rows.where("k < 1000").select("k", (F.col("k") * 2).alias("twice"))
+    got = J.look_up(hot, found, ["k"]).collect()
+    assert len(got) == 5000 and all(r.twice == (2 * r.k if r.k < 1000 else None) for r in got)
 
 
 def test_text_vectors(spark):
