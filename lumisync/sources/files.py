@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from py4j.protocol import Py4JJavaError
 from pyarrow import fs as pafs
@@ -22,13 +23,24 @@ def strip_file_scheme(path: str) -> str:
     return path
 
 
-def list_folder(path: str) -> Iterator[tuple[str, str, bool, float]]:
+class TooManyNames(Exception):
+    """A folder holds more names than one task should look at."""
+
+    def __init__(self, count: int):
+        super().__init__(count)
+        self.count = count
+
+
+def list_folder(path: str, wanted: Callable[[str], bool] | None = None,
+                most: int | None = None) -> Iterator[tuple[str, str, bool, float]]:
     """(path, name, is_folder, mtime) of the children. Links and vanished names are skipped.
 
-    A local folder is streamed; of a remote one, the listing is held whole in the task.
+    A local folder is streamed, and with `wanted` only names that it takes are looked at; one of
+    more than `most` names raises `TooManyNames` before any is. Of a remote folder, the listing is
+    held whole in the task.
     """
     if not is_uri(path):
-        yield from _list_local(path)
+        yield from _list_local(path, wanted, most)
         return
     remote, inner = pafs.FileSystem.from_uri(path)
     prefix = path[: len(path) - len(inner)]
@@ -39,9 +51,16 @@ def list_folder(path: str) -> Iterator[tuple[str, str, bool, float]]:
             yield prefix + info.path, info.base_name, False, (info.mtime_ns or 0) / 1e9
 
 
-def _list_local(path: str) -> Iterator[tuple[str, str, bool, float]]:
-    with os.scandir(path) as entries:
+def _list_local(path: str, wanted: Callable[[str], bool] | None, most: int | None) -> Iterator[tuple[str, str, bool, float]]:
+    with os.scandir(path) as names:
+        entries: Iterable[os.DirEntry] = names
+        if most is not None:
+            entries = list(itertools.islice(names, most + 1))
+            if len(entries) > most:
+                raise TooManyNames(len(entries) + sum(1 for _ in names))
         for entry in entries:
+            if wanted and not wanted(entry.name):
+                continue
             try:
                 if entry.is_dir(follow_symlinks=False):
                     yield entry.path, entry.name, True, 0.0

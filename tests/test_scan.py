@@ -57,6 +57,23 @@ def test_scan_equals_a_walk(spark, tree, budget, recursive, exclude):
     assert "_under.png" in got and "sp ace.jpg" in got and "b.JPG" not in got and "link.png" not in got
 
 
+def test_a_flat_folder_is_shared_out(spark, tmp_path, monkeypatch):
+    root = tmp_path / "flat"
+    root.mkdir()
+    for i in range(700):
+        (root / f"{i}\u00e9.png").write_bytes(b"x")
+    (root / "inner").mkdir()
+    (root / "inner" / "z.png").write_bytes(b"x")
+    rounds = []
+    monkeypatch.setattr("lumisync.sources.scan.fresh_dir", lambda spark, label: rounds.append(str(tmp_path / "rounds")) or rounds[-1])
+    got = listed(scan_images(spark, str(root), entries_per_task=100), root)
+    assert got == expected(root) and len(got) == 701
+    shares = spark.read.parquet(f"{rounds[0]}/round=0").collect()
+    assert sorted((r.share, r.shares) for r in shares) == [(i, 8) for i in range(8)]  # counted, not looked at
+    files = spark.read.parquet(f"{rounds[0]}/round=1").where("not is_dir").groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 1 and all(r["count"] < 300 for r in files)
+
+
 def test_globs_prune_files_and_folders(spark, tree):
     got = listed(scan_images(spark, str(tree), exclude=["Lib*", "[ab].png", "?"]), tree)
     assert "a.png" not in got and "Library/y.png" not in got and "d/one.gif" not in got
