@@ -11,7 +11,7 @@ from ..operators.encoders import ColumnEncoder, HashedTextEncoder
 from ..session import fresh_dir, spread
 from ..sources.scan import scan_images, sorted_paths
 from ..sources.store import VectorStore
-from ..streaming.refresh import embed_arrivals, run_cycles, start_refresh
+from ..streaming.refresh import embed_arrivals, read_cycles, run_cycles, start_refresh
 from .fixtures import (
     FILES_CTE, TREE_SQL, file_tree, files, files_current, files_stored, relative, table,
 )
@@ -160,8 +160,8 @@ def sync_store_shuffled(spark, sf):
 
 # -- refresh ------------------------------------------------------------------------
 
-def refresh_stream(spark, sf):
-    """Three cycles over a changing source; the second one fails and must not matter."""
+def _refreshed(spark, sf, log_table=None):
+    """A store after three cycles over a changing source; the second one fails and must not matter."""
     store = _new_store(spark)
     seen = iter(("stored", "broken", "current"))
 
@@ -171,8 +171,22 @@ def refresh_stream(spark, sf):
             raise OSError("source is away")
         return files_stored(spark, sf) if state == "stored" else files_current(spark, sf)
 
-    run_cycles(lambda note: start_refresh(store, list_current, _generation(1), seconds=0.2, on_cycle=note), 3)
-    return _flat(store.read())
+    run_cycles(lambda note: start_refresh(
+        store, list_current, _generation(1), seconds=0.2, on_cycle=note, log_table=log_table), 3)
+    return store
+
+
+def refresh_stream(spark, sf):
+    """The store after the cycles."""
+    return _flat(_refreshed(spark, sf).read())
+
+
+def refresh_log(spark, sf):
+    """What the first three cycles left in their log."""
+    log_table = fresh_dir(spark, "cycles")
+    _refreshed(spark, sf, log_table)
+    counts = ("new", "modified", "deleted", "unchanged", "total", "failed")
+    return read_cycles(spark, log_table).where("cycle < 3").select("cycle", *counts, "error")
 
 
 def stream_new_files(spark, sf):
@@ -221,6 +235,7 @@ QUERIES = {
     "sync_store": sync_store,
     "sync_store_shuffled": sync_store_shuffled,
     "refresh_stream": refresh_stream,
+    "refresh_log": refresh_log,
     "stream_new_files": stream_new_files,
 }
 
@@ -272,6 +287,15 @@ select total as found, unchanged + modified + deleted as stored, unchanged, "new
   round(("new" + modified) / cast(280 as double), 4) as estimated_seconds from c""",
     "sync_store": _SYNCED,
     "sync_store_shuffled": _SYNCED,
+    "refresh_log": _CLASSES + """, counts as (
+  select count(*) filter (status = 'new') as new, count(*) filter (status = 'modified') as modified,
+    count(*) filter (status = 'deleted') as deleted, count(*) filter (status = 'unchanged') as unchanged,
+    count(*) filter (status <> 'deleted') as total from d),
+first as (select count(*) as n from old)
+select cast(0 as bigint) as cycle, n as new, cast(0 as bigint) as modified, cast(0 as bigint) as deleted,
+  cast(0 as bigint) as unchanged, n as total, cast(0 as bigint) as failed, cast(null as varchar) as error from first
+union all select 1, null, null, null, null, null, null, 'OSError: source is away'
+union all select 2, new, modified, deleted, unchanged, total, 0, null from counts""",
     "refresh_stream": FILES_CTE + f"select path, mtime, {_vector_sql('1')} from cur",
     "stream_new_files": vector_summary("documents", ["doc_id"], "text", TEXT_DIM),
 }

@@ -21,7 +21,7 @@ from lumisync.sources import scan
 from lumisync.sources import store as store_module
 from lumisync.sources.scan import scan_images
 from lumisync.sources.store import VectorStore, VersionTaken
-from lumisync.streaming.refresh import run_cycles, start_refresh
+from lumisync.streaming.refresh import read_cycles, run_cycles, start_refresh, write_cycle
 
 ENCODER = GridImageEncoder(2, TensorSpec(size=8, crop=8))
 LENGTH = ColumnEncoder(2, lambda p: F.array(F.length(p).cast("float"), F.lit(1.0).cast("float")))
@@ -334,12 +334,12 @@ def test_two_writers_of_one_version(spark, store):
 
 
 def test_a_failing_listing_fails_the_scan(monkeypatch):
-    def away(path):
+    def away(path, *_):
         yield f"{path}/a.png", "a.png", False, 1.0
         raise ConnectionError("reset")
 
     monkeypatch.setattr(scan, "list_folder", away)
-    batch = pa.record_batch({"path": ["/r"]})
+    batch = pa.record_batch({"path": ["/r"], "share": [None], "shares": [None]})
     with pytest.raises(ConnectionError):
         list(scan._walker(True, None, 10)([batch]))
     monkeypatch.setattr(scan, "list_folder", lambda path: (_ for _ in ()).throw(PermissionError(path)))
@@ -405,3 +405,29 @@ def test_refresh_survives_a_failing_cycle(spark, store):
     assert done[0].new == 1 and isinstance(done[1], OSError)
     assert (done[2].new, done[2].modified) == (1, 1)
     assert {r.path: r.mtime for r in store.read().collect()} == {"/r/a": 2.0, "/r/b": 1.0}
+
+
+def test_cycles_leave_a_log_that_outlives_a_restart(spark, store, tmp_path):
+    table = str(tmp_path / "log")
+    states = iter([[("/r/a", 1.0)], None, [("/r/a", 2.0), ("/r/b", 1.0)]])
+
+    def list_current():
+        rows = next(states, [("/r/a", 2.0)])
+        if rows is None:
+            raise OSError("away")
+        return snapshot(spark, rows)
+
+    def start(note):
+        return start_refresh(store, list_current, LENGTH, 0.1, note, log_table=table)
+
+    def cycles():
+        return [(r.cycle, r.new, r.modified, r.deleted, r.total, r.error) for r in read_cycles(spark, table).orderBy("cycle").collect()]
+
+    run_cycles(start, 3)
+    first = cycles()
+    assert first[:3] == [(0, 1, 0, 0, 1, None), (1, None, None, None, None, "OSError: away"), (2, 1, 1, 0, 2, None)]
+    run_cycles(start, 1)
+    more = cycles()
+    assert len(more) > len(first) and [c[0] for c in more] == list(range(len(more)))  # numbers go on
+    write_cycle(spark, table, 2, 0.0, OSError("ran again"))  # a replay replaces its row
+    assert [c[0] for c in cycles()] == [c[0] for c in more] and cycles()[2][5] == "OSError: ran again"
