@@ -16,6 +16,7 @@ import base64
 import gzip
 import hashlib
 import json
+import math
 import os
 import uuid
 import zipfile
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import fresh_dir, map_arrow
+from ..session import fresh_dir, map_arrow, parallelism
 from ..sources.files import is_uri, strip_file_scheme
 from .tables import BROADCAST_KEYS, look_up, materialize, read_table
 from .zip_members import PIECE, Member, read_members, read_pieces, stored_at
@@ -38,6 +39,7 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PACKAGE_BYTES = 256 << 20
 PACKAGE_RECORDS = 200_000
 RUN_BYTES = 4 << 20
+RUNS_A_TASK = 16
 DATE = "2000-01-01T00:00:00Z"
 LEAST_PAYLOAD = 0
 
@@ -342,7 +344,8 @@ def read_records(packages: DataFrame, payloads: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema=_ARROW_RECORDS)
 
     runs = materialize(record_runs(packages), "record-runs")
-    dealt = runs.repartition(F.xxhash64("path", "start"))
+    tasks = max(parallelism(packages.sparkSession), math.ceil(runs.count() / RUNS_A_TASK))
+    dealt = runs.repartition(tasks, "path", "start")  # a number of its own: these rows are short, what they stand for is not
     return map_arrow(dealt, read_run, _RECORDS)
 
 
