@@ -342,7 +342,7 @@ def test_a_failing_listing_fails_the_scan(monkeypatch):
     batch = pa.record_batch({"path": ["/r"], "share": [None], "shares": [None]})
     with pytest.raises(ConnectionError):
         list(scan._walker(True, None, 10)([batch]))
-    monkeypatch.setattr(scan, "list_folder", lambda path: (_ for _ in ()).throw(PermissionError(path)))
+    monkeypatch.setattr(scan, "list_folder", lambda path, *_: (_ for _ in ()).throw(PermissionError(path)))
     assert list(scan._walker(True, None, 10)([batch])) == []
 
 
