@@ -6,7 +6,7 @@ import math
 import time
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.diff import DELETED, MODIFIED, NEW, UNCHANGED, classify
@@ -76,10 +76,13 @@ def _sync(store: VectorStore, current: DataFrame, encoder: Encoder | ColumnEncod
     if head and n_buckets < GROWTH * head.n_buckets:
         n_buckets = head.n_buckets
     diff = diff.withColumn("bucket", store.bucket(F.col("path"), n_buckets))
-    added = _embedded(diff, encoder, counts, rows_per_task)
+    # What could not be embedded is counted while the rows are written.
+    written = Observation("written")
+    added = _embedded(diff, encoder, counts, rows_per_task).observe(written, F.count("error").alias("failed"))
     gone = diff.where(F.col("status").isin(MODIFIED, DELETED))
     n_gone, gone_bytes = stats.modified + stats.deleted, counts["changed_bytes"] or 0
-    touched = _buckets(diff.where(F.col("status") != UNCHANGED))
+    added_to, gone_from = _changed_buckets(diff)
+    touched = added_to | gone_from
     is_small = head is not None and head.n_buckets == n_buckets and n_kept > 0 and (
         head.dead_bytes + gone_bytes <= broadcast_key_bytes
         and head.n_dead + n_gone <= DEAD_SHARE * n_rows
@@ -88,30 +91,26 @@ def _sync(store: VectorStore, current: DataFrame, encoder: Encoder | ColumnEncod
     if is_small:
         folder = store.stage(added, head, encoder.dim)
         parts = {b: list(listed) for b, listed in head.parts.items()}
-        for b in _buckets(diff.where(F.col("status").isin(NEW, MODIFIED))):
+        for b in added_to:
             parts[b] = [*parts.get(b, ()), f"{folder}/bucket={b}"]
         dead = [*head.dead, store.stage_tombstones(gone, head)] if n_gone else head.dead
         state = {"dead": dead, "n_dead": head.n_dead + n_gone, "dead_bytes": head.dead_bytes + gone_bytes,
-                 "dead_buckets": {*head.dead_buckets, *_buckets(gone)}}
+                 "dead_buckets": {*head.dead_buckets, *gone_from}}
     else:
         rewritten = set(head.dead_buckets) | touched if head and head.n_buckets == n_buckets else set(range(n_buckets))
         kept = _kept(store, head, gone, rewritten, n_buckets, broadcast_key_bytes)
         folder = store.stage(concat_rows(kept, added) if kept is not None else added, head, encoder.dim)
-        staged = store.spark.read.schema("path string, bucket int").parquet(f"{store.root}/{folder}")
+        filled = added_to if kept is None else _buckets(
+            store.spark.read.schema("path string, bucket int").parquet(f"{store.root}/{folder}"))
         parts = {b: listed for b, listed in (head.parts if head else {}).items() if b not in rewritten}
-        parts |= {b: [f"{folder}/bucket={b}"] for b in _buckets(staged)}
+        parts |= {b: [f"{folder}/bucket={b}"] for b in filled}
         state = {}
-    stats.failed = _failed(store, folder, diff)
+    stats.failed = written.get["failed"] if added_to else 0
     store.publish(head, encoder.dim, parts, n_rows, n_buckets, **state)
     stats.elapsed = time.perf_counter() - started
     return stats
 
 
-def _failed(store: VectorStore, folder: str, diff: DataFrame) -> int:
-    staged = store.spark.read.schema(STORE).parquet(f"{store.root}/{folder}").where("error is not null").select("path")
-    return staged.join(diff.where(F.col("status").isin(NEW, MODIFIED)), "path", "left_semi").count()
-
-
 def stats_frame(spark: SparkSession, stats: SyncStats) -> DataFrame:
     schema = "new long, modified long, deleted long, unchanged long, total long, failed long, elapsed double"
     return spark.createDataFrame([tuple(asdict(stats).values())], schema)
@@ -142,6 +141,14 @@ def _counts(diff: DataFrame) -> dict:
     ).first().asDict()
 
 
+def _changed_buckets(diff: DataFrame) -> tuple[set[int], set[int]]:
+    """The buckets that rows are added to, and those that rows go from: at most as many as the store has."""
+    found = diff.where(F.col("status") != UNCHANGED).groupBy("bucket").agg(
+        F.bool_or(F.col("status").isin(NEW, MODIFIED)).alias("added"),
+        F.bool_or(F.col("status").isin(MODIFIED, DELETED)).alias("gone")).collect()
+    return {r.bucket for r in found if r.added}, {r.bucket for r in found if r.gone}
+
+
 def _buckets(rows: DataFrame) -> set[int]:
     """The bucket numbers of some rows: at most as many as the store has."""
     return {r.bucket for r in rows.select("bucket").distinct().collect()}
