@@ -14,13 +14,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import fresh_dir, map_arrow
+from ..session import fresh_dir, map_arrow, parallelism
 from .files import is_uri
 
 RGB_SCHEMA = "path string, height int, width int, rgb binary, error string"
 IMAGE = "struct<height:int,width:int,nChannels:int,data:binary>"
 # The image source takes its files as a list that goes through the driver; more files than this go in waves.
 WAVE_FILES = 50_000
+LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -111,13 +112,23 @@ def _listed(paths: DataFrame) -> tuple[DataFrame | None, list[str]]:
         asked = map_arrow(paths, _ask, "path string, there boolean").collect()  # a wave of paths
         files = [_source_path(r.path) for r in asked if r.there]
         try:
-            images = _named(paths.sparkSession.read.format("image").load(files)) if files else None
+            images = _named(_load(paths.sparkSession, files)) if files else None
             return images, [r.path for r in asked if not r.there]
         except AnalysisException:  # a file went after it was seen
             if not attempts_left:
                 raise
 
 
+def _load(spark: SparkSession, files: list[str]) -> DataFrame:
+    """The image rows of some files, which are listed by a few tasks for each core and not by one for each file."""
+    before = spark.conf.get(LISTING_TASKS)
+    spark.conf.set(LISTING_TASKS, str(4 * parallelism(spark)))
+    try:
+        return spark.read.format("image").load(files)
+    finally:
+        spark.conf.set(LISTING_TASKS, before)
+
+
 def _source_path(path: str) -> str:
     """A path as the image source takes it: with its scheme, and no character read as a pattern."""
     return ("" if is_uri(path) else "file://") + re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
