@@ -2,15 +2,15 @@
 
 The probability of a word after its history is the product of these factors:
 
-- its class among 32, a softmax over hashed features of the history: the word before, the
+- its class among at most 16, a softmax over hashed features of the history: the word before, the
   word before that (a skip feature) and the pair of both;
-- its place among the 32 of its class, and of those again as often as the vocabulary asks for,
-  each a softmax over the two single-word features;
+- its place among the at most 16 of its class, and of those again as often as the vocabulary asks
+  for, each a softmax over the two single-word features;
 - the word within the slot that these places name, from corpus counts with one unit of mass for
   unknown words.
 
-Class and places are leading bits of the word's crc32. The model follows the training vocabulary:
-there are slots for every 32 words, at least 32 x 32, and the rows of the weight matrix that the
+Class and places are leading bits of the word's crc32, dealt evenly to the softmaxes. The model follows
+the training vocabulary: there are slots for every 32 words, at least 1,024, and the rows of the weight matrix that the
 features are hashed to double whenever the vocabulary quadruples, for every task holds the matrix.
 The weights are trained by distributed gradient updates: in each round, every task runs gradient
 steps over its share of the training documents from the common weights, and the changes of each
@@ -28,6 +28,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,10 +36,11 @@ from ..session import map_arrow, parallelism, ship_package
 from .chunks import expand, expand_ranks, expand_words, pack, rank_order, spans, squeeze
 from .tables import crc_of_id, materialize, read_table, shuffle_partitions
 
-CLASS_BITS = 5
-CLASSES = 1 << CLASS_BITS  # of the first softmax, and the places of each softmax below it
+CLASS_BITS = 4
+CLASSES = 1 << CLASS_BITS  # of the first softmax, and the places of each softmax below it, at most
 WORDS_A_SLOT = 32
-LEAST_WORDS = WORDS_A_SLOT * CLASSES * CLASSES  # of a vocabulary that the least shape is made for
+LEAST_SLOT_BITS = 10
+LEAST_WORDS = WORDS_A_SLOT << LEAST_SLOT_BITS  # of a vocabulary that the least shape is made for
 ROUNDS = 2
 STEP_BITS = 13
 STEP_TOKENS = 1 << STEP_BITS
@@ -57,7 +59,7 @@ class Shape(NamedTuple):
     def of(cls, n_words: int) -> Shape:
         """The sizes for a vocabulary."""
         more = max(0, (max(1, n_words) - 1).bit_length() - (LEAST_WORDS - 1).bit_length())
-        return cls(2 * CLASS_BITS + more, 12 + (more + 1) // 2, 15 + (more + 1) // 2)
+        return cls(LEAST_SLOT_BITS + more, 13 + (more + 1) // 2, 16 + (more + 1) // 2)
 
     @property
     def slots(self) -> int:
@@ -70,11 +72,14 @@ class Shape(NamedTuple):
     @property
     def levels(self) -> list[tuple[int, int]]:
         """Bits above and bits of each softmax."""
-        return [(at, min(CLASS_BITS, self.slot_bits - at)) for at in range(0, self.slot_bits, CLASS_BITS)]
+        n = -(-self.slot_bits // CLASS_BITS)
+        edges = [-(-self.slot_bits * i // n) for i in range(n + 1)]
+        return [(at, end - at) for at, end in zip(edges, edges[1:])]
 
 
-SMALL = Shape(8, 12, 15)  # of a model that is given no vocabulary to follow
+SMALL = Shape(8, 13, 16)  # of a model that is given no vocabulary to follow
 SLOTS = SMALL.slots
+_ONES = np.ones(CLASSES, np.float32)
 
 _COUNTS = "chunk long, bucket int, tally binary, counts binary, n_words long, hashes binary, uses binary"
 _ARROW_COUNTS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("tally", pa.binary()),
@@ -96,29 +101,37 @@ def _tokens(text: str) -> list[bytes]:
 
 
 class _History:
-    """Rows of the weight matrix that each token of some documents uses, and its places."""
+    """The tokens of some documents and the two before each, 0 where a document begins."""
 
     def __init__(self, hashes: np.ndarray, lengths: np.ndarray, shape: Shape = SMALL):
         n, starts = len(hashes), spans(lengths)[:-1]
         starts = starts[lengths > 0]
-        before, skipped = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
-        before[1:], skipped[2:] = hashes[:-1], hashes[:-2]
-        before[starts] = 0
-        skipped[starts] = 0
-        skipped[starts[starts + 1 < n] + 1] = 0
+        self.hashes, self.shape = hashes, shape
+        self.before, self.skipped = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
+        self.before[1:], self.skipped[2:] = hashes[:-1], hashes[:-2]
+        self.before[starts] = 0
+        self.skipped[starts] = 0
+        self.skipped[starts[starts + 1 < n] + 1] = 0
+
+    def levels(self, at) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """For each softmax, of the tokens at these positions: the places above, their place and the
+        rows of the weight matrix that they use."""
+        shape, hashes, before, skipped = self.shape, self.hashes[at], self.before[at], self.skipped[at]
         pair = before * np.uint32(2654435761) + skipped * np.uint32(2246822519)
-        self.above = [_lead(hashes, at).astype(np.int32) for at, _ in shape.levels]
-        self.place = [(_lead(hashes, at + bits) & np.uint32((1 << bits) - 1)).astype(np.int32) for at, bits in shape.levels]
-        self.class_rows = [(i << shape.class_row_bits) + _bits(h, shape.class_row_bits)
-                           for i, h in enumerate((before, skipped, pair))]
-        self.slot_rows = []
-        for (at, _), above in zip(shape.levels[1:], self.above[1:]):
-            path = (above.astype(np.uint32) + np.uint32(1 << at)) * np.uint32(3266489917)
-            for i, h in enumerate((before, skipped)):
-                mixed = (h ^ path) * np.uint32(2246822519)
-                mixed ^= mixed >> np.uint32(15)
-                self.slot_rows.append((3 << shape.class_row_bits) + (i << shape.slot_row_bits) + _bits(mixed, shape.slot_row_bits))
-        self.rows = [self.class_rows, *(self.slot_rows[i:i + 2] for i in range(0, len(self.slot_rows), 2))]
+        for start, bits in shape.levels:
+            above = _lead(hashes, start)
+            place = _lead(hashes, start + bits) & np.uint32((1 << bits) - 1)
+            if start == 0:
+                rows = [(i << shape.class_row_bits) + _bits(h, shape.class_row_bits)
+                        for i, h in enumerate((before, skipped, pair))]
+            else:
+                path, rows = (above + np.uint32(1 << start)) * np.uint32(3266489917), []
+                for i, h in enumerate((before, skipped)):
+                    mixed = (h ^ path) * np.uint32(2246822519)
+                    mixed ^= mixed >> np.uint32(15)
+                    first = (3 << shape.class_row_bits) + (i << shape.slot_row_bits)
+                    rows.append(first + _bits(mixed, shape.slot_row_bits))
+            yield above.astype(np.int32), place.astype(np.int32), rows
 
 
 def _lead(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -130,16 +143,16 @@ def _bits(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _exponents(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    logits = weights[rows[0]]
-    for more in rows[1:]:
-        logits += weights[more]
-    logits += bias
+    logits = bias
+    for used in rows:
+        logits += weights.take(used, axis=0)
     logits -= logits.max(axis=1, keepdims=True)
     return logits
 
 
 class Model:
-    """Corpus totals and the weights; their sizes are those of the shape."""
+    """Corpus totals and the weights; their sizes are those of the shape. A pickled model comes back
+    with weights of 16 bits, to be read only."""
 
     def __init__(self, slot_tokens: np.ndarray, slot_words: np.ndarray, shape: Shape = SMALL):
         self.slot_tokens, self.slot_words, self.shape = slot_tokens, slot_words, shape
@@ -153,10 +166,18 @@ class Model:
         self.weights = np.zeros((shape.rows, CLASSES), np.float32)
 
     def __getstate__(self) -> dict:
-        return vars(self) | {"weights": squeeze(self.weights.view(np.uint32).ravel())}
+        """Weights go to the tasks in 16-bit floating point; steps and sums have 32 bits or more."""
+        halves = self.weights.astype(np.float16)
+        return vars(self) | {"weights": zstandard.ZstdCompressor(level=1).compress(halves)}
 
     def __setstate__(self, state: dict) -> None:
-        vars(self).update(state, weights=expand(state["weights"]).view(np.float32).reshape(-1, CLASSES))
+        halves = np.frombuffer(zstandard.ZstdDecompressor().decompress(state["weights"]), np.float16)
+        vars(self).update(state, weights=halves.reshape(-1, CLASSES))
+
+    def __copy__(self) -> Model:
+        twin = Model.__new__(Model)
+        vars(twin).update(vars(self))
+        return twin
 
     @property
     def n_tokens(self) -> int:
@@ -169,9 +190,9 @@ class Model:
     def log_probs(self, history: _History, at: slice) -> np.ndarray:
         """Natural log of the slot of each token."""
         n, total = np.arange(at.stop - at.start), 0.0
-        for bias, above, place, rows in zip(self.biases, history.above, history.place, history.rows):
-            logits = _exponents(bias[above[at]], self.weights, [r[at] for r in rows])
-            total = total + logits[n, place[at]] - np.log(np.exp(logits, out=logits).sum(axis=1))
+        for bias, (above, place, rows) in zip(self.biases, history.levels(at)):
+            logits = _exponents(bias[above], self.weights, rows)
+            total = total + logits[n, place] - np.log(np.exp(logits, out=logits) @ _ONES)
         return total
 
     def learn(self, history: _History, chosen: np.ndarray, seen: np.ndarray, squares: np.ndarray) -> None:
@@ -179,21 +200,28 @@ class Model:
         for start in range(0, len(chosen), STEP_TOKENS):
             at = chosen[start:start + STEP_TOKENS]
             n, gradients = np.arange(len(at)), []
-            for bias, above, place, rows in zip(self.biases, history.above, history.place, history.rows):
-                used = [r[at] for r in rows]
-                missing = _exponents(bias[above[at]], self.weights, used)
+            for bias, (above, place, rows) in zip(self.biases, history.levels(at)):
+                missing = _exponents(bias[above], self.weights, rows)
                 np.exp(missing, out=missing)
-                missing /= -missing.sum(axis=1, keepdims=True)
-                missing[n, place[at]] += 1
-                gradients += [(r, missing) for r in used]
-            for rows, gradient in gradients:
-                keys = np.sort((rows.astype(np.int64) << STEP_BITS) | n)  # by row, then in order of the text
+                missing *= (-1 / (missing @ _ONES))[:, None]
+                missing[n, place] += 1
+                gradients.append((rows, missing))
+            for rows, gradient in gradients:  # the features of a softmax have rows of their own
+                keys = np.concatenate([(r.astype(np.int64) << STEP_BITS) | n for r in rows])
+                keys.sort()  # by row, then in order of the text
                 order, ranked = keys & (STEP_TOKENS - 1), keys >> STEP_BITS
                 first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-                touched, total = ranked[first], np.add.reduceat(gradient[order], first, axis=0)
-                seen[touched] += np.diff(np.append(first, len(rows)))
-                squares[touched] += (total * total).mean(axis=1)
-                self.weights[touched] += RATE * total / np.sqrt(squares[touched] + 1e-6)[:, None]
+                touched, uses = ranked[first], np.diff(np.append(first, len(keys)))
+                total, often = gradient.take(order[first], axis=0), uses > 1
+                if often.any():
+                    total[often] = np.add.reduceat(gradient.take(order[np.repeat(often, uses)], axis=0),
+                                                   spans(uses[often])[:-1], axis=0)
+                seen[touched] += uses
+                scale = squares[touched] + np.einsum("ij,ij->i", total, total) / CLASSES
+                squares[touched] = scale
+                total *= (RATE / np.sqrt(scale + 1e-6))[:, None]
+                total += self.weights.take(touched, axis=0)
+                self.weights[touched] = total
 
 
 def score_documents(docs: DataFrame, is_training, rounds: int = ROUNDS) -> DataFrame:
@@ -287,8 +315,8 @@ def _train_round(chunks: DataFrame, model: Model) -> None:
 
 def _trainer(start):
     def train(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = copy(start.value)  # weights too
-        n_rows = model.shape.rows
+        model = copy(start.value)
+        model.weights, n_rows = start.value.weights.astype(np.float32), model.shape.rows
         seen, squares = np.zeros(n_rows, np.int64), np.zeros(n_rows, np.float32)
         for batch in batches:
             for row in batch.to_pylist():
@@ -298,7 +326,8 @@ def _trainer(start):
                 model.learn(history, chosen, seen, squares)
         for at in range(0, n_rows, BLOCK_ROWS):
             if (weight := seen[at:at + BLOCK_ROWS]).any():
-                change = model.weights[at:at + BLOCK_ROWS] - start.value.weights[at:at + BLOCK_ROWS]
+                used = at + np.flatnonzero(weight)  # other rows have not changed
+                change = model.weights[used] - start.value.weights[used]
                 yield pa.RecordBatch.from_pylist([{"block": at // BLOCK_ROWS, "weight": squeeze(weight),
                                                    "change": _squeeze_change(change)}], schema=_ARROW_UPDATE)
 
@@ -306,12 +335,17 @@ def _trainer(start):
 
 
 def _squeeze_change(change: np.ndarray) -> bytes:
-    """A change of weights on its way, in 16-bit floating point; sums and weights have 32 bits or more."""
-    return squeeze(change.astype(np.float16).view(np.uint16).astype(np.uint32).ravel())
+    """A change of weights on its way: the peak of each row, and its entries as 127ths of that."""
+    peak = np.maximum(np.abs(change).max(axis=1), 1e-30).astype(np.float32)
+    shares = np.rint(change / peak[:, None] * 127).astype(np.int8)
+    return zstandard.ZstdCompressor(level=3).compress(peak.tobytes() + shares.tobytes())
 
 
 def _expand_change(packed: bytes) -> np.ndarray:
-    return expand(packed).astype(np.uint16).view(np.float16).astype(np.float64).reshape(-1, CLASSES)
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    n = len(raw) // (4 + CLASSES)
+    peak, shares = np.frombuffer(raw, np.float32, n), np.frombuffer(raw, np.int8, offset=4 * n)
+    return shares.reshape(-1, CLASSES) * (peak.astype(np.float64) / 127)[:, None]
 
 
 def _average(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +353,9 @@ def _average(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             weight = expand(row["weight"]).astype(np.float64)
-            change = _expand_change(row["change"]) * weight[:, None]
+            change = np.zeros((len(weight), CLASSES))
+            change[weight > 0] = _expand_change(row["change"])
+            change *= weight[:, None]
             if (old := sums.get(row["block"])) is not None:
                 weight, change = old[0] + weight, old[1] + change
             sums[row["block"]] = weight, change

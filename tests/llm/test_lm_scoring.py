@@ -65,8 +65,8 @@ def test_probabilities_add_up_to_one():
 def test_history_ends_with_the_document():
     hashes = np.array([5, 6, 7, 5, 6, 7], np.uint32)
     apart, alone = L._History(hashes, np.array([3, 3])), L._History(hashes[:3], np.array([3]))
-    for a, b in zip(apart.class_rows + apart.slot_rows, alone.class_rows + alone.slot_rows):
-        assert (a == np.tile(b, 2)).all()
+    for (_, _, a), (_, _, b) in zip(apart.levels(slice(0, 6)), alone.levels(slice(0, 3)), strict=True):
+        assert all((x == np.tile(y, 2)).all() for x, y in zip(a, b, strict=True))
 
 
 def test_model_follows_the_vocabulary():
@@ -74,10 +74,10 @@ def test_model_follows_the_vocabulary():
     assert small.slots == 32 * 32 and large.slots * 32 >= 3_000_000
     assert large.class_row_bits > small.class_row_bits and large.slot_row_bits > small.slot_row_bits
     rng = np.random.default_rng(1)
-    shape = L.Shape(12, 12, 15)  # the last softmax has four places only
+    shape = L.Shape(11, 12, 15)  # one softmax has eight places only
     model = L.Model(rng.integers(0, 90, shape.slots), rng.integers(1, 9, shape.slots), shape)
     model.weights[:] = rng.normal(size=model.weights.shape)
-    hashes = np.array([h for slot in range(shape.slots) for h in (7 << 24, 9 << 20, slot << 20)], np.uint32)
+    hashes = np.array([h for slot in range(shape.slots) for h in (7 << 24, 9 << 20, slot << 21)], np.uint32)
     history = L._History(hashes, np.full(shape.slots, 3), shape)
     every = np.exp(model.log_probs(history, slice(0, len(hashes))).astype(float))
     assert every[2::3].sum() == pytest.approx(1, abs=1e-4)
@@ -90,3 +90,57 @@ def test_scores_use_the_shape_of_the_vocabulary(spark, monkeypatch):
     rows = [(i, " ".join(f"w{j}" for j in range(i * 1_000, i * 1_000 + 1_000))) for i in range(40)]
     assert len(L.score_documents(documents(spark, rows), F.lit(True)).collect()) == 40
     assert shapes == [L.Shape.of(40_001)] and shapes[0].slots == 2_048
+
+
+def test_steps_and_scores_by_a_plain_model(monkeypatch):
+    monkeypatch.setattr(L, "STEP_TOKENS", 64)
+    rng = np.random.default_rng(2)
+    shape = L.Shape(10, 6, 8)
+    hashes = rng.choice(rng.integers(0, 1 << 32, 40, dtype=np.uint32), 300)
+    history = L._History(hashes, np.array([100, 0, 1, 199]), shape)
+    tokens = np.bincount(hashes >> 22, minlength=shape.slots)
+    model = L.Model(tokens, tokens, shape)
+    used = [rows for _, _, rows in history.levels(slice(0, 300))]
+    model.learn(history, np.arange(200), np.zeros(shape.rows, np.int64), np.zeros(shape.rows, np.float32))
+
+    weights, squares = collections.defaultdict(lambda: [0.0] * L.CLASSES), collections.Counter()
+
+    def softmax(level, token):
+        at, bits = shape.levels[level]
+        path, masses = int(hashes[token]) >> (32 - at) if at else 0, []
+        for place in range(1 << bits):
+            first = (path << bits | place) << (shape.slot_bits - at - bits)
+            masses.append(sum(int(n) + 1.0 for n in tokens[first:first + (1 << (shape.slot_bits - at - bits))]))
+        raw = [mass * math.exp(sum(weights[int(rows[token])][place] for rows in used[level]))
+               for place, mass in enumerate(masses)]
+        return [r / sum(raw) for r in raw], int(hashes[token]) >> (32 - at - bits) & ((1 << bits) - 1)
+
+    for start in range(0, 200, 64):
+        steps = []
+        for level in range(len(shape.levels)):
+            shares = [softmax(level, token) for token in range(start, min(start + 64, 200))]
+            for rows in used[level]:
+                change = collections.defaultdict(lambda: [0.0] * L.CLASSES)
+                for token, (share, place) in enumerate(shares, start):
+                    for i, p in enumerate(share):
+                        change[int(rows[token])][i] += (i == place) - p
+                steps.append(change)
+        for change in steps:
+            for row, entries in change.items():
+                squares[row] += sum(x * x for x in entries) / L.CLASSES
+                weights[row] = [w + L.RATE * x / math.sqrt(squares[row] + 1e-6) for w, x in zip(weights[row], entries)]
+    got = model.log_probs(history, slice(200, 300))
+    for token in range(200, 300):
+        want = 0.0
+        for level in range(len(shape.levels)):
+            share, place = softmax(level, token)
+            want += math.log(share[place])
+        assert got[token - 200] == pytest.approx(want, abs=1e-3)
+
+
+def test_changes_on_their_way():
+    rng = np.random.default_rng(3)
+    change = rng.normal(size=(9, L.CLASSES)).astype(np.float32)
+    change[4] = 0
+    back = L._expand_change(L._squeeze_change(change))
+    assert np.abs(back - change).max() <= np.abs(change).max() / 250 and not back[4].any()
