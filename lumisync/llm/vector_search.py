@@ -2,7 +2,9 @@
 
 The file holds one byte per component: the number of its cell in an even grid between the least
 and the greatest value of the dimension. A scan of the file bounds every score from both sides.
-The rows of the k best lower bounds are read exactly first; with the k-th exact score known,
+Every task names the k-th best lower bound of its rows; what does not reach the greatest of these
+is dropped before anything is ranked, so few rows of a query meet in one task, however many tasks
+there were. The rows of the k best lower bounds are read exactly first; with the k-th exact score known,
 only rows whose upper bound reaches it are read as well, and then the result is certain.
 
 The query set is worked off in blocks of bounded size. Rows of equal vectors tie for every
@@ -31,16 +33,22 @@ STEP_QUERIES = 256
 
 _PACKS = "size int, ids binary, cells binary"
 _ARROW_PACKS = pa.schema([("size", pa.int32()), ("ids", pa.binary()), ("cells", pa.binary())])
-_BOUNDS = "query_id long, vec_id long, lower double, upper double"
-_ARROW_BOUNDS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("lower", pa.float64()), ("upper", pa.float64())])
+_BOUNDS = "query_id long, vec_id long, lower double, upper double, kth double"
+_ARROW_BOUNDS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("lower", pa.float64()), ("upper", pa.float64()),
+                           ("kth", pa.float64())])
+LARGEST_SQUARE = 2.0 ** 62
 
 
 def whole_vectors(rows: DataFrame, scale: int = SCALE) -> DataFrame:
     """(vec_id, vector): components as floor(scale * x). Rows without id or vector, and those with
-    a null or non-finite component, are left out; of several vectors of one id the smallest counts."""
+    a null or non-finite component, are left out; of several vectors of one id the smallest counts.
+    Vectors whose sum of squares reaches 2^62 are left out too, for their products may not fit a long."""
     finite = F.forall("embedding", lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
-    vector = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    kept = rows.where(F.col("vec_id").isNotNull() & finite).select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector"))
+    whole = F.transform("embedding", lambda x: F.floor(F.when(F.abs(x.cast("double")) * scale < LARGEST_SQUARE, x.cast("double") * scale)))
+    vector = F.transform(whole, lambda x: x.cast("long"))
+    square = F.aggregate(whole, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    small = F.coalesce(square < LARGEST_SQUARE * (1 - 1e-9), F.lit(False))
+    kept = rows.where(F.col("vec_id").isNotNull() & finite & small).select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector"))
     return kept.groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
@@ -66,6 +74,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
         bounds = scanned if bounds is None else bounds.union(scanned)
     if bounds is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    scanned = materialize(bounds, "scanned")
+    reached = scanned.groupBy("query_id").agg(F.max("kth").alias("reached"))
+    bounds = scanned.join(reached, "query_id").where("reached is null or upper >= reached").drop("kth", "reached")
     best = Window.partitionBy("query_id").orderBy(F.desc("lower"), "vec_id")
     bounds = materialize(bounds.withColumn("order", F.row_number().over(best)), "bounds")
 
@@ -147,9 +158,10 @@ def _scanner(shared, grid, k: int):
                 low, width = grid.get(size, (np.zeros(0), np.zeros(0)))
                 reach = np.abs(queries[j]) @ (width / 2)
                 reach += 1e-6 * (reach + np.abs(queries[j]) @ np.abs(low + 0.5 * CELLS * width)) + 1
+                kth = [np.partition(values, -k)[-k] - reach if len(ids) >= k else None]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(ids), query_ids[j])), pa.array(ids), pa.array(values - reach), pa.array(values + reach)],
-                    schema=_ARROW_BOUNDS)
+                    pa.array(np.full(len(ids), query_ids[j])), pa.array(ids), pa.array(values - reach), pa.array(values + reach),
+                    pa.array(kth * len(ids), pa.float64())], schema=_ARROW_BOUNDS)
 
     return scan
 

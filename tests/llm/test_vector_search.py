@@ -10,7 +10,8 @@ def brute_force(rows, k):
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
             whole = [math.floor(1024 * x) for x in v]
-            known[i] = min(known.get(i, whole), whole)
+            if sum(x * x for x in whole) < 2 ** 62:
+                known[i] = min(known.get(i, whole), whole)
     out = []
     for q in (i for i in known if i % 100 == 0):
         scored = [(-sum(a * b for a, b in zip(known[q], v)), i) for i, v in known.items() if i != q and len(v) == len(known[q])]
@@ -33,7 +34,8 @@ def test_brute_force_with_ties_copies_and_bad_rows(spark, monkeypatch):
     vectors[500:520] = np.round(vectors[500:520])
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
     rows += [(800, None), (801, [1.0, None] * 4), (802, [float("nan")] * 8), (803, [float("inf")] * 8), (900, [1.0, 2.0]),
-             (901, [1.0, -2.0]), (None, rows[0][1]), (1000, []), (1100, [0.0] * 8), (5, rows[6][1]), (5, rows[5][1])]
+             (901, [1.0, -2.0]), (None, rows[0][1]), (1000, []), (1100, [0.0] * 8), (5, rows[6][1]), (5, rows[5][1]),
+             (803, [3e9] + [0.0] * 7), (804, [1e10] * 8), (1200, [-1e30] * 8), (1300, [1e5] * 8), (805, [-1e5] * 8)]
     for k in (1, 10):
         assert _got(spark, rows, k) == brute_force(rows, k)
     monkeypatch.setattr(V, "BLOCK_QUERIES", 3)  # several blocks of queries
