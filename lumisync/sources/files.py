@@ -101,11 +101,23 @@ def is_folder(path: str) -> bool:
     return remote.get_file_info(inner).type == pafs.FileType.Directory
 
 
+# Schemes of file systems whose rename is one step that fails if the name exists.
+ATOMIC_RENAME = ("file", "hdfs", "webhdfs", "swebhdfs", "viewfs", "abfs", "abfss", "ofs")
+# Fixed value: the option and capability by which a Hadoop file system creates a file only if there is none.
+CONDITIONAL_CREATE = "fs.option.create.conditional.overwrite"
+
+
+class NoSafeCommit(RuntimeError):
+    """The file system has no operation by which one of several writers wins."""
+
+
 def put_if_absent(spark: SparkSession, path: str, content: bytes) -> bool:
     """Create a file with its whole content at once; False if the name is taken. Runs on the driver.
 
-    The content is written under another name first. On local disks a hard link then gives it its
-    name, elsewhere a rename that does not overwrite; either fails if the name exists.
+    On local disks and file systems with an atomic rename the content is written under another name
+    first; a hard link or a rename that does not overwrite then gives it its name, and either fails
+    if the name exists. Object stores only imitate a rename, so there the file is created by a
+    conditional write, and a store that offers none is refused with `NoSafeCommit`.
     """
     local = strip_file_scheme(path)
     if not is_uri(local):
@@ -122,6 +134,45 @@ def put_if_absent(spark: SparkSession, path: str, content: bytes) -> bool:
     target = jvm.org.apache.hadoop.fs.Path(path)
     draft = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{uuid.uuid4().hex}")
     files = target.getFileSystem(conf)
+    if commit_by_rename(path.split(":", 1)[0], files.hasPathCapability(target, CONDITIONAL_CREATE)):
+        return _rename_into_place(spark, files, draft, target, content)
+    return _create_conditionally(files, target, content)
+
+
+def commit_by_rename(scheme: str, conditional: bool) -> bool:
+    """Whether a file gets its name by a rename; else by a conditional write, if the store offers it."""
+    if scheme.lower() in ATOMIC_RENAME:
+        return True
+    if conditional:
+        return False
+    raise NoSafeCommit(f"{scheme} has neither an atomic rename nor conditional writes, so two writers could both "
+                       "succeed; keep the store on another file system")
+
+
+def _create_conditionally(files, target, content: bytes) -> bool:
+    """The write is finished on `close`; it fails there, or before, if the name is taken."""
+    try:
+        out = files.createFile(target).overwrite(True).must(CONDITIONAL_CREATE, True).build()
+        out.write(bytearray(content))
+        out.close()
+        return True
+    except Py4JJavaError as error:
+        if _is_taken(error.java_exception):
+            return False
+        raise
+
+
+def _is_taken(cause) -> bool:
+    """A name that exists, by the exception's class or by the answer 412 of a failed condition."""
+    while cause is not None:
+        if "FileAlreadyExists" in cause.getClass().getName() or "412" in (cause.getMessage() or ""):
+            return True
+        cause = cause.getCause()
+    return False
+
+
+def _rename_into_place(spark: SparkSession, files, draft, target, content: bytes) -> bool:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     out = files.create(draft)
     out.write(bytearray(content))
     out.close()
@@ -130,9 +181,9 @@ def put_if_absent(spark: SparkSession, path: str, content: bytes) -> bool:
         no_overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
         context.rename(draft, target, no_overwrite)
         return True
-    except Py4JJavaError as error:
-        if "FileAlreadyExists" not in error.java_exception.getClass().getName():
-            raise
-        return False
+    except Py4JJavaError:
+        if files.exists(draft) and files.exists(target):  # the name is taken, whatever the exception says
+            return False
+        raise
     finally:
         files.delete(draft, False)

@@ -3,10 +3,12 @@
 import os
 import pathlib
 from concurrent.futures import ThreadPoolExecutor
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 from test_images import write_image
 
@@ -17,8 +19,9 @@ from lumisync.operators.tensor import TensorSpec
 from lumisync.plans.sync import _embedded, _kept, stats_frame, sync
 from lumisync.plans.fixtures import encode_png
 from lumisync.session import shared_dir
-from lumisync.sources import scan
+from lumisync.sources import files, scan
 from lumisync.sources import store as store_module
+from lumisync.sources.files import put_if_absent
 from lumisync.sources.scan import scan_images
 from lumisync.sources.store import VectorStore, VersionTaken
 from lumisync.streaming.refresh import read_cycles, run_cycles, start_refresh, write_cycle
@@ -333,6 +336,74 @@ def test_two_writers_of_one_version(spark, store):
     assert not [name for name in store._names("manifest") if name.startswith(".")]
 
 
+def test_a_file_is_created_once_on_a_remote_path(spark, tmp_path):
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.once.link./in", f"file://{tmp_path}")
+    root = "viewfs://once/in"
+    assert put_if_absent(spark, f"{root}/m", b"first")
+    assert not put_if_absent(spark, f"{root}/m", b"second")
+    assert (tmp_path / "m").read_bytes() == b"first"
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith(".") and not p.name.endswith(".crc")]
+    with ThreadPoolExecutor(4) as writers:
+        won = list(writers.map(lambda i: put_if_absent(spark, f"{root}/n", str(i).encode()), range(4)))
+    assert sum(won) == 1 and (tmp_path / "n").read_bytes() == str(won.index(True)).encode()
+
+
+def test_stores_without_a_safe_commit_are_refused():
+    assert files.commit_by_rename("hdfs", False) and files.commit_by_rename("HDFS", True)
+    assert not files.commit_by_rename("s3a", True)
+    with pytest.raises(files.NoSafeCommit, match="gs has neither"):
+        files.commit_by_rename("gs", False)
+
+
+class ConditionalStore:
+    """Answers as an object store does: a conditional write fails on `close` if the name is taken."""
+
+    def __init__(self, failure="FileAlreadyExistsException", message=None):
+        self.objects, self.failure, self.message, self.asked = {}, failure, message, None
+
+    def createFile(self, target):  # noqa: N802
+        self.target, self.content = target, b""
+        return self
+
+    def overwrite(self, _):
+        return self
+
+    def must(self, key, value):
+        self.asked = key, value
+        return self
+
+    def build(self):
+        return self
+
+    def write(self, content):
+        self.content += bytes(content)
+
+    def close(self):
+        if self.target in self.objects:
+            error = Py4JJavaError.__new__(Py4JJavaError)
+            error.java_exception = SimpleNamespace(
+                getClass=lambda: SimpleNamespace(getName=lambda: self.failure), getMessage=lambda: self.message,
+                getCause=lambda: None)
+            raise error
+        self.objects[self.target] = self.content
+
+
+@pytest.mark.parametrize("failure, message", [("org.apache.hadoop.fs.FileAlreadyExistsException", None),
+                                              ("RemoteFileChangedException", "Status Code: 412")])
+def test_conditional_writes(failure, message):
+    remote = ConditionalStore(failure, message)
+    assert files._create_conditionally(remote, "m", b"first")
+    assert not files._create_conditionally(remote, "m", b"second")
+    assert remote.objects == {"m": b"first"} and remote.asked == (files.CONDITIONAL_CREATE, True)
+
+
+def test_other_failures_of_a_conditional_write_are_raised():
+    remote = ConditionalStore("AccessDeniedException", "Status Code: 403")
+    files._create_conditionally(remote, "m", b"first")
+    with pytest.raises(Py4JJavaError):
+        files._create_conditionally(remote, "m", b"second")
+
+
 def test_a_failing_listing_fails_the_scan(monkeypatch):
     def away(path, *_):
         yield f"{path}/a.png", "a.png", False, 1.0
