@@ -1,7 +1,8 @@
 """Personal data in texts, in DataFrame operations only.
 
 Regular expressions propose spans; validators confirm them (address parts, Luhn, digit counts,
-mod-97); words close by raise the score of a span. Every span of the four basic kinds that its
+mod-97); an account number has the length of its country, where that is known, and no letter
+or digit before or after it; words close by raise the score of a span. Every span of the four basic kinds that its
 validator confirms is reported; a span of a further kind needs a score of `LEAST_SCORE`.
 
 The patterns are possessive and start only where no earlier start could match as well, so a
@@ -25,6 +26,25 @@ CONTEXT_BEFORE, CONTEXT_AFTER = 40, 20
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _LOCAL = "[A-Za-z0-9._%+-]"
 
+# Lengths of account numbers and the countries that use them.
+ACCOUNT_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _account_pattern() -> str:
+    """Groups of four, or of what remains, after the country; other countries may have any length."""
+    known = []
+    for length, countries in ACCOUNT_LENGTHS.items():
+        fours, rest = divmod(length - 4, 4)
+        last = f" ?[A-Z0-9]{{{rest}}}" if rest else ""
+        known.append(f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}{last}")
+    other = "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+    return "(?:" + "|".join([*known, other]) + ")"
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -44,7 +64,7 @@ KINDS = (
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "", 0.8, "card|visa|credit|payment"),
     # \+[0-9][\x20().0-9-]+[0-9]
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, "phone|call|tel|mobile"),
-    Kind("iban", "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", "", 0.7, "iban|account|bank"),
+    Kind("iban", "(?=[A-Z]{2}[0-9]{2})" + _account_pattern(), "", 0.7, "iban|account|bank"),
     Kind("ssn", "[0-9]{3}-[0-9]{2}-[0-9]{4}", "-", 0.3, "ssn|social security"),
 )
 BASE_KINDS = tuple(kind.name for kind in KINDS[:4])
@@ -91,6 +111,9 @@ def _spans_of(kind: Kind, number: int, text: Column, gaps: Column, matches: Colu
         kept = confirms(pair["match"])
         if kind.name not in BASE_KINDS:
             kept = kept & (score >= LEAST_SCORE)
+        if kind.name == "iban":
+            beside = F.concat(F.substring(text, start, F.when(start > 0, 1).otherwise(0)), F.substring(text, end + 1, F.lit(1)))
+            kept = kept & ~beside.rlike("[A-Z0-9]")
         return F.struct(end.alias("at"), F.when(kept, F.array_append(so_far["spans"], span)).otherwise(so_far["spans"])
                         .alias("spans"))
 
@@ -180,13 +203,13 @@ found as (
                 when 1 then regexp_extract_all(t, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)')
                 when 2 then regexp_extract_all(t, '[0-9](?:[\x20-]?[0-9])+')
                 when 3 then regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]')
-                when 4 then regexp_extract_all(t, '[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?')
+                when 4 then regexp_extract_all(t, 'ACCOUNT')
                 else regexp_extract_all(t, '[0-9]{3}-[0-9]{2}-[0-9]{4}') end as m,
             case no when 0 then regexp_split_to_array(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')
                 when 1 then regexp_split_to_array(t, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)')
                 when 2 then regexp_split_to_array(t, '[0-9](?:[\x20-]?[0-9])+')
                 when 3 then regexp_split_to_array(t, '\+[0-9][\x20().0-9-]+[0-9]')
-                when 4 then regexp_split_to_array(t, '[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?')
+                when 4 then regexp_split_to_array(t, 'ACCOUNT')
                 else regexp_split_to_array(t, '[0-9]{3}-[0-9]{2}-[0-9]{4}') end as g
         from texts, kinds)
     where len(m) > 0),
@@ -206,7 +229,9 @@ confirmed as (
             case when i % 2 = 1 then cast(d[length(d) + 1 - i] as int)
                 else (2 * cast(d[length(d) + 1 - i] as int)) // 10 + (2 * cast(d[length(d) + 1 - i] as int)) % 10 end)) % 10 = 0
         when 3 then length(d) between 9 and 15
-        when 4 then length(c) between 15 and 34 and list_reduce(list_prepend(0, list_transform(string_split(c[5:] || c[1:4], ''), lambda x:
+        when 4 then length(c) between 15 and 34
+            and not regexp_matches(case when b > 0 then substring(t, b, 1) else '' end || substring(t, b + length(s) + 1, 1), '[A-Z0-9]')
+            and list_reduce(list_prepend(0, list_transform(string_split(c[5:] || c[1:4], ''), lambda x:
             case when x between '0' and '9' then ascii(x) - 48 else ascii(x) - 55 end)), lambda r, v: case when v < 10 then (r * 10 + v) % 97 else (r * 100 + v) % 97 end) = 1
         else not regexp_matches(s, '^(?:000|666|9)|-00-|-0000$') and regexp_matches(around, 'ssn|social security') end),
 digests as (
@@ -218,7 +243,7 @@ digests as (
 select d.doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card,
     coalesce(n_phone, 0) as n_phone, coalesce(base_sha256, sha256('')) as base_sha256, coalesce(spans, '') as spans
 from documents d left join digests using (doc_id)
-"""
+""".replace("ACCOUNT", _account_pattern())
 
 QUERIES = {"op1_pii": op1_pii}
 ORACLES = {"op1_pii": _ORACLE}

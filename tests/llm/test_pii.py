@@ -88,3 +88,12 @@ def test_query(spark, sf):
         spans = base_spans(texts[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s.startswith(k) for s in spans) for k in PATTERNS]
+
+
+def test_account_numbers_of_known_and_other_lengths(spark):
+    rows = [(1, "BE68 5390 0754 7034 AND more"), (2, "AT61 1904 3002 3457 3201 THE"), (3, "xBE68539007547034."), (4, "ABE68539007547034"),
+            (5, "BE685390075470345"), (6, "NO9386011117947"), (7, "\U0001f600 MT84MALT011000012345MTLCAST001S"),
+            (8, "BE68539007547034 BE68 5390 0754 7034"), (9, "BE69 5390 0754 7034"), (10, "GB82 WEST 1234 5698 7654 32")]
+    got = {r.row.doc_id: [tuple(s)[:3] for s in r.spans if s.kind == "iban"] for r in P.find_pii(documents(spark, rows)).collect()}
+    assert got == {1: [(0, 19, "iban")], 2: [(0, 24, "iban")], 3: [(1, 17, "iban")], 4: [], 5: [], 6: [(0, 15, "iban")],
+                   7: [(2, 33, "iban")], 8: [(0, 16, "iban"), (17, 36, "iban")], 9: [], 10: [(0, 27, "iban")]}
