@@ -1,11 +1,12 @@
 """Benchmark decontamination by winnowing, in DataFrame operations only.
 
 A benchmark item is the set of its windows: every run of 10 words, or all its words if it has
-fewer. Of each window of a text, the smallest hash of its 5-word grams is the fingerprint; a
-span of 10 shared words therefore always shares one. Fingerprints of documents are looked up
-among those of the benchmark, which reach every executor in blocks of bounded size; the few
-that match are extended to the full window, whose words are compared as they are. Items of
-fewer words get windows and grams of their own length in the same way.
+fewer. Of each window of a text, the smallest hash of its 5-word grams is the fingerprint, kept
+once for every run of windows that have it; a span of 10 shared words therefore always shares
+one. Fingerprints of documents are looked up among those of the benchmark, which reach every
+executor in blocks of bounded size; the few that match are extended to the left and right over
+their run, whose windows are compared word by word. Items of fewer words get windows and grams
+of their own length in the same way.
 """
 
 from __future__ import annotations
@@ -43,11 +44,12 @@ def _phrase(words: Column, start: Column, length: Column) -> Column:
     return F.array_join(F.slice(words, start + 1, length), " ")
 
 
-def _with_windows(rows: DataFrame, lengths: list[int]) -> DataFrame:
-    """Add `windows`, an array of (length, start, fingerprint), for windows of the given lengths.
+def _with_fingerprints(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """Add `runs`, an array of (length, first, last, fingerprint), for windows of the given lengths.
 
-    `rows` has `words`, an array. Each step is a projection of its own, so that no array is made twice.
-    Explode `windows` with `explode_outer`: for the inner form Spark infers a filter on the
+    `rows` has `words`, an array. All windows from `first` to `last` have the same fingerprint, the
+    ones next to them have another. Each step is a projection of its own, so that no array is made
+    twice. Explode `runs` with `explode_outer`: for the inner form Spark infers a filter on the
     array's size and pushes it below these projections, where it makes every array anew for
     every element.
     """
@@ -55,14 +57,32 @@ def _with_windows(rows: DataFrame, lengths: list[int]) -> DataFrame:
     for length in lengths:
         gram = min(GRAM, length)
         rows = rows.withColumn("grams", _sliding(F.col("hashes"), gram, F.xxhash64))
-        rows = rows.withColumn(f"f{length}", _smallest(F.col("grams"), length - gram + 1))
-    packed = [_numbered(F.col(f"f{length}"), length) for length in lengths]
-    return rows.withColumn("windows", F.concat(*packed)).drop("hashes", "grams", *[f"f{n}" for n in lengths])
+        rows = rows.withColumn("minima", _smallest(F.col("grams"), length - gram + 1))
+        rows = rows.withColumn("firsts", _changes(F.col("minima")))
+        rows = rows.withColumn(f"r{length}", _runs(F.col("minima"), F.col("firsts"), length))
+    packed = [F.col(f"r{length}") for length in lengths]
+    return rows.withColumn("runs", F.concat(*packed)).drop(
+        "hashes", "grams", "minima", "firsts", *[f"r{n}" for n in lengths])
 
 
-def _numbered(fingerprints: Column, length: int) -> Column:
-    return F.transform(fingerprints, lambda f, at: F.struct(
-        F.lit(length).alias("length"), at.alias("start"), f.alias("fingerprint")))
+def _changes(minima: Column) -> Column:
+    """The places whose value differs from the one before."""
+    places = F.transform(minima, lambda v, at: F.when((at == 0) | (v != F.get(minima, at - 1)), at))
+    return F.filter(places, lambda at: at.isNotNull())
+
+
+def _runs(minima: Column, firsts: Column, length: int) -> Column:
+    return F.transform(firsts, lambda first, n: F.struct(
+        F.lit(length).alias("length"), first.alias("first"),
+        (F.coalesce(F.get(firsts, n + 1), F.size(minima)) - 1).alias("last"), F.get(minima, first).alias("fingerprint")))
+
+
+def _windows_of(run: str = "run") -> Column:
+    """(start, phrase) of every window of a run; null if its length is 0."""
+    length = F.col(f"{run}.length")
+    places = F.sequence(F.col(f"{run}.first"), F.col(f"{run}.last"))
+    return F.when(length > 0, F.transform(places, lambda at: F.struct(
+        at.alias("start"), _phrase(F.col("words"), at, length).alias("phrase"))))
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -73,10 +93,10 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
         return benchmark.sparkSession.createDataFrame(
             [], "phrase string, length int, fingerprint long, item_group long, item_ids array<string>")
     whole = F.least(F.size("words"), F.lit(WINDOW))
-    rows = (_with_windows(items, sorted(lengths))
-            .select("item_id", "words", whole.alias("n"), F.explode_outer("windows").alias("w")).where("w.length = n"))
-    phrases = rows.select("item_id", _phrase(F.col("words"), F.col("w.start"), F.col("w.length")).alias("phrase"),
-                          F.col("w.length").alias("length"), F.col("w.fingerprint").alias("fingerprint"))
+    rows = (_with_fingerprints(items, sorted(lengths))
+            .select("item_id", "words", whole.alias("n"), F.explode_outer("runs").alias("run")).where("run.length = n"))
+    phrases = rows.select("item_id", "run.length", "run.fingerprint", F.explode(_windows_of()).alias("w")).select(
+        "item_id", "w.phrase", "length", "fingerprint")
     return phrases.groupBy("phrase", "length", "fingerprint").agg(
         F.array_sort(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit("")))).alias("item_ids")
     ).withColumn("item_group", F.xxhash64("item_ids"))
@@ -100,19 +120,19 @@ def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     fingerprints = materialize(windows.select("fingerprint").distinct(), "fingerprints")
     blocks = math.ceil(fingerprints.count() / BLOCK_FINGERPRINTS)
-    looked_up = _with_windows(texts, lengths)
+    looked_up = _with_fingerprints(texts, lengths)
     key = ["doc_id", "text_hash"]
-    marker = F.array(F.struct(F.lit(0).alias("length"), F.lit(0).alias("start"), F.lit(None).cast("long").alias("fingerprint")))
+    marker = F.array(F.struct(F.lit(0).alias("length"), F.lit(0).alias("first"), F.lit(0).alias("last"),
+                              F.lit(None).cast("long").alias("fingerprint")))
     found = None
     for block in range(blocks):
         here = fingerprints.where(F.pmod(F.xxhash64("fingerprint"), F.lit(blocks)) == block)
-        # one extra window of length 0 stands for the document itself, so that one pass gives both
-        rows = looked_up.withColumn("windows", F.concat(marker, "windows") if block == 0 else F.col("windows"))
-        rows = rows.select(*key, "words", F.explode_outer("windows").alias("w")).select(*key, "words", "w.*")
-        matched = rows.join(F.broadcast(here.withColumn("known", F.lit(True))), "fingerprint", "left").where("known or length = 0")
-        part = matched.select(
-            *key, "length", "start", F.when(F.col("length") == 0, F.size("words")).alias("n_words"),
-            F.when(F.col("length") > 0, _phrase(F.col("words"), F.col("start"), F.col("length"))).alias("phrase"))
+        # one extra run of windows of length 0 stands for the document itself, so that one pass gives both
+        rows = looked_up.withColumn("runs", F.concat(marker, "runs") if block == 0 else F.col("runs"))
+        rows = rows.select(*key, "words", F.explode_outer("runs").alias("run")).withColumn("fingerprint", F.col("run.fingerprint"))
+        matched = rows.join(F.broadcast(here.withColumn("known", F.lit(True))), "fingerprint", "left").where("known or run.length = 0")
+        part = matched.select(*key, "run.length", F.when(F.col("run.length") == 0, F.size("words")).alias("n_words"),
+                              F.explode_outer(_windows_of()).alias("w")).select(*key, "length", "n_words", "w.start", "w.phrase")
         found = part if found is None else found.union(part)
     found = materialize(found, "matches")
 

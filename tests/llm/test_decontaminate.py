@@ -57,3 +57,17 @@ def test_empty_tables(spark):
     assert _got(spark, [], [(1, "a b c")]) == []
     assert _got(spark, ROWS, []) == brute_force(ROWS, [])
     assert _got(spark, ROWS, [(1, None)]) == brute_force(ROWS, [(1, None)])
+
+
+def test_runs_cover_every_window_once_and_change_with_the_minimum(spark):
+    rng = random.Random(3)
+    texts = [[rng.choice("abcdefgh") for _ in range(n)] for n in (0, 1, 4, 9, 10, 11, 200, 2000)] + [["a"] * 500]
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(texts)], "doc_id long, words array<string>")
+    got = {r.doc_id: r.runs for r in D._with_fingerprints(rows, [3, 10]).select("doc_id", "runs").collect()}
+    for i, words in enumerate(texts):
+        for length in (3, 10):
+            runs = [r for r in got[i] if r.length == length]
+            assert [at for r in runs for at in range(r.first, r.last + 1)] == list(range(len(words) - length + 1))
+            assert all(a.fingerprint != b.fingerprint for a, b in zip(runs, runs[1:]))
+    assert len([r for r in got[7] if r.length == 10]) < 2000 / 2  # about two of seven windows start a run
+    assert len([r for r in got[8] if r.length == 10]) == 1
