@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # Inverse regularisation strength and iteration limit.
 INVERSE_STRENGTH = 0.316
 MAX_ITERATIONS = 1000
+TOLERANCE = 1e-8  # relative change of the loss; at Spark's 1e-6 a label near a tie may still be another one
 
 
 def fit_probe(train: DataFrame, features: str = "features", label: str = "label",
@@ -19,7 +20,7 @@ def fit_probe(train: DataFrame, features: str = "features", label: str = "label"
     rows = train.select(array_to_vector(F.col(features).cast("array<double>")).alias("features"),
                         F.col(label).cast("double").alias("label"))
     return LogisticRegression(
-        regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter,
+        regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=TOLERANCE,
     ).fit(rows)
 
 
