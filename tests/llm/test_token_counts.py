@@ -46,6 +46,16 @@ def test_both_libraries_agree_on_code_points(library):
             assert fast.encode(text, allowed_special="all") == encoded.ids, hex(ord(text[1]))
 
 
+def test_both_libraries_agree_on_mixed_scripts(library):
+    rng = random.Random(4)
+    fast = C._whole_encoder(public_tokenizers.path(C.VOCABULARY))
+    pieces = ["the", "Ing", "'s", "'LL", " ", "  ", "\n", "\r\n", "\t", "12", "3,4", "!?", "...", "é", "e\u0301", "ß", "жи", "日本", "한글", "ال",
+              "हि", "\u200b", "\u00a0", "\u3000", "🙂", "👩\u200d👩", "½", "²", "\x00", "<|endoftext|>", "<|", "|>", "_", "/"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 40))) for _ in range(4000)]
+    for text, encoded in zip(texts, library.encode_batch_fast(texts, add_special_tokens=False)):
+        assert fast.encode(text, allowed_special="all") == encoded.ids, repr(text)
+
+
 def test_query(spark, sf, library):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     got = {r.doc_id: r for r in C.op9_token_counts(spark, sf).collect()}

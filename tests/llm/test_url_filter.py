@@ -34,6 +34,17 @@ def test_rules_by_brute_force(spark):
     assert U.judge_urls(pages.limit(0)).collect() == []
 
 
+def test_very_long_urls(spark):
+    urls = ["http://" + "a." * 100_000 + "example.net/en/" + "x/" * 100_000, "http://" + "b" * 300_000, "http://h/" + "casino-" * 50_000,
+            "q" * 300_000 + "://example.com/de/" + "?" * 100_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = U.judge_urls(pages).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        assert (r.host, r.path, r.rule) == brute_force(urls[r.page_id])[:3]
+        assert 0 <= r.score <= 1 and r.verdict in ("allow", "block")
+
+
 def test_unwanted_hosts_are_found_and_others_left_alone(spark):
     rows = U.op10_url_filters(spark, "/root/testdata/sf0.01").collect()
     words = ("casino", "bets", "pills", "adult", "ads", "spam")
