@@ -11,6 +11,11 @@ EOS = "<|endoftext|>"
 TOKEN_PATTERN = r"<\|startoftext\|>|<\|endoftext\|>|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+# The same tokens for Java's matcher: what begins alike is one alternative, runs give nothing back, and
+# only the fixed spellings are matched without regard to case.
+_JAVA_PATTERN = r"(?U)\p{L}++|\p{N}|(?i:<\|startoftext\|>|<\|endoftext\|>|'(?:s|t|re|ve|m|ll|d))|[^\s\p{L}\p{N}]++"
+
+
 def normalize_text(text: Column) -> Column:
     """Lower-case and squeeze every run of Unicode whitespace to one space; no trim."""
     return F.regexp_replace(F.lower(text), r"(?U)\s+", " ")
@@ -18,7 +23,7 @@ def normalize_text(text: Column) -> Column:
 
 def pretokenize(text: Column) -> Column:
     """Split normalised text into words, single digits, contractions and symbol runs."""
-    return F.regexp_extract_all(text, F.lit("(?iU)" + TOKEN_PATTERN), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(_JAVA_PATTERN), F.lit(0))
 
 
 def hash_buckets(tokens: Column, n: int) -> Column:

@@ -1,9 +1,11 @@
 """Byte-pair tokens for a text column, each distinct word encoded once.
 
-The distinct words of the column are a table of their own. Its words are split by merge ranks that
-each task holds or, with a merge table too large for that, by joins with the merge table, one merge
-of every word a round. Texts then pick up the tokens of their words: from a copy in each task if the
-encoded words are few enough for that, else by a join in which no frequent word is hot.
+Texts are cut into words once and packed into chunks: the distinct words of a few megabytes of text, and
+every text as numbers of these. The distinct words of all chunks are a table of their own. Its words are
+split by merge ranks that each task holds or, with a merge table too large for that, by joins with the merge
+table, one merge of every word a round. Chunks then pick up the tokens of their words: from a copy in each task
+if the encoded words are few enough for that, else by a join with one row for each word of a chunk, in which no
+frequent word is hot.
 """
 
 from __future__ import annotations
@@ -11,24 +13,28 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
-from itertools import pairwise
+from itertools import count, pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import BOS, EOS, normalize_text, pretokenize
-from ..session import map_arrow, parallelism
+from ..functions.text import BOS, EOS, pretokenize
+from ..session import map_arrow, parallelism, ship_package
 from .joins import look_up, written
 
 END_OF_WORD = "</w>"
 MAX_MERGES = 48_894  # fixed value: merge lines of a published table that are used, after one header line
 # So many rows of the merge table and of the vocabulary, and so many bytes of encoded words, does a task hold.
-HELD_MERGES = 200_000
-HELD_TOKENS = 400_000
+HELD_MERGES = 500_000
+HELD_TOKENS = 1_000_000
 HELD_WORD_BYTES = 64 << 20
+CHUNK_BYTES = 16 << 20  # of the words of the texts in a chunk
+ROWS_PER_STEP = 1_000
 LONG_WORD = 64
 _UNRANKED = float("inf")
 
@@ -93,15 +99,17 @@ def encode_words(words: DataFrame, tables: BpeTables) -> DataFrame:
     """(word, pieces[, ids]) of a table of distinct words; ids with a vocabulary, and a piece that it
     lacks is an error. Null words are not allowed."""
     spark = words.sparkSession
-    merges = tables.merges.select("rank", "a", "b").limit(HELD_MERGES + 1).collect()
-    if len(merges) > HELD_MERGES:
+    merges = tables.merges.select("rank", "a", "b").limit(HELD_MERGES + 1).toArrow()
+    if merges.num_rows > HELD_MERGES:
         pieces = _split_by_joins(words, tables.merges)
     else:
-        ranks = spark.sparkContext.broadcast({(r.a, r.b): r["rank"] for r in merges})
+        held = spark.sparkContext.broadcast(merges)
 
         def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rank, a, b = (held.value.column(c).to_pylist() for c in ("rank", "a", "b"))
+            ranks = dict(zip(zip(a, b), rank))
             for batch in batches:
-                found = [split_word(word, ranks.value) for word in batch.column("word").to_pylist()]
+                found = [split_word(word, ranks) for word in batch.column("word").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(found, pa.list_(pa.string()))],
                                                  names=["word", "pieces"])
 
@@ -111,13 +119,14 @@ def encode_words(words: DataFrame, tables: BpeTables) -> DataFrame:
 
 def _with_ids(pieces: DataFrame, vocab: DataFrame) -> DataFrame:
     spark = pieces.sparkSession
-    known = vocab.select("token", "id").limit(HELD_TOKENS + 1).collect()
-    if len(known) <= HELD_TOKENS:
-        ids = spark.sparkContext.broadcast({r.token: r.id for r in known})
+    known = vocab.select("token", "id").limit(HELD_TOKENS + 1).toArrow()
+    if known.num_rows <= HELD_TOKENS:
+        held = spark.sparkContext.broadcast(known)
 
         def number(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids = dict(zip(*(held.value.column(c).to_pylist() for c in ("token", "id"))))
             for batch in batches:
-                found = [[ids.value[p] for p in word] for word in batch.column("pieces").to_pylist()]
+                found = [[ids[p] for p in word] for word in batch.column("pieces").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))],
                                                  names=["word", "pieces", "ids"])
 
@@ -164,16 +173,18 @@ def _split_by_joins(words: DataFrame, merges: DataFrame) -> DataFrame:
 
 
 def bpe_pieces(docs: DataFrame, text_col: str, tables: BpeTables, out_col: str = "pieces") -> DataFrame:
-    """Add the byte-pair pieces of each text. `docs` is read twice."""
-    encoded = encode_words(distinct_words(docs, text_col), BpeTables(tables.merges))
-    return _pick_up(docs, text_col, out_col, encoded.select("word", F.col("pieces").alias("value")))
+    """Add the byte-pair pieces of each text. `docs` is read once."""
+    packed = _packed(docs, text_col)
+    encoded = encode_words(_words_of(packed), BpeTables(tables.merges))
+    return _pick_up(docs, packed, out_col, encoded.select("word", F.col("pieces").alias("value")))
 
 
 def token_ids(docs: DataFrame, text_col: str, tables: BpeTables, out_col: str = "ids",
               prepend_bos: bool = True, append_eos: bool = True) -> DataFrame:
-    """Add the token ids of each text. A piece missing from the vocabulary is an error. `docs` is read twice."""
-    encoded = encode_words(distinct_words(docs, text_col), tables)
-    coded = _pick_up(docs, text_col, out_col, encoded.select("word", F.col("ids").alias("value")))
+    """Add the token ids of each text. A piece missing from the vocabulary is an error. `docs` is read once."""
+    packed = _packed(docs, text_col)
+    encoded = encode_words(_words_of(packed), tables)
+    coded = _pick_up(docs, packed, out_col, encoded.select("word", F.col("ids").alias("value")))
     special = {r.token: r.id for r in tables.vocab.where(F.col("token").isin(BOS, EOS)).collect()}
     ends = [[F.array(F.lit(special[token]))] if wanted else []
             for token, wanted in ((BOS, prepend_bos), (EOS, append_eos))]
@@ -182,55 +193,114 @@ def token_ids(docs: DataFrame, text_col: str, tables: BpeTables, out_col: str =
 
 def distinct_words(docs: DataFrame, text_col: str) -> DataFrame:
     """(word): the distinct words of a text column."""
-    return docs.select(F.explode(F.array_distinct(_tokens(text_col))).alias("word")).distinct()
+    # by way of the outer form, for the plain one first filters by its argument, which cuts every text twice
+    words = docs.select(F.explode_outer(F.array_distinct(_tokens(text_col))).alias("word"))
+    return words.where("word is not null").distinct()
 
 
 def _tokens(text_col: str):
-    return pretokenize(normalize_text(F.col(text_col)))
+    """The tokens of the normalised text. White space is in none, so lower case is all of it that they need."""
+    return pretokenize(F.lower(F.col(text_col)))
 
 
-def _pick_up(docs: DataFrame, text_col: str, out_col: str, encoded: DataFrame) -> DataFrame:
-    """Add the values of the words of each text, one after the other; null for null text."""
+def _packed(docs: DataFrame, text_col: str) -> DataFrame:
+    """(chunk, rows, words), written: the rows of a chunk in Arrow's file format, with the numbers of the
+    words of each text among the distinct `words` of the chunk, null for null text."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serial = count(TaskContext.get().partitionId() << 33)
+        for table in _stretches(batches, CHUNK_BYTES):
+            tokens = table.column("__tokens").combine_chunks()
+            coded = tokens.flatten().dictionary_encode()
+            lengths = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            offsets = pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32))
+            numbers = pa.ListArray.from_arrays(offsets, coded.indices, mask=tokens.is_null())
+            rows = _to_bytes(table.drop_columns("__tokens").append_column("__numbers", numbers))
+            words = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+            yield pa.RecordBatch.from_arrays([pa.array([next(serial)], pa.int64()), pa.array([rows], pa.binary()), words],
+                                             names=["chunk", "rows", "words"])
+
+    cut = docs.select(*docs.columns, _tokens(text_col).alias("__tokens"))
+    return written(map_arrow(cut, run, "chunk long, rows binary, words array<string>"), "packed")
+
+
+def _stretches(batches: Iterable[pa.RecordBatch], n_bytes: int) -> Iterator[pa.Table]:
+    """Consecutive rows with about `n_bytes` of words, or one longer row by itself."""
+    held, size = [], 0
+    for batch in batches:
+        tokens = batch.column("__tokens")
+        ends = np.r_[0, np.cumsum(pc.binary_length(tokens.flatten()).to_numpy(zero_copy_only=False))]
+        of_row = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = np.diff(ends[np.r_[0, np.cumsum(of_row)]]).tolist()
+        first = 0
+        for at, length in enumerate(sizes):
+            if size and size + length > n_bytes:
+                held.append(batch.slice(first, at - first))
+                yield pa.Table.from_batches(held)
+                held, size, first = [], 0, at
+            size += length
+        held.append(batch.slice(first))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _to_bytes(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def _words_of(packed: DataFrame) -> DataFrame:
+    return packed.select(F.explode("words").alias("word")).distinct()
+
+
+def _pick_up(docs: DataFrame, packed: DataFrame, out_col: str, encoded: DataFrame) -> DataFrame:
+    """The rows of `docs` with the values of the words of each text, one after the other; null for null text."""
     encoded = written(encoded, "encoded")
+    schema = docs.withColumn(out_col, F.lit(None).cast(encoded.schema["value"].dataType)).schema
     size = encoded.agg(F.sum(F.octet_length("word") + F.size("value") * 16 + 32)).first()[0] or 0
     if size > HELD_WORD_BYTES:
-        return _pick_up_by_join(docs, text_col, out_col, encoded)
+        return _pick_up_by_join(packed, out_col, encoded, schema)
     held = encoded.toArrow().combine_chunks()
     words, values = (held.column(c).combine_chunks() if held.num_rows else pa.array([], held.schema.field(c).type)
                      for c in ("word", "value"))
     shared = docs.sparkSession.sparkContext.broadcast((words, values))
-    keep = docs.columns
-    schema = docs.withColumn(out_col, F.lit(None).cast(encoded.schema["value"].dataType)).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, values = shared.value
         for batch in batches:
-            coded = _values_of(batch.column("__tokens"), words, values)
-            columns = [coded if c == out_col else batch.column(c) for c in schema.names]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    return map_arrow(docs.select(*keep, _tokens(text_col).alias("__tokens")), run, schema)
-
-
-def _values_of(tokens: pa.ListArray, words: pa.Array, values: pa.ListArray) -> pa.ListArray:
-    """list<word> to list<value>."""
-    coded = tokens.flatten().dictionary_encode()
-    places = pc.index_in(coded.dictionary, value_set=words).take(coded.indices)
-    per_word = values.take(places)
-    word_ends = np.r_[0, np.cumsum(per_word.value_lengths().to_numpy(zero_copy_only=False))]
-    lengths = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    row_ends = np.r_[0, np.cumsum(lengths)].astype(np.int64)
-    offsets = pa.array(word_ends[row_ends].astype(np.int32))
-    return pa.ListArray.from_arrays(offsets, per_word.flatten(), mask=tokens.is_null())
-
-
-def _pick_up_by_join(docs: DataFrame, text_col: str, out_col: str, encoded: DataFrame) -> DataFrame:
-    """The same by a join of the words of all texts with the encoded words; each text is put together again by its number."""
-    rows = written(docs.select(F.struct(*docs.columns).alias("row"), _tokens(text_col).alias("tokens"),
-                               F.monotonically_increasing_id().alias("number")), "texts")
-    used = written(rows.select("number", F.posexplode("tokens").alias("at", "word")), "words")
-    found = look_up(used, encoded, ["word"]).groupBy("number").agg(
-        F.array_sort(F.collect_list(F.struct("at", "value"))).alias("found"))
-    empty = F.array().cast(encoded.schema["value"].dataType)
-    value = F.when(F.col("tokens").isNotNull(), F.coalesce(F.flatten("found.value"), empty))
-    return rows.join(found, "number", "left").select("row.*", value.alias(out_col))
+            for rows, own in zip(batch.column("rows"), batch.column("words")):
+                places = pc.index_in(own.values, value_set=words)
+                yield from _unpacked(rows.as_py(), values.take(places), out_col, schema)
+
+    return map_arrow(packed.select("rows", "words"), run, schema)
+
+
+def _unpacked(rows: bytes, values: pa.ListArray, out_col: str, schema: T.StructType) -> Iterator[pa.RecordBatch]:
+    """The rows of a chunk with the values of their words, some rows at a time."""
+    table = pa.ipc.open_stream(rows).read_all()
+    sizes = values.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    for batch in table.to_batches(max_chunksize=ROWS_PER_STEP):
+        numbers = batch.column("__numbers")
+        per_word = numbers.flatten()
+        word_ends = np.r_[0, np.cumsum(sizes[per_word.to_numpy(zero_copy_only=False)])]
+        lengths = numbers.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        offsets = pa.array(word_ends[np.r_[0, np.cumsum(lengths)].astype(np.int64)].astype(np.int32))
+        coded = pa.ListArray.from_arrays(offsets, values.take(per_word).flatten(), mask=numbers.is_null())
+        columns = [coded if c == out_col else batch.column(c) for c in schema.names]
+        yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+
+def _pick_up_by_join(packed: DataFrame, out_col: str, encoded: DataFrame, schema: T.StructType) -> DataFrame:
+    """The same by a join of the words of all chunks with the encoded words. A word is one row for a chunk,
+    however often it occurs there."""
+    used = packed.select("chunk", F.posexplode("words").alias("at", "word"))
+    found = used.join(encoded, "word").select(F.col("chunk").alias("of"), "at", "value")
+
+    def run(chunk: pa.Table, found: pa.Table) -> pa.Table:
+        values = found.column("value").combine_chunks().take(pc.sort_indices(found.column("at")))
+        parts = [part for rows in chunk.column("rows") for part in _unpacked(rows.as_py(), values, out_col, schema)]
+        return pa.Table.from_batches(parts)
+
+    ship_package(packed.sparkSession)
+    return packed.select("chunk", "rows").groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(run, schema)

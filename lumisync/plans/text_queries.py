@@ -35,7 +35,7 @@ def _words(docs: DataFrame) -> DataFrame:
     """(word, chars): the distinct words as a table of their own, and the characters of each
     in order, the last one marked as the end."""
     target = fresh_dir(docs.sparkSession, "words")
-    words = docs.select(F.explode(pretokenize(normalize_text(F.col("text")))).alias("word")).distinct()
+    words = B.distinct_words(docs, "text")
     words.where(~F.col("word").isin(BOS, EOS)).write.parquet(target)
     words = docs.sparkSession.read.schema("word string").parquet(target)
     chars, size = F.split("word", ""), F.length("word")

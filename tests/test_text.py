@@ -186,3 +186,37 @@ def test_text_vectors(spark):
     assert set(rows[1].vector) == {0.0} and rows[1].error is None
     assert set(rows[2].vector) == {0.0} and rows[2].error
     assert embed_text(spark, "a b", encoder) == rows[3].vector
+
+
+def test_java_pattern_gives_the_tokens_of_the_named_one(spark):
+    texts = TEXTS + ["IT'S it'ſ we'LL don'T 'rest 'x <|STARTOFTEXT|><|endofteXt|> <|startof|>", "a1b22 ü,;- ß_İK x y z", "", None,
+             "''s'll''d...'ve<|endoftext|>'m ٣½ 漢字かな é"]
+    def named(text):
+        return F.regexp_extract_all(text, F.lit("(?iU)" + TOKEN_PATTERN), F.lit(0))
+
+    rows = frame(spark, texts).select(
+        pretokenize(F.col("text")).alias("got"), named(F.col("text")).alias("want"), B._tokens("text").alias("low"),
+        named(normalize_text(F.col("text"))).alias("want_low")).collect()
+    assert [(r.got, r.low) for r in rows] == [(r.want, r.want_low) for r in rows]
+
+
+@pytest.mark.parametrize("held", [B.HELD_WORD_BYTES, 1])
+@pytest.mark.parametrize("chunk_bytes", [1, 40, 1 << 20])
+def test_texts_are_cut_once_and_a_word_travels_once_for_a_chunk(spark, files, monkeypatch, held, chunk_bytes):
+    monkeypatch.setattr(B, "HELD_WORD_BYTES", held)
+    monkeypatch.setattr(B, "CHUNK_BYTES", chunk_bytes)
+    tables = load(spark, files[0])
+    texts = ["low low lower", None, "", "new " * 30, " ", "lower low"] * 5
+    docs = frame(spark, texts).repartition(3)
+    packed = B._packed(docs, "text")
+    for row in packed.collect():
+        assert len(row["words"]) == len(set(row["words"])) <= 3
+    assert packed.count() == (3 if chunk_bytes > 1000 else packed.count())
+    rows = B.bpe_pieces(docs, "text", tables).orderBy("id").collect()
+    assert len(rows) == len(texts)
+    for row, text in zip(rows, texts):
+        want = text if text is None else [p for w in python_tokens(text) for p in naive_bpe(w, MERGES)]
+        assert (row.text, row.pieces) == (text, want)
+    assert B.token_ids(docs.limit(0), "text", tables).collect() == []
+    nothing = B.bpe_pieces(frame(spark, ["", None]), "text", tables).orderBy("id").collect()
+    assert [r.pieces for r in nothing] == [[], None]
