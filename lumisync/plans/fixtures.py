@@ -19,6 +19,9 @@ from ..session import fresh_dir, map_arrow, spread
 from ..sources.files import strip_file_scheme, write_bytes
 
 
+FILES_PER_STEP = 64  # files that a task holds at a time
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -84,8 +87,9 @@ def write_files(rows: DataFrame) -> str:
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                write_bytes(f"{root}/{row['rel']}", row["content"], row["mtime"])
+            for start in range(0, batch.num_rows, FILES_PER_STEP):
+                for row in batch.slice(start, FILES_PER_STEP).to_pylist():
+                    write_bytes(f"{root}/{row['rel']}", row["content"], row["mtime"])
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
     map_arrow(rows.select("rel", "mtime", "content"), write, "n long").agg(F.sum("n")).collect()
@@ -161,13 +165,15 @@ def image_files(spark: SparkSession, sf_dir: str, broken: bool = True, draw: Cal
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            content = [b"not an image" if broken and r["bad"] else encode_png(draw(r["s_suppkey"]))
-                       for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f"{r['s_suppkey']}.png" for r in rows]),
-                 pa.array([1.6e9 + r["s_suppkey"] for r in rows]), pa.array(content, pa.binary())],
-                names=["rel", "mtime", "content"])
+            keys = batch.to_pylist()
+            for start in range(0, len(keys), FILES_PER_STEP):
+                rows = keys[start:start + FILES_PER_STEP]
+                content = [b"not an image" if broken and r["bad"] else encode_png(draw(r["s_suppkey"]))
+                           for r in rows]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f"{r['s_suppkey']}.png" for r in rows]),
+                     pa.array([1.6e9 + r["s_suppkey"] for r in rows]), pa.array(content, pa.binary())],
+                    names=["rel", "mtime", "content"])
 
     return write_files(map_arrow(keys, encode, "rel string, mtime double, content binary"))
 

@@ -3,6 +3,7 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -271,3 +272,33 @@ def test_model_file_encoder(spark, tmp_path):
     rows = spark.range(3, 5).withColumn("id", F.col("id").cast("double"))
     got = {r.id: r.vector for r in embed(rows, "id", encoder).collect()}
     assert got[3.0] == pytest.approx([0.6, 0, 0.8])
+
+
+def test_pixels_become_rgb_a_few_pictures_at_a_time(monkeypatch):
+    monkeypatch.setattr(I, "STEP_BYTES", 100)
+    sizes = [1, 3, 2, 9, None, 1, 1, 1]  # lines of 4 pixels, three bytes each
+    rows = [{"path": f"/{i}", "height": n or -1, "width": 4, "nChannels": 3, "data": n and bytes(range(12 * n))}
+            for i, n in enumerate(sizes)]
+    types = pa.schema([("path", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("nChannels", pa.int32()),
+                       ("data", pa.binary())])
+    parts = list(I._to_rgb([pa.RecordBatch.from_pylist(rows, schema=types), pa.RecordBatch.from_pylist([], schema=types)]))
+    for part in parts:
+        assert part.num_rows <= 1 or sum(len(x) for x in part.column("rgb").to_pylist() if x) <= 100
+    got = [row for part in parts for row in part.to_pylist()]
+    assert [r["path"] for r in got] == [r["path"] for r in rows]
+    assert [r["rgb"] and len(r["rgb"]) for r in got] == [n and 12 * n for n in sizes]
+    assert len(parts) > 2
+
+
+def test_a_task_draws_and_writes_a_few_files_at_a_time(spark, monkeypatch, tmp_path):
+    from lumisync.plans import fixtures
+    seen = []
+    monkeypatch.setattr(fixtures, "FILES_PER_STEP", 3)
+    monkeypatch.setattr(fixtures, "map_arrow", lambda rows, task, schema: seen.append(task) or rows)
+    monkeypatch.setattr(fixtures, "write_files", lambda rows: "")
+    spark.range(10).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    fixtures.wide_image_files(spark, str(tmp_path))
+    keys = pa.RecordBatch.from_pylist([{"s_suppkey": k, "bad": False} for k in range(10)])
+    parts = list(seen[0]([keys]))
+    assert [p.num_rows for p in parts] == [3, 3, 3, 1]
+    assert [r["rel"] for p in parts for r in p.to_pylist()] == [f"{k}.png" for k in range(10)]
