@@ -35,8 +35,9 @@ BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
 MISSED = 1e-10  # the share of pairs of the asked similarity that signatures may discard
 BROADCAST_IDS = 1_000_000  # up to so many ids (16 MB) go to every executor instead of a shuffle of all texts
-CACHED_WORDS = 200_000
-BLOCK = 8_192
+CACHED_WORDS = 60_000
+BLOCK = 2_048
+ROWS_PER_STEP = 512  # signed rows that a task holds as Python values
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _RANDOM = np.random.default_rng(20_240_607)
@@ -100,7 +101,7 @@ def _set_key(shingles: np.ndarray) -> bytes:
 
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
-    for batch in batches:
+    for batch in (whole.slice(at, ROWS_PER_STEP) for whole in batches for at in range(0, whole.num_rows, ROWS_PER_STEP)):
         rows = []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
             found = shingler.shingles(text.as_py())

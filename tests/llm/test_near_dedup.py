@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import ROWS, documents
 
@@ -113,3 +114,14 @@ def test_other_similarities_by_brute_force(spark, percent):
             want[i] = want[j] = min(want[i], want[j])
     got = {r.doc_id: r.component_id for r in N.near_duplicates(documents(spark, rows), percent).collect()}
     assert got == dict(enumerate(want))
+
+
+def test_signing_holds_few_rows_as_python_values():
+    texts = [f"some words {i % 50} of text number {i}" for i in range(1300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1300), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    parts = list(N._sign([batch, batch.slice(0, 0)]))
+    assert [p.num_rows for p in parts] == [512, 512, 276]
+    assert [i for p in parts for i in p.column("doc_id").to_pylist()] == list(range(1300))
+    long = np.arange(5000, dtype=np.uint64) * N._MIX
+    whole = ((N._FACTORS[:, None] * long[None, :] + N._SHIFTS[:, None]).min(axis=1) >> np.uint64(32)).astype(np.uint32)
+    assert (N._minima(long) == whole).all()
