@@ -171,10 +171,10 @@ def _packed(chunk: int, ids: list, flags: list, parts: list[np.ndarray], vocabul
         uses = np.bincount(flagged, minlength=len(vocabulary))[order]
     rows = [{"chunk": chunk, "doc_ids": ids, "flags": bytes(map(bool, flags)), "lengths": squeeze(lengths),
              "numbers": squeeze_ranks(rank_of[numbers]), "hashes": squeeze(hashes[order][ranked]) if hashed else None}]
-    starts = np.searchsorted(buckets[order], np.arange(n_buckets + 1))
+    starts, in_order = np.searchsorted(buckets[order], np.arange(n_buckets + 1)), [vocabulary[i] for i in order.tolist()]
     for bucket in np.unique(buckets).tolist():
         lo, hi = int(starts[bucket]), int(starts[bucket + 1])
-        rows.append({"chunk": chunk, "bucket": bucket, "words": squeeze_words([vocabulary[i] for i in order[lo:hi]]),
+        rows.append({"chunk": chunk, "bucket": bucket, "words": squeeze_words(in_order[lo:hi]),
                      "tally": squeeze(tally[lo:hi]), "uses": None if uses is None else squeeze(uses[lo:hi])})
     return pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 

@@ -46,6 +46,7 @@ STEP_BITS = 13
 STEP_TOKENS = 1 << STEP_BITS
 RATE = 0.1
 BLOCK_ROWS = 512
+FEW_USES = 8  # rows of a step with up to so many uses are summed together
 
 
 class Shape(NamedTuple):
@@ -79,7 +80,6 @@ class Shape(NamedTuple):
 
 SMALL = Shape(8, 13, 16)  # of a model that is given no vocabulary to follow
 SLOTS = SMALL.slots
-_ONES = np.ones(CLASSES, np.float32)
 
 _COUNTS = "chunk long, bucket int, tally binary, counts binary, n_words long, hashes binary, uses binary"
 _ARROW_COUNTS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("tally", pa.binary()),
@@ -131,7 +131,7 @@ class _History:
                     mixed ^= mixed >> np.uint32(15)
                     first = (3 << shape.class_row_bits) + (i << shape.slot_row_bits)
                     rows.append(first + _bits(mixed, shape.slot_row_bits))
-            yield above.astype(np.int32), place.astype(np.int32), rows
+            yield above.astype(np.int32), place.astype(np.int64), rows
 
 
 def _lead(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -143,16 +143,48 @@ def _bits(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _exponents(bias: np.ndarray, weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    logits = bias
+    logits, places = bias, bias.shape[1]
+    table = weights.reshape(-1, places)  # a softmax of few places uses the first part of a row
     for used in rows:
-        logits += weights.take(used, axis=0)
-    logits -= logits.max(axis=1, keepdims=True)
+        logits += table.take(used * (CLASSES // places), axis=0)
+    logits -= np.ascontiguousarray(logits.T).max(axis=0)[:, None]  # faster than along the rows
     return logits
 
 
+def _row_sums(values: np.ndarray) -> np.ndarray:
+    return values @ np.ones(values.shape[1], np.float32)
+
+
+def _by_row(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Uses of rows, by row and then in order of the text: the token of each use, the rows,
+    where their uses begin and how many they are."""
+    n = np.arange(len(rows[0]))
+    keys = np.concatenate([(r.astype(np.int64) << STEP_BITS) | n for r in rows])
+    keys.sort()
+    order, ranked = keys & (STEP_TOKENS - 1), keys >> STEP_BITS
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    return order, ranked[first], first, np.diff(np.append(first, len(keys)))
+
+
+def _sums_by_row(gradient: np.ndarray, order: np.ndarray, first: np.ndarray, uses: np.ndarray) -> np.ndarray:
+    """The sum of each row's gradients: `order` has their tokens row by row, `first` where a row's begin."""
+    total = gradient.take(order[first], axis=0)
+    for n in range(2, FEW_USES + 1):
+        at = np.flatnonzero(uses == n)
+        if len(at):
+            rest = gradient.take(order[first[at] + 1], axis=0)
+            for i in range(2, n):
+                rest += gradient.take(order[first[at] + i], axis=0)
+            total[at] += rest
+    often = uses > FEW_USES
+    if often.any():
+        total[often] = np.add.reduceat(gradient.take(order[np.repeat(often, uses)], axis=0), spans(uses[often])[:-1], axis=0)
+    return total
+
+
 class Model:
     """Corpus totals and the weights; their sizes are those of the shape. A pickled model comes back
-    with weights of 16 bits, to be read only."""
+    with weights of 16 bits, to be read only; `widen` gives them 32."""
 
     def __init__(self, slot_tokens: np.ndarray, slot_words: np.ndarray, shape: Shape = SMALL):
         self.slot_tokens, self.slot_words, self.shape = slot_tokens, slot_words, shape
@@ -160,9 +192,7 @@ class Model:
         self.biases = []
         for at, bits in shape.levels:
             mass = prior.reshape(1 << at, 1 << bits, -1).sum(axis=2)
-            bias = np.full((1 << at, CLASSES), -1e30, np.float32)  # places beyond the last
-            bias[:, :1 << bits] = np.log(mass / mass.sum(axis=1, keepdims=True))
-            self.biases.append(bias)
+            self.biases.append(np.log(mass / mass.sum(axis=1, keepdims=True)).astype(np.float32))
         self.weights = np.zeros((shape.rows, CLASSES), np.float32)
 
     def __getstate__(self) -> dict:
@@ -174,6 +204,11 @@ class Model:
         halves = np.frombuffer(zstandard.ZstdDecompressor().decompress(state["weights"]), np.float16)
         vars(self).update(state, weights=halves.reshape(-1, CLASSES))
 
+    def widen(self) -> Model:
+        """The weights in 32 bits, as every use of 16 would convert them anew."""
+        self.weights = self.weights.astype(np.float32, copy=False)
+        return self
+
     def __copy__(self) -> Model:
         twin = Model.__new__(Model)
         vars(twin).update(vars(self))
@@ -191,8 +226,9 @@ class Model:
         """Natural log of the slot of each token."""
         n, total = np.arange(at.stop - at.start), 0.0
         for bias, (above, place, rows) in zip(self.biases, history.levels(at)):
-            logits = _exponents(bias[above], self.weights, rows)
-            total = total + logits[n, place] - np.log(np.exp(logits, out=logits) @ _ONES)
+            logits = _exponents(bias.take(above, axis=0), self.weights, rows)
+            own = logits.ravel().take(n * logits.shape[1] + place)
+            total = total + own - np.log(_row_sums(np.exp(logits, out=logits)))
         return total
 
     def learn(self, history: _History, chosen: np.ndarray, seen: np.ndarray, squares: np.ndarray) -> None:
@@ -201,27 +237,22 @@ class Model:
             at = chosen[start:start + STEP_TOKENS]
             n, gradients = np.arange(len(at)), []
             for bias, (above, place, rows) in zip(self.biases, history.levels(at)):
-                missing = _exponents(bias[above], self.weights, rows)
+                missing = _exponents(bias.take(above, axis=0), self.weights, rows)
                 np.exp(missing, out=missing)
-                missing *= (-1 / (missing @ _ONES))[:, None]
-                missing[n, place] += 1
+                missing *= (-1 / _row_sums(missing))[:, None]
+                missing.ravel()[n * missing.shape[1] + place] += 1
                 gradients.append((rows, missing))
             for rows, gradient in gradients:  # the features of a softmax have rows of their own
-                keys = np.concatenate([(r.astype(np.int64) << STEP_BITS) | n for r in rows])
-                keys.sort()  # by row, then in order of the text
-                order, ranked = keys & (STEP_TOKENS - 1), keys >> STEP_BITS
-                first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-                touched, uses = ranked[first], np.diff(np.append(first, len(keys)))
-                total, often = gradient.take(order[first], axis=0), uses > 1
-                if often.any():
-                    total[often] = np.add.reduceat(gradient.take(order[np.repeat(often, uses)], axis=0),
-                                                   spans(uses[often])[:-1], axis=0)
+                order, touched, first, uses = _by_row(rows)
+                total, places = _sums_by_row(gradient, order, first, uses), gradient.shape[1]
                 seen[touched] += uses
                 scale = squares[touched] + np.einsum("ij,ij->i", total, total) / CLASSES
                 squares[touched] = scale
                 total *= (RATE / np.sqrt(scale + 1e-6))[:, None]
-                total += self.weights.take(touched, axis=0)
-                self.weights[touched] = total
+                table, touched = self.weights.reshape(-1, places), touched * (CLASSES // places)
+                total += table.take(touched, axis=0)
+                whole = f"V{places * table.itemsize}"  # rows are put as wholes, not entry by entry
+                np.put(table.view(whole), touched, total.view(whole))
 
 
 def score_documents(docs: DataFrame, is_training, rounds: int = ROUNDS) -> DataFrame:
@@ -367,7 +398,7 @@ def _average(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _scorer(shared):
     def score(chunks: pa.Table, word_counts: pa.Table) -> pa.Table:
-        model = shared.value
+        model = shared.value.widen()
         found = sorted(word_counts.select(["bucket", "tally", "counts"]).to_pylist(), key=lambda row: row["bucket"])
         counts = np.concatenate([np.zeros(0, np.int64), *(expand(row["counts"]).astype(np.int64) for row in found)])
         counts = counts[rank_order(row["tally"] for row in found)]

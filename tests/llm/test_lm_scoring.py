@@ -1,5 +1,6 @@
 import collections
 import math
+import pickle
 import zlib
 
 import numpy as np
@@ -144,3 +145,29 @@ def test_changes_on_their_way():
     change[4] = 0
     back = L._expand_change(L._squeeze_change(change))
     assert np.abs(back - change).max() <= np.abs(change).max() / 250 and not back[4].any()
+
+
+def test_sums_of_a_step_by_brute_force():
+    rng = np.random.default_rng(4)
+    rows = [rng.choice([3, 5, 70, 71, 900], L.STEP_TOKENS), 1_000 + rng.integers(0, 9_000, L.STEP_TOKENS)]
+    gradient = rng.normal(size=(L.STEP_TOKENS, 8)).astype(np.float32)
+    order, touched, first, uses = L._by_row(rows)
+    got = L._sums_by_row(gradient, order, first, uses)
+    want = np.zeros((10_000, 8))
+    for used in rows:
+        np.add.at(want, used, gradient)
+    assert touched.tolist() == np.unique(np.concatenate(rows)).tolist() and {1, 2, 3} <= set(uses.tolist())
+    assert np.abs(got - want[touched]).max() < 1e-2 and uses.sum() == 2 * L.STEP_TOKENS
+
+
+def test_softmaxes_have_no_idle_places_and_widened_weights_the_same_scores():
+    rng = np.random.default_rng(5)
+    shape = L.Shape(11, 12, 15)
+    model = L.Model(rng.integers(0, 90, shape.slots), rng.integers(1, 9, shape.slots), shape)
+    assert [bias.shape for bias in model.biases] == [(1 << at, 1 << bits) for at, bits in shape.levels]
+    model.weights[:] = rng.normal(size=model.weights.shape)
+    sent = pickle.loads(pickle.dumps(model))
+    history = L._History(rng.integers(0, 1 << 32, 500, dtype=np.uint32), np.array([200, 300]), shape)
+    before = sent.log_probs(history, slice(0, 500))
+    assert sent.weights.dtype == np.float16 and sent.widen().weights.dtype == np.float32
+    assert (sent.log_probs(history, slice(0, 500)) == before).all()
