@@ -15,18 +15,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.vectors import ZERO_TOLERANCE, dot, is_match, is_zero, norm, vector_literal
-from ..session import fresh_dir, map_arrow, parallelism
+from ..session import fresh_dir, map_arrow, parallelism, spread
 from ..sources.files import is_uri, read_bytes, strip_file_scheme
 from .blocks import to_matrix
 
 # So many bytes of queries, and so many results of all queries, does a task hold at a time.
 BLOCK_BYTES = 32 << 20
 BLOCK_RESULTS = 2_000_000
+# Smaller blocks share a file of about so many bytes, which is opened once for all of them.
+FILE_BYTES = 4 << 20
 # With several blocks of queries, a task goes through them once for so many bytes of its rows.
 STRETCH_BYTES = 64 << 20
 SEED_ROWS = 4_096  # rows of the store that give the first bounds of a large search
 SLOT_ROWS = 100_000  # candidates of one query that one task ranks
+# From so many queries on, scoring a row costs far more than sending it to another task.
+SPREAD_QUERIES = 16_384
 SCORES_PER_STEP = 4_000_000
+TILE_QUERIES, TILE_ROWS = 128, 2_048  # scored at a time, so that the scores stay near the core
 ARROW_MAX_LIMIT = 100_000
 # Every task hands on its best rows. More of them than this are cut in parallel before the
 # final merge, which is one task.
@@ -125,10 +130,6 @@ class _QueryBlock:
         # Bound on the rounding error of a float32 dot product of unit vectors.
         self.slack = (vectors.shape[1] + 8) * 2.4e-7
 
-    def rough(self, rows: np.ndarray, row_norms: np.ndarray) -> np.ndarray:
-        """[queries, rows] cosines in float32; NaN for failed (zero) rows and queries without length."""
-        return self.unit @ _unit32(rows, row_norms).T
-
     def exact(self, rows: np.ndarray, row_norms: np.ndarray, row: np.ndarray,
               query: np.ndarray) -> np.ndarray:
         """Cosines of chosen pairs in double, summed in one fixed order.
@@ -173,14 +174,23 @@ def _lengths(vectors: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
 
 
-def _unit32(vectors: np.ndarray, norms: np.ndarray) -> np.ndarray:
-    """Rows of unit length in float32; rows that pass the all-zero test become NaN."""
-    short = np.flatnonzero(norms <= ZERO_TOLERANCE * np.sqrt(vectors.shape[1]))
-    failed = short[(np.abs(vectors[short]) <= ZERO_TOLERANCE).all(axis=1)]
-    safe = norms.copy()
-    safe[failed] = np.nan
-    with np.errstate(invalid="ignore"):
-        return (vectors / safe[:, None]).astype(np.float32)
+class _StoreRows:
+    """Rows of the store that a query may find, made ready once for any number of blocks of queries.
+
+    Rows that pass the all-zero test have no cosine with any query, nor have those with an entry
+    that is no finite number; they are left out, and so are hopeless copies.
+    """
+
+    def __init__(self, keys: pa.Array, rows: np.ndarray, limit: int):
+        norms = _lengths(rows)
+        short = np.flatnonzero(norms <= ZERO_TOLERANCE * np.sqrt(rows.shape[1]))
+        usable = np.isfinite(norms)
+        usable[short[(np.abs(rows[short]) <= ZERO_TOLERANCE).all(axis=1)]] = False
+        if not usable.all():
+            keys, rows = keys.filter(pa.array(usable)), rows[usable]
+        self.keys, self.rows = _without_hopeless_copies(keys, rows, limit)
+        self.norms = _lengths(self.rows)
+        self.unit = (self.rows / self.norms[:, None]).astype(np.float32)
 
 
 def batch_search(store: DataFrame, queries: DataFrame, limit: int = 10, key: str = "path",
@@ -189,9 +199,9 @@ def batch_search(store: DataFrame, queries: DataFrame, limit: int = 10, key: str
     """The `limit` best rows for each query: (query_key, rank, key, score).
 
     `queries` is (query_key, query_vec) with unique keys; NULL vectors find nothing. They are
-    written first, dealt by hash into files of about `block_bytes` of vectors. The store is read
-    once, for any number of queries: a task holds a stretch of its rows and goes through the files
-    with it, one at a time. It holds at most about `block_results` results; beyond that it hands
+    written first, dealt by hash into blocks of about `block_bytes` of vectors; small blocks share a
+    file. The store is read once, for any number of queries: a task holds a stretch of its rows and
+    goes through the blocks with it, one at a time. It holds at most about `block_results` results; beyond that it hands
     on what it has and remembers each query's bound, which later rows must reach.
     """
     if limit < 1:
@@ -201,22 +211,22 @@ def batch_search(store: DataFrame, queries: DataFrame, limit: int = 10, key: str
                      .where("__qvec is not null").withColumn("__floor", F.lit(0.0)))
     size = asked.agg(F.count("*").alias("n"), F.max(F.size("__qvec")).alias("dim"),
                      F.sum(F.octet_length(F.col("__qid").cast("string"))).alias("ids")).first()
-    blocks = max(1, math.ceil((size.n * (size.dim or 0) * 8 + (size.ids or 0)) / block_bytes))
-    if blocks > 1:
-        asked = _written(asked.repartition(blocks, "__qid"))
-    out = rows.select("__key").schema.add("score", "double").add("__qid", asked.schema["__qid"].dataType)
-
-    def candidates(rows: DataFrame) -> DataFrame:
-        return map_arrow(rows, _many_topk_task(_QueryFiles(asked, blocks), limit, block_results), out)
-
-    tasks = rows.rdd.getNumPartitions()
-    if tasks * size.n * limit > MERGE_ROWS:
+    n_bytes = size.n * (size.dim or 0) * 8 + (size.ids or 0)
+    blocks = max(1, math.ceil(n_bytes / block_bytes))
+    files = min(blocks, max(1, math.ceil(n_bytes / FILE_BYTES)))
+    tasks, cores = rows.rdd.getNumPartitions(), parallelism(store.sparkSession)
+    large = tasks * size.n * limit > MERGE_ROWS
+    if large:
         # Bounds from a few rows: what lies below the best of these is in no result.
-        seeds = rows.limit(SEED_ROWS).repartition(parallelism(store.sparkSession))
-        bounds = _ranked(candidates(seeds), limit, 1).where(F.col("rank") == limit).select("__qid", F.col("score").alias("__bound"))
-        known = asked.join(bounds, "__qid", "left").select("__qid", "__qvec", F.coalesce("__bound", "__floor").alias("__floor"))
-        asked = _written(known.repartition(blocks, "__qid"))
-    ranked = _ranked(candidates(rows), limit, math.ceil(tasks * limit / SLOT_ROWS))
+        seeds = _QueryFiles(_written(rows.limit(SEED_ROWS)), 1)
+        asked = map_arrow(spread(asked), _floor_task(seeds, limit), asked.schema)
+    if large or blocks > 1:
+        asked = _written(asked.repartition(files, "__qid"))
+    if size.n >= SPREAD_QUERIES and tasks < 4 * cores:
+        rows, tasks = rows.repartition(cores), cores  # failed rows and few files leave cores idle
+    out = rows.select("__key").schema.add("score", "double").add("__qid", asked.schema["__qid"].dataType)
+    candidates = map_arrow(rows, _many_topk_task(_QueryFiles(asked, files, math.ceil(blocks / files)), limit, block_results), out)
+    ranked = _ranked(candidates, limit, math.ceil(tasks * limit / SLOT_ROWS))
     return ranked.select(F.col("__qid").alias(query_key), "rank", F.col("__key").alias(key), "score")
 
 
@@ -239,20 +249,33 @@ def _written(rows: DataFrame) -> DataFrame:
 
 
 class _QueryFiles:
-    """Written queries as blocks that a task reads by itself, one after the other."""
+    """Written queries as blocks that a task reads by itself, one after the other.
+
+    A block is one of `parts` equal shares of a file; one `file` stands for all that were written.
+    """
 
-    def __init__(self, asked: DataFrame, blocks: int):
-        files = sorted(strip_file_scheme(f) for f in asked.inputFiles())
-        self.blocks = [[f] for f in files] if blocks > 1 else [files]
-        self.id_type = to_arrow_type(asked.schema["__qid"].dataType)
+    def __init__(self, asked: DataFrame, files: int, parts: int = 1):
+        found = sorted(strip_file_scheme(f) for f in asked.inputFiles())
+        self.files, self.parts = [[f] for f in found] if files > 1 else [found], parts
+        self.blocks = [(file, part) for file in range(len(self.files)) for part in range(parts)]
+        self.id_type = to_arrow_type(asked.schema[0].dataType)  # of the id, or the key of a store
         self.last: tuple[int, tuple] | None = None
+        self.opened: tuple[int, pa.Table | None] | None = None
+
+    def table(self, file: int) -> pa.Table | None:
+        """The rows of a file as they were written; the last one read is kept."""
+        if self.opened is None or self.opened[0] != file:
+            tables = [parquet.read_table(pa.BufferReader(read_bytes(f if is_uri(f) else unquote(f)))) for f in self.files[file]]
+            self.opened = file, pa.concat_tables(tables) if tables else None
+        return self.opened[1]
 
     def read(self, block: int) -> tuple[pa.Array, _QueryBlock, np.ndarray] | None:
         """The ids, the vectors and the first bounds of a block; the last one read is kept."""
         if self.last is None or self.last[0] != block:
-            tables = [parquet.read_table(pa.BufferReader(read_bytes(f if is_uri(f) else unquote(f)))) for f in self.blocks[block]]
-            table = pa.concat_tables(tables) if tables else None
-            found = None
+            (file, part), found = self.blocks[block], None
+            if (table := self.table(file)) is not None:
+                first, end = (table.num_rows * p // self.parts for p in (part, part + 1))
+                table = table.slice(first, end - first)
             if table is not None and table.num_rows:
                 ids = table.column("__qid").cast(self.id_type).combine_chunks()
                 found = ids, _QueryBlock(to_matrix(table.column("__qvec"))), table.column("__floor").to_numpy()
@@ -270,28 +293,41 @@ class _RunningTopK:
         self.pending = 0
 
     def add(self, keys: pa.Array, rows: np.ndarray, block: _QueryBlock) -> None:
-        keys, rows = _without_hopeless_copies(keys, rows, self.limit)
-        step = max(1, SCORES_PER_STEP // max(1, len(self.floor)))
-        for start in range(0, len(rows), step):
-            self._add_step(keys.slice(start, step), rows[start:start + step], block)
-
-    def _add_step(self, keys: pa.Array, rows: np.ndarray, block: _QueryBlock) -> None:
-        norms = _lengths(rows)
-        scores = block.rough(rows, norms)
-        passing = scores >= (self.floor - block.slack).astype(np.float32)[:, None]
-        if len(rows) > self.limit and np.count_nonzero(passing) > 4 * self.limit * len(self.floor):
-            place = len(rows) - self.limit
-            best = np.partition(np.where(passing, scores, np.float32(-2)), place, axis=1)[:, place]
+        self.add_ready(_StoreRows(keys, rows, self.limit), block)
+
+    def add_ready(self, store: _StoreRows, block: _QueryBlock) -> None:
+        for start in range(0, len(store.rows), TILE_ROWS):
+            at, hits, many = slice(start, start + TILE_ROWS), [], False
+            for first in range(0, len(self.floor), TILE_QUERIES):
+                row, query, crowded = self._passing(store, at, block, slice(first, first + TILE_QUERIES))
+                many |= crowded
+                if len(row):
+                    exact = block.exact(store.rows, store.norms, row, query)
+                    hit = (exact > 0) & (exact >= self.floor[query])
+                    hits.append((row[hit], exact[hit], query[hit]))
+            row, exact, query = map(np.concatenate, zip(*hits)) if hits else ([], [], [])
+            if len(row):
+                self.found.append(pa.table({"__key": store.keys.take(pa.array(row)), "score": exact, "q": query}))
+                self.pending += len(row)
+            if many or self.pending > 2 * self.limit * len(self.floor):
+                self.shrink()
+
+    def _passing(self, store: _StoreRows, at: slice, block: _QueryBlock, asked: slice) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Pairs of a row and a query of a tile that may be among the best, and if bounds were too low to tell much."""
+        scores = block.unit[asked] @ store.unit[at].T  # cosines in float32; NaN for queries without length
+        bound = (self.floor[asked] - block.slack).astype(np.float32)
+        some = np.flatnonzero(scores.max(axis=1) >= bound)
+        if len(some) < len(scores):
+            scores, bound = scores[some], bound[some]
+        width = scores.shape[1]
+        passing = scores >= bound[:, None]
+        crowded = width > self.limit and np.count_nonzero(passing) > 4 * self.limit * len(some)
+        if crowded:
+            place = width - self.limit
+            best = np.partition(scores, place, axis=1)[:, place]
             passing &= scores >= (best - 2 * block.slack)[:, None]
-        query, row = np.nonzero(passing)
-        exact = block.exact(rows, norms, row, query)
-        hit = (exact > 0) & (exact >= self.floor[query])
-        row, query, exact = row[hit], query[hit], exact[hit]
-        if len(row):
-            self.found.append(pa.table({"__key": keys.take(pa.array(row)), "score": exact, "q": query}))
-            self.pending += len(row)
-        if self.pending > 2 * self.limit * len(self.floor):
-            self.shrink()
+        pair = np.flatnonzero(passing)
+        return at.start + pair % width, asked.start + some[pair // width], crowded
 
     def shrink(self) -> pa.Table | None:
         if not self.found:
@@ -316,9 +352,30 @@ class _RunningTopK:
         return pa.table({"__key": table.column("__key"), "score": table.column("score"), "__qid": ids})
 
 
+def _floor_task(seeds: _QueryFiles, limit: int):
+    """Queries with the score of their `limit`-th best of the written seeds as their bound."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, table = None, seeds.table(0)
+        for batch in batches:
+            if table is not None and table.num_rows and batch.num_rows:
+                vectors = to_matrix(batch.column(1))
+                if store is None:
+                    store = _StoreRows(table.column("__key").combine_chunks(), to_matrix(table.column("__vec"), vectors.shape[1]), limit)
+                elif store.rows.shape[1] != vectors.shape[1]:
+                    raise ValueError("vectors differ in length")
+                top = _RunningTopK(len(vectors), limit)
+                top.add_ready(store, _QueryBlock(vectors))
+                top.shrink()
+                batch = batch.set_column(2, batch.schema.field(2), pa.array(top.floor))
+            yield batch
+
+    return run
+
+
 def _many_topk_task(queries: _QueryFiles, limit: int, most_results: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tops: list[_RunningTopK | None] = [None] * len(queries.blocks)
+        held = 0
 
         def hand_on(block: int, ids: pa.Array) -> Iterator[pa.RecordBatch]:
             result = tops[block].result(ids)
@@ -327,20 +384,24 @@ def _many_topk_task(queries: _QueryFiles, limit: int, most_results: int):
                 yield from result.combine_chunks().to_batches()
 
         for stretch in _stretches(batches, 0 if len(tops) == 1 else STRETCH_BYTES):
-            matrix = None
+            store = None
             for block in range(len(tops)):
                 if (found := queries.read(block)) is None:
                     continue
                 ids, vectors, bounds = found
-                if matrix is None:
-                    matrix = to_matrix(stretch.column(1), vectors.vectors.shape[1])
-                elif matrix.shape[1] != vectors.vectors.shape[1]:
+                width = vectors.vectors.shape[1]
+                if store is None:
+                    store = _StoreRows(stretch.column(0).combine_chunks(), to_matrix(stretch.column(1), width), limit)
+                elif store.rows.shape[1] != width:
                     raise ValueError("vectors differ in length")
                 if tops[block] is None:
                     tops[block] = _RunningTopK(len(ids), limit)
                     tops[block].floor = bounds.copy()
-                tops[block].add(stretch.column(0).combine_chunks(), matrix, vectors)
-                if sum(top.pending for top in tops if top) > most_results:
+                held -= tops[block].pending
+                tops[block].add_ready(store, vectors)
+                held += tops[block].pending
+                if held > most_results:
+                    held -= tops[block].pending
                     yield from hand_on(block, ids)
         for block, top in enumerate(tops):
             if top is not None and top.found:

@@ -201,3 +201,53 @@ def test_a_task_hands_on_no_more_than_it_may_hold():
             scores = rows @ queries[q] / np.linalg.norm(rows, axis=1) / np.linalg.norm(queries[q])
             assert [k for i, _, k in got if i == q][:3] == np.argsort(-scores)[:3].tolist()
         assert len(got) == 27 or most < 10**6
+
+
+def test_rows_are_made_ready_once_for_all_blocks(monkeypatch):
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    rows, queries = rng.normal(size=(50, 4)), rng.normal(size=(24, 4))
+    rows[10:20], rows[20, 1], rows[21, 2] = 0, np.nan, np.inf
+    seen, real = [], S._without_hopeless_copies
+    monkeypatch.setattr(S, "_without_hopeless_copies", lambda keys, rows, limit: seen.append(len(rows)) or real(keys, rows, limit))
+
+    class Files:
+        blocks = range(8)
+
+        def read(self, block):
+            return pa.array(range(block * 3, block * 3 + 3)), S._QueryBlock(queries[block * 3:block * 3 + 3]), np.zeros(3)
+
+    batch = pa.RecordBatch.from_pydict({"k": pa.array(range(50)), "v": pa.array(list(rows))})
+    got = [r for b in S._many_topk_task(Files(), 50, 10**6)(iter([batch])) for r in b.to_pylist()]
+    assert seen == [38]
+    with np.errstate(all="ignore"):
+        scores = queries @ rows.T / np.linalg.norm(rows, axis=1) / np.linalg.norm(queries, axis=1)[:, None]
+    assert sorted((r["__qid"], r["__key"]) for r in got) == sorted(map(tuple, np.argwhere(scores > 0).tolist()))
+
+
+def test_small_blocks_share_a_file_and_many_queries_the_cores(spark, monkeypatch):
+    files, real = [], S._many_topk_task
+    monkeypatch.setattr(S, "_many_topk_task", lambda queries, *rest: files.append(queries) or real(queries, *rest))
+    monkeypatch.setattr(S, "SPREAD_QUERIES", 30)
+    vectors, asked = random_vectors(90, seed=12), np.random.default_rng(13).normal(size=(40, 9)).astype(np.float32)
+    names = [f"p{i:03d}" for i in range(90)]
+    queries = spark.createDataFrame([(i, [float(x) for x in q]) for i, q in enumerate(asked)], "query_id long, query_vec array<float>")
+    found = S.batch_search(store_of(spark, vectors).coalesce(1), queries, 6, block_bytes=400)
+    assert len(files[0].files) == 1 and len(files[0].blocks) == 8
+    assert "RoundRobinPartitioning" in found._jdf.queryExecution().executedPlan().toString()
+    by_query = {}
+    for r in sorted(found.collect(), key=lambda r: r["rank"]):
+        by_query.setdefault(r.query_id, []).append(r.path)
+    assert by_query == {i: [w[0] for w in brute(names, vectors, q.astype(float), 6)] for i, q in enumerate(asked)}
+
+
+def test_first_bounds_are_those_of_the_seeds(spark):
+    import pyarrow as pa
+    rng = np.random.default_rng(6)
+    vectors, asked = rng.normal(size=(40, 5)).astype(np.float32), rng.normal(size=(7, 5)).astype(np.float32)
+    seeds = S._written(store_of(spark, vectors).toDF("__key", "__vec"))
+    batch = pa.RecordBatch.from_pydict({"__qid": pa.array(range(7)), "__qvec": pa.array(list(asked)), "__floor": pa.array(np.zeros(7))})
+    for limit in (3, 41):
+        got, = S._floor_task(S._QueryFiles(seeds, 1), limit)(iter([batch]))
+        scores = np.sort(asked @ vectors.T / np.linalg.norm(vectors, axis=1) / np.linalg.norm(asked, axis=1)[:, None], axis=1)
+        assert got.column(2).to_numpy() == pytest.approx(scores[:, -3] if limit == 3 else np.zeros(7), abs=1e-5)
