@@ -159,12 +159,13 @@ def _packed(chunk: int, ids: list, flags: list, parts: list[np.ndarray], vocabul
     buckets = hashes % n_buckets
     order = sorted(range(len(vocabulary)), key=vocabulary.__getitem__)
     order = np.array(order, np.int64)[np.argsort(buckets[order], kind="stable")] if order else np.zeros(0, np.int64)
+    lengths = np.array([len(p) for p in parts], np.uint32)
     numbers = np.concatenate([np.zeros(0, np.uint32), *parts])
+    parts.clear()  # as large as the numbers
     tally = np.bincount(numbers, minlength=len(vocabulary))[order]
     ranked = np.argsort(-tally, kind="stable")
     rank_of = np.empty(len(vocabulary), np.uint32)
     rank_of[order[ranked]] = np.arange(len(vocabulary), dtype=np.uint32)
-    lengths = np.array([len(p) for p in parts], np.uint32)
     uses = None
     if flags[0] is not None:
         flagged = numbers[np.repeat(np.array(flags, bool), lengths)]
